@@ -100,7 +100,7 @@ def package_vulnerability_ids(deps: DataFrame, advisories: DataFrame) -> DataFra
     return (
         declared.join(listed, KEY)
         .groupBy("repo_id", "name", "version", "vuln_id")
-        .agg(F.max((F.upper("severity") == "CRITICAL").cast("int")).alias("critical"))
+        .agg(F.max(F.when(F.upper("severity") == "CRITICAL", 1).otherwise(0)).alias("critical"))
     )
 
 
@@ -140,10 +140,12 @@ def recent_lookups(
     """Latest earlier lookup of each request's key, and whether it is younger
     than ``max_age_seconds``.
 
-    Both inputs are (key, ts). Rows meet per (key, time bucket), so a key
+    Both inputs are (key, ts), ``ts`` an instant. Rows meet per (key, time bucket), so a key
     holding much of the data is spread over its buckets; between buckets only
     their latest lookup is carried on, one row per (key, bucket).
     """
+    at = F.col("ts").cast("timestamp")
+    requests, lookups = requests.withColumn("ts", at), lookups.withColumn("ts", at)
     bucket = F.floor(F.unix_micros("ts") / (bucket_seconds * 1_000_000)).alias("bucket")
     asked = requests.select(*requests.columns, bucket, F.lit(True).alias("is_request"))
     done = lookups.select("key", "ts", bucket, F.lit(False).alias("is_request"))

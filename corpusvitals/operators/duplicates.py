@@ -140,25 +140,50 @@ def _class_events(comparable: DataFrame) -> DataFrame:
 
 
 def _eventful_buckets(events: DataFrame) -> DataFrame:
-    """Buckets where two classes meet with different context, with salts."""
+    """Buckets where two classes meet with different context.
+
+    ``usual`` is the commonest context of the bucket, ``salts`` the number of
+    shares a big bucket is dealt into.
+    """
+    bucket = ["repo_id", "kind", "key"]
+    by_context = events.groupBy(*bucket, "other").agg(
+        F.count("*").alias("n"), F.min("cls").alias("lo"), F.max("cls").alias("hi")
+    )
+    edge = F.col("other").isNull()
     return (
-        events.groupBy("repo_id", "kind", "key")
+        by_context.groupBy(*bucket)
         .agg(
-            F.count("*").alias("n"),
-            (F.min("cls") < F.max("cls")).alias("shared"),
-            (
-                F.coalesce(F.min("other") < F.max("other"), F.lit(False))
-                | (F.count("other") < F.count("*"))
-            ).alias("varied"),
+            F.sum("n").alias("n"),
+            (F.min("lo") < F.max("hi")).alias("shared"),
+            ((F.count("*") > 1) | F.bool_or(edge)).alias("varied"),
+            F.max_by("other", F.when(~edge, F.col("n"))).alias("usual"),
         )
         .where("shared AND varied")
-        .select(
-            "repo_id", "kind", "key",
-            F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("salts"),
-        )
+        .select(*bucket, "usual", F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("salts"))
     )
 
 
+def _sides(live: DataFrame):
+    """The two sides of the bucket join, with the columns that pair them.
+
+    Rows in their bucket's usual context cannot form an event with each
+    other, so they only meet the rest: the left side asks for ``rest`` or for
+    both parts, the right side offers the one part it is in. What is still
+    compared in vain is at most as much as the events found, because no other
+    context is commoner. Salts split big buckets.
+    """
+    usual = F.col("other").eqNullSafe(F.col("usual")) & F.col("other").isNotNull()
+    left = live.withColumns({
+        "part": F.explode(F.when(usual, F.array(F.lit("rest"))).otherwise(F.array(F.lit("rest"), F.lit("usual")))),
+        "salt": F.pmod(F.xxhash64("cls", "pos"), F.col("salts")).cast("int"),
+    })
+    right = live.withColumns({
+        "part": F.when(usual, "usual").otherwise("rest"),
+        "salt": F.explode(F.sequence(F.lit(0), F.col("salts") - 1)),
+    })
+    return left.alias("x"), right.alias("y")
+
+
 def _extension(a: Column, b: Column) -> Column:
     """How many leading entries of two arrays agree."""
     differs = F.zip_with(a, b, lambda x, y: ~x.eqNullSafe(y))
@@ -174,11 +199,8 @@ def class_matches(comparable: DataFrame) -> DataFrame:
     """
     events = _class_events(comparable)
     live = events.join(_eventful_buckets(events), ["repo_id", "kind", "key"])
-    dealt = live.withColumn("salt", F.pmod(F.xxhash64("cls", "pos"), F.col("salts")).cast("int"))
-    repeated = live.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-
-    x, y = dealt.alias("x"), repeated.alias("y")
-    on = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("repo_id", "kind", "key", "salt")]
+    x, y = _sides(live)
+    on = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("repo_id", "kind", "key", "salt", "part")]
     context_differs = (
         (F.col("x.other") != F.col("y.other"))
         | F.col("x.other").isNull()

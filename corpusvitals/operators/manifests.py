@@ -4,7 +4,7 @@ from typing import Iterator
 import xml.etree.ElementTree as ET
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .. import rules
 from ..functions import paths, text as tx, versions
@@ -66,8 +66,9 @@ def parse_package_json(manifests: DataFrame) -> DataFrame:
             for i, s in enumerate(rules.PACKAGE_JSON_SECTIONS)
         ]
     )
+    well_formed = F.get_json_object("content", "$").isNotNull()
     entries = (
-        manifests.select(*KEYS, doc.alias("doc"))
+        manifests.where(well_formed).select(*KEYS, doc.alias("doc"))
         .select(*KEYS, F.explode(sections).alias("s"))
         .select(*KEYS, F.col("s.section"), F.posexplode("s.packages").alias("pos", "name", "v"))
     )
@@ -107,7 +108,12 @@ def _pom_entries(text: str) -> list:
     return found
 
 
-@F.pandas_udf("array<struct<grp string, artifact string, version string>>")
+ENTRY = T.StructType(
+    [T.StructField(name, T.StringType()) for name in ("grp", "artifact", "version")]
+)
+
+
+@F.pandas_udf(T.ArrayType(ENTRY))
 def pom_entries(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in texts:
         yield batch.map(lambda t: _pom_entries(t) if t else [])

@@ -5,11 +5,11 @@ from typing import Iterator
 import warnings
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .. import rules
 from ..functions import paths
-from .scripts import complexity_findings
+from .scripts import FUNCTION, complexity_findings
 
 _ONE_BRANCH = (
     ast.If, ast.For, ast.AsyncFor, ast.While, ast.IfExp, ast.ExceptHandler,
@@ -61,10 +61,15 @@ def _module_facts(text: str):
     return {"functions": [tuple(f) for f in functions], "imports": imports, "names": list(names)}
 
 
-FACTS = (
-    "functions array<struct<name string, line int, end_line int, complexity int>>, "
-    "imports array<struct<identifier string, line int>>, names array<string>"
-)
+IMPORT = T.StructType([
+    T.StructField("identifier", T.StringType()),
+    T.StructField("line", T.IntegerType()),
+])
+FACTS = T.StructType([
+    T.StructField("functions", T.ArrayType(FUNCTION)),
+    T.StructField("imports", T.ArrayType(IMPORT)),
+    T.StructField("names", T.ArrayType(T.StringType())),
+])
 
 
 @F.pandas_udf(FACTS)

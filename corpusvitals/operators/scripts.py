@@ -5,7 +5,7 @@ import re
 from typing import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .. import rules
 from ..functions import paths, text as tx
@@ -224,7 +224,15 @@ def _function_facts(text: str) -> list:
     ]
 
 
-@F.pandas_udf("array<struct<name string, line int, end_line int, complexity int>>")
+FUNCTION = T.StructType([
+    T.StructField("name", T.StringType()),
+    T.StructField("line", T.IntegerType()),
+    T.StructField("end_line", T.IntegerType()),
+    T.StructField("complexity", T.IntegerType()),
+])
+
+
+@F.pandas_udf(T.ArrayType(FUNCTION))
 def function_facts(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in texts:
         yield batch.map(lambda t: _function_facts(t) if t else [])

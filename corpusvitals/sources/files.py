@@ -1,5 +1,6 @@
 """Source trees as tables."""
 
+import itertools
 import os
 from typing import Iterator
 
@@ -11,29 +12,31 @@ from ..functions import paths, text as tx
 from ..operators.profile import scan_manifests, scan_source_files
 
 _LISTING = "repo_id string, path string, size_bytes long, root string"
+_LISTING_COLUMNS = ["repo_id", "path", "size_bytes", "root"]
 
 
-def _walk(roots: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Regular files below each root, no links followed. Only folders that
-    neither scan enters are pruned here; the rules themselves are columns."""
+_LISTING_ROWS = 10_000
+
+
+def _regular_files(root: str):
+    """(relative path, size) below a root, no links followed. Only folders
+    that neither scan enters are pruned; the rules themselves are columns."""
     pruned = {d for d in rules.IGNORED_DIRECTORIES if d == d.lower()}
+    for folder, dirs, names in os.walk(root):
+        dirs[:] = [d for d in dirs if d not in pruned]
+        for name in names:
+            full = os.path.join(folder, name)
+            if not os.path.islink(full) and os.path.isfile(full):
+                yield os.path.relpath(full, root), os.path.getsize(full)
+
+
+def _walk(roots: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in roots:
         for repo_id, root in zip(batch["repo_id"], batch["root"]):
-            found = []
-            for folder, dirs, names in os.walk(root):
-                dirs[:] = [d for d in dirs if d not in pruned]
-                for name in names:
-                    full = os.path.join(folder, name)
-                    if not os.path.islink(full) and os.path.isfile(full):
-                        found.append((os.path.relpath(full, root), os.path.getsize(full)))
-            yield pd.DataFrame(
-                {
-                    "repo_id": repo_id,
-                    "path": [p for p, _ in found],
-                    "size_bytes": [s for _, s in found],
-                    "root": root,
-                }
-            )
+            files = _regular_files(root)
+            while rows := list(itertools.islice(files, _LISTING_ROWS)):
+                listed = pd.DataFrame(rows, columns=["path", "size_bytes"])
+                yield listed.assign(repo_id=repo_id, root=root)[_LISTING_COLUMNS]
 
 
 def list_trees(repos: DataFrame) -> DataFrame:
