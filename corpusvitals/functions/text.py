@@ -56,13 +56,12 @@ def normalized_lines(text: Column) -> Column:
     language. All regex work runs over the whole text; only the trimming is
     per line.
     """
-    plain = ~text.rlike(UNCOMMON_SPACE)
-    bare = F.when(plain, F.regexp_replace(text, r"(?://|#)[^\n]*", "")).otherwise(
-        F.regexp_replace(text, f"(?://|#){NOT_BREAK}*", "")
-    )
-    lines = F.when(plain, F.split(F.regexp_replace(bare, " {2,}", " "), NEWLINE, -1)).otherwise(
-        F.split(F.regexp_replace(bare, f"{INLINE_SPACE}+", " "), LINE_BREAK, -1)
-    )
+    simple = F.regexp_replace(text, r"(?://|#)[^\n]*", "")
+    general = F.regexp_replace(text, f"(?://|#){NOT_BREAK}*", "")
+    lines = F.when(
+        text.rlike(UNCOMMON_SPACE),
+        F.split(F.regexp_replace(general, f"{INLINE_SPACE}+", " "), LINE_BREAK, -1),
+    ).otherwise(F.split(F.regexp_replace(simple, " {2,}", " "), NEWLINE, -1))
     numbered = F.transform(
         lines,
         lambda line, i: F.struct((i + 1).alias("line_no"), F.trim(line).alias("text")),
@@ -70,6 +69,21 @@ def normalized_lines(text: Column) -> Column:
     return F.filter(numbered, lambda x: x["text"] != "")
 
 
+def once(**columns: Column) -> Column:
+    """Generator that yields these columns once.
+
+    A filter on a computed column is copied below the projection computing
+    it, so costly expressions would run twice; behind a generator they do not.
+    """
+    return F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()])))
+
+
+def once_if(test, **columns: Column) -> Column:
+    """``once``, but only for rows whose columns pass ``test``."""
+    row = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return F.inline(F.filter(F.array(row), test))
+
+
 def match_pieces(df: DataFrame, specs: dict, content: Column, carry: list) -> DataFrame:
     """Cut each text at its matches: one row per (label, i) with the gap
     before match i and the match itself (NULL after the last one).

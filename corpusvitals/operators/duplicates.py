@@ -45,8 +45,7 @@ def comparable_files(files: DataFrame) -> DataFrame:
     lines = tx.normalized_lines(F.col("content"))
     return (
         files.where(paths.quality_category(F.col("path")) != "generated")
-        .select("repo_id", "path", lines.alias("l"))
-        .where(F.size("l") >= WINDOW)
+        .select("repo_id", "path", tx.once(l=lines))
         .select(
             "repo_id",
             "path",
@@ -68,7 +67,7 @@ def comparable_files(files: DataFrame) -> DataFrame:
 def staged_files(files: DataFrame) -> DataFrame:
     """``comparable_files`` as a written table: a few bytes per line that the
     steps below read several times, so texts are normalized only once."""
-    return stage(comparable_files(files), "comparable")
+    return stage(comparable_files(files), "comparable").where(F.col("n_lines") >= WINDOW)
 
 
 def sliding_blocks(files: DataFrame) -> DataFrame:
@@ -85,7 +84,8 @@ def sliding_blocks(files: DataFrame) -> DataFrame:
 
 
 def _positions() -> Column:
-    return F.explode(F.sequence(F.lit(0), F.size("hashes") - WINDOW)).alias("pos")
+    last = F.size("hashes") - WINDOW
+    return F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("pos")
 
 
 def _line(offset: int) -> Column:

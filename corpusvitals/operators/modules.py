@@ -11,17 +11,13 @@ from .. import rules
 from ..functions import paths
 from .scripts import FUNCTION, complexity_findings
 
-_ONE_BRANCH = (
+_FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
+_ONE_BRANCH = {
     ast.If, ast.For, ast.AsyncFor, ast.While, ast.IfExp, ast.ExceptHandler,
     ast.With, ast.AsyncWith, ast.Assert, ast.comprehension,
-)
-_FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
-
-
-def _branches(node) -> int:
-    if isinstance(node, ast.BoolOp):
-        return len(node.values) - 1
-    return int(isinstance(node, _ONE_BRANCH))
+}
+# leaves that carry no fact
+_IGNORED = (ast.expr_context, ast.operator, ast.cmpop, ast.Constant)
 
 
 def _bound_names(node):
@@ -46,18 +42,29 @@ def _module_facts(text: str):
     todo = [(tree, ())]
     while todo:
         node, around = todo.pop()
-        if isinstance(node, _FUNCTIONS):
+        kind = type(node)
+        weight = 0
+        if kind is ast.Name:
+            names.add(node.id)
+            continue
+        if kind in _ONE_BRANCH:
+            weight = 1
+        elif kind is ast.BoolOp:
+            weight = len(node.values) - 1
+        elif kind in _FUNCTIONS:
             functions.append([node.name, node.lineno, node.end_lineno or node.lineno, 1])
             around = around + (functions[-1],)
-        elif isinstance(node, ast.Name):
-            names.add(node.id)
-        else:
+        elif kind in (ast.Import, ast.ImportFrom):
             imports.extend((name, node.lineno) for name in _bound_names(node))
-        weight = _branches(node)
+            continue
         if weight:
             for owner in around:
                 owner[3] += weight
-        todo.extend((child, around) for child in ast.iter_child_nodes(node))
+        for field in node._fields:
+            child = getattr(node, field, None)
+            for item in child if isinstance(child, list) else (child,):
+                if isinstance(item, ast.AST) and not isinstance(item, _IGNORED):
+                    todo.append((item, around))
     return {"functions": [tuple(f) for f in functions], "imports": imports, "names": list(names)}
 
 
@@ -80,6 +87,10 @@ def module_facts(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=columns)
 
 
+# keeps filters inferred from later explodes from running the parser again
+module_facts = module_facts.asNondeterministic()
+
+
 def python_files(files: DataFrame) -> DataFrame:
     path = F.col("path")
     return files.where(

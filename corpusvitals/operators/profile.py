@@ -72,7 +72,7 @@ def measure_files(files: DataFrame) -> DataFrame:
     path = F.col("path")
     return (
         files.where((paths.quality_category(path) != "generated") & (F.col("content") != ""))
-        .select("repo_id", "path", tx.split_line_count(F.col("content")).alias("lines"))
+        .select("repo_id", "path", tx.once(lines=tx.split_line_count(F.col("content"))))
     )
 
 

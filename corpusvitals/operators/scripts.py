@@ -107,8 +107,10 @@ def unused_js_imports(files: DataFrame) -> DataFrame:
     unused = F.when(content.rlike(MARKUP), F.array_remove(unused, "React")).otherwise(unused)
     suspects = (
         script_files(files).where(content.rlike(IMPORT))
-        .select("repo_id", "path", "content", unused.alias("unused"))
-        .where(F.size("unused") > 0)
+        .select(
+            "repo_id", "path",
+            tx.once_if(lambda row: F.size(row["unused"]) > 0, content=content, unused=unused),
+        )
     )
     why, advice = rules.EXPLANATIONS["Unused JavaScript Import"]
     return (

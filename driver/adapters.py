@@ -8,6 +8,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusvitals.session import work_dir
+
 
 def lit(text: str) -> str:
     """SQL expression for a text; no escapes, which the engines read apart."""
@@ -101,10 +103,6 @@ FROM (SELECT doc_id FROM @documents) d"""
 
 
 
-def _repeat(text: str, times: str) -> str:
-    return f"repeat({lit(text)}, CAST({times} AS INT))"
-
-
 _PY_BODY = " || ".join(
     [
         lit("\nimport os\nimport sys as system\nfrom json import loads\n\n"),
@@ -263,13 +261,27 @@ def for_duckdb(view: str) -> str:
     return re.sub(r"@(\w+)", r"\1", view)
 
 
+_spread = {}
+
+
+def _spread_out(spark: SparkSession, path: str) -> str:
+    """A table in one single file is one task for whatever reads it, so it
+    is rewritten once per session into a file per core."""
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _spread:
+        table = spark.read.parquet(path)
+        _spread[key] = path
+        if len(table.inputFiles()) == 1:
+            _spread[key] = work_dir(spark, "spread")
+            cores = spark.sparkContext.defaultParallelism
+            table.repartition(cores, "doc_id").write.parquet(_spread[key])
+    return _spread[key]
+
+
 def _spark_table(spark: SparkSession, sf_dir: str, name: str) -> str:
-    """SQL for a driver table; texts in one single file are spread over the
-    cores first, since a lone row group would be one task."""
     path = f"{sf_dir}/{name}.parquet"
-    cores = spark.sparkContext.defaultParallelism
-    if name == "documents" and len(spark.read.parquet(path).inputFiles()) == 1:
-        return f"(SELECT /*+ REPARTITION({cores}, doc_id) */ * FROM parquet.`{path}`)"
+    if name == "documents":
+        path = _spread_out(spark, path)
     return f"parquet.`{path}`"
 
 
