@@ -95,7 +95,7 @@ def _line(offset: int) -> Column:
 
 
 def _events() -> Column:
-    """The keyed rows a window contributes.
+    """The keyed rows a window (column ``block``) contributes.
 
     Start and end events share the whole window as key and differ in the
     neighbouring line (NULL at the edge of the file, which differs from
@@ -103,38 +103,37 @@ def _events() -> Column:
     and differs in line j; for j below seven only windows that cannot be
     moved one line up matter, so the line before is part of the comparison.
     """
-    block = [_line(k) for k in range(WINDOW)]
-    whole = F.xxhash64(*block)
+    block = F.col("block")
+    whole = F.xxhash64(block)
     rows = [
-        F.struct(F.lit(START).alias("kind"), whole.alias("key"), _line(-1).alias("other")),
-        F.struct(F.lit(END).alias("kind"), whole.alias("key"), _line(WINDOW).alias("other")),
+        F.struct(F.lit(START).alias("kind"), whole.alias("key"), F.col("before").alias("other")),
+        F.struct(F.lit(END).alias("kind"), whole.alias("key"), F.get("after", F.lit(0)).alias("other")),
     ]
     for j in range(ANCHOR, WINDOW):
-        rest = F.xxhash64(*[line for k, line in enumerate(block) if k != j])
+        rest = F.xxhash64(F.slice(block, 1, j), F.slice(block, j + 2, WINDOW))
         rows.append(
-            F.struct(F.lit(j).alias("kind"), rest.alias("key"), block[j].alias("other"))
+            F.struct(F.lit(j).alias("kind"), rest.alias("key"), F.get(block, F.lit(j)).alias("other"))
         )
-    return F.explode(F.array(*rows))
+    return F.inline(F.array(*rows))
 
 
 def _class_events(comparable: DataFrame) -> DataFrame:
     """Keyed window rows of one member per class."""
-    classes = (
-        comparable.groupBy("repo_id", "cls")
-        .agg(F.first("hashes").alias("hashes"), F.first("numbers").alias("numbers"))
+    classes = comparable.groupBy("repo_id", "cls").agg(
+        F.first("hashes").alias("hashes"), F.first("numbers").alias("numbers")
     )
     windows = classes.select("repo_id", "cls", "hashes", "numbers", _positions()).select(
         "repo_id", "cls", "pos",
         F.get("numbers", F.col("pos")).alias("line_no"),
         _line(-1).alias("before"),
+        F.slice("hashes", F.col("pos") + 1, WINDOW).alias("block"),
         F.slice("hashes", F.col("pos") + WINDOW + 1, WINDOW).alias("after"),
-        _events().alias("e"),
     )
-    mismatch = F.col("e.kind") >= 0
-    return windows.select(
-        "repo_id", "cls", "pos", "line_no",
-        F.col("e.kind").alias("kind"), F.col("e.key").alias("key"), F.col("e.other").alias("other"),
-        F.when(mismatch & (F.col("e.kind") < WINDOW - 1), F.col("before")).alias("before"),
+    rows = windows.select("repo_id", "cls", "pos", "line_no", "before", "after", _events())
+    mismatch = F.col("kind") >= 0
+    return rows.select(
+        "repo_id", "cls", "pos", "line_no", "kind", "key", "other",
+        F.when(mismatch & (F.col("kind") < WINDOW - 1), F.col("before")).alias("before"),
         F.when(mismatch, F.col("after")).alias("after"),
     )
 
@@ -146,8 +145,9 @@ def _eventful_buckets(events: DataFrame) -> DataFrame:
     shares a big bucket is dealt into.
     """
     bucket = ["repo_id", "kind", "key"]
+    cls = F.xxhash64("cls")  # a number keeps the aggregate hash-based
     by_context = events.groupBy(*bucket, "other").agg(
-        F.count("*").alias("n"), F.min("cls").alias("lo"), F.max("cls").alias("hi")
+        F.count("*").alias("n"), F.min(cls).alias("lo"), F.max(cls).alias("hi")
     )
     edge = F.col("other").isNull()
     return (
@@ -198,7 +198,10 @@ def class_matches(comparable: DataFrame) -> DataFrame:
     way round, as needed when the y file sorts first.
     """
     events = _class_events(comparable)
-    live = events.join(_eventful_buckets(events), ["repo_id", "kind", "key"])
+    # both written: the planner then sees how few buckets are left and can
+    # broadcast them if they are small, instead of shuffling every window
+    buckets = stage(_eventful_buckets(events), "buckets")
+    live = stage(events.join(buckets, ["repo_id", "kind", "key"]), "events")
     x, y = _sides(live)
     on = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("repo_id", "kind", "key", "salt", "part")]
     context_differs = (

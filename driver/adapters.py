@@ -128,11 +128,14 @@ _JS_BODY = " || ".join(
         f"repeat({lit('  if (a) { b(' + chr(39) + '(' + chr(39) + ', ')} || {_ID} || {lit('); }')} || chr(10), CAST(doc_id % 19 AS INT))",
         lit(
             "  const pick = a ? b : a ?? b;\n  out.map((item) => {\n"
-            "    if (item) { return helper(item); }\n    return item;\n  });\n"
-            "  return useState(out);\n}\n"
+            "    if (item) { return helper("
         ),
+        _ID,
+        lit("); }\n    return item;\n  });\n  return useState(out);\n}\n"),
         f"'const arrow_' || {_ID}",
-        lit(" = async (q) => {\n  switch (q) {\n    case 1: return q;\n    case 2: return 0;\n  }\n"),
+        lit(" = async (q) => {\n  switch (q) {\n    case 1: return "),
+        _ID,
+        lit(";\n    case 2: return 0;\n  }\n"),
         f"repeat({lit('  while (q) { q = q.next; q.id(')} || {_ID} || {lit('); }')} || chr(10), CAST(doc_id % 13 AS INT))",
         lit("  return q;\n};\n"),
         f"CASE WHEN doc_id % 5 = 0 THEN {lit('const view = <Panel />;')} || chr(10) ELSE '' END",
