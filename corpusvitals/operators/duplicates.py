@@ -117,18 +117,40 @@ def _events() -> Column:
     return F.inline(F.array(*rows))
 
 
-def _class_events(comparable: DataFrame) -> DataFrame:
-    """Keyed window rows of one member per class."""
+def _class_windows(comparable: DataFrame) -> DataFrame:
+    """Windows of one member per class, with the lines around them."""
     classes = comparable.groupBy("repo_id", "cls").agg(
         F.first("hashes").alias("hashes"), F.first("numbers").alias("numbers")
     )
-    windows = classes.select("repo_id", "cls", "hashes", "numbers", _positions()).select(
+    return classes.select("repo_id", "cls", "hashes", "numbers", _positions()).select(
         "repo_id", "cls", "pos",
         F.get("numbers", F.col("pos")).alias("line_no"),
         _line(-1).alias("before"),
         F.slice("hashes", F.col("pos") + 1, WINDOW).alias("block"),
         F.slice("hashes", F.col("pos") + WINDOW + 1, WINDOW).alias("after"),
+        F.xxhash64(F.slice("hashes", F.col("pos") + 1, ANCHOR)).alias("anchor"),
     )
+
+
+def _anchored_windows(comparable: DataFrame) -> DataFrame:
+    """Windows whose first three lines also start a window of another class;
+    no other can match, and in most corpora few are left.
+
+    The shared anchors are written first: if they turn out small they are
+    broadcast, and no window is shuffled to be dropped.
+    """
+    windows = _class_windows(comparable)
+    cls = F.xxhash64("cls")  # a number keeps the aggregate hash-based
+    shared = (
+        windows.groupBy("repo_id", "anchor")
+        .agg((F.min(cls) < F.max(cls)).alias("shared"))
+        .where("shared").select("repo_id", "anchor")
+    )
+    return windows.join(stage(shared, "anchors"), ["repo_id", "anchor"], "left_semi")
+
+
+def _class_events(windows: DataFrame) -> DataFrame:
+    """Keyed rows of the windows."""
     rows = windows.select("repo_id", "cls", "pos", "line_no", "before", "after", _events())
     mismatch = F.col("kind") >= 0
     return rows.select(
@@ -145,7 +167,7 @@ def _eventful_buckets(events: DataFrame) -> DataFrame:
     shares a big bucket is dealt into.
     """
     bucket = ["repo_id", "kind", "key"]
-    cls = F.xxhash64("cls")  # a number keeps the aggregate hash-based
+    cls = F.xxhash64("cls")
     by_context = events.groupBy(*bucket, "other").agg(
         F.count("*").alias("n"), F.min(cls).alias("lo"), F.max(cls).alias("hi")
     )
@@ -197,9 +219,9 @@ def class_matches(comparable: DataFrame) -> DataFrame:
     ``best_xy`` breaks ties by position in x, then y; ``best_yx`` the other
     way round, as needed when the y file sorts first.
     """
-    events = _class_events(comparable)
+    events = _class_events(stage(_anchored_windows(comparable), "windows"))
     # both written: the planner then sees how few buckets are left and can
-    # broadcast them if they are small, instead of shuffling every window
+    # broadcast them if they are small, instead of shuffling every event
     buckets = stage(_eventful_buckets(events), "buckets")
     live = stage(events.join(buckets, ["repo_id", "kind", "key"]), "events")
     x, y = _sides(live)
