@@ -1,6 +1,7 @@
 """Session helpers."""
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -27,21 +28,27 @@ def build_session(app: str = "corpusvitals", master: str | None = None, **conf)
 def work_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder below the cluster's ``spark.checkpoint.dir``.
 
-    Without that setting (tests, one machine) a temporary folder is used.
+    Without that setting a temporary folder is used on one machine. Tasks of
+    several machines would each write to their own disk, so there the
+    setting is required.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    master = spark.conf.get("spark.master", "")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"set spark.checkpoint.dir to a shared folder: master {master!r} has several machines")
     return os.path.join(tempfile.mkdtemp(prefix="run-"), label)
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, **options) -> DataFrame:
     """Write an intermediate table and read it back.
 
     Cuts the lineage in a way that survives lost executors, and lets later
-    steps prune its columns and see its real size.
+    steps prune its columns and see its real size. ``options`` go to the
+    Parquet writer.
     """
     spark = df.sparkSession
     path = work_dir(spark, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
