@@ -17,6 +17,7 @@ import array
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 
 import pyarrow as pa
@@ -27,9 +28,11 @@ import regex
 
 from corpusvitals.llm.frames import slices, text_of
 
-CACHE_WORDS = 150_000
-CACHE_CHARS = 4_000_000
+CACHE_WORDS = 400_000
+CACHE_CHARS = 12_000_000
 _SHIFT = 20
+#: Characters beyond the Latin letters, common punctuation and signs.
+_RARE = re.compile("[^\u0000-\u036f\u2010-\u2027\u2030-\u205e\u20a0-\u20b5]")
 
 
 def byte_characters() -> list[str]:
@@ -53,7 +56,9 @@ class WordBpe:
         self._cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self._words = regex.compile(split["pattern"]["Regex"]).findall
+        self._path = path
         characters = byte_characters()
+        self._byte_of = {c: b for b, c in enumerate(characters)}
         self._inner = [vocab.get(c, -1) for c in characters]
         self._last = [vocab.get(c + suffix, -1) for c in characters]
         self._merges: list[tuple[int, int, int]] = []
@@ -80,11 +85,19 @@ class WordBpe:
                 words.append(part)
             elif part:
                 if not part.isascii():
-                    # lower case goes character by character, so no final sigma
-                    part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
+                    if _RARE.search(part):
+                        words += self._split_rare(part)
+                        continue
+                    part = unicodedata.normalize("NFC", part)
                 words += self._words(part.lower())
         return words
 
+    def _split_rare(self, part: str) -> list[str]:
+        """The library's own splitting, for scripts whose letters differ between Unicode versions."""
+        library = _library(self._path)
+        pieces = library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(part))
+        return [bytes(map(self._byte_of.__getitem__, piece)).decode() for piece, _ in pieces]
+
     def merge(self, words: list[str]) -> list[list[int]]:
         """Ids of each word, by an index from pair to positions over all of them."""
         rank_of, merges = self._rank, self._merges
@@ -107,19 +120,12 @@ class WordBpe:
         active = list(positions)
         heapq.heapify(active)
 
-        def note(p: int, q: int) -> None:
-            rank = rank_of.get(symbols[p] << _SHIFT | symbols[q])
-            if rank is not None:
-                if rank in positions:
-                    positions[rank].append(p)
-                else:
-                    positions[rank] = [p]
-                    heapq.heappush(active, rank)
-
         while active:
             rank = heapq.heappop(active)
             a, b, merged = merges[rank]
-            for p in sorted(positions.pop(rank)):
+            places = positions.pop(rank)
+            places.sort()
+            for p in places:
                 q = after[p]
                 if symbols[p] != a or q < 0 or symbols[q] != b:
                     continue  # an earlier merge took one of the two
@@ -127,9 +133,22 @@ class WordBpe:
                 after[p] = r = after[q]
                 if r >= 0:
                     before[r] = p
-                    note(p, r)
-                if before[p] >= 0:
-                    note(before[p], p)
+                    after_it = rank_of.get(merged << _SHIFT | symbols[r])
+                    if after_it is not None:
+                        if after_it in positions:
+                            positions[after_it].append(p)
+                        else:
+                            positions[after_it] = [p]
+                            heapq.heappush(active, after_it)
+                left = before[p]
+                if left >= 0:
+                    before_it = rank_of.get(symbols[left] << _SHIFT | merged)
+                    if before_it is not None:
+                        if before_it in positions:
+                            positions[before_it].append(left)
+                        else:
+                            positions[before_it] = [left]
+                            heapq.heappush(active, before_it)
         return [[s for s in symbols[start:end] if s >= 0] for start, end in zip(starts, starts[1:])]
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
@@ -159,6 +178,13 @@ def ids_of(packed: bytes) -> array.array:
     return ids
 
 
+@cache
+def _library(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 @cache
 def vocabulary(path: str) -> WordBpe:
     return WordBpe(path)

@@ -11,7 +11,7 @@ by an ordinary join instead, with equal results.
 Everything is DataFrame expressions; no text is shuffled.
 
 Defined results: null texts have no words and are never contaminated; items
-without words have no window; repeated rows are judged alike; an empty
+without words have no window, those without an id are hit but not counted; repeated rows are judged alike; an empty
 benchmark leaves every document clean; other columns are kept by
 ``decontaminate`` and ``remove_spans`` and ignored by ``contamination``.
 """
@@ -158,7 +158,7 @@ def contamination(
     named = (
         hit.select("row", F.explode(F.array_distinct("hits.gram")).alias("gram"))
         .join(items, "gram")
-        .select("row", F.explode("items").alias("item"))
+        .select("row", F.explode_outer("items").alias("item"))
         .groupBy("row")
         .agg(F.array_sort(F.collect_set("item")).alias("items"))  # items of the benchmark
     )
