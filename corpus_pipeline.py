@@ -1,4 +1,4 @@
-"""A pipeline of five operators over ``documents``: filter, dedup, decontaminate, encode.
+"""A pipeline of five operators over ``documents``: classify, dedup twice, decontaminate, encode.
 
 ``STAGES`` lists (name, function of (spark, docs, sf_dir)); each result is
 written as Parquet and read again as the next function's ``docs``. All but
@@ -7,11 +7,16 @@ the last return the columns of ``documents``.
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusvitals.llm import bpe, decontaminate, exact_dedup, simhash
+from corpusvitals.llm import bpe, decontaminate, exact_dedup, quality, simhash
 from corpusvitals.llm.queries import tokenizer_path
 from corpusvitals.session import stage
 
 
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    machine = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.keep_good(docs, machine)
+
+
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(docs)
 
@@ -29,6 +34,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality", good_documents),
     ("exact_dedup", without_copies),
     ("near_dedup", without_near_copies),
     ("decontaminate", without_benchmarks),
