@@ -1,4 +1,4 @@
-"""Column functions over file text, and the match-to-line helper."""
+"""Column functions over file text, and the piece-to-line helper."""
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -78,43 +78,44 @@ def once(**columns: Column) -> Column:
     return F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()])))
 
 
-def once_if(test, **columns: Column) -> Column:
-    """``once``, but only for rows whose columns pass ``test``."""
-    row = F.struct(*[c.alias(name) for name, c in columns.items()])
-    return F.inline(F.filter(F.array(row), test))
+def pieces(specs: dict, content: Column) -> Column:
+    """Cut a text at its matches: ``array<struct<label, i, gap, hit>>``, the
+    gap before match i and the match itself (NULL after the last one).
 
-
-def match_pieces(df: DataFrame, specs: dict, content: Column, carry: list) -> DataFrame:
-    """Cut each text at its matches: one row per (label, i) with the gap
-    before match i and the match itself (NULL after the last one).
-
-    The text is read once for all patterns and dropped right after the
-    explode; callers reduce gaps to counts and flags before any shuffle.
+    One extraction and one split per pattern that matches; callers reduce
+    gaps to counts and flags in the same row, so no text travels.
     """
-    per_label = F.array(
-        *[
-            F.struct(
-                F.lit(label).alias("label"),
-                F.regexp_extract_all(content, F.lit(pattern), F.lit(0)).alias("hits"),
-                F.split(content, pattern, -1).alias("gaps"),
-            )
-            for label, pattern in specs.items()
-        ]
+    found = F.filter(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(label).alias("label"),
+                    F.regexp_extract_all(content, F.lit(pattern), F.lit(0)).alias("hits"),
+                    F.lit(pattern).alias("pattern"),
+                )
+                for label, pattern in specs.items()
+            ]
+        ),
+        lambda s: F.size(s["hits"]) > 0,
     )
-    return (
-        df.select(*carry, F.explode(per_label).alias("s"))
-        .where(F.size("s.hits") > 0)
-        .select(
-            *carry,
-            F.col("s.label").alias("label"),
-            F.posexplode(F.arrays_zip(F.col("s.gaps"), F.col("s.hits"))).alias("i", "z"),
+
+    def cut(s: Column) -> Column:
+        pairs = F.zip_with(
+            F.split(content, s["pattern"], -1), s["hits"],
+            lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit")),
         )
-        .select(*carry, "label", "i", F.col("z.gaps").alias("gap"), F.col("z.hits").alias("hit"))
-    )
+        return F.transform(
+            pairs,
+            lambda p, i: F.struct(
+                s["label"].alias("label"), i.alias("i"), p["gap"].alias("gap"), p["hit"].alias("hit")
+            ),
+        )
+
+    return F.flatten(F.transform(found, cut))
 
 
-def with_start_line(pieces: DataFrame, keys: list) -> DataFrame:
+def with_start_line(rows: DataFrame, keys: list) -> DataFrame:
     """Add ``line`` (1-based, of the match start) from ``gap_nl``/``hit_nl``."""
     running = Window.partitionBy(*keys, "label").orderBy("i")
     total = F.sum(F.col("gap_nl") + F.col("hit_nl")).over(running)
-    return pieces.withColumn("line", (total - F.col("hit_nl") + 1).cast("int"))
+    return rows.withColumn("line", (total - F.col("hit_nl") + 1).cast("int"))

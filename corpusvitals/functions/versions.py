@@ -14,16 +14,19 @@ def clean_npm_version(version: Column) -> Column:
 
 
 def version_triple(version: Column) -> Column:
-    """``struct<major, minor, patch>`` of decimals; NULL when unparsable.
+    """``struct<major, minor, patch>``; NULL when unparsable.
 
-    Structs compare field by field, so ``<`` orders versions.
+    A part is ``struct<n, digits>``: its digits without leading zeros and
+    their number. Structs compare field by field, so ``<`` orders versions
+    with numbers of any length.
     """
-    part = lambda g: F.regexp_extract(version, _TRIPLE, g).try_cast("decimal(38,0)")
+    def part(group):
+        digits = F.regexp_replace(F.regexp_extract(version, _TRIPLE, group), "^0+(?=.)", "")
+        return F.struct(F.length(digits).alias("n"), digits.alias("digits"))
+
     return F.when(
         version.rlike(_TRIPLE),
-        F.struct(
-            part(1).alias("major"), part(2).alias("minor"), part(3).alias("patch")
-        ),
+        F.struct(part(1).alias("major"), part(2).alias("minor"), part(3).alias("patch")),
     )
 
 

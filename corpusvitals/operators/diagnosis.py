@@ -24,10 +24,10 @@ def _issues(findings: DataFrame, category: str, fallback: str) -> DataFrame:
 def diagnosis(secrets: DataFrame, quality: DataFrame, packages: DataFrame) -> DataFrame:
     """Secrets, quality findings and the package rollup under one scheme."""
     count = F.col("vuln_count")
-    noun = F.when(count == 1, "vulnerability").otherwise("vulnerabilities")
+    noun = F.when(count == 1, "advisory").otherwise("advisories")
     declared = F.when(
         F.size("manifests") > 0,
-        F.concat(F.lit(" | Declared in: "), F.array_join("manifests", ", ")),
+        F.concat(F.lit(" for what is declared in "), F.array_join("manifests", ", ")),
     ).otherwise("")
     dependency = packages.select(
         "repo_id", "severity",
@@ -35,7 +35,7 @@ def diagnosis(secrets: DataFrame, quality: DataFrame, packages: DataFrame) -> Da
         F.lit("Vulnerable Dependency").alias("type"),
         "package", "version", "vuln_count", "manifests",
         F.concat(
-            F.concat_ws(" ", "package", "version", F.lit("has"), count.cast("string"), F.lit("known"), noun),
+            F.concat_ws(" ", "package", F.concat("version", F.lit(":")), count.cast("string"), noun),
             declared,
         ).alias("details"),
     )
@@ -50,6 +50,22 @@ def diagnosis_counts(issues: DataFrame) -> DataFrame:
     return issues.groupBy(*GROUP).agg(F.count("*").alias("n"))
 
 
+def counts_of(secrets: DataFrame, quality_counts: DataFrame, packages: DataFrame) -> DataFrame:
+    """``diagnosis_counts`` without the issues: quality comes as
+    ``findings.quality_counts``, which lists no pairs of duplicates."""
+    listed = diagnosis_counts(diagnosis(secrets, secrets.where(F.lit(False)), packages))
+    quality = quality_counts.select(
+        "repo_id", "severity", F.lit("Code Quality").alias("category"), "type", "n"
+    )
+    return listed.unionByName(quality.groupBy(*GROUP).agg(F.sum("n").alias("n")))
+
+
+def ranked_counts(counts: DataFrame) -> DataFrame:
+    """``rank`` of each group within its repository: by severity, then category and type."""
+    order = Window.partitionBy("repo_id").orderBy(severity_rank(F.col("severity")), "category", "type")
+    return counts.withColumn("rank", F.row_number().over(order))
+
+
 def diagnosis_top(issues: DataFrame, k: int = 5) -> DataFrame:
     """The first ``k`` entries of every group and how many are left out.
 

@@ -40,27 +40,30 @@ def normalized_lines(files: DataFrame) -> DataFrame:
     ).select("repo_id", "path", "pos", F.col("l.line_no"), F.col("l.text"))
 
 
+def line_facts(lines: Column) -> list:
+    """Hashes and numbers of normalized lines, and a signature of the content."""
+    return [
+        F.transform(lines, lambda x: F.xxhash64(x["text"])).alias("hashes"),
+        lines["line_no"].alias("numbers"),
+        F.md5(
+            F.concat(
+                F.array_join(lines["text"], "\n"),
+                F.lit("\n\n"),
+                F.array_join(lines["line_no"].cast("array<string>"), ","),
+            )
+        ).alias("cls"),
+        F.get(lines["line_no"], F.lit(0)).alias("first_line"),
+        F.size(lines).alias("n_lines"),
+    ]
+
+
 def comparable_files(files: DataFrame) -> DataFrame:
     """Per file: hashes and numbers of its lines, and a content signature."""
     lines = tx.normalized_lines(F.col("content"))
     return (
         files.where(paths.quality_category(F.col("path")) != "generated")
         .select("repo_id", "path", tx.once(l=lines))
-        .select(
-            "repo_id",
-            "path",
-            F.transform("l", lambda x: F.xxhash64(x["text"])).alias("hashes"),
-            F.col("l.line_no").alias("numbers"),
-            F.md5(
-                F.concat(
-                    F.array_join(F.col("l.text"), "\n"),
-                    F.lit("\n\n"),
-                    F.array_join(F.col("l.line_no").cast("array<string>"), ","),
-                )
-            ).alias("cls"),
-            F.get(F.col("l.line_no"), F.lit(0)).alias("first_line"),
-            F.size("l").alias("n_lines"),
-        )
+        .select("repo_id", "path", *line_facts(F.col("l")))
     )
 
 
@@ -70,6 +73,13 @@ def staged_files(files: DataFrame) -> DataFrame:
     return stage(comparable_files(files), "comparable").where(F.col("n_lines") >= WINDOW)
 
 
+def comparable_facts(facts: DataFrame) -> DataFrame:
+    """The same from a written table of facts."""
+    return facts.select("repo_id", "path", "hashes", "numbers", "cls", "first_line", "n_lines").where(
+        F.col("n_lines") >= WINDOW
+    )
+
+
 def sliding_blocks(files: DataFrame) -> DataFrame:
     """(repo_id, path, pos, line_no, hashes) for every eight-line window."""
     return (
@@ -119,9 +129,8 @@ def _events() -> Column:
 
 def _class_windows(comparable: DataFrame) -> DataFrame:
     """Windows of one member per class, with the lines around them."""
-    classes = comparable.groupBy("repo_id", "cls").agg(
-        F.first("hashes").alias("hashes"), F.first("numbers").alias("numbers")
-    )
+    one = comparable.groupBy("repo_id", "cls").agg(F.min("path").alias("path"))
+    classes = comparable.join(one, ["repo_id", "cls", "path"], "left_semi")
     return classes.select("repo_id", "cls", "hashes", "numbers", _positions()).select(
         "repo_id", "cls", "pos",
         F.get("numbers", F.col("pos")).alias("line_no"),
@@ -192,17 +201,20 @@ def _sides(live: DataFrame):
     other, so they only meet the rest: the left side asks for ``rest`` or for
     both parts, the right side offers the one part it is in. What is still
     compared in vain is at most as much as the events found, because no other
-    context is commoner. Salts split big buckets.
+    context is commoner. A big bucket is dealt over salts: usual rows keep one
+    place each, and the others, no more than those found, go to all.
     """
     usual = F.col("other").eqNullSafe(F.col("usual")) & F.col("other").isNotNull()
-    left = live.withColumns({
-        "part": F.explode(F.when(usual, F.array(F.lit("rest"))).otherwise(F.array(F.lit("rest"), F.lit("usual")))),
-        "salt": F.pmod(F.xxhash64("cls", "pos"), F.col("salts")).cast("int"),
-    })
-    right = live.withColumns({
-        "part": F.when(usual, "usual").otherwise("rest"),
-        "salt": F.explode(F.sequence(F.lit(0), F.col("salts") - 1)),
-    })
+    own = F.pmod(F.xxhash64("cls", "pos"), F.col("salts")).cast("int")
+    every = F.sequence(F.lit(0), F.col("salts") - 1)
+    pick = lambda part, salt: F.struct(F.lit(part).alias("part"), salt.alias("salt"))
+    # usual rows are dealt on either side, the others are what is repeated
+    to_all = lambda part: F.transform(every, lambda s: pick(part, s))
+    left = live.select(
+        "*",
+        F.inline(F.when(usual, F.array(pick("rest", own))).otherwise(F.concat(F.array(pick("rest", own)), to_all("usual")))),
+    )
+    right = live.select("*", F.inline(F.when(usual, F.array(pick("usual", own))).otherwise(to_all("rest"))))
     return left.alias("x"), right.alias("y")
 
 
@@ -285,11 +297,14 @@ def class_matches(comparable: DataFrame) -> DataFrame:
 
 
 def duplicate_pair_counts(files: DataFrame) -> DataFrame:
-    """Number of duplicate file pairs per repository, pairs never listed.
+    """Number of duplicate file pairs per repository."""
+    return pair_counts(staged_files(files))
 
-    Scores need only this count, so it comes from class sizes.
-    """
-    comparable = staged_files(files)
+
+def pair_counts(comparable: DataFrame) -> DataFrame:
+    """Pairs of files are not listed: copies count by the size of their class,
+    and two classes that share a block by the product of their sizes. Pairs of
+    classes with differing contents are what the search finds."""
     sizes = comparable.groupBy("repo_id", "cls").agg(F.count("*").alias("n"))
     copies = sizes.select("repo_id", (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("n"))
     sx = sizes.select("repo_id", F.col("cls").alias("x"), F.col("n").alias("nx"))
@@ -313,7 +328,10 @@ def duplicate_blocks(files: DataFrame) -> DataFrame:
     Listing pairs is the result asked for; expansion joins members to class
     pairs, with large classes dealt over salts on one side.
     """
-    comparable = staged_files(files)
+    return blocks(staged_files(files))
+
+
+def blocks(comparable: DataFrame) -> DataFrame:
     members = comparable.select("repo_id", "cls", "path", "first_line", "n_lines")
     sizes = members.groupBy("repo_id", "cls").agg(
         F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"),
@@ -356,10 +374,10 @@ def duplicate_blocks(files: DataFrame) -> DataFrame:
     return copies.unionByName(across)
 
 
-def duplicate_findings(files: DataFrame) -> DataFrame:
+def duplicate_findings(comparable: DataFrame) -> DataFrame:
     share = F.col("matching") / WINDOW
     why, advice = rules.EXPLANATIONS["Duplicate Code"]
-    return duplicate_blocks(files).select(
+    return blocks(comparable).select(
         "repo_id",
         F.lit("quality").alias("domain"),
         F.lit("Duplicate Code").alias("type"),
@@ -370,7 +388,7 @@ def duplicate_findings(files: DataFrame) -> DataFrame:
         "duplicate_lines",
         share.alias("similarity"),
         F.format_string(
-            "Repeated %d-line code block with %d%% similarity.",
+            rules.DETAILS["duplicate"],
             F.col("duplicate_lines"), F.rint(share * 100).cast("int"),
         ).alias("details"),
         F.lit(why).alias("why"),

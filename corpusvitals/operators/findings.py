@@ -1,12 +1,11 @@
 """Combining, deduplicating and ordering findings."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import rules
 from ..functions import paths
 from ..schemas import as_findings
-from ..session import stage
-from . import duplicates, markers, modules, profile, scripts
+from . import duplicates, facts as fct, markers, modules, profile, scores, scripts, secrets
 
 FINDING_KEY = ["repo_id", "type", "file", "line", "function", "details", "file_2", "line_2"]
 
@@ -20,6 +19,18 @@ def dedup_quality_findings(findings: DataFrame) -> DataFrame:
     return findings.dropDuplicates(FINDING_KEY)
 
 
+def ranked_findings(findings: DataFrame) -> DataFrame:
+    """``rank`` within each repository: HIGH to LOW, then file, line and type.
+
+    The last columns only make the order of equal rows repeatable.
+    """
+    severity = F.coalesce(paths.lookup(rules.FINDING_ORDER, F.col("severity")), F.lit(9))
+    order = Window.partitionBy("repo_id").orderBy(
+        severity, "file", F.coalesce("line", F.lit(0)), "type", "details", "function"
+    )
+    return findings.withColumn("rank", F.row_number().over(order))
+
+
 def order_findings(findings: DataFrame) -> DataFrame:
     """HIGH to LOW, then file, line and type; a global range sort. The last
     columns only make the order of equal rows repeatable."""
@@ -37,42 +48,56 @@ def union_findings(*parts: DataFrame) -> DataFrame:
     return whole
 
 
-def python_findings(files: DataFrame) -> list:
-    """All Python rules from one parse: the facts become a small table."""
-    facts = stage(modules.python_facts(files), "python_facts")
-    functions = modules.python_functions(facts)
+def python_findings(facts: DataFrame) -> list:
+    """All Python rules from the facts of one parse."""
+    parsed = fct.python_facts(facts)
+    functions = modules.python_functions(parsed)
     return [
-        modules.unused_python_imports(facts),
+        modules.unused_python_imports(parsed),
         modules.python_complexity(functions),
         modules.long_functions(functions),
     ]
 
 
-def script_findings(files: DataFrame) -> list:
+def script_findings(facts: DataFrame) -> list:
     return [
-        scripts.unused_js_imports(files),
-        scripts.js_complexity(scripts.js_functions(files)),
+        scripts.unused_import_findings(facts),
+        scripts.js_complexity(fct.script_functions(facts)),
     ]
 
 
-def local_quality_findings(files: DataFrame, thresholds: DataFrame | None = None) -> DataFrame:
+def local_quality_findings(facts: DataFrame, thresholds: DataFrame | None = None) -> DataFrame:
     """Everything that needs one file at a time (all but duplicate blocks)."""
     return union_findings(
-        profile.large_files(files, thresholds),
-        markers.work_markers(files),
-        *python_findings(files),
-        *script_findings(files),
+        profile.flag_large(facts.select("repo_id", "path", "lines"), thresholds),
+        markers.marker_findings(facts),
+        *python_findings(facts),
+        *script_findings(facts),
     )
 
 
-def quality_findings(files: DataFrame, thresholds: DataFrame | None = None) -> DataFrame:
-    """All quality findings, flagged and deduplicated."""
+def quality_findings(facts: DataFrame, thresholds: DataFrame | None = None) -> DataFrame:
+    """All quality findings, flagged and deduplicated, from written ``code_facts``."""
     every = union_findings(
-        local_quality_findings(files, thresholds), duplicates.duplicate_findings(files)
+        local_quality_findings(facts, thresholds),
+        duplicates.duplicate_findings(duplicates.comparable_facts(facts)),
     )
     return dedup_quality_findings(flag_test_files(every))
 
 
-def script_quality_findings(files: DataFrame) -> DataFrame:
+def quality_counts(facts: DataFrame, thresholds: DataFrame | None = None) -> DataFrame:
+    """(repo_id, type, severity, n) of ``quality_findings``, with pairs of duplicates counted, not listed."""
+    local = dedup_quality_findings(local_quality_findings(facts, thresholds))
+    return scores.finding_counts(local).unionByName(
+        scores.duplicate_counts(duplicates.pair_counts(duplicates.comparable_facts(facts)))
+    )
+
+
+def secret_findings(facts: DataFrame) -> DataFrame:
+    """Deduplicated secrets from written ``code_facts``."""
+    return secrets.dedup_secret_findings(secrets.judged_secrets(secrets.located_secrets(facts)))
+
+
+def script_quality_findings(facts: DataFrame) -> DataFrame:
     """The script-only subset."""
-    return dedup_quality_findings(union_findings(*script_findings(files)))
+    return dedup_quality_findings(union_findings(*script_findings(facts)))

@@ -1,38 +1,47 @@
 """Work markers left in the text."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import rules
 from ..functions import paths
+from ..functions.text import once
 
 MARKER = rf"(?iU)\b({'|'.join(rules.MARKERS)})\b"
 
 
-def work_markers(files: DataFrame) -> DataFrame:
-    """One row per marker occurrence.
-
-    A marker never spans lines, so lines are exploded and searched one by
-    one; texts without any marker are dropped before that.
-    """
-    lines = (
-        files.where(paths.quality_category(F.col("path")) != "generated")
-        .where(F.col("content").rlike(MARKER))
-        .select("repo_id", "path", F.posexplode(F.split("content", "\n", -1)).alias("i", "text"))
-        .where(F.col("text").rlike(MARKER))
+def marker_hits(content: Column) -> Column:
+    """``array<struct<line, marker>>``. A marker never spans lines, so they
+    are searched one by one, and only in texts that have any."""
+    per_line = F.transform(
+        F.split(content, "\n", -1),
+        lambda text, i: F.transform(
+            F.regexp_extract_all(text, F.lit(MARKER), F.lit(1)),
+            lambda m: F.struct((i + 1).alias("line"), F.upper(m).alias("marker")),
+        ),
     )
-    found = F.explode(F.regexp_extract_all("text", F.lit(MARKER), F.lit(1)))
+    return F.when(content.rlike(MARKER), F.flatten(per_line))
+
+
+def work_markers(files: DataFrame) -> DataFrame:
+    """One row per marker occurrence."""
+    looked = files.where(paths.quality_category(F.col("path")) != "generated")
+    return marker_findings(looked.select("repo_id", "path", once(markers=marker_hits(F.col("content")))))
+
+
+def marker_findings(facts: DataFrame) -> DataFrame:
+    """Findings from ``markers`` columns."""
     why, advice = rules.EXPLANATIONS["marker"]
-    marker = F.upper("marker")
-    return lines.select("repo_id", "path", "i", found.alias("marker")).select(
+    marker = F.col("marker")
+    return facts.select("repo_id", "path", F.inline("markers")).select(
         "repo_id",
         F.lit("quality").alias("domain"),
         F.concat(marker, F.lit(" Marker")).alias("type"),
         F.col("path").alias("file"),
-        (F.col("i") + 1).alias("line"),
+        "line",
         F.lit("LOW").alias("severity"),
         F.lit("LOW").alias("priority"),
         F.lit(100).alias("confidence"),
-        F.format_string("Found %s marker.", marker).alias("details"),
+        F.format_string(rules.DETAILS["marker"], marker).alias("details"),
         F.lit(why).alias("why"),
         F.lit(advice).alias("recommendation"),
     )

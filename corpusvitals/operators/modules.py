@@ -30,13 +30,19 @@ def _bound_names(node):
 
 
 def _module_facts(text: str):
-    """Functions, imports and referenced names; None when it does not parse."""
+    """Functions, imports, referenced names and whether the text parses.
+
+    The parser reports nesting beyond its stack as a lack of memory, so that
+    is a property of the text too and has a status of its own.
+    """
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             tree = ast.parse(text)
-    except (SyntaxError, ValueError, TypeError, RecursionError, MemoryError):
-        return None
+    except (SyntaxError, ValueError):
+        return {"parse_status": "invalid"}
+    except (RecursionError, MemoryError):
+        return {"parse_status": "too deep"}
     functions, imports, names = [], [], set()
     # (node, functions around it): a branch counts for all of them
     todo = [(tree, ())]
@@ -65,7 +71,10 @@ def _module_facts(text: str):
             for item in child if isinstance(child, list) else (child,):
                 if isinstance(item, ast.AST) and not isinstance(item, _IGNORED):
                     todo.append((item, around))
-    return {"functions": [tuple(f) for f in functions], "imports": imports, "names": list(names)}
+    return {
+        "functions": [tuple(f) for f in functions], "imports": imports, "names": list(names),
+        "parse_status": "parsed",
+    }
 
 
 IMPORT = T.StructType([
@@ -76,14 +85,15 @@ FACTS = T.StructType([
     T.StructField("functions", T.ArrayType(FUNCTION)),
     T.StructField("imports", T.ArrayType(IMPORT)),
     T.StructField("names", T.ArrayType(T.StringType())),
+    T.StructField("parse_status", T.StringType()),
 ])
 
 
 @F.pandas_udf(FACTS)
 def module_facts(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    columns = ["functions", "imports", "names"]
+    columns = ["functions", "imports", "names", "parse_status"]
     for batch in texts:
-        rows = [(_module_facts(t) if t else None) or dict.fromkeys(columns) for t in batch]
+        rows = [dict.fromkeys(columns) | (_module_facts(t) if t else {}) for t in batch]
         yield pd.DataFrame(rows, columns=columns)
 
 
@@ -119,7 +129,7 @@ def python_imports(facts: DataFrame) -> DataFrame:
 
 def python_complexity(functions: DataFrame) -> DataFrame:
     details = F.format_string(
-        "Cyclomatic complexity: %d (threshold: %d)",
+        rules.DETAILS["python_complexity"],
         "complexity", F.lit(rules.COMPLEXITY_THRESHOLD),
     )
     return complexity_findings(functions, "Python", 95, details)
@@ -143,7 +153,7 @@ def long_functions(functions: DataFrame) -> DataFrame:
         severity.alias("priority"),
         F.lit(100).alias("confidence"),
         F.format_string(
-            "Function length: %d lines (threshold: %d)", "lines", F.lit(limit)
+            rules.DETAILS["long_function"], "lines", F.lit(limit)
         ).alias("details"),
         F.lit(why).alias("why"),
         F.lit(advice).alias("recommendation"),
@@ -170,7 +180,7 @@ def unused_python_imports(facts: DataFrame) -> DataFrame:
             F.lit("LOW").alias("severity"),
             F.lit("LOW").alias("priority"),
             F.lit(95).alias("confidence"),
-            F.concat(F.lit("Unused import: "), F.col("i.identifier")).alias("details"),
+            F.format_string(rules.DETAILS["unused_import"], F.col("i.identifier")).alias("details"),
             F.lit(why).alias("why"),
             F.lit(advice).alias("recommendation"),
         )

@@ -1,20 +1,22 @@
 """Corpus profile: languages, sizes, line counts, oversized files."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import rules
 from ..functions import paths, text as tx
 
 
-def scan_source_files(listing: DataFrame) -> DataFrame:
+def scan_source_files(listing: DataFrame, max_bytes: int | None = rules.MAX_SOURCE_BYTES) -> DataFrame:
     """Files worth analysing: known suffix, no ignored folder, size bound.
 
-    Uses ``path`` and ``size_bytes`` only, so a columnar source is pruned to
+    ``max_bytes`` bounds source files only and may be None;
+    ``sources.files.skipped_files`` lists what it leaves out. Uses ``path`` and ``size_bytes`` only, so a columnar source is pruned to
     them and contents of dropped files are never read.
     """
     path = F.col("path")
+    fits = F.lit(True) if max_bytes is None else F.col("size_bytes") <= max_bytes
     return listing.where(
-        (F.col("size_bytes") <= rules.MAX_SOURCE_BYTES)
+        fits
         & paths.extension(path).isin(list(rules.LANGUAGE_BY_EXTENSION))
         & ~paths.base_name(path).isin(rules.IGNORED_FILES)
         & ~paths.in_ignored_directory(path)
@@ -49,10 +51,21 @@ def language_profile(files: DataFrame) -> DataFrame:
     )
 
 
+def ranked_languages(profile: DataFrame) -> DataFrame:
+    """``language_profile`` with ``rank``: by count, the largest first, then by name."""
+    order = Window.partitionBy("repo_id").orderBy(F.desc("n_files"), "language")
+    return profile.withColumn("rank", F.row_number().over(order))
+
+
 def corpus_size(files: DataFrame) -> DataFrame:
+    return size_of(files.select("repo_id", "path", tx.read_line_count(F.col("content")).alias("read_lines")))
+
+
+def size_of(facts: DataFrame) -> DataFrame:
+    """``corpus_size`` from ``read_lines`` columns; a file that could not be read counts without lines."""
     known = paths.language(F.col("path")).isNotNull()
-    lines = F.when(known, tx.read_line_count(F.col("content"))).otherwise(0)
-    return files.groupBy("repo_id").agg(
+    lines = F.coalesce(F.when(known, F.col("read_lines")), F.lit(0))
+    return facts.groupBy("repo_id").agg(
         F.count("*").alias("n_files"), F.sum(lines.cast("long")).alias("n_lines")
     )
 
@@ -111,7 +124,7 @@ def flag_large(measured: DataFrame, thresholds: DataFrame | None = None) -> Data
         limit.cast("int").alias("threshold"),
         over.alias("over_percentage"),
         F.format_string(
-            "Type: %s | Lines: %d | Threshold: %d | Over threshold: %.1f%%",
+            rules.DETAILS["large_file"],
             kind, lines, limit, over,
         ).alias("details"),
         F.lit(why).alias("why"),

@@ -144,7 +144,10 @@ def overall_score(security: DataFrame, quality: DataFrame, documentation: DataFr
         + F.col("quality") * w["quality"]
         + F.col("documentation") * w["documentation"]
     )
+    # a repository without any file has no readme either
+    documented = documentation.select("repo_id", F.col("documentation").alias("found"))
     return (
-        security.join(quality, "repo_id").join(documentation, "repo_id")
+        security.join(quality, "repo_id").join(documented, "repo_id", "left")
+        .withColumn("documentation", F.coalesce("found", F.lit(30))).drop("found")
         .withColumn("overall", F.rint(blended).cast("int"))
     )

@@ -1,6 +1,7 @@
 """JavaScript and TypeScript: imports, identifiers, branches, functions."""
 
 import bisect
+import itertools
 import re
 from typing import Iterator
 
@@ -11,7 +12,8 @@ from .. import rules
 from ..functions import paths, text as tx
 
 IMPORT = (
-    r"(?mdU)^\s*import\s+"
+    # only from the first of several empty lines, which are then read once
+    r"(?mdU)(?<!\n[ \t\r]{0,100}\n)^\s*+import\s+"
     r"(?:([A-Za-z_$][\w$]*)(?:\s*,\s*)?)?"
     r"(?:\{([^}]+)\})?"
     r"(?:\s+from\s+)?"
@@ -55,25 +57,32 @@ def _imported_names(statement: Column) -> Column:
     return F.concat(F.when(default != "", F.array(default)).otherwise(F.array().cast("array<string>")), valid)
 
 
-def _located_imports(scripts: DataFrame, carry: list) -> DataFrame:
-    keys = ["repo_id", "path"]
-    pieces = tx.match_pieces(scripts, {"import": IMPORT}, F.col("content"), keys + carry)
-    counted = pieces.select(
-        *keys, *carry, "label", "i", "hit",
-        tx.newlines(F.col("gap")).alias("gap_nl"),
-        tx.newlines(F.coalesce("hit", F.lit(""))).alias("hit_nl"),
-    )
-    return (
-        tx.with_start_line(counted, keys)
-        .where("hit IS NOT NULL")
-        .select(*keys, *carry, "line", F.explode(_imported_names(F.col("hit"))).alias("identifier"))
+def import_pieces(content: Column) -> Column:
+    """Gaps and import statements as small structs, for line numbering."""
+    return F.transform(
+        tx.pieces({"import": IMPORT}, content),
+        lambda p: F.struct(
+            p["label"].alias("label"),
+            p["i"].alias("i"),
+            tx.newlines(p["gap"]).alias("gap_nl"),
+            tx.newlines(F.coalesce(p["hit"], F.lit(""))).alias("hit_nl"),
+            F.when(p["hit"].isNotNull(), _imported_names(p["hit"])).alias("names"),
+        ),
     )
 
 
+def _located_imports(rows: DataFrame, carry: list) -> DataFrame:
+    """Identifiers with lines from ``statements`` columns."""
+    keys = ["repo_id", "path"]
+    placed = rows.select(*keys, *carry, F.inline("statements"))
+    return tx.with_start_line(placed, keys).select(*keys, *carry, "line", F.explode("names").alias("identifier"))
+
+
 def js_imports(files: DataFrame) -> DataFrame:
     """(repo_id, path, identifier, line)"""
     scripts = script_files(files).where(F.col("content").rlike(IMPORT))
-    return _located_imports(scripts, []).select("repo_id", "path", "identifier", "line")
+    rows = scripts.select("repo_id", "path", tx.once(statements=import_pieces(F.col("content"))))
+    return _located_imports(rows, []).select("repo_id", "path", "identifier", "line")
 
 
 def js_identifier_counts(files: DataFrame) -> DataFrame:
@@ -89,15 +98,13 @@ def js_identifier_counts(files: DataFrame) -> DataFrame:
     )
 
 
-def unused_js_imports(files: DataFrame) -> DataFrame:
-    """Imported names the rest of the module never mentions.
+def unused_names(content: Column) -> Column:
+    """Imported names the rest of the module never mentions; NULL without imports.
 
-    Decided inside the row that holds the text, so names are not shuffled;
-    only files that do have an unused import go on to line numbering. Import
-    statements are taken out before strings are, otherwise their quoted
-    module would hide them and every import would count as its own use.
+    Decided inside the row that holds the text, so names are not shuffled.
+    Import statements are taken out before strings are, otherwise their
+    quoted module would hide them and every import would count as its own use.
     """
-    content = F.col("content")
     body = strip_comments_and_strings(F.regexp_replace(content, IMPORT, " "))
     used = F.regexp_extract_all(body, F.lit(IDENTIFIER), F.lit(0))
     statements = F.regexp_extract_all(content, F.lit(IMPORT), F.lit(0))
@@ -105,16 +112,25 @@ def unused_js_imports(files: DataFrame) -> DataFrame:
     unused = F.array_except(bound, used)
     # markup uses React without naming it
     unused = F.when(content.rlike(MARKUP), F.array_remove(unused, "React")).otherwise(unused)
-    suspects = (
-        script_files(files).where(content.rlike(IMPORT))
-        .select(
-            "repo_id", "path",
-            tx.once_if(lambda row: F.size(row["unused"]) > 0, content=content, unused=unused),
-        )
-    )
+    return F.when(content.rlike(IMPORT), unused)
+
+
+def with_import_facts(rows: DataFrame, content: Column) -> DataFrame:
+    """Add ``unused`` and, only where there are any, ``statements``; ``content`` is NULL for other languages."""
+    rows = rows.select("*", tx.once(unused=unused_names(content)))
+    return rows.withColumn("statements", F.when(F.size("unused") > 0, import_pieces(content)))
+
+
+def unused_js_imports(files: DataFrame) -> DataFrame:
+    rows = with_import_facts(script_files(files).select("repo_id", "path", "content"), F.col("content"))
+    return unused_import_findings(rows.select("repo_id", "path", tx.once(unused=F.col("unused"), statements=F.col("statements"))))
+
+
+def unused_import_findings(facts: DataFrame) -> DataFrame:
+    """Findings from ``unused`` and ``statements`` columns."""
     why, advice = rules.EXPLANATIONS["Unused JavaScript Import"]
     return (
-        _located_imports(suspects, ["unused"])
+        _located_imports(facts, ["unused"])
         .where(F.array_contains("unused", F.col("identifier")))
         .select(
             "repo_id",
@@ -125,7 +141,7 @@ def unused_js_imports(files: DataFrame) -> DataFrame:
             F.lit("LOW").alias("severity"),
             F.lit("LOW").alias("priority"),
             F.lit(90).alias("confidence"),
-            F.concat(F.lit("Unused import: "), "identifier").alias("details"),
+            F.format_string(rules.DETAILS["unused_import"], "identifier").alias("details"),
             F.lit(why).alias("why"),
             F.lit(advice).alias("recommendation"),
         )
@@ -147,83 +163,243 @@ def js_branch_counts(files: DataFrame) -> DataFrame:
 
 
 # --- function facts: brace matching needs a stack, so it runs per file -------
-
-_NAME = r"([A-Za-z_$][\w$]*)"
-_ARGS = r"\s*\([^)]*\)\s*\{"
-_KEYWORDS = "|".join(rules.JS_NOT_METHODS)
-_FUNCTION_SHAPES = [
-    re.compile(rf"\bfunction\s+{_NAME}{_ARGS}"),
-    re.compile(rf"\basync\s+function\s+{_NAME}{_ARGS}"),
-    re.compile(
-        rf"\b(?:const|let|var)\s+{_NAME}\s*=\s*(?:async\s*)?"
-        r"(?:\([^)]*\)|[A-Za-z_$][\w$]*)\s*=>\s*\{"
-    ),
-    re.compile(rf"^\s*(?:async\s+)?(?!(?:{_KEYWORDS})\b){_NAME}{_ARGS}", re.M),
-]
-_CALLBACK = re.compile(r"(?:\(\s*[^()]*\s*\)|[A-Za-z_$][\w$]*)\s*=>\s*\{")
+#
+# A head is read backwards from the brace that it ends with, so every character
+# is looked at a fixed number of times, whatever the text.
+
+_SIGNS = re.compile(r"[(){}]")
+_QUOTED = {q: re.compile(rf"{q}[^{q}\\]*+(?:\\.[^{q}\\]*+)*+{q}", re.S) for q in "\"'`"}
+_NOISE_START = re.compile(r"//|/\*|[\"'`]")
+_NAME_START = re.compile(r"[A-Za-z_$]")
+_NOT_METHOD = re.compile(rf"(?:{'|'.join(rules.JS_NOT_METHODS)})\b")
 _BRANCH = [re.compile(p) for p in rules.JS_BRANCHES.values()]
-_NOISE = re.compile(
-    r"""//.*?$|/\*.*?\*/|"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|`(?:\\.|[^`\\])*`""", re.M | re.S
-)
 
 
-def _brace_ends(text: str) -> dict:
-    """Position of every matched ``{`` -> position after its ``}``."""
-    ends, open_at = {}, []
-    for brace in re.finditer(r"[{}]", text):
-        if brace.group() == "{":
-            open_at.append(brace.start())
-        elif open_at:
-            ends[open_at.pop()] = brace.end()
-    return ends
-
-
-def _named_functions(text: str, ends: dict) -> list:
-    """(name, line, start, brace, end); the first shape to claim a (name,
-    line) wins. The line is that of the name, the body starts at the brace
-    closing the signature."""
-    breaks = [m.start() for m in re.finditer("\n", text)]
-    found, claimed = [], set()
-    for shape in _FUNCTION_SHAPES:
-        for hit in shape.finditer(text):
-            line = bisect.bisect_left(breaks, hit.start(1)) + 1
-            if (hit.group(1), line) in claimed:
+def _noise(text: str) -> list:
+    """Spans of comments and strings. What is never closed is no noise, and is looked for once only."""
+    spans, at, unclosed = [], 0, set()
+    while opened := _NOISE_START.search(text, at):
+        start, sign = opened.span()[0], opened.group()
+        at = start + 1
+        if sign == "//":
+            end = text.find("\n", start)
+            at = len(text) if end < 0 else end
+        elif sign in unclosed:
+            continue
+        elif sign == "/*":
+            end = text.find("*/", start + 2)
+            at = end + 2 if end >= 0 else at
+        else:
+            quoted = _QUOTED[sign].match(text, start)
+            end = at = quoted.end() if quoted else at
+            end = end if quoted else -1
+        if sign != "//" and end < 0:
+            unclosed.add(sign)
+        else:
+            spans.append((start, at))
+    return spans
+
+
+def _blanked(text: str, spans: list) -> str:
+    parts, at = [], 0
+    for start, end in spans:
+        parts += text[at:start], " " * (end - start)
+        at = end
+    return "".join(parts) + text[at:]
+
+
+class _Scan:
+    """Brackets of a text and the function heads that end at its braces."""
+
+    def __init__(self, text: str):
+        self.text, self.ends = text, {}
+        self._closing = {}  # ")" -> the "(" after the ")" before it
+        open_at, parens = [], []
+        for sign in _SIGNS.finditer(text):
+            char, at = sign.group(), sign.start()
+            if char == "{":
+                open_at.append(at)
+            elif char == "}":
+                if open_at:
+                    self.ends[open_at.pop()] = at + 1
+            elif char == "(":
+                parens.append(at)
+            else:
+                self._closing[at] = parens
+                parens = []
+        self.braces = sorted(self.ends)
+
+    def _before(self, at: int) -> int:
+        """Where the white space that ends at ``at`` begins."""
+        text = self.text
+        while at and text[at - 1].isspace():
+            at -= 1
+        return at
+
+    def _word(self, at: int) -> int:
+        """Where the word that ends at ``at`` begins."""
+        text = self.text
+        while at and (text[at - 1] == "$" or text[at - 1] == "_" or text[at - 1].isalnum()):
+            at -= 1
+        return at
+
+    def _bare(self, at: int, words: tuple) -> int | None:
+        """Where one of ``words`` begins that ends at ``at``, with a word border before it."""
+        for word in words:
+            start = at - len(word)
+            if start >= 0 and self.text.startswith(word, start):
+                before = self.text[start - 1] if start else " "
+                if not (before == "_" or before.isalnum()):
+                    return start
+        return None
+
+    def _name(self, at: int) -> tuple | None:
+        start = self._word(at)
+        return (start, at) if start < at and _NAME_START.match(self.text, start) else None
+
+    def _declared(self, paren: int) -> tuple | None:
+        """``function name`` before a parenthesis: (start, name span)."""
+        name = self._name(self._before(paren))
+        if name:
+            gap = self._before(name[0])
+            start = self._bare(gap, ("function",)) if gap < name[0] else None
+            if start is not None:
+                return start, name
+        return None
+
+    def _line_start(self, at: int) -> int | None:
+        """First line start in the white space that ends at ``at``."""
+        gap = self._before(at)
+        if not gap:
+            return 0
+        found = self.text.find("\n", gap, at)
+        return None if found < 0 else found + 1
+
+    def _method(self, paren: int) -> tuple | None:
+        name = self._name(self._before(paren))
+        if not name or _NOT_METHOD.match(self.text, name[0]):
+            return None
+        gap = self._before(name[0])
+        if gap < name[0] and self._word(gap) == gap - 5 and self.text.startswith("async", gap - 5):
+            start = self._line_start(gap - 5)
+            if start is not None:
+                return start, name
+        start = self._line_start(name[0])
+        return None if start is None else (start, name)
+
+    def _assigned(self, at: int) -> tuple | None:
+        """``const name =`` and perhaps ``async`` before parameters at ``at``."""
+        text = self.text
+        at = self._before(at)
+        if text.endswith("async", 0, at):
+            rest = self._before(at - 5)
+            at = rest if rest and text[rest - 1] == "=" else at
+        if not at or text[at - 1] != "=":
+            return None
+        name = self._name(self._before(at - 1))
+        if name:
+            gap = self._before(name[0])
+            start = self._bare(gap, ("const", "let", "var")) if gap < name[0] else None
+            if start is not None:
+                return start, name
+        return None
+
+    def _arrow(self, brace: int) -> int | None:
+        """Where the parameters of ``=> {`` end."""
+        at = self._before(brace)
+        return self._before(at - 2) if self.text.endswith("=>", 0, at) else None
+
+    def callbacks(self) -> list:
+        """Braces of all arrow functions."""
+        found = []
+        for brace in self.braces:
+            at = self._arrow(brace)
+            if not at:
                 continue
-            claimed.add((hit.group(1), line))
-            brace = hit.end() - 1
-            if brace in ends:
-                found.append((hit.group(1), line, hit.start(), brace, ends[brace]))
-    return found
-
-
-def _own_complexity(body: str) -> int:
-    """1 + branches of a function outside functions nested in it."""
-    clean = _NOISE.sub(" ", body)
-    ends = _brace_ends(clean)
-    inner = {f[3]: f[4] for f in _named_functions(clean, ends)}
-    for hit in _CALLBACK.finditer(clean):
-        if hit.end() - 1 in ends:
-            inner[hit.end() - 1] = ends[hit.end() - 1]
-    spans = sorted(inner.items())[1:]  # the first one is the function itself
-    starts, stops = [], []
-    for start, stop in spans:
-        if not stops or start >= stops[-1]:
-            starts.append(start)
-            stops.append(stop)
-    total = 1
-    for branch in _BRANCH:
-        for hit in branch.finditer(clean):
-            at = bisect.bisect_right(starts, hit.start()) - 1
-            total += at < 0 or hit.start() >= stops[at]
-    return total
+            if self.text[at - 1] == ")":
+                if self._closing.get(at - 1):
+                    found.append(brace)
+            elif _NAME_START.search(self.text, self._word(at), at):
+                found.append(brace)
+        return found
+
+    def heads(self) -> list:
+        """(name, line, start, brace): declared, then assigned, then methods;
+        the first to claim a (name, line) wins. The line is that of the name."""
+        shapes = [], [], []
+        opened = [m.start() for m in re.finditer(r"\{", self.text)]
+        for brace in opened:
+            at = self._before(brace)
+            if at and self.text[at - 1] == ")":
+                for kind, read in ((0, self._declared), (2, self._method)):
+                    hits = map(read, self._closing.get(at - 1, ()))
+                    if hit := next(filter(None, hits), None):
+                        shapes[kind].append((*hit, brace))
+            elif at := self._arrow(brace):
+                if self.text[at - 1] == ")":
+                    hits = map(self._assigned, self._closing.get(at - 1, ()))
+                else:
+                    word = self._name(at)
+                    hits = [self._assigned(word[0])] if word else []
+                if hit := next(filter(None, hits), None):
+                    shapes[1].append((*hit, brace))
+        breaks = [m.start() for m in re.finditer("\n", self.text)]
+        found, claimed = [], set()
+        for start, name, brace in itertools.chain(*shapes):
+            key = self.text[name[0] : name[1]], bisect.bisect_left(breaks, name[0]) + 1
+            if key not in claimed:
+                claimed.add(key)
+                if brace in self.ends:
+                    found.append((*key, start, brace))
+        return found
+
+
+def _own_branches(text: str) -> tuple:
+    """Branches by the brace of the innermost function around them, and all their places."""
+    scan = _Scan(text)
+    inner = sorted({*(h[3] for h in scan.heads()), *scan.callbacks()})
+    places = sorted(m.start() for branch in _BRANCH for m in branch.finditer(text))
+    own, around, i = dict.fromkeys(inner, 0), [], 0
+    for place in places:
+        while i < len(inner) and inner[i] <= place:
+            while around and scan.ends[around[-1]] <= inner[i]:
+                around.pop()
+            around.append(inner[i])
+            i += 1
+        while around and scan.ends[around[-1]] <= place:
+            around.pop()
+        if around:
+            own[around[-1]] += 1
+    return own, places
 
 
 def _function_facts(text: str) -> list:
-    ends = _brace_ends(text)
-    return [
-        (name, line, line + text.count("\n", start, end), _own_complexity(text[start:end]))
-        for name, line, start, _, end in _named_functions(text, ends)
-    ]
+    """(name, line, end line, complexity) of each function.
+
+    Complexity is 1 and the branches in the function outside functions nested
+    in it, comments and strings aside. A function that starts or ends inside
+    a comment or string is counted within its own text, as if it stood alone.
+    """
+    scan = _Scan(text)
+    heads = scan.heads()
+    noise = _noise(text)
+    noise_starts = [s for s, _ in noise]
+    own, places = _own_branches(_blanked(text, noise)) if heads else ({}, [])
+    breaks = [m.start() for m in re.finditer("\n", text)]
+    facts, island = [], (-1, -1, {}, [])
+    for at, (name, line, start, brace) in sorted(enumerate(heads), key=lambda h: h[1][2]):
+        end = scan.ends[brace]
+        lines = bisect.bisect_left(breaks, end) - bisect.bisect_left(breaks, start)
+        shift, counts, branches = 0, own, places
+        spans = (bisect.bisect_right(noise_starts, p) - 1 for p in (start, end - 1))
+        if any(i >= 0 and p < noise[i][1] for i, p in zip(spans, (start, end - 1))):
+            if not (island[0] <= start and end <= island[1]):
+                body = text[start:end]
+                island = (start, end, *_own_branches(_blanked(body, _noise(body))))
+            shift, counts, branches = island[0], island[2], island[3]
+        in_head = bisect.bisect_left(branches, brace - shift) - bisect.bisect_left(branches, start - shift)
+        facts.append((at, (name, line, line + lines, 1 + in_head + counts.get(brace - shift, 0))))
+    return [fact for _, fact in sorted(facts)]
 
 
 FUNCTION = T.StructType([
@@ -273,7 +449,7 @@ def complexity_findings(functions: DataFrame, language: str, confidence: int, de
 
 def js_complexity(functions: DataFrame) -> DataFrame:
     details = F.format_string(
-        "Function '%s' estimated complexity: %d (threshold: %d)",
+        rules.DETAILS["script_complexity"],
         "name", "complexity", F.lit(rules.COMPLEXITY_THRESHOLD),
     )
     return complexity_findings(functions, "JavaScript", 80, details)

@@ -1,7 +1,7 @@
 """Hard-coded secret scan.
 
-One pass over the text finds the assignments; from there on only small match
-rows travel. Line numbers and the interactive-input rule come from running
+The texts with assignments are cut at them, once per pattern that matches;
+from there on only small rows travel. Line numbers and the interactive-input rule come from running
 aggregates per (file, type), so a file with very many matches stays linear.
 """
 
@@ -67,8 +67,39 @@ def _asks_user(fragment: Column) -> Column:
     return found
 
 
+def secret_pieces(content: Column) -> Column:
+    """What the rules need of a text's assignments and of the gaps between
+    them, as an array of small structs; NULL without any assignment."""
+    head = lambda c: F.lower(F.substring_index(c, "\n", 1))
+    tail = lambda c: F.lower(F.substring_index(c, "\n", -1))
+    hit_of = lambda p: F.coalesce(p["hit"], F.lit(""))
+    facts = F.transform(
+        tx.pieces(PATTERNS, content),
+        lambda p: F.struct(
+            p["label"].alias("label"),
+            p["i"].alias("i"),
+            F.regexp_extract(p["hit"], r"""(?s)^[^"']*["'](.*)["']\z""", 1).alias("value"),
+            p["hit"].isNotNull().alias("is_hit"),
+            tx.newlines(p["gap"]).alias("gap_nl"),
+            tx.newlines(hit_of(p)).alias("hit_nl"),
+            _asks_user(F.lower(hit_of(p))).alias("hit_asks"),
+            _asks_user(tail(p["gap"])).alias("gap_tail"),
+            _asks_user(head(p["gap"])).alias("gap_head"),
+            _asks_user(tail(hit_of(p))).alias("hit_tail"),
+            _asks_user(head(hit_of(p))).alias("hit_head"),
+        ),
+    )
+    return F.when(content.rlike(ANY_SECRET), facts)
+
+
 def secret_matches(files: DataFrame) -> DataFrame:
-    """Every raw assignment with ``line``, ``value`` and ``suppressed``.
+    """Every raw assignment with ``line``, ``value`` and ``suppressed``."""
+    looked = files.where(paths.security_category(F.col("path")) != "generated")
+    return located_secrets(looked.select("repo_id", "path", tx.once(secrets=secret_pieces(F.col("content")))))
+
+
+def located_secrets(facts: DataFrame) -> DataFrame:
+    """``secret_matches`` from ``secrets`` columns.
 
     A match is suppressed when the lines it touches also call for user input.
     The calls never straddle the border of a gap and a match, so it is enough
@@ -77,32 +108,19 @@ def secret_matches(files: DataFrame) -> DataFrame:
     matches.
     """
     keys = ["repo_id", "path"]
-    sources = (
-        files.withColumn("file_category", paths.security_category(F.col("path")))
-        .where(F.col("file_category") != "generated")
-        .where(F.col("content").rlike(ANY_SECRET))
-    )
-    pieces = tx.match_pieces(sources, PATTERNS, F.col("content"), keys + ["file_category"])
-
-    gap, hit = F.lower("gap"), F.lower(F.coalesce("hit", F.lit("")))
-    head = lambda c: F.substring_index(c, "\n", 1)
-    tail = lambda c: F.substring_index(c, "\n", -1)
     at_gap, at_hit = F.col("i") * 2, F.col("i") * 2 + 1
-    facts = pieces.select(
-        *keys, "file_category", "label", "i",
-        F.regexp_extract("hit", r"""(?s)^[^"']*["'](.*)["']\z""", 1).alias("value"),
-        F.col("hit").isNotNull().alias("is_hit"),
-        tx.newlines(F.col("gap")).alias("gap_nl"),
-        tx.newlines(F.coalesce("hit", F.lit(""))).alias("hit_nl"),
-        _asks_user(hit).alias("hit_asks"),
-        F.when(_asks_user(tail(gap)), at_gap).alias("gap_tail"),
-        F.when(_asks_user(head(gap)), at_gap).alias("gap_head"),
-        F.when(_asks_user(tail(hit)), at_hit).alias("hit_tail"),
-        F.when(_asks_user(head(hit)), at_hit).alias("hit_head"),
-    ).withColumns({
-        "gap_break": F.when(F.col("gap_nl") > 0, at_gap),
-        "hit_break": F.when(F.col("hit_nl") > 0, at_hit),
-    })
+    facts = (
+        facts.select(*keys, F.inline("secrets"))
+        .withColumn("file_category", paths.security_category(F.col("path")))
+        .withColumns({
+            "gap_tail": F.when(F.col("gap_tail"), at_gap),
+            "gap_head": F.when(F.col("gap_head"), at_gap),
+            "hit_tail": F.when(F.col("hit_tail"), at_hit),
+            "hit_head": F.when(F.col("hit_head"), at_hit),
+            "gap_break": F.when(F.col("gap_nl") > 0, at_gap),
+            "hit_break": F.when(F.col("hit_nl") > 0, at_hit),
+        })
+    )
 
     forward = Window.partitionBy(*keys, "label").orderBy("i")
     here = forward.rowsBetween(Window.unboundedPreceding, 0)
@@ -143,8 +161,12 @@ def secret_matches(files: DataFrame) -> DataFrame:
 
 def secret_findings(files: DataFrame) -> DataFrame:
     """Reported secrets, before deduplication."""
+    return judged_secrets(secret_matches(files))
+
+
+def judged_secrets(matches: DataFrame) -> DataFrame:
     kept = (
-        secret_matches(files)
+        matches
         .where(~F.col("suppressed") & ~is_placeholder(F.col("value")))
         .withColumn("confidence", confidence(F.col("type"), F.col("value")))
         .where((F.col("file_category") != "test") | (F.col("confidence") >= 50))
@@ -158,7 +180,7 @@ def secret_findings(files: DataFrame) -> DataFrame:
         "domain": F.lit("security"),
         "priority": F.col("severity"),
         "details": F.format_string(
-            "Possible %s detected (confidence: %d%%).", F.lower("type"), "confidence"
+            rules.DETAILS["secret"], F.lower("type"), "confidence"
         ),
         "why": paths.lookup(why, topic),
         "recommendation": paths.lookup(advice, topic),

@@ -5,8 +5,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import (
-    advisories as adv, commits as git, diagnosis as diag, duplicates, findings as fnd,
-    freshness, manifests as man, profile, scores, secrets,
+    advisories as adv, commits as git, diagnosis as diag, facts as fct, findings as fnd,
+    freshness, manifests as man, profile, scores,
 )
 from ..session import stage
 from ..sources import config
@@ -15,7 +15,12 @@ from ..sources import config
 @dataclass
 class Inputs:
     """Tables of one run. ``listing`` holds every file of every tree; the
-    others may be left out."""
+    others may be left out. ``repos`` names repositories that must have rows
+    even if they hold no file; without it they are those of the listing.
+
+    Listing and files are read several times: a lazy walk of trees should be
+    written first (``session.stage``).
+    """
 
     listing: DataFrame
     files: DataFrame
@@ -25,6 +30,7 @@ class Inputs:
     registry: DataFrame | None = None
     commits: DataFrame | None = None
     branches: DataFrame | None = None
+    repos: DataFrame | None = None
 
 
 def score_table(
@@ -40,13 +46,15 @@ def score_table(
 def build_report(inputs: Inputs) -> dict[str, DataFrame]:
     """Section name -> table.
 
-    Findings feed several sections, so they are written once and read back;
-    texts are not touched again after that.
+    The texts are read once, for the table of facts; facts and findings feed
+    several sections, so they are written and read back.
     """
-    repos = inputs.listing.select("repo_id").distinct()
+    named = inputs.listing if inputs.repos is None else inputs.repos
+    repos = named.select("repo_id").distinct()
+    facts = stage(fct.code_facts(inputs.files), "facts")
     sections: dict[str, DataFrame] = {
-        "languages": profile.language_profile(inputs.files),
-        "corpus_size": profile.corpus_size(inputs.files),
+        "languages": profile.ranked_languages(profile.language_profile(facts)),
+        "corpus_size": profile.size_of(facts),
     }
 
     thresholds = None
@@ -54,8 +62,8 @@ def build_report(inputs: Inputs) -> dict[str, DataFrame]:
         sections["thresholds"] = config.resolve_thresholds(repos, inputs.configs)
         thresholds = config.configured_thresholds(inputs.configs)
 
-    secret = stage(fnd.union_findings(secrets.scan_secrets(inputs.files)), "secrets")
-    quality = stage(fnd.quality_findings(inputs.files, thresholds), "quality")
+    secret = stage(fnd.union_findings(fnd.secret_findings(facts)), "secrets")
+    quality = stage(fnd.quality_findings(facts, thresholds), "quality")
     security = secret
     packages = None
     if inputs.manifests is not None:
@@ -105,14 +113,14 @@ def _no_packages(repos: DataFrame) -> DataFrame:
 
 
 def quick_scores(
-    listing: DataFrame, files: DataFrame, security: DataFrame, thresholds: DataFrame | None = None
+    listing: DataFrame, facts: DataFrame, security: DataFrame,
+    thresholds: DataFrame | None = None, repos: DataFrame | None = None,
 ) -> DataFrame:
-    """Scores without listing duplicate pairs: those are only counted."""
-    local = fnd.dedup_quality_findings(fnd.local_quality_findings(files, thresholds))
-    counts = scores.finding_counts(local).unionByName(
-        scores.duplicate_counts(duplicates.duplicate_pair_counts(files))
+    """Scores from written facts, without listing duplicate pairs: those are only counted."""
+    named = listing if repos is None else repos
+    return score_table(
+        named.select("repo_id").distinct(), listing, security, fnd.quality_counts(facts, thresholds)
     )
-    return score_table(listing.select("repo_id").distinct(), listing, security, counts)
 
 
 def write_report(sections: dict[str, DataFrame], out_dir: str, format: str = "parquet") -> None:

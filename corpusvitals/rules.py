@@ -213,6 +213,18 @@ EXPLANATIONS = {
     ),
 }
 
+# finding type -> text of its details
+DETAILS = {
+    "secret": "Looks like a hard-coded %s, certainty %d of 100.",
+    "marker": "Unfinished work: %s.",
+    "python_complexity": "Complexity %d is above the limit of %d.",
+    "script_complexity": "Complexity of %s is about %d, above the limit of %d.",
+    "long_function": "%d lines long, the limit is %d.",
+    "unused_import": "%s is imported but never used.",
+    "large_file": "%s with %d lines, the limit is %d (%.1f%% more).",
+    "duplicate": "%d lines are repeated, %d%% of them equal.",
+}
+
 ACTIONS = {
     "critical": "Resolve critical vulnerabilities first.",
     "dependency": "Upgrade vulnerable dependencies after reading their advisories.",

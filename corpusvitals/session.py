@@ -13,6 +13,7 @@ _RECOMMENDED = {
     "spark.sql.session.timeZone": "UTC",
     # file texts travel to Python workers: keep batches small
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "32m",
 }
 
 

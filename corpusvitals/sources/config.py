@@ -16,8 +16,9 @@ def configured_thresholds(configs: DataFrame) -> DataFrame:
     for key in rules.THRESHOLD_DEFAULTS:
         path = f"$.thresholds.{key}"
         value = F.try_variant_get(doc, path, "variant")
-        whole = F.schema_of_variant(value).isin("BIGINT")
-        limit = F.when(whole, F.try_variant_get(doc, path, "bigint"))
+        # whole numbers beyond 64 bits read as decimals; no file has more lines than the largest long
+        whole = F.schema_of_variant(value).rlike(r"^(BIGINT|DECIMAL\(\d+,0\))$")
+        limit = F.when(whole, F.least(F.try_variant_get(doc, path, "decimal(38,0)"), F.lit(2**63 - 1)).cast("long"))
         entries.append(F.struct(F.lit(key).alias("language_key"), limit.alias("max_lines")))
     return (
         configs.select("repo_id", F.inline(F.array(*entries)))

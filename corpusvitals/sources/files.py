@@ -2,6 +2,7 @@
 
 import itertools
 import os
+import time
 from typing import Iterator
 
 import pandas as pd
@@ -49,26 +50,70 @@ def list_trees(repos: DataFrame) -> DataFrame:
     return spread.mapInPandas(_walk, _LISTING)
 
 
-def _load(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    def read(root, path):
+#: What reading a file may find once and for all; other faults are tried again.
+_FINAL = {
+    FileNotFoundError: "missing", PermissionError: "not permitted",
+    IsADirectoryError: "a folder", NotADirectoryError: "missing",
+}
+_TRIES = 3
+#: Contents that a task holds before it hands them on.
+_HELD_BYTES = 32 << 20
+
+
+def _read(full: str) -> tuple:
+    """(content, reason). A fault that may pass is raised after some tries: the
+    task fails and is run again, no file goes missing without a trace."""
+    for trial in range(_TRIES):
         try:
-            with open(os.path.join(root, path), "rb") as f:
-                return f.read()
+            with open(full, "rb") as f:
+                return f.read(), None
+        except tuple(_FINAL) as fault:
+            return None, _FINAL[type(fault)]
         except OSError:
-            return None
+            if trial + 1 == _TRIES:
+                raise
+            time.sleep(trial + 1)
 
+
+def _load(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in files:
-        batch["content"] = [read(r, p) for r, p in zip(batch["root"], batch["path"])]
-        yield batch
+        rows, held = [], 0
+        for row in batch.itertuples(index=False):
+            content, reason = _read(os.path.join(row.root, row.path))
+            rows.append((*row, content, reason))
+            held += len(content or b"")
+            if held >= _HELD_BYTES:
+                yield pd.DataFrame(rows, columns=[*batch.columns, "content", "reason"])
+                rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=[*batch.columns, "content", "reason"])
 
 
 def read_contents(listing: DataFrame) -> DataFrame:
     """Read and decode listed files, spread over the cluster by path so that
-    a big tree is not read by the task that listed it."""
-    raw = listing.repartition("repo_id", "path").mapInPandas(_load, _LISTING + ", content binary")
-    return raw.where("content IS NOT NULL").select(
-        "repo_id", "path", "size_bytes", tx.decode_utf8(F.col("content")).alias("content")
+    a big tree is not read by the task that listed it.
+
+    A file that cannot be read keeps its row: ``content`` is NULL and
+    ``reason`` says why.
+    """
+    listed = listing.select(*_LISTING_COLUMNS).repartition("repo_id", "path")
+    raw = listed.mapInPandas(_load, _LISTING + ", content binary, reason string")
+    return raw.select(
+        "repo_id", "path", "size_bytes", tx.decode_utf8(F.col("content")).alias("content"), "reason"
+    )
+
+
+def skipped_files(listing: DataFrame, contents: DataFrame | None = None, max_bytes: int | None = rules.MAX_SOURCE_BYTES) -> DataFrame:
+    """(repo_id, path, size_bytes, reason): source files that no rule sees,
+    because of their size or, with ``contents``, because they cannot be read."""
+    too_large = scan_source_files(listing, None).select(
+        "repo_id", "path", "size_bytes", F.lit("too large").alias("reason")
     )
+    found = too_large.where(F.col("size_bytes") > max_bytes if max_bytes is not None else F.lit(False))
+    if contents is not None:
+        unread = contents.where("reason IS NOT NULL")
+        found = found.unionByName(unread.select("repo_id", "path", "size_bytes", "reason"))
+    return found
 
 
 def read_binary_table(df: DataFrame) -> DataFrame:
@@ -80,13 +125,11 @@ def read_object_store(spark: SparkSession, root: str) -> DataFrame:
     """``root/<repo_id>/<path>`` through Spark's binary reader.
 
     For stores no task can walk. Files Spark hides (leading ``_`` or ``.``)
-    are missing; prefer ``list_trees`` or an ingested table. The size bound
-    is applied to metadata, before contents are read.
+    are missing; prefer ``list_trees`` or an ingested table. No file is left
+    out for its size: ``scan_source_files`` has that bound, and a filter on
+    ``size_bytes`` is applied to metadata before contents are read.
     """
-    raw = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-        .where(F.col("length") <= rules.MAX_SOURCE_BYTES)
-    )
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     marker = root.rstrip("/").rsplit("/", 1)[-1]
     relative = F.substring_index(F.col("path"), f"/{marker}/", -1)
     return raw.select(

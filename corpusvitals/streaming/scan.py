@@ -1,7 +1,11 @@
 """Incremental jobs over newly arriving rows."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from typing import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import markers, secrets
 from ..operators.findings import union_findings
@@ -36,10 +40,43 @@ def scan_new_files(
     )
 
 
-def first_lookups(lookups: DataFrame, window: str = "24 hours") -> DataFrame:
-    """First lookup per key; repeats within the watermark window are dropped
-    and their state expires with it."""
-    return lookups.withWatermark("ts", window).dropDuplicatesWithinWatermark(["key"])
+KEPT = "key string, ts timestamp"
+
+
+def first_lookups(lookups: DataFrame, hours: int = 24) -> DataFrame:
+    """Lookups that were due: a key's first one, and each that comes ``hours``
+    or more after the last one kept.
+
+    A key's rows are handled in event-time order within a micro-batch, so
+    batches that arrive in order give what one batch gives. A row older than
+    the last one kept counts as a repeat; one older than the watermark
+    (``hours`` behind the newest row of earlier batches) is dropped. Only the
+    last kept time is held per key, until the watermark passes its window.
+    """
+    window = pd.Timedelta(hours=hours)
+
+    def due(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
+        kept = []
+        for ts in sorted(ts for part in parts for ts in part["ts"].dropna()):
+            if last is None or ts - last >= window:
+                kept.append(ts)
+                last = ts
+        if last is not None:
+            micros = last.value // 1000
+            state.update((micros,))
+            over = micros // 1000 + hours * 3_600_000
+            state.setTimeoutTimestamp(max(over, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"key": [key[0]] * len(kept), "ts": pd.Series(kept, dtype="datetime64[ns]")})
+
+    return (
+        lookups.withWatermark("ts", f"{hours} hours")
+        .groupBy("key")
+        .applyInPandasWithState(due, KEPT, "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    )
 
 
 def write_new_lookups(lookups: DataFrame, out_dir: str, checkpoint_dir: str) -> StreamingQuery:

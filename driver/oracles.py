@@ -91,7 +91,7 @@ judged AS (SELECT *, {_PLACEHOLDER} AS placeholder, CAST({_CONFIDENCE} AS INT) A
 secrets AS (SELECT DISTINCT repo_id, type, file, line,
   CASE WHEN category = 'test' THEN CASE WHEN confidence >= 80 THEN 'MEDIUM' ELSE 'LOW' END
        WHEN confidence >= 80 THEN 'HIGH' WHEN confidence >= 50 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
-  confidence, 'Possible ' || lower(type) || ' detected (confidence: ' || confidence || '%).' AS details,
+  confidence, 'Looks like a hard-coded ' || lower(type) || ', certainty ' || confidence || ' of 100.' AS details,
   category AS file_category
   FROM judged WHERE NOT suppressed AND NOT placeholder AND (category <> 'test' OR confidence >= 50))"""
 
@@ -108,7 +108,7 @@ SECRET_TAIL = f"SELECT {REPORT_KEYS}, file_category FROM secrets"
 MARKERS = f"""
 markers AS (
   SELECT repo_id, upper(m) || ' Marker' AS type, path AS file, CAST(i AS INT) AS line, 'LOW' AS severity,
-         100 AS confidence, 'Found ' || upper(m) || ' marker.' AS details
+         100 AS confidence, 'Unfinished work: ' || upper(m) || '.' AS details
   FROM (SELECT repo_id, path, i, unnest(regexp_extract_all(ls[i], '(?i)\\b(TODO|FIXME|XXX|HACK)\\b', 1)) AS m
         FROM (SELECT repo_id, path, ls, unnest(range(1, len(ls) + 1)) AS i
               FROM (SELECT *, string_split(content, {NL}) AS ls FROM files WHERE ({QUALITY_CATEGORY}) <> 'generated'))))"""
@@ -219,11 +219,11 @@ py_functions AS (SELECT repo_id, path, regexp_extract(body, 'def (\\w+)', 1) AS
   FROM py_defs)"""
 PY_COMPLEX = f"""py_complex AS (SELECT repo_id, 'High Python Complexity' AS type, path AS file, line,
     CASE WHEN complexity >= 20 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, 95 AS confidence,
-    'Cyclomatic complexity: ' || complexity || ' (threshold: 10)' AS details, name AS function, complexity
+    'Complexity ' || complexity || ' is above the limit of 10.' AS details, name AS function, complexity
   FROM py_functions WHERE complexity > 10)"""
 PY_LONG = f"""py_long AS (SELECT repo_id, 'Long Function' AS type, path AS file, line,
     CASE WHEN end_line - line + 1 >= 160 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, 100 AS confidence,
-    'Function length: ' || (end_line - line + 1) || ' lines (threshold: 80)' AS details, name AS function, end_line - line + 1 AS lines
+    (end_line - line + 1) || ' lines long, the limit is 80.' AS details, name AS function, end_line - line + 1 AS lines
   FROM py_functions WHERE end_line - line + 1 > 80)"""
 # bound names with the part of the text after the import block
 PY_UNUSED = f"""
@@ -232,7 +232,7 @@ py_imports AS (SELECT repo_id, path, ls, i, coalesce(nullif(regexp_extract(ls[i]
   FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT *, string_split(content, {NL}) AS ls FROM py))
   WHERE regexp_matches(ls[i], '^(from \\w+ )?import \\w')),
 py_unused AS (SELECT repo_id, 'Unused Python Import' AS type, path AS file, CAST(i AS INT) AS line, 'LOW' AS severity,
-    95 AS confidence, 'Unused import: ' || identifier AS details
+    95 AS confidence, identifier || ' is imported but never used.' AS details
   FROM py_imports WHERE len(list_filter(ls, lambda l: l NOT LIKE '#%' AND NOT regexp_matches(l, '^(from \\w+ )?import ')
     AND regexp_matches(l, '\\b' || identifier || '\\b'))) = 0)"""
 # in these files comments are whole lines at the start and strings are closed on their line
@@ -247,7 +247,7 @@ js_items AS (SELECT repo_id, path, content, CAST(i AS INT) AS line,
   FROM js_lines WHERE ls[i] LIKE 'import %'),
 js_imports AS (SELECT repo_id, path, content, line, regexp_replace(regexp_replace(trim(item), '^.* as ', ''), '^type ', '') AS identifier FROM js_items),
 js_unused AS (SELECT repo_id, 'Unused JavaScript Import' AS type, path AS file, line, 'LOW' AS severity,
-    90 AS confidence, 'Unused import: ' || identifier AS details
+    90 AS confidence, identifier || ' is imported but never used.' AS details
   FROM js_imports WHERE NOT regexp_matches(regexp_replace({_STRIPPED}, '(?m)^import .*$', '', 'g'), '\\b' || identifier || '\\b')
     AND NOT (identifier = 'React' AND regexp_matches(content, '<[A-Za-z][^>]*>')))"""
 _JS_CODE = f"""regexp_replace({_NO_COMMENTS}, '"[^"\\n]*"|''[^''\\n]*''', ' ', 'g')"""
@@ -266,7 +266,7 @@ js_functions AS (SELECT repo_id, path, regexp_extract(body, '(?:function|const)
     CAST(1 + {_JS_COUNT} AS INT) AS complexity FROM js_owned)"""
 JS_COMPLEX = """js_complex AS (SELECT repo_id, 'High JavaScript Complexity' AS type, path AS file, line,
     CASE WHEN complexity >= 20 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, 80 AS confidence,
-    'Function ''' || name || ''' estimated complexity: ' || complexity || ' (threshold: 10)' AS details, name AS function, complexity
+    'Complexity of ' || name || ' is about ' || complexity || ', above the limit of 10.' AS details, name AS function, complexity
   FROM js_functions WHERE complexity > 10)"""
 
 
@@ -284,7 +284,7 @@ measured AS (SELECT *, {nl_count('content')} + CASE WHEN content LIKE '%' || {NL
 large AS (SELECT repo_id, 'Large File' AS type, path AS file,
     CASE WHEN lines / 20.0 >= 3 THEN 'HIGH' WHEN lines / 20.0 >= 1.75 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
     100 AS confidence, CAST(lines AS INT) AS lines, 20 AS threshold, (lines - 20)::DOUBLE / 20 * 100 AS over_percentage,
-    format('Type: {{}} | Lines: {{}} | Threshold: 20 | Over threshold: {{:.1f}}%', file_type, lines, (lines - 20)::DOUBLE / 20 * 100) AS details
+    format('{{}} with {{}} lines, the limit is 20 ({{:.1f}}% more).', file_type, lines, (lines - 20)::DOUBLE / 20 * 100) AS details
   FROM measured WHERE lines > 20)"""
 _K = "repo_id, type, file, {line} AS line, severity, confidence, details, {fn} AS function, {f2} AS file_2, {l2} AS line_2"
 
@@ -295,7 +295,7 @@ def _as(cte, line="line", fn="CAST(NULL AS VARCHAR)", f2="CAST(NULL AS VARCHAR)"
 
 DUP_FINDINGS = """dup_findings AS (SELECT repo_id, 'Duplicate Code' AS type, file, line, file_2, line_2, 'LOW' AS severity,
     CAST(floor(matching * 12.5) AS INT) AS confidence,
-    'Repeated ' || duplicate_lines || '-line code block with ' || CASE matching WHEN 8 THEN '100' ELSE '88' END || '% similarity.' AS details
+    duplicate_lines || ' lines are repeated, ' || CASE matching WHEN 8 THEN '100' ELSE '88' END || '% of them equal.' AS details
   FROM dups)"""
 # decorated Python files never parse (prose above the code), except where the text is empty
 QUALITY = ",\n".join(
@@ -311,7 +311,7 @@ DEC_JS = f"""
 djs AS (SELECT * FROM (SELECT *, {nl_count('content')} AS n FROM files)
   WHERE repo_id NOT LIKE 'code-%' AND {EXT} = '.js' AND ({QUALITY_CATEGORY}) <> 'generated' AND content LIKE '%' || chr(10) || 'import Main, %'),
 djs_unused AS (SELECT repo_id, 'Unused JavaScript Import' AS type, path AS file, CAST(n - 4 AS INT) AS line, 'LOW' AS severity,
-  90 AS confidence, 'Unused import: unused' AS details FROM djs)"""
+  90 AS confidence, 'unused is imported but never used.' AS details FROM djs)"""
 QUALITY_ALL = f"""{QUALITY}, {CODE_ONLY}, {CODE_FINDINGS}, {DEC_JS},
 quality AS (SELECT DISTINCT *, CASE WHEN ({QUALITY_CATEGORY.replace('path', 'file')}) = 'test' THEN TRUE END AS test_file FROM (
   {_as('large', line='CAST(NULL AS INT)')} UNION ALL {_as('markers')} UNION ALL {_as('py_complex', fn='function')}
@@ -357,8 +357,8 @@ issues AS (
   SELECT repo_id, severity, 'Security' AS category, type, file, line, details, NULL AS package, NULL AS version, NULL AS vuln_count FROM secrets
   UNION ALL SELECT repo_id, severity, 'Code Quality', type, file, line, details, NULL, NULL, NULL FROM quality
   UNION ALL SELECT repo_id, severity, 'Dependency Security', 'Vulnerable Dependency', NULL, NULL,
-    package || ' ' || version || ' has ' || vuln_count || ' known ' || CASE WHEN vuln_count = 1 THEN 'vulnerability' ELSE 'vulnerabilities' END
-      || ' | Declared in: ' || replace(manifests, ',', ', '), package, version, vuln_count FROM packages)"""
+    package || ' ' || version || ': ' || vuln_count || CASE WHEN vuln_count = 1 THEN ' advisory' ELSE ' advisories' END
+      || ' for what is declared in ' || replace(manifests, ',', ', '), package, version, vuln_count FROM packages)"""
 
 SQL = {
     "scan_source_files": f"""WITH {having(a.LISTING)} SELECT * FROM files
@@ -377,8 +377,9 @@ SQL = {
     "file_category_security": f"WITH {having(a.LISTING)} SELECT repo_id, path, {SECURITY_CATEGORY} AS category FROM files",
     "ignored_paths_anti": f"""WITH {having(a.LISTING)} SELECT repo_id, path FROM files
         WHERE NOT {any_part(DIRS, rules.IGNORED_DIRECTORIES)}""",
-    "language_profile": f"""WITH {having(a.LISTING)} SELECT repo_id, {LANGUAGE} AS language, count(*) AS n_files
-        FROM files WHERE {EXT} IN {values(rules.LANGUAGE_BY_EXTENSION)} GROUP BY ALL""",
+    "language_profile": f"""WITH {having(a.LISTING)} SELECT *, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY n_files DESC, language) AS INT) AS rank
+        FROM (SELECT repo_id, {LANGUAGE} AS language, count(*) AS n_files
+        FROM files WHERE {EXT} IN {values(rules.LANGUAGE_BY_EXTENSION)} GROUP BY ALL)""",
     "corpus_size": f"""WITH {having(a.FILES_DECORATED)} SELECT repo_id, count(*) AS n_files,
         CAST(sum({nl_count('content')} + CASE WHEN content LIKE '%' || {NL} THEN 0 ELSE 1 END) AS BIGINT) AS n_lines FROM files GROUP BY repo_id""",
     "line_counts": f"""WITH {having(a.FILES_DECORATED)},
@@ -459,8 +460,9 @@ SQL = {
     "findings_test_flag": f"""WITH {having(a.FILES_DECORATED)}, {MARKERS}
         SELECT repo_id, type, ({QUALITY_CATEGORY.replace('path', 'file')}) = 'test' AS test_file, count(*) AS n FROM markers GROUP BY ALL""",
     "findings_ordered": f"""WITH {having(a.FILES_CODE)}, {PY_FUNCTIONS}, {PY_COMPLEX}, {PY_LONG}, {PY_UNUSED}, {JS}, {JS_UNUSED}, {JS_FUNCTIONS}, {JS_COMPLEX}
-        SELECT {REPORT_KEYS} FROM py_complex UNION SELECT {REPORT_KEYS} FROM py_long UNION SELECT {REPORT_KEYS} FROM py_unused
-        UNION SELECT {REPORT_KEYS} FROM js_unused UNION SELECT {REPORT_KEYS} FROM js_complex""",
+        , f AS (SELECT {REPORT_KEYS}, function FROM py_complex UNION SELECT {REPORT_KEYS}, function FROM py_long UNION SELECT {REPORT_KEYS}, NULL FROM py_unused
+        UNION SELECT {REPORT_KEYS}, NULL FROM js_unused UNION SELECT {REPORT_KEYS}, function FROM js_complex)
+        SELECT {REPORT_KEYS}, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY {mapping('severity', rules.FINDING_ORDER)}, file, line, type, details, function) AS INT) AS rank FROM f""",
     "all_security_findings": f"WITH {SECURITY} SELECT * FROM security",
     "security_score": f"""WITH {SECURITY}, repos AS (SELECT DISTINCT repo_id FROM security), {security_penalty('security')} SELECT * FROM sscore""",
     "quality_score": f"WITH {QUALITY_SCORES} SELECT repo_id, quality, total_deduction, raw_deduction FROM qscore",
@@ -477,7 +479,8 @@ SQL = {
           CAST(round_even(security * 0.5::DOUBLE + quality * 0.3::DOUBLE + documentation * 0.2::DOUBLE, 0) AS INT) AS overall
         FROM sscore JOIN qscore USING (repo_id) JOIN doc USING (repo_id)""",
     "diagnosis": f"WITH {DIAGNOSIS} SELECT repo_id, severity, category, type, file, details, package, version, vuln_count FROM issues",
-    "diagnosis_counts": f"WITH {DIAGNOSIS} SELECT repo_id, severity, category, type, count(*) AS n FROM issues GROUP BY ALL",
+    "diagnosis_counts": f"WITH {DIAGNOSIS} SELECT *, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY {mapping('severity', dict(zip(rules.DIAGNOSIS_SEVERITIES, range(9))))}, category, type) AS INT) AS rank "
+        "FROM (SELECT repo_id, severity, category, type, count(*) AS n FROM issues GROUP BY ALL)",
     "diagnosis_top5": f"""WITH {DIAGNOSIS},
         ranked AS (SELECT *, CAST(row_number() OVER w AS INT) AS rank, count(*) OVER (PARTITION BY repo_id, severity, category, type) AS n FROM issues
           WINDOW w AS (PARTITION BY repo_id, severity, category, type ORDER BY file NULLS LAST, line NULLS LAST, package NULLS LAST, version NULLS LAST, details))
@@ -493,6 +496,10 @@ SQL = {
         a.FILES_DECORATED,
         f"SELECT CAST(json_object({', '.join(f'{chr(39)}{c}{chr(39)}, {c}' for c in REPORT_KEYS.split(', '))}) AS VARCHAR) AS json FROM secrets",
     ),
+    "stream_lookup_dedup": f"""WITH RECURSIVE l AS (SELECT DISTINCT key, ts FROM ({for_duckdb(a.LOOKUPS)})),
+        kept AS (SELECT key, min(ts) AS ts FROM l GROUP BY key UNION ALL
+          SELECT k.key, (SELECT min(l.ts) FROM l WHERE l.key = k.key AND l.ts >= k.ts + INTERVAL 24 HOUR) AS ts FROM kept k WHERE k.ts IS NOT NULL)
+        SELECT key, epoch_us(ts) AS ts_us FROM kept WHERE ts IS NOT NULL""",
     "stream_secret_scan": f"""WITH {having(a.FILES_PLAIN)}, {MARKERS}, {secret_ctes()}
         SELECT {REPORT_KEYS} FROM secrets UNION ALL SELECT {REPORT_KEYS} FROM markers""",
 }

@@ -6,7 +6,7 @@ from corpusvitals import rules
 from corpusvitals.functions import paths, text as tx, versions
 from corpusvitals.operators import (
     advisories as adv, commits as git, diagnosis as diag, duplicates as dup,
-    findings as fnd, freshness, manifests as man, markers, modules, profile,
+    facts as fct, findings as fnd, freshness, manifests as man, markers, modules, profile,
     scores, scripts, secrets,
 )
 from corpusvitals.plans import report
@@ -35,6 +35,11 @@ def query(build):
     return lambda spark, sf_dir: build(Tables(spark, sf_dir))
 
 
+def facts_of(files: DataFrame) -> DataFrame:
+    """The one pass over the texts, written."""
+    return stage(fct.code_facts(files), "facts")
+
+
 def short_thresholds(files: DataFrame) -> DataFrame:
     return files.select("repo_id").distinct().select(
         "repo_id",
@@ -165,7 +170,7 @@ def clean_versions(t):
 def version_triple(t):
     triple = versions.version_triple(F.col("version"))
     return t.deps.select("version").distinct().select("version", triple.alias("t")).select(
-        "version", *[F.col(f"t.{c}").cast("long").alias(c) for c in ("major", "minor", "patch")]
+        "version", *[F.col(f"t.{c}.digits").cast("long").alias(c) for c in ("major", "minor", "patch")]
     )
 
 
@@ -239,8 +244,8 @@ def all_files(t):
 
 
 def quality(t):
-    files = all_files(t)
-    return fnd.quality_findings(files, short_thresholds(files))
+    facts = facts_of(all_files(t))
+    return fnd.quality_findings(facts, short_thresholds(facts))
 
 
 def quality_findings(t):
@@ -248,7 +253,7 @@ def quality_findings(t):
 
 
 def js_quality_findings(t):
-    return fnd.script_quality_findings(t.files_code).select(*REPORT_KEYS, "function")
+    return fnd.script_quality_findings(facts_of(t.files_code)).select(*REPORT_KEYS, "function")
 
 
 def findings_dedup(t):
@@ -264,11 +269,11 @@ def findings_test_flag(t):
 
 
 def findings_ordered(t):
-    files = t.files_code
+    facts = facts_of(t.files_code)
     found = fnd.dedup_quality_findings(
-        fnd.union_findings(*fnd.python_findings(files), *fnd.script_findings(files))
+        fnd.union_findings(*fnd.python_findings(facts), *fnd.script_findings(facts))
     )
-    return fnd.order_findings(found).select(*REPORT_KEYS)
+    return fnd.ranked_findings(found).select(*REPORT_KEYS, "rank")
 
 
 def security_findings(t):
@@ -292,8 +297,8 @@ def security_score(t):
 
 
 def quality_scores(t):
-    found = scores.finding_counts(quality(t))
-    return scores.quality_score(all_files(t), found)
+    facts = facts_of(all_files(t))
+    return scores.quality_score(facts, fnd.quality_counts(facts, short_thresholds(facts)))
 
 
 def quality_score(t):
@@ -315,15 +320,32 @@ def overall_health(t):
     listing = files.select("repo_id", "path").unionByName(
         t.roots.select(F.regexp_replace("repo_id", "^repo", "src").alias("repo_id"), "path")
     ).join(files.select("repo_id").distinct(), "repo_id", "left_semi")
-    security = secrets.scan_secrets(files)
-    return report.quick_scores(
-        listing, files, fnd.union_findings(security), short_thresholds(files)
-    ).select("repo_id", "security", "quality", "documentation", "overall")
+    facts = facts_of(files)
+    security = fnd.union_findings(fnd.secret_findings(facts))
+    return report.quick_scores(listing, facts, security, short_thresholds(facts)).select(
+        "repo_id", "security", "quality", "documentation", "overall"
+    )
+
+
+def packages(t):
+    return adv.vulnerable_package_rollup(t.deps, t.advisories)
+
+
+def text_secrets(facts):
+    """Secrets of the decorated texts; code stands in repositories of its own."""
+    return fnd.secret_findings(facts.where(~F.col("repo_id").startswith("code-")))
 
 
 def issues(t):
-    packages = adv.vulnerable_package_rollup(t.deps, t.advisories)
-    return diag.diagnosis(secrets.scan_secrets(t.files_decorated), quality(t), packages)
+    facts = facts_of(all_files(t))
+    found = fnd.quality_findings(facts, short_thresholds(facts))
+    return diag.diagnosis(text_secrets(facts), found, packages(t))
+
+
+def issue_counts(t):
+    facts = facts_of(all_files(t))
+    counted = fnd.quality_counts(facts, short_thresholds(facts))
+    return diag.counts_of(text_secrets(facts), counted, packages(t))
 
 
 def diagnosis(t):
@@ -369,7 +391,7 @@ def stream_lookup_dedup(spark, sf_dir):
     )
     out = work_dir(spark, "stream-lookups")
     scan.write_new_lookups(lookups, out, work_dir(spark, "stream-state")).awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.schema(scan.KEPT).parquet(out).select("key", F.unix_micros("ts").alias("ts_us"))
 
 
 QUERIES = {
@@ -382,7 +404,7 @@ QUERIES = {
     "file_category_security": query(category("security_category")),
     "ignored_paths_anti": query(ignored_paths_anti),
     # profile
-    "language_profile": query(lambda t: profile.language_profile(t.listing)),
+    "language_profile": query(lambda t: profile.ranked_languages(profile.language_profile(t.listing))),
     "corpus_size": query(corpus_size),
     "line_counts": query(line_counts),
     "large_files": query(large_files),
@@ -444,9 +466,9 @@ QUERIES = {
     "documentation_score": query(lambda t: scores.documentation_score(t.roots)),
     "overall_health": query(overall_health),
     "diagnosis": query(diagnosis),
-    "diagnosis_counts": query(lambda t: diag.diagnosis_counts(issues(t))),
+    "diagnosis_counts": query(lambda t: diag.ranked_counts(issue_counts(t))),
     "diagnosis_top5": query(diagnosis_top),
-    "recommended_actions": query(lambda t: diag.recommended_actions(diag.diagnosis_counts(issues(t)))),
+    "recommended_actions": query(lambda t: diag.recommended_actions(issue_counts(t))),
     "report_json": query(report_json),
     # streams
     "stream_secret_scan": stream_secret_scan,

@@ -1,4 +1,5 @@
 import ast
+import time
 
 from corpusvitals.operators import modules, scripts
 from corpusvitals.operators.scripts import _function_facts
@@ -55,7 +56,7 @@ def test_python_unused_imports(files):
     text = "from __future__ import annotations\nimport os.path\nimport sys as s\nfrom a import *\nfrom b import c as d, e\nprint(e)\n"
     facts = modules.python_facts(files({"m.py": text, "p/__init__.py": "import os", "dist/x.py": "import os"}))
     assert {(r.line, r.details) for r in modules.unused_python_imports(facts).collect()} == {
-        (2, "Unused import: os"), (3, "Unused import: s"), (5, "Unused import: d"),
+        (2, "os is imported but never used."), (3, "s is imported but never used."), (5, "d is imported but never used."),
     }
 
 
@@ -76,7 +77,7 @@ def test_js_imports_and_use(files):
         [("m.ts", "React", 1), ("m.ts", "a", 1), ("m.ts", "c", 1), ("m.ts", "D", 1), ("m.ts", "e", 3),
          ("m.ts", "f", 4), ("m.ts", "$g", 4), ("n.jsx", "React", 1)]
     )
-    unused = {r.details.split()[-1] for r in scripts.unused_js_imports(tree).collect()}
+    unused = {r.details.split()[0] for r in scripts.unused_js_imports(tree).collect()}
     assert unused == {"React", "c", "D", "e", "$g"}
 
 
@@ -117,3 +118,31 @@ def test_js_complexity_threshold(files):
     assert {r.file: r.severity for r in scripts.js_complexity(functions).collect()} == {
         "f10.js": "MEDIUM", "f18.js": "MEDIUM", "f19.js": "HIGH",
     }
+
+
+def test_js_facts_are_linear():
+    shapes = [
+        lambda n: "g(" + " " * n, lambda n: "\n" * n, lambda n: "a" * n, lambda n: "/*" * (n // 2), lambda n: '\\"' * (n // 2),
+        lambda n: "function f(a) {\n" * (n // 20) + "}" * (n // 20), lambda n: "f(" * (n // 2) + ") {}",
+    ]
+    for shape in shapes:
+        took = []
+        for n in (250_000, 1_000_000):
+            start = time.perf_counter()
+            _function_facts(shape(n))
+            took.append(time.perf_counter() - start)
+        assert took[1] < 8 * took[0] + 1
+
+
+def test_import_pattern_reads_blank_lines_once(files):
+    start = time.perf_counter()
+    rows = scripts.js_imports(files({"a.js": "x\n" + "\n" * 200_000 + "import a from 'b'\n", "b.js": " \n\n import c from 'd'"})).collect()
+    assert {(r.path, r.identifier) for r in rows} == {("a.js", "a"), ("b.js", "c")}
+    assert time.perf_counter() - start < 60
+
+
+def test_parse_status(files):
+    rows = modules.python_facts(files({"a.py": "x = 1", "b.py": "def (", "c.py": "", "d.py": "(" * 150 + ")" * 150, "e.py": "-" * 100_000 + "1"}))
+    found = {r.path: r.parse_status for r in rows.collect()}
+    assert (found["a.py"], found["b.py"], found["c.py"], found["d.py"]) == ("parsed", "invalid", None, "parsed")
+    assert found["e.py"] in ("invalid", "too deep")

@@ -87,3 +87,51 @@ def test_tree_listing_sees_underscore_names(spark, tmp_path):
     assert {(r.path, r.content) for r in read} == {
         ("pkg/__init__.py", "x\n"), ("__tests__/a.js", "x\n"), (".hidden/b.py", "x\n"),
     }
+
+
+def test_reading_leaves_no_file_out(spark, tmp_path):
+    tree = tmp_path / "t"
+    tree.mkdir()
+    (tree / "a.py").write_bytes(b"x = 1\n\xff")
+    (tree / "big.py").write_bytes(b"#" * (11 << 20))
+    (tree / "README.md").write_bytes(b"m" * (11 << 20))
+    listing = src.list_trees(spark.createDataFrame([("t", str(tree))], "repo_id string, root string"))
+    gone = spark.createDataFrame([("t", "gone.py", 3, str(tree))], "repo_id string, path string, size_bytes long, root string")
+    contents = src.read_sources(listing.union(gone))
+    assert {(r.path, r.content, r.reason) for r in contents.collect()} == {("a.py", "x = 1\n", None), ("gone.py", None, "missing")}
+    skipped = {(r.path, r.reason) for r in src.skipped_files(listing, contents).collect()}
+    assert skipped == {("big.py", "too large"), ("gone.py", "missing")}
+    assert src.skipped_files(listing, max_bytes=None).count() == 0
+    assert profile.scan_source_files(listing, None).count() == 2
+    store = src.read_object_store(spark, str(tmp_path))
+    assert {(r.repo_id, r.path, r.size_bytes) for r in store.collect()} == {
+        ("t", "a.py", 7), ("t", "big.py", 11 << 20), ("t", "README.md", 11 << 20),
+    }
+
+
+def test_staging_needs_a_shared_folder(spark, monkeypatch):
+    from corpusvitals import session
+
+    class Conf:
+        def __init__(self, **values):
+            self.values = values
+
+        def get(self, key, default=None):
+            return self.values.get(key, default)
+
+    class Fake:
+        def __init__(self, master, shared=None):
+            self.conf = Conf(**{"spark.master": master} | ({"spark.checkpoint.dir": shared} if shared else {}))
+
+    for master in ("yarn", "spark://h:7077", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError):
+            session.work_dir(Fake(master), "x")
+        assert session.work_dir(Fake(master, "hdfs://n/c/"), "x").startswith("hdfs://n/c/x-")
+    for master in ("local", "local[4]", "local[*]"):
+        assert session.work_dir(Fake(master), "x").endswith("/x")
+
+
+def test_large_limits(spark):
+    content = '{"thresholds": {"python": 100000000000000000000000, "css": 3.5, "html": true}}'
+    configs = spark.createDataFrame([("r", content)], "repo_id string, content string")
+    assert {(r.language_key, r.max_lines) for r in config.configured_thresholds(configs).collect()} == {("python", 2**63 - 1)}

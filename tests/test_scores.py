@@ -1,9 +1,12 @@
+from datetime import datetime, timedelta
 import json
 import random
+import time
 
 import pytest
 
 from corpusvitals.operators import diagnosis as diag, findings as fnd, scores
+from corpusvitals.operators.facts import code_facts
 from corpusvitals.plans import report
 from corpusvitals.schemas import ADVISORY_SCHEMA, FINDING_SCHEMA
 from corpusvitals.sources import files as src
@@ -145,8 +148,38 @@ def test_whole_report(spark, sample_tree, tmp_path):
     assert {(r.type, r.line, r.test_file) for r in quality} == {("TODO Marker", 1, True), ("FIXME Marker", 2, True)}
     doc = json.loads(report.as_json(spark.read.parquet(f"{out}/security_findings")).first().json)
     assert doc["line"] == 7 and "vuln_count" not in doc
-    quick = report.quick_scores(inputs.listing, inputs.files, sections["security_findings"]).first()
+    facts = code_facts(inputs.files)
+    quick = report.quick_scores(inputs.listing, facts, sections["security_findings"]).first()
     assert quick.overall == 77
+    counts = sorted(map(tuple, diag.diagnosis_counts(sections["diagnosis"]).collect()))
+    packages = report._no_packages(roots)
+    secret = fnd.union_findings(fnd.secret_findings(facts))
+    assert sorted(map(tuple, diag.counts_of(secret, fnd.quality_counts(facts), packages).collect())) == counts
+
+
+def test_repositories_without_files_keep_their_row(spark, sample_tree):
+    roots = spark.createDataFrame([("repo", str(sample_tree / "repo")), ("none", str(sample_tree / "none"))], "repo_id string, root string")
+    listing = src.list_trees(roots)
+    sections = report.build_report(report.Inputs(listing=listing, files=src.read_sources(listing), repos=roots))
+    scores = {r.repo_id: (r.security, r.quality, r.documentation) for r in sections["scores"].collect()}
+    assert scores["none"] == (100, 100, 30) and len(scores) == 2
+    ranks = [(r.severity, r.rank) for r in diag.ranked_counts(sections["diagnosis_counts"]).orderBy("rank").collect()]
+    assert [r for _, r in ranks] == list(range(1, len(ranks) + 1))
+
+
+def test_lookups_do_not_depend_on_batches(spark, tmp_path):
+    start = datetime(2024, 1, 1)
+    hours = [0, 1, 23, 24, 25, 47, 48, 80, 81, 103, 104]
+    rows = [(key, start + timedelta(hours=h + i)) for i, key in enumerate("ab") for h in hours]
+    wanted = {(key, start + timedelta(hours=h + i)) for i, key in enumerate("ab") for h in (0, 24, 48, 80, 104)}
+    for name, parts in (("one", [rows]), ("many", [sorted(rows, key=lambda r: r[1])[i : i + 5] for i in range(0, 22, 5)])):
+        for n, part in enumerate(parts):
+            spark.createDataFrame(part, "key string, ts timestamp").coalesce(1).write.parquet(str(tmp_path / f"{name}/{n}"))
+            time.sleep(0.05)
+        stream = scan.read_new_files(spark, str(tmp_path / f"{name}/*"), "key string, ts timestamp", maxFilesPerTrigger=1 if name == "many" else 100)
+        scan.write_new_lookups(stream, str(tmp_path / f"{name}-out"), str(tmp_path / f"{name}-state")).awaitTermination()
+        found = spark.read.schema(scan.KEPT).parquet(str(tmp_path / f"{name}-out")).collect()
+        assert sorted((r.key, r.ts) for r in found) == sorted(wanted)
 
 
 def test_stream_equals_batch(spark, files, tmp_path):
