@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusvitals.llm.frames import text_of
-from corpusvitals.session import work_dir
+from corpusvitals.session import stage, work_dir
 
 END = "\r\n\r\n"
 RECORDS_PER_FILE = 1000
@@ -60,11 +60,11 @@ def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
         .withColumn("sha1", base32_sha1(F.col("payload").cast("binary")))
         .withColumn("mark", F.xxhash64("payload"))
     )
-    # row-unique keys for payloads too small to be shared
     keyed = keyed.withColumn("shared", F.col("payload_bytes") >= min_bytes)
     key = ["sha1", "mark", "payload_bytes"]
     firsts = keyed.filter("shared").groupBy(*key).agg(F.min("page_id").alias("first_id"))
-    joined = keyed.join(firsts, key, "left")
+    # written, so that the join exchanges both sides and a payload of very many rows can be split
+    joined = keyed.join(stage(firsts, "firsts"), key, "left")
     revisit = F.col("shared") & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     name = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
     http = F.concat(
