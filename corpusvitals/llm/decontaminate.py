@@ -5,8 +5,8 @@ shorter one. The windows go to the tasks as a hash set inside the plan, after
 a check of their number and size. A document is first probed at every tenth
 position with four words: any window covers such a probe, so a document
 without a known probe has no hit. Only the others are scanned window by
-window, by the full text of the window. A benchmark beyond the bound is met
-by an ordinary join instead, with equal results.
+window; a window whose hash is known is verified by its full text. A benchmark
+beyond the bound is met by an ordinary join instead, with equal results.
 
 Everything is DataFrame expressions; no text is shuffled.
 
@@ -55,36 +55,41 @@ def windows(benchmark: DataFrame, window: int = WINDOW, item_col: str = "item_id
     return items.select("item_id", F.explode(grams).alias("gram"), F.least(size, F.lit(window)).alias("length")).distinct()
 
 
-def contained(values: list[str], gram: str) -> str:
+_NO_HITS = "CAST(array() AS array<struct<start:int,length:int,gram:string>>)"
+
+
+def contained(values: list, value: str) -> str:
     """SQL test for membership; a list of literals becomes a hash set. Words hold neither quotes nor backslashes."""
-    return f"{gram} IN ({', '.join(f"'{v}'" for v in values)})"
+    return f"{value} IN ({', '.join(f"'{v}'" if isinstance(v, str) else f"{v}L" for v in values)})"
 
 
-def _gram_sql(start: str, length: int) -> str:
-    return f"array_join(slice(w, {start} + 1, {length}), ' ')"
+def _words_sql(start: str, length: int) -> str:
+    return f"slice(w, {start} + 1, {length})"
 
 
 def _starts_sql(length: int, step: int = 1) -> str:
     return f"if(size(w) >= {length}, sequence(0, size(w) - {length}, {step}), CAST(array() AS array<int>))"
 
 
-def hits_by_set(grams: list[str]) -> Column:
-    """Sorted (start, length, gram) of all windows in the words ``w`` that are among ``grams``."""
-    by_length: dict[int, list[str]] = {}
-    for gram in grams:
-        by_length.setdefault(gram.count(" ") + 1, []).append(gram)
+def hits_by_set(grams: list) -> Column:
+    """Sorted (start, length, gram) of all windows in the words ``w`` that are
+    among ``grams`` (rows of ``bounded_grams``): found by hash, verified by text."""
+    by_length: dict[int, list] = {}
+    for row in grams:
+        by_length.setdefault(row.length, []).append(row)
     found = []
-    for length, listed in sorted(by_length.items()):
+    for length, rows in sorted(by_length.items()):
         probe = min(PROBE, length)
         step = length - probe + 1  # each window covers a probed position, with the words after it
-        probes = sorted({" ".join(g.split(" ")[i : i + probe]) for g in listed for i in range(step)})
-        known = f"exists({_starts_sql(probe, step)}, p -> {contained(probes, _gram_sql('p', probe))})"
-        every = f"filter({_starts_sql(length)}, i -> {contained(listed, _gram_sql('i', length))})"
-        shaped = f"transform({every}, i -> named_struct('start', i, 'length', {length}, 'gram', {_gram_sql('i', length)}))"
-        none = "CAST(array() AS array<struct<start:int,length:int,gram:string>>)"
-        found.append(f"if({known}, {shaped}, {none})")
+        probes = sorted({h for r in rows for h in r.probes})
+        known = f"exists({_starts_sql(probe, step)}, p -> {contained(probes, f'xxhash64({_words_sql("p", probe)})')})"
+        hashed = contained(sorted(r.hash for r in rows), f"xxhash64({_words_sql('i', length)})")
+        shaped = f"named_struct('start', i, 'length', {length}, 'gram', array_join({_words_sql('i', length)}, ' '))"
+        every = f"transform(filter({_starts_sql(length)}, i -> {hashed}), i -> {shaped})"
+        verified = f"filter({every}, h -> {contained(sorted(r.gram for r in rows), 'h.gram')})"
+        found.append(f"if({known}, {verified}, {_NO_HITS})")
     if not found:
-        return F.expr("CAST(array() AS array<struct<start:int,length:int,gram:string>>)")
+        return F.expr(_NO_HITS)
     return F.expr(f"array_sort(concat({', '.join(found)}))" if len(found) > 1 else found[0])
 
 
@@ -94,11 +99,16 @@ COVERED = """aggregate(hits, named_struct('upto', 0, 'n', 0L), (a, h) -> named_s
     'n', a.n + greatest(0, h.start + h.length - greatest(a.upto, h.start))), a -> a.n)"""
 
 
-def bounded_grams(grams: DataFrame, most: int = SET_WINDOWS, most_bytes: int = SET_BYTES) -> list[str] | None:
-    """The distinct grams if their number and size are within the bounds, else None; at most ``most + 1`` are read."""
-    distinct = grams.select("gram").distinct()
+def bounded_grams(grams: DataFrame, most: int = SET_WINDOWS, most_bytes: int = SET_BYTES) -> list | None:
+    """The distinct (gram, length, hash, probes) if their number and size are within the bounds, else None."""
+    distinct = grams.select("gram", "length").distinct()
     n, size = distinct.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("gram")), F.lit(0))).first()
-    return [r.gram for r in distinct.collect()] if n <= most and size <= most_bytes else None
+    if n > most or size > most_bytes:
+        return None
+    tokens = F.split("gram", " ")
+    probe = F.least(F.lit(PROBE), F.col("length"))
+    probes = F.transform(F.sequence(F.lit(0), F.col("length") - probe), lambda i: F.xxhash64(F.slice(tokens, i + 1, probe)))
+    return distinct.select("gram", "length", F.xxhash64(tokens).alias("hash"), probes.alias("probes")).collect()
 
 
 def _judged(rows: DataFrame) -> DataFrame:
@@ -112,12 +122,10 @@ def _hits_by_join(rows: DataFrame, grams: DataFrame) -> DataFrame:
     """(row, hits) of ``rows(row, w)`` that have any, by an equi-join on the window texts."""
     lengths = [r.length for r in grams.select("length").distinct().collect()]  # WINDOW numbers at most
     every = [
-        f"transform({_starts_sql(m)}, i -> named_struct('start', i, 'length', {m}, 'gram', {_gram_sql('i', m)}))"
+        f"transform({_starts_sql(m)}, i -> named_struct('start', i, 'length', {m}, 'gram', array_join({_words_sql('i', m)}, ' ')))"
         for m in sorted(lengths)
     ]
-    placed = rows.select("row", F.explode(F.expr(f"concat({', '.join(every)})")).alias("h")) if every else None
-    if placed is None:
-        return rows.select("row", F.expr("CAST(array() AS array<struct<start:int,length:int,gram:string>>)").alias("hits")).limit(0)
+    placed = rows.select("row", F.explode(F.expr(f"concat({', '.join([_NO_HITS, *every])})")).alias("h"))
     known = grams.select(F.col("gram").alias("known")).distinct()
     return (
         placed.join(known, placed["h.gram"] == known["known"], "left_semi")
@@ -135,14 +143,14 @@ def contamination(
     set_windows: int = SET_WINDOWS,
 ) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and hits of each row."""
-    grams = windows(benchmark, window).persist()
+    grams = stage(windows(benchmark, window), "windows")
     listed = bounded_grams(grams, set_windows)
     rows = docs.select(F.col(id_col).alias("doc_id"), once(w=words(text_of(text_col))))
     rows = rows.withColumn("row", F.monotonically_increasing_id())
     if listed is None:
         rows = stage(rows, "words")
         rows = rows.join(_hits_by_join(rows, grams), "row", "left").withColumn(
-            "hits", F.coalesce("hits", F.expr("CAST(array() AS array<struct<start:int,length:int,gram:string>>)"))
+            "hits", F.coalesce("hits", F.expr(_NO_HITS))
         )
     else:
         rows = rows.withColumn("hits", hits_by_set(listed))
