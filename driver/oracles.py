@@ -502,4 +502,15 @@ SQL = {
         SELECT key, epoch_us(ts) AS ts_us FROM kept WHERE ts IS NOT NULL""",
     "stream_secret_scan": f"""WITH {having(a.FILES_PLAIN)}, {MARKERS}, {secret_ctes()}
         SELECT {REPORT_KEYS} FROM secrets UNION ALL SELECT {REPORT_KEYS} FROM markers""",
+    "lossy_decode": f"WITH {having(a.FILES_DECORATED)} SELECT repo_id, path, md5({NL} || content) AS digest FROM files",
+    "advisory_dump": f"WITH {ADV} SELECT DISTINCT * FROM adv",
+    "advisory_snapshot": f"WITH {ADV} SELECT * FROM adv",
+    "registry_snapshot": f"WITH {having(a.REGISTRY, 'reg')} SELECT * FROM reg",
+    "secret_explanations": secret_query(
+        a.FILES_DECORATED,
+        f"""SELECT repo_id, type, file, line,
+          CASE WHEN file_category = 'test' THEN '{rules.EXPLANATIONS["secret/test"][0]}' ELSE '{rules.EXPLANATIONS["secret"][0]}' END AS why,
+          CASE WHEN file_category = 'test' THEN '{rules.EXPLANATIONS["secret/test"][1]}' ELSE '{rules.EXPLANATIONS["secret"][1]}' END AS recommendation FROM secrets""",
+    ),
 }
+SQL["commit_snapshot"] = SQL["commit_health"]

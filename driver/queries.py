@@ -11,7 +11,7 @@ from corpusvitals.operators import (
 )
 from corpusvitals.plans import report
 from corpusvitals.session import stage, work_dir
-from corpusvitals.sources import config
+from corpusvitals.sources import config, files, snapshots
 from corpusvitals.streaming import scan
 from . import adapters as a
 
@@ -365,6 +365,50 @@ def report_json(t):
     return report.as_json(found)
 
 
+# --- sources: the tables through the real readers -----------------------------------------------------
+
+def written(table: DataFrame, label: str, format: str = "parquet") -> str:
+    path = work_dir(table.sparkSession, label)
+    table.write.format(format).save(path)
+    return path
+
+
+def lossy_decode(t):
+    """Texts with stray bytes around them and other line ends."""
+    raw = F.concat(F.lit(b"\xff\r"), F.encode(F.replace("content", F.lit("\n"), F.lit("\r\n")), "UTF-8"), F.lit(b"\xc3"))
+    table = t.files_decorated.select("repo_id", "path", F.lit(0).cast("long").alias("size_bytes"), raw.alias("content"))
+    return files.read_binary_table(table).select("repo_id", "path", F.md5("content").alias("digest"))
+
+
+def advisory_dump(t):
+    """Flat advisories as nested records, written as JSON lines and read back."""
+    record = F.struct(
+        F.col("vuln_id").alias("id"), "severity",
+        F.struct(F.col("db_severity").alias("severity")).alias("database_specific"),
+        F.array(F.struct(F.struct("ecosystem", "name").alias("package"), F.array("version").alias("versions"))).alias("affected"),
+    )
+    path = written(t.advisories.select(F.to_json(record).alias("value")), "dump", "text")
+    return snapshots.read_advisory_dump(t.advisories.sparkSession, path)
+
+
+def snapshot(view, reader):
+    def build(t):
+        table = getattr(t, view)
+        return reader(table.sparkSession, written(table, view))
+
+    return build
+
+
+def commit_snapshot(t):
+    commits = snapshot("commits", snapshots.read_commits)(t)
+    branches = snapshot("branches", snapshots.read_branches)(t)
+    return git.commit_health(t.all_repos, commits, branches)
+
+
+def secret_explanations(t):
+    return secrets.scan_secrets(t.files_decorated).select("repo_id", "type", "file", "line", "why", "recommendation")
+
+
 # --- streams ---------------------------------------------------------------------------------------
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -403,6 +447,11 @@ QUERIES = {
     "file_category_quality": query(category("quality_category")),
     "file_category_security": query(category("security_category")),
     "ignored_paths_anti": query(ignored_paths_anti),
+    "lossy_decode": query(lossy_decode),
+    "advisory_dump": query(advisory_dump),
+    "advisory_snapshot": query(snapshot("advisories", snapshots.read_advisories)),
+    "registry_snapshot": query(snapshot("registry", snapshots.read_registry)),
+    "commit_snapshot": query(commit_snapshot),
     # profile
     "language_profile": query(lambda t: profile.ranked_languages(profile.language_profile(t.listing))),
     "corpus_size": query(corpus_size),
@@ -414,6 +463,7 @@ QUERIES = {
     "secret_input_suppression": query(secret_input_suppression),
     "secret_scan": query(secret_scan("files_decorated")),
     "secret_scan_by_lang": query(secret_scan("files_by_lang")),
+    "secret_explanations": query(secret_explanations),
     "secret_findings_dedup": query(secret_findings_dedup),
     "work_markers": query(work_markers),
     # duplicates
