@@ -325,8 +325,9 @@ def duplicate_blocks(files: DataFrame) -> DataFrame:
     """(repo_id, file, line, file_2, line_2, duplicate_lines, matching): the
     best block of every file pair that has one.
 
-    Listing pairs is the result asked for; expansion joins members to class
-    pairs, with large classes dealt over salts on one side.
+    Listing pairs is the result asked for. Large classes of copies are dealt
+    over salts; members join class pairs by ordinary joins that adaptive
+    execution can split.
     """
     return blocks(staged_files(files))
 

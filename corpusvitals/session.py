@@ -17,6 +17,10 @@ _RECOMMENDED = {
 }
 
 
+#: Folders handed out by this process.
+_made: list[str] = []
+
+
 def build_session(app: str = "corpusvitals", master: str | None = None, **conf) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -35,11 +39,15 @@ def work_dir(spark: SparkSession, label: str) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
-        return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        _made.append(path)
+        return path
     master = spark.conf.get("spark.master", "")
     if not re.fullmatch(r"local(\[[^\]]*\])?", master):
         raise ValueError(f"set spark.checkpoint.dir to a shared folder: master {master!r} has several machines")
-    return os.path.join(tempfile.mkdtemp(prefix="run-"), label)
+    path = os.path.join(tempfile.mkdtemp(prefix="run-"), label)
+    _made.append(path)
+    return path
 
 
 def stage(df: DataFrame, label: str, **options) -> DataFrame:
@@ -53,3 +61,14 @@ def stage(df: DataFrame, label: str, **options) -> DataFrame:
     path = work_dir(spark, label)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_staged(spark: SparkSession) -> int:
+    """Delete the folders that this process was given by ``work_dir`` and say
+    how many; tables read from them are gone, so call it after the last write."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    cleared = 0
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        cleared += path.getFileSystem(conf).delete(path, True)
+    return cleared

@@ -51,6 +51,12 @@ FILES_PLAIN = f"""
 SELECT source AS repo_id, 'src/f' || {_NUMBER} || '.py' AS path, text AS content
 FROM @documents"""
 
+# line ends of three kinds: counts of either sort differ
+FILES_BREAKS = f"""
+SELECT source AS repo_id, 'src/f' || {_NUMBER} || '.py' AS path,
+       replace(replace(text, '. ', chr(12)), ', ', chr(133)) AS content
+FROM @documents"""
+
 # whole corpus grouped so that most duplicated texts share a repository
 FILES_BY_LANG = f"""
 SELECT lang AS repo_id, 'src/f' || {_NUMBER} || '.py' AS path, text AS content

@@ -382,9 +382,10 @@ SQL = {
         FROM files WHERE {EXT} IN {values(rules.LANGUAGE_BY_EXTENSION)} GROUP BY ALL)""",
     "corpus_size": f"""WITH {having(a.FILES_DECORATED)} SELECT repo_id, count(*) AS n_files,
         CAST(sum({nl_count('content')} + CASE WHEN content LIKE '%' || {NL} THEN 0 ELSE 1 END) AS BIGINT) AS n_lines FROM files GROUP BY repo_id""",
-    "line_counts": f"""WITH {having(a.FILES_DECORATED)},
-        n AS (SELECT repo_id, path, {nl_count('content')} + CASE WHEN content LIKE '%' || {NL} THEN 0 ELSE 1 END AS n FROM files)
-        SELECT repo_id, path, n AS n_read, n AS n_split FROM n""",
+    "line_counts": f"""WITH {having(a.FILES_BREAKS)}
+        SELECT repo_id, path, {nl_count('content')} + CASE WHEN content = '' OR content LIKE '%' || {NL} THEN 0 ELSE 1 END AS n_read,
+          length(content) - length(replace(replace(replace(content, {NL}, ''), chr(12), ''), chr(133), ''))
+            + CASE WHEN content = '' OR right(content, 1) IN ({NL}, chr(12), chr(133)) THEN 0 ELSE 1 END AS n_split FROM files""",
     "large_files": f"""WITH {having(a.FILES_DECORATED)}, {LARGE}
         SELECT repo_id, file, severity, lines, threshold, over_percentage FROM large""",
     "placeholder_filter": secret_query(a.FILES_DECORATED, "SELECT repo_id, file, line, type, placeholder FROM judged"),

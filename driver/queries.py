@@ -74,7 +74,7 @@ def ignored_paths_anti(t):
 
 
 def line_counts(t):
-    return t.files_decorated.select(
+    return t.files_breaks.select(
         "repo_id", "path",
         tx.read_line_count(F.col("content")).cast("long").alias("n_read"),
         tx.split_line_count(F.col("content")).cast("long").alias("n_split"),

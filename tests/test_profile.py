@@ -135,3 +135,14 @@ def test_large_limits(spark):
     content = '{"thresholds": {"python": 100000000000000000000000, "css": 3.5, "html": true}}'
     configs = spark.createDataFrame([("r", content)], "repo_id string, content string")
     assert {(r.language_key, r.max_lines) for r in config.configured_thresholds(configs).collect()} == {("python", 2**63 - 1)}
+
+
+def test_staged_tables_can_be_cleared(spark):
+    from corpusvitals import session
+
+    session.clear_staged(spark)
+    session.stage(spark.range(3), "kept")
+    path = session._made[-1]
+    assert spark.read.parquet(path).count() == 3
+    assert session.clear_staged(spark) == 1 and session._made == []
+    assert session.clear_staged(spark) == 0
