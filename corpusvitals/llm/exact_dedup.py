@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusvitals.llm.frames import keep_rows, text_of
+from corpusvitals.session import stage
 
 SALTS = 16
 
@@ -77,7 +78,8 @@ def exact_dedup(
         .agg(F.count("*").alias("copies"))
         .select("*", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
     )
-    return members.join(winners, ["digest", "mark", "chars"]).select(
+    # written, so that the join exchanges both sides and a group of very many rows can be split
+    return members.join(stage(winners, "winners"), ["digest", "mark", "chars"]).select(
         "doc_id",
         "keep_id",
         "group_size",

@@ -123,7 +123,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
     labels = fps.join(linked, "fp", "left").select(
         "fp", F.coalesce("reached", "first").alias("component_id")
     )
-    return rows.join(labels, "fp").select("doc_id", "mark", "fp", "component_id")
+    # written, so that the join exchanges both sides and a fingerprint of very many rows can be split
+    return rows.join(stage(labels, "labels"), "fp").select("doc_id", "mark", "fp", "component_id")
 
 
 def fingerprint_hex(fp):
