@@ -24,20 +24,22 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusvitals.llm.frames import slices, text_of
 from corpusvitals.llm.quality import labelled, remainder
+from corpusvitals.session import stage
 
 #: Labelled rows that training reads at most.
-MOST = 30_000
-FEATURES = 1 << 18
+MOST = 20_000
 #: Chosen features at most, by the test's value; a bound on what comes to the driver.
 MOST_FEATURES = 20_000
 EVIDENCE = 20.0
-BEGINNINGS = (3, 4, 5, 6)
+POSITIVE_WEIGHT = 3.0
+SURE = 0.9
+BEGINNINGS = (4, 5, 6)
 _CACHE = 150_000
 
 # hidden letters that a symbol may stand for
@@ -45,11 +47,11 @@ LOOKALIKES = {
     "0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "(": "c",
 }
-LOOKALIKE_COST, REPEAT_COST, GAP_COST = 1.0, 0.5, 0.3
+LOOKALIKE_COST, REPEAT_COST, SPLIT_COST = 0.5, 0.5, 3.0
 
-# the alphabet: boundary, a-z, the letters of Latin-1, anything else
-BOUNDARY, OTHER = 0, 60
-SYMBOLS = 61
+# the alphabet: boundary, a-z, the letters of Latin-1, other letters, signs that may stand for letters
+BOUNDARY, OTHER, SIGN = 0, 60, 61
+SYMBOLS = 62
 
 
 def _table() -> np.ndarray:
@@ -57,6 +59,7 @@ def _table() -> np.ndarray:
     table[:0xDF] = BOUNDARY
     table[ord("a") : ord("z") + 1] = np.arange(1, 27)
     table[0xDF:0x100] = np.arange(27, 60)
+    table[[*range(ord("0"), ord("9") + 1), *(ord(c) for c in LOOKALIKES if ord(c) < 0x80)]] = SIGN
     return table
 
 
@@ -64,7 +67,7 @@ _TABLE = _table()
 
 
 def codes(text: str) -> np.ndarray:
-    """Symbols of the lower-case text; whatever is no letter bounds words."""
+    """Symbols of the lower-case text; space and punctuation bound words."""
     points = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
     return _TABLE[np.minimum(points, 0x17F)]
 
@@ -136,7 +139,9 @@ def viterbi(lattice: list[list[tuple[str, float]]], model: LanguageModel) -> str
 _RUN = re.compile(r"(.)\1*", re.S)
 _EDGE = ".,;:?\"'()[]{}…«»“”"
 _LETTER = re.compile(r"[^\W\d_]")
+_TWICE = re.compile(r"(.)\1+")
 _THRICE = re.compile(r"([^\W\d_])\1\1")
+_SYMBOL = re.compile(f"[{re.escape(''.join(LOOKALIKES))}]")
 _APART = re.compile(r"^(?:\S[.\-_*·])+\S$")
 #: Three or more single characters set apart by spaces.
 _SPACED = re.compile(r"(?<!\S)(?:\S[ ]){2,}\S(?!\S)")
@@ -149,7 +154,7 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     for match in _RUN.finditer(token):
         char, n = match[1], len(match[0])
         if apart and char in " .-_*·":
-            steps.append([("", GAP_COST), (" ", 0.0)])
+            steps.append([("", 0.0), (" ", SPLIT_COST)])
             continue
         hidden = [(c, LOOKALIKE_COST) for c in LOOKALIKES.get(char, "")] + [(char, 0.0)]
         options = []
@@ -163,61 +168,82 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
 
 def disguised(token: str) -> bool:
     """Whether the lattice of a token has more than its own path."""
+    if token.isalpha():
+        return bool(_THRICE.search(token))
     if not _LETTER.search(token):
         return False
-    return any(c in LOOKALIKES for c in token) or bool(_THRICE.search(token)) or bool(_APART.match(token))
+    return bool(_SYMBOL.search(token) or _THRICE.search(token) or _APART.match(token))
 
 
 def restore_token(token: str, model: LanguageModel) -> str:
     token = token.strip(_EDGE).rstrip("!")
-    return viterbi(lattice(token), model) if token and disguised(token) else token
+    return viterbi(lattice(token), model) if disguised(token) else token
+
+
+def _joined(text: str, model: LanguageModel) -> str:
+    """The lower-case text with letters that spaces set apart put together where that is likelier."""
+    text = text.lower()
+    if _SPACED.search(text):
+        text = _SPACED.sub(lambda m: viterbi(lattice(m[0]), model) if _LETTER.search(m[0]) else m[0], text)
+    return text
 
 
 def restore(text: str, model: LanguageModel) -> str:
     """The lower-case text with disguised tokens restored."""
-    return " ".join(_tokens(text, model, {}))
+    return " ".join(restore_token(token, model) for token in _joined(text, model).split())
 
 
-def _tokens(text: str, model: LanguageModel, known: dict[str, str]) -> list[str]:
-    text = text.lower()
-    if _SPACED.search(text):
-        text = _SPACED.sub(lambda m: viterbi(lattice(m[0]), model) if _LETTER.search(m[0]) else m[0], text)
-    found = []
-    for token in text.split():
-        restored = known.get(token)
-        if restored is None:
-            if len(known) >= _CACHE:
-                known.clear()
-            restored = known[token] = restore_token(token, model)
-        found.append(restored)
-    return found
+def single(word: str) -> str:
+    """A word with each run of a letter as one."""
+    return _TWICE.sub(r"\1", word) if _TWICE.search(word) else word
+
 
+def features(word: str) -> list[str]:
+    """The word without repeated letters, and its beginnings."""
+    return ["~" + single(word), *(word[:n] for n in BEGINNINGS if len(word) >= n)]
 
-def features(word: str) -> list[int]:
-    """Hashes of a word and its beginnings."""
-    parts = ["=" + word, *(word[:n] for n in BEGINNINGS if len(word) >= n)]
-    return [zlib.crc32(p.encode()) % FEATURES for p in parts]
+
+def words_of(text: str, model: LanguageModel, known: dict[str, tuple]) -> set[str]:
+    """Distinct words of the restored text; ``known`` remembers tokens."""
+    words: set[str] = set()
+    for token in set(_joined(text, model).split()):
+        found = known.get(token)
+        if found is None:
+            if len(known) >= _CACHE:
+                known.clear()
+            found = known[token] = tuple(restore_token(token, model).split())
+        words.update(found)
+    return words
 
 
 @dataclass
 class Detector:
+    """Bias and weights of features; only words that begin like one of them are looked at closely."""
+
     model: LanguageModel
     bias: float
-    weights: dict[int, float]
-    _known: dict[str, str] = field(default_factory=dict, repr=False)
-    _chosen: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False)
+    weights: dict[str, float]
+    _known: dict[str, tuple] = field(default_factory=dict, repr=False)
+
+    def __post_init__(self):
+        self._starts = {f.lstrip("~")[: BEGINNINGS[0]] for f in self.weights}
 
-    def active(self, text: str) -> set[int]:
+    def _features_of(self, token: str) -> tuple:
+        words = restore_token(token, self.model).split()
+        n, starts = BEGINNINGS[0], self._starts
+        near = [w for w in words if w[:n] in starts or single(w)[:n] in starts]
+        return tuple(f for w in near for f in features(w) if f in self.weights)
+
+    def active(self, text: str) -> set[str]:
         """Chosen features of the restored text."""
-        active: set[int] = set()
-        chosen = self._chosen
-        for phrase in set(_tokens(text, self.model, self._known)):
-            found = chosen.get(phrase)
+        active: set[str] = set()
+        known = self._known
+        for token in set(_joined(text, self.model).split()):
+            found = known.get(token)
             if found is None:
-                if len(chosen) >= _CACHE:
-                    chosen.clear()
-                found = tuple(f for word in phrase.split() for f in features(word) if f in self.weights)
-                chosen[phrase] = found
+                if len(known) >= _CACHE:
+                    known.clear()
+                found = known[token] = self._features_of(token)
             if found:
                 active.update(found)
         return active
@@ -227,80 +253,100 @@ class Detector:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, margin))))
 
 
-def evidence(positive: np.ndarray, negative: np.ndarray, positives: int, negatives: int) -> np.ndarray:
-    """Twice the log-likelihood ratio of a feature's share among both kinds, signed by direction."""
-    n, share = positive + negative, positives / (positives + negatives)
+def evidence(positives: int, negatives: int) -> Column:
+    """Twice the log-likelihood ratio of a feature's share among both kinds; null where it speaks for the other kind."""
+    share = positives / (positives + negatives)
+    n = F.col("positive") + F.col("negative")
 
-    def part(k, expected):
-        return np.where(k > 0, k * np.log(np.maximum(k, 1e-9) / np.maximum(expected, 1e-9)), 0.0)
+    def part(k: Column, expected: Column) -> Column:
+        return F.when(k > 0, k * F.ln(k / expected)).otherwise(0.0)
 
-    value = 2 * (part(positive, n * share) + part(negative, n * (1 - share)))
-    return np.where(positive > n * share, value, -value)
+    value = 2 * (part(F.col("positive"), n * share) + part(F.col("negative"), n * (1 - share)))
+    return F.when(F.col("positive") > n * share, value)
 
 
-def fit_weights(rows: list[list[int]], labels: list[int], chosen: list[int], steps: int = 300) -> tuple[float, dict[int, float]]:
-    """Logistic regression with a ridge, by accelerated gradient steps over sparse 0/1 rows."""
+def fit_weights(rows: list[list[str]], labels: list[int], chosen: list[str], steps: int = 600) -> tuple[float, dict[str, float]]:
+    """Logistic regression with a ridge and no negative weights, by scaled gradient steps over sparse 0/1 rows."""
     place = {f: i for i, f in enumerate(chosen)}
     row_of = np.array([r for r, fs in enumerate(rows) for _ in fs], np.int64)
     column = np.array([place[f] for fs in rows for f in fs], np.int64)
     y = np.asarray(labels, float)
-    w, v, bias, speed = np.zeros(len(chosen)), np.zeros(len(chosen)), 0.0, 0.0
+    w = np.zeros(len(chosen))
     bias = math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
+    weight = np.where(y > 0, POSITIVE_WEIGHT, 1.0)  # a miss is worse than a false alarm
     seen_w, seen_b = np.full(len(chosen), 1e-8), 1e-8
     for _ in range(steps):
         margin = bias + np.bincount(row_of, w[column], minlength=len(y))
-        slope = 1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y
-        gradient = np.bincount(column, slope[row_of], minlength=len(chosen)) + 0.5 * w
+        slope = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y) * weight
+        gradient = np.bincount(column, slope[row_of], minlength=len(chosen)) + 0.02 * w
         level = slope.sum()
         seen_w = 0.95 * seen_w + 0.05 * gradient**2
         seen_b = 0.95 * seen_b + 0.05 * level**2
-        w = w - 0.05 * gradient / np.sqrt(seen_w)
+        w = np.maximum(w - 0.05 * gradient / np.sqrt(seen_w), 0.0)  # the test chose signs of one kind
         bias -= 0.05 * level / math.sqrt(seen_b)
     return float(bias), {f: float(w[i]) for f, i in place.items()}
 
 
+@F.pandas_udf(T.LongType())
+def likeness(texts: pd.Series) -> pd.Series:
+    """Smallest hash of three words in a row: most changed copies of a text share it."""
+
+    def smallest(text: str) -> int:
+        words = text.lower().split()
+        return min((zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))), default=0)
+
+    return texts.map(smallest).astype("int64")
+
+
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST, id_col: str = "doc_id", text_col: str = "text") -> Detector:
     """Learn ``labels.toxic`` from the rows that are not held out; the language model reads all texts."""
     model = LanguageModel.fit(docs, text_col)
     learn = remainder(F.col("id"), 5) != 0
+    # copies of a text, changed or not, are one observation
     rows = labelled(docs, labels, "toxic", learn, most, id_col, text_col)
+    rows = rows.withColumn("likeness", likeness("text")).dropDuplicates(["y", "likeness"]).select("y", "text")
+    rows = stage(rows, "labelled")
+    kinds = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    positives, negatives = kinds.get(1, 0), sum(n for y, n in kinds.items() if y != 1)
+    if not positives or not negatives:
+        share = positives / (positives + negatives) if positives + negatives else 0.0
+        return Detector(model, math.log((share + 1e-6) / (1 - share + 1e-6)), {})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((2, FEATURES), np.int64)
-        totals, known = [0, 0], {}
+        known: dict[str, tuple] = {}
         for batch in slices(batches):
+            seen: dict[str, list[int]] = {}
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = {w for t in set(_tokens(text, model, known)) for w in t.split()}
-                seen[y, sorted({f for w in words for f in features(w)})] += 1
-                totals[y] += 1
-        found = np.flatnonzero(seen.sum(axis=0))
-        columns = [np.append(found, -1), np.append(seen[1, found], totals[1]), np.append(seen[0, found], totals[0])]
-        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["f", "positive", "negative"])
-
-    counts = (
-        rows.mapInArrow(count, "f long, positive long, negative long")
+                for f in {f for word in words_of(text, model, known) for f in features(word)}:
+                    seen.setdefault(f, [0, 0])[y != 1] += 1
+            columns = [list(seen), [n[0] for n in seen.values()], [n[1] for n in seen.values()]]
+            kinds = [pa.string(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["f", "positive", "negative"])
+
+    ranked = (
+        rows.mapInArrow(count, "f string, positive long, negative long")
         .groupBy("f")
         .agg(F.sum("positive").alias("positive"), F.sum("negative").alias("negative"))
-        .filter("f < 0 OR positive > 2")
-        .toPandas()  # FEATURES + 1 rows at most
+        .withColumn("value", evidence(positives, negatives))
+        .filter(F.col("value") > EVIDENCE)
+        .orderBy(F.desc("value"), "f")
+        .limit(MOST_FEATURES)
+        .collect()
     )
-    total = counts[counts["f"] < 0]
-    positives, negatives = (int(total[c].sum()) for c in ("positive", "negative"))
-    if not positives or not negatives:
-        share = positives / (positives + negatives) if positives + negatives else 0.0
-        return Detector(model, math.log((share + 1e-6) / (1 - share + 1e-6)), {})
-    counts = counts[counts["f"] >= 0]
-    value = evidence(counts["positive"].to_numpy(float), counts["negative"].to_numpy(float), positives, negatives)
-    ranked = counts.assign(value=value).query("value > @EVIDENCE").sort_values(["value", "f"], ascending=[False, True])
-    chosen = ranked["f"].head(MOST_FEATURES).tolist()
+    chosen = [r.f for r in ranked]
     probe = Detector(model, 0.0, dict.fromkeys(chosen, 0.0))
 
     def active(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield pd.DataFrame({"y": frame["y"], "fs": [sorted(probe.active(t)) for t in frame["text"]]})
 
-    found = sorted((list(r.fs), r.y) for r in rows.mapInPandas(active, "y int, fs array<int>").collect())
+    found = sorted((list(r.fs), r.y) for r in rows.mapInPandas(active, "y int, fs array<string>").collect())
     bias, weights = fit_weights([r[0] for r in found], [r[1] for r in found], chosen)
+    # words of toxic texts come together, so each learns a share only: one that is sure must do alone
+    for r in ranked:
+        precision = r.positive / (r.positive + r.negative + 1)
+        if precision >= SURE:
+            weights[r.f] = max(weights[r.f], math.log(precision / (1 - precision)) - bias)
     return Detector(model, bias, weights)
 
 
