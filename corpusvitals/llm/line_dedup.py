@@ -7,8 +7,8 @@ line is indexed under its segments, probes the few substrings that may equal
 a segment of a line as long or slightly shorter, and candidates are verified
 by edit distance, computed bit-parallel in a band of ``2 * max_edits + 1``.
 
-Texts are shuffled once, for the distinct lines; the index holds hashes. Two
-letter counts that differ too much end a candidate inside the join.
+Texts are shuffled once, for the distinct lines; the index holds hashes. Letter
+counts that differ too much end a candidate inside the join.
 
 Defined results: a line is trimmed of white space; blank lines are never
 repeats; lines under ``min_chars`` are equal only to themselves; null texts
@@ -31,7 +31,7 @@ MIN_CHARS = 20
 BROADCAST_IDS = 1_000_000
 
 _SPACE = " \t\r\f\v"
-_COUNTED = "aeinorst"
+_COUNTED = "aeinorstdh"
 
 
 def _line(column: Column) -> Column:
@@ -65,15 +65,18 @@ def index_keys(max_edits: int) -> list[Column]:
     return [_key(i, F.col("n"), *_segment(F.col("n"), i, parts)) for i in range(parts)]
 
 
-def probe_keys(max_edits: int, min_chars: int) -> list[Column]:
-    """Substrings that may equal a segment of a line shorter by 0 to ``max_edits``; null where no such line is joined.
+def probe_keys(max_edits: int, min_chars: int) -> tuple[list[Column], int]:
+    """Substrings that may equal a segment of a line shorter by 0 to
+    ``max_edits``, null where no such line is joined, and how many of them
+    (the first ones) are for lines of equal length.
 
     Before segment ``i`` lie at most ``i`` edits and behind it at most
     ``max_edits - i``, which bounds its shift from either end.
     """
     parts = max_edits + 1
-    keys = []
+    keys, equal = [], 0
     for shorter in range(parts):
+        equal = equal or (len(keys) if shorter else 0)
         length = F.col("n") - shorter
         for i in range(parts):
             start, size = _segment(length, i, parts)
@@ -81,42 +84,40 @@ def probe_keys(max_edits: int, min_chars: int) -> list[Column]:
             high = min(i, shorter + (max_edits - i))
             for shift in range(low, high + 1):
                 keys.append(F.when(length >= min_chars, _key(i, length, start + shift, size)))
-    return keys
+    return keys, equal or len(keys)
 
 
-def _letters(line: Column) -> Column:
-    """Counts of eight letters, a byte each."""
+def with_letters(lines: DataFrame) -> DataFrame:
+    """Add ``letters``: counts of some letters modulo 16, in Gray code of four bits each.
+
+    An edit changes two counts by one at most, and neighbouring codes differ
+    in one bit, so each edit changes two bits at most.
+    """
     packed = F.lit(0).cast("long")
     for i, letter in enumerate(_COUNTED):
-        n = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))).cast("long")
-        packed = packed.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(255)), 8 * i))
-    return packed
-
-
-def _letters_apart(a: Column, b: Column) -> Column:
-    """Sum of the differences; an edit adds 2 at most. Counts are known modulo 256, which can only make it smaller."""
-    total = F.lit(0).cast("long")
-    for i in range(len(_COUNTED)):
-        x, y = (F.shiftright(c, 8 * i).bitwiseAND(F.lit(255)) for c in (a, b))
-        apart = F.abs(x - y)
-        total = total + F.least(apart, 256 - apart)
-    return total
+        n = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(letter), F.lit("")))
+        packed = packed.bitwiseOR(F.shiftleft(n.cast("long").bitwiseAND(F.lit(15)), 4 * i))
+    inner = sum(7 << 4 * i for i in range(len(_COUNTED)))
+    gray = F.col("letters").bitwiseXOR(F.shiftright("letters", 1).bitwiseAND(F.lit(inner)))
+    return lines.withColumn("letters", packed).withColumn("letters", gray)
 
 
 def candidates(lines: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
-    """Distinct (high, low) of ``lines(line_id, line)`` that share a segment."""
+    """Distinct (high, low) of ``lines(line_id, line, letters)`` that share a segment."""
     long_enough = max(min_chars, max_edits + 1)
-    rows = lines.select("line_id", "line", F.char_length("line").alias("n")).filter(F.col("n") >= long_enough)
-    rows = rows.withColumn("letters", _letters(F.col("line")))
-    index = rows.select(F.col("line_id").alias("a"), F.col("letters").alias("la"), F.explode(F.array(*index_keys(max_edits))).alias("key"))
-    probe = rows.select(
-        F.col("line_id").alias("b"),
-        F.col("letters").alias("lb"),
-        F.explode(F.array_distinct(F.array_compact(F.array(*probe_keys(max_edits, long_enough))))).alias("key"),
+    rows = lines.select("line_id", "line", "letters", F.char_length("line").alias("n")).filter(F.col("n") >= long_enough)
+    index = rows.select(
+        F.col("line_id").alias("a"), F.col("letters").alias("la"), F.explode(F.array(*index_keys(max_edits))).alias("key")
     )
-    apart = _letters_apart(F.col("la"), F.col("lb")) <= 2 * max_edits
+    probes, equal = probe_keys(max_edits, long_enough)
+    probe = rows.select(
+        F.col("line_id").alias("b"), F.col("letters").alias("lb"), F.posexplode(F.array(*probes)).alias("at", "key")
+    ).filter("key IS NOT NULL")
+    # of two lines of one length, the one of larger number probes
+    once = (F.col("a") < F.col("b")) | ((F.col("at") >= equal) & (F.col("a") != F.col("b")))
+    apart = F.bit_count(F.col("la").bitwiseXOR(F.col("lb"))) <= 2 * max_edits
     return (
-        index.join(probe, (index["key"] == probe["key"]) & (F.col("a") != F.col("b")) & apart)
+        index.join(probe, (index["key"] == probe["key"]) & once & apart)
         .select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low"))
         .distinct()
     )
@@ -162,6 +163,8 @@ def within(a: str, b: str, max_edits: int) -> Column:
 
 def edit_join(lines: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """Verified pairs (high, low) of line numbers; ``lines(line_id, line)`` are distinct."""
+    if "letters" not in lines.columns:
+        lines = with_letters(lines)
     pairs = stage(candidates(lines, max_edits, min_chars), "candidates")
     ids = pairs.select(F.col("high").alias("line_id")).union(pairs.select("low")).distinct()
     ids = stage(ids, "ids")
@@ -188,7 +191,7 @@ def line_classes(
     """
     lines = distinct_lines(docs, id_col, text_col).withColumn("line_id", F.monotonically_increasing_id())
     spark = docs.sparkSession
-    lines = stage(lines, "lines", compression="zstd")
+    lines = stage(with_letters(lines), "lines", compression="zstd")
     pairs = stage(edit_join(lines, max_edits, min_chars, broadcast_ids), "pairs")
     roots = stage(components(pairs), "roots")
     links = (
