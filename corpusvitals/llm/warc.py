@@ -15,6 +15,7 @@ unless a payload has no others; other columns are ignored.
 
 from base64 import b32encode
 from collections.abc import Iterable, Iterator
+import gzip
 import hashlib
 from urllib.parse import urlsplit
 
@@ -106,8 +107,9 @@ def write_archives(
     time_col: str | None = None,
     min_bytes: int = 0,
     records_per_file: int = RECORDS_PER_FILE,
+    compression: str = "gzip",
 ) -> str:
-    """Write the archives below ``path``. Without ``time_col`` a page's id stands for the second of its capture."""
+    """Write the archives below ``path``, each compressed as a whole (or "none"). Without ``time_col`` a page's id stands for the second of its capture."""
     seconds = F.lit(1_577_836_800) + F.pmod(F.coalesce(F.hash(id_col), F.lit(0)), F.lit(31_536_000))
     rows = pages.select(
         F.col(id_col).alias("page_id"),
@@ -119,6 +121,7 @@ def write_archives(
         records(rows, min_bytes)
         .write.option("lineSep", END)
         .option("maxRecordsPerFile", records_per_file)
+        .option("compression", compression)
         .text(path)
     )
     return path
@@ -171,15 +174,19 @@ def _order(row: tuple) -> tuple:
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """Index entries of all archives below ``path``; each file is a sorted run."""
+    """Index entries of all archives below ``path``; each file is a sorted run.
+
+    Offsets count from the start of the uncompressed archive.
+    """
     schema = INDEX.format(id="long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch.column(0), batch.column(1)):
                 name = file.as_py().rpartition("/")[2]
+                data = gzip.decompress(content.as_py()) if name.endswith(".gz") else content.as_py()
                 entries = sorted(
-                    ((*_entry(headers, block), name, offset, length) for headers, block, offset, length in parse(content.as_py())),
+                    ((*_entry(headers, block), name, offset, length) for headers, block, offset, length in parse(data)),
                     key=_order,
                 )
                 if entries:
@@ -263,4 +270,5 @@ def archive(pages: DataFrame, path: str | None = None, **columns) -> DataFrame:
     """Write the archives, read them back and return the merged index."""
     spark = pages.sparkSession
     path = write_archives(pages, path or work_dir(spark, "warc"), **columns)
-    return merge_runs(read_index(spark, path))
+    # written: the runs are counted, sampled for ranges and dealt out, but the archives read once
+    return merge_runs(stage(read_index(spark, path), "runs"))

@@ -133,7 +133,7 @@ def test_small_payloads_are_all_responses(pages):
 def test_ranges_are_in_order(spark):
     rows = [(i, f"http://hot.example/{i % 3}", f"text {i % 50}") for i in range(600)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    path = warc.write_archives(pages, warc.work_dir(spark, "w"), records_per_file=20)
+    path = warc.write_archives(pages, warc.work_dir(spark, "w"), records_per_file=20, compression="none")
     index = warc.read_index(spark, path)
     merged = warc.merge_runs(index, rows_per_range=50)
     assert merged.rdd.getNumPartitions() == 12
