@@ -19,7 +19,6 @@ other; other columns are ignored by ``line_classes``, kept by
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from corpusvitals.llm.components import components
 from corpusvitals.llm.frames import text_of
@@ -38,14 +37,26 @@ def _line(column: Column) -> Column:
     return F.btrim(column, F.lit(_SPACE))
 
 
-def distinct_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """line, copies, doc_id (the smallest) of each distinct line that is not blank."""
+def _occurrences(docs: DataFrame, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
+    """doc_id and line of each line that is not blank; with ``row_col`` also row, h (hash of the text) and at (from 0)."""
+    text = text_of(text_col)
+    more = [F.col(row_col).alias("row"), F.xxhash64(text).alias("h")] if row_col else []
+    rows = docs.select(F.col(id_col).alias("doc_id"), *more, F.posexplode(F.split(text, "\n")).alias("at", "raw"))
+    names = ["doc_id", *(["row", "h", "at"] if row_col else [])]
+    return rows.select(*names, _line(F.col("raw")).alias("line")).filter("line <> ''")
+
+
+def distinct_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """line, copies, doc_id (the smallest) of each distinct line that is not blank.
+
+    With ``row_col``, the number of each row, also ``first``: its first
+    occurrence by doc_id (nulls last), hash of the text, row and place.
+    """
+    first = [F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "h", "row", "at")).alias("first")] if row_col else []
     return (
-        docs.select(F.col(id_col).alias("doc_id"), F.explode(F.split(text_of(text_col), "\n")).alias("raw"))
-        .select("doc_id", _line(F.col("raw")).alias("line"))
-        .filter("line <> ''")
+        _occurrences(docs, id_col, text_col, row_col)
         .groupBy("line")
-        .agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"))
+        .agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), *first)
     )
 
 
@@ -182,14 +193,18 @@ def line_classes(
     id_col: str = "doc_id",
     text_col: str = "text",
     broadcast_ids: int = BROADCAST_IDS,
+    row_col: str | None = None,
 ) -> DataFrame:
     """One row per distinct line.
 
     line_md5, chars, copies, doc_id (smallest with the line), links (other
     distinct lines within ``max_edits``), class_id (smallest line_md5
     reachable over links) and class_doc_id (smallest doc_id of the class).
+    With ``row_col`` also class_first, the first occurrence in the class as
+    ``distinct_lines`` orders them.
     """
-    lines = distinct_lines(docs, id_col, text_col).withColumn("line_id", F.monotonically_increasing_id())
+    first = ["first"] if row_col else []
+    lines = distinct_lines(docs, id_col, text_col, row_col).withColumn("line_id", F.monotonically_increasing_id())
     spark = docs.sparkSession
     lines = stage(with_letters(lines), "lines", compression="zstd")
     pairs = stage(edit_join(lines, max_edits, min_chars, broadcast_ids), "pairs")
@@ -198,7 +213,7 @@ def line_classes(
         pairs.select(F.col("high").alias("node")).union(pairs.select("low")).groupBy("node").agg(F.count("*").alias("links"))
     )
     rows = lines.select(
-        "line_id", F.md5("line").alias("line_md5"), F.char_length("line").alias("chars"), "copies", "doc_id"
+        "line_id", F.md5("line").alias("line_md5"), F.char_length("line").alias("chars"), "copies", "doc_id", *first
     )
     members = roots.join(links, "node").withColumnRenamed("node", "line_id")
     rows = rows.join(members, "line_id", "left")
@@ -206,31 +221,52 @@ def line_classes(
     alone = rows.filter("root IS NULL").select(
         "line_md5", "chars", "copies", "doc_id", F.lit(0).cast("long").alias("links"),
         F.col("line_md5").alias("class_id"), F.col("doc_id").alias("class_doc_id"),
+        *[F.col(c).alias("class_first") for c in first],
     )
     linked = rows.filter("root IS NOT NULL")
-    classes = linked.groupBy("root").agg(F.min("line_md5").alias("class_id"), F.min("doc_id").alias("class_doc_id"))
-    return alone.union(
-        linked.join(classes, "root").select("line_md5", "chars", "copies", "doc_id", "links", "class_id", "class_doc_id")
+    least = [F.min(c).alias("class_first") for c in first]
+    classes = linked.groupBy("root").agg(F.min("line_md5").alias("class_id"), F.min("doc_id").alias("class_doc_id"), *least)
+    names = ["line_md5", "chars", "copies", "doc_id", "links", "class_id", "class_doc_id", *(["class_first"] if row_col else [])]
+    return alone.union(linked.join(classes, "root").select(*names))
+
+
+def _members(whole: DataFrame, row: str, max_edits: int, min_chars: int, id_col: str, text_col: str, **more) -> DataFrame:
+    """row, at, doc_id, line_md5, class_id, class_doc_id, kept of each line that is not blank."""
+    classes = line_classes(whole, max_edits, min_chars, id_col, text_col, row_col=row, **more)
+    occurrences = _occurrences(whole, id_col, text_col, row).select("row", "at", "doc_id", F.md5("line").alias("line_md5"))
+    kept = (F.col("row") == F.col("class_first.row")) & (F.col("at") == F.col("class_first.at"))
+    return occurrences.join(classes.select("line_md5", "class_id", "class_doc_id", "class_first"), "line_md5").select(
+        "row", "at", "doc_id", "line_md5", "class_id", "class_doc_id", kept.alias("kept")
     )
 
 
-def remove_repeats(docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_members(
+    docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", **more
+) -> DataFrame:
+    """One row per line of each row of ``docs``, without blank lines.
+
+    doc_id, line (its place in the text, from 0), line_md5, class_id,
+    class_doc_id, kept: whether ``remove_repeats`` leaves it. Rows of equal id
+    each give their lines.
+    """
+    row = "__line_row"
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    whole = stage(rows.withColumn(row, F.monotonically_increasing_id()), "whole", compression="zstd")
+    members = _members(whole, row, max_edits, min_chars, "doc_id", "text", **more)
+    return members.select("doc_id", F.col("at").alias("line"), "line_md5", "class_id", "class_doc_id", "kept")
+
+
+def remove_repeats(
+    docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", **more
+) -> DataFrame:
     """``docs`` with each line class kept once: its first line in the document of smallest id.
 
     Rows of equal id are one document in the order of their texts' hashes.
     """
     row, helper = "__line_row", "__line_drops"
     whole = stage(docs.withColumn(row, F.monotonically_increasing_id()), "whole")
-    classes = line_classes(whole, max_edits, min_chars, id_col, text_col)
-    occurrences = whole.select(
-        row, F.col(id_col).alias("doc_id"), F.xxhash64(text_of(text_col)).alias("h"), F.posexplode(F.split(text_of(text_col), "\n")).alias("at", "raw")
-    ).select(row, "doc_id", "h", "at", F.md5(_line(F.col("raw"))).alias("line_md5"))
-    placed = occurrences.join(classes.select("line_md5", "class_id", "class_doc_id"), "line_md5")
-    home = F.col("doc_id").eqNullSafe(F.col("class_doc_id"))
-    first = W.partitionBy("doc_id", "class_id").orderBy("h", row, "at")  # a document's own lines
-    kept = placed.filter(home).withColumn("i", F.row_number().over(first))
-    drops = placed.filter(~home).select(row, "at").union(kept.filter("i > 1").select(row, "at"))
-    drops = drops.groupBy(row).agg(F.collect_list("at").alias(helper))
+    drops = _members(whole, row, max_edits, min_chars, id_col, text_col, **more).filter("NOT kept")
+    drops = drops.groupBy(F.col("row").alias(row)).agg(F.collect_list("at").alias(helper))
     parts = F.split(text_of(text_col), "\n")
     left = F.array_join(F.filter(parts, lambda p, i: ~F.array_contains(F.col(helper), i)), "\n")
     cleaned = F.when(F.col(helper).isNull(), F.col(text_col)).otherwise(left)

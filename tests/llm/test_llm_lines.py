@@ -142,3 +142,26 @@ def test_classes_of_documents(spark, documents):
     some = documents.orderBy(F.length("text"), "doc_id").limit(60)
     docs = [(r.doc_id, r.text) for r in some.collect()]
     assert found_classes(line_dedup.line_classes(some)) == expected_classes(docs)
+
+
+def test_members_of_classes(spark, empty):
+    texts = {1: "a line that is met in three texts\n\nonly here, and never again", 2: "none\na line that is met in three texts", 3: "a line that is met in three text"}
+    rows = [*texts.items(), (3, texts[3]), (None, texts[2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = line_dedup.line_members(docs).collect()
+    classes = {}
+    for r in found:
+        classes.setdefault(r.class_id, []).append((r.doc_id, r.line, r.kept))
+    wanted = [
+        [(1, 0, True), (2, 1, False), (3, 0, False), (3, 0, False), (None, 1, False)],
+        [(1, 2, True)], [(2, 0, True), (None, 0, False)],
+    ]
+    assert sorted(sorted(x, key=str) for x in classes.values()) == sorted(sorted(x, key=str) for x in wanted)
+    assert line_dedup.line_members(empty).collect() == []
+
+
+def test_members_agree_with_removal(spark, documents):
+    some = documents.orderBy(F.length("text"), "doc_id").limit(60)
+    kept = line_dedup.line_members(some).filter("kept").groupBy("doc_id").agg(F.count("*").alias("n")).collect()
+    left = {r.doc_id: sum(bool(x.strip(" \t\r\f\v")) for x in r.text.split("\n")) for r in line_dedup.remove_repeats(some).collect()}
+    assert {r.doc_id: r.n for r in kept} == {d: n for d, n in left.items() if n}
