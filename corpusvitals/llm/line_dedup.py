@@ -7,6 +7,13 @@ line is indexed under its segments, probes the few substrings that may equal
 a segment of a line as long or slightly shorter, and candidates are verified
 by edit distance, computed bit-parallel in a band of ``2 * max_edits + 1``.
 
+Long lines may also differ in words: with ``word_run``, one of R, lines are
+near when the shorter has w words and at most ``(w - R) // (R + 1)`` words
+have to be replaced, added or removed. So few edits leave a run of R words
+whole in both. Of each ``R - GRAM + 1`` words in a row the one of smallest
+hash is chosen, and with the ``GRAM - 1`` words behind it is a key: a shared
+run gives a shared key, wherever it stands, and no pair is lost.
+
 Texts are shuffled once, for the distinct lines; the index holds hashes. Letter
 counts that differ too much end a candidate inside the join.
 
@@ -29,6 +36,11 @@ MIN_CHARS = 20
 #: Up to so many line numbers (8 bytes each) go to the tasks; more are met by a shuffled join.
 BROADCAST_IDS = 1_000_000
 
+#: Of the query: one word edit from 33 words on, two from 50, then one more for each 17.
+WORD_RUN = 16
+#: Words in a key of a long line.
+GRAM = 5
+
 _SPACE = " \t\r\f\v"
 _COUNTED = "aeinorstdh"
 
@@ -172,15 +184,87 @@ def within(a: str, b: str, max_edits: int) -> Column:
     return F.expr(_let("s", f"encode({short}, 'UTF-32')", _let("t", f"encode({long}, 'UTF-32')", sized)))
 
 
+def _words(line: str = "line") -> Column:
+    """The pieces between blanks; letters of scripts without blanks are words of their own."""
+    wide = F.regexp_replace(line, "([\\x{0E00}-\\x{0EFF}\\x{1000}-\\x{109F}\\x{1780}-\\x{17FF}\\x{2E80}-\\x{D7FF}\\x{F900}-\\x{FAFF}\\x{20000}-\\x{3FFFF}])", " $1 ")
+    # such letters have three bytes or more
+    spaced = F.when(F.octet_length(line) > F.char_length(line) + 1, wide).otherwise(F.col(line))
+    return F.filter(F.split(spaced, "[ \\t\\r\\f\\x0B]+"), lambda w: w != "")
+
+
+def word_edits(words: Column, word_run: int) -> Column:
+    return F.greatest(F.floor((words - word_run) / (word_run + 1)), F.lit(0)).cast("int")
+
+
+def _run_keys(word_run: int) -> Column:
+    """(key, at) of the chosen words of ``words``; the last 24 bits of a mark are the word's place."""
+    marks = F.transform("words", lambda w, i: F.xxhash64(w).bitwiseAND(F.lit(~0xFFFFFF)).bitwiseOR(i.cast("long")))
+    size, have = word_run - GRAM + 1, 1
+    least = marks
+    while have < size:  # the smallest of ``have`` marks in a row, for each place
+        step = min(have, size - have)
+        # beyond the last whole run there is null, which ``least`` skips
+        least = F.transform(F.array(least), lambda m, step=step: F.zip_with(m, F.slice(m, step + 1, F.size(m)), lambda x, y: F.least(x, y)))[0]
+        have += step
+    # shorter lines have no word edit
+    whole = F.slice(least, 1, F.when(F.col("w") > 2 * word_run, F.col("w") - word_run + 1).otherwise(0))
+    place = lambda m: m.bitwiseAND(F.lit(0xFFFFFF)).cast("int")
+    return F.transform(
+        F.array_distinct(whole), lambda m: F.struct(F.xxhash64(F.slice("words", place(m) + 1, GRAM)).alias("key"), place(m).alias("at"))
+    )
+
+
+def long_candidates(lines: DataFrame, word_run: int) -> DataFrame:
+    """Distinct (high, low) of ``lines(line_id, line)`` that share a run of words near one place."""
+    # n words have n - 1 blanks between them, unless their letters are words
+    rows = lines.filter(F.char_length("line") > 2 * word_run).select("line_id", _words().alias("words")).withColumn("w", F.size("words"))
+    rows = rows.select("line_id", "w", F.explode(_run_keys(word_run)).alias("k"))
+    rows = rows.select("line_id", "w", "k.key", "k.at")
+    one, two = (rows.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("line_id", "w", "at")]) for side in "xy")
+    edits = word_edits(F.least("w_x", "w_y"), word_run)
+    close = (F.abs(F.col("w_x") - F.col("w_y")) <= edits) & (F.abs(F.col("at_x") - F.col("at_y")) <= edits) & (edits > 0)
+    return (
+        one.join(two, "key").filter((F.col("line_id_x") > F.col("line_id_y")) & close)
+        .select(F.col("line_id_x").alias("high"), F.col("line_id_y").alias("low"))
+        .distinct()
+    )
+
+
+def _coded() -> Column:
+    """``words`` as a text of two letters a word, the first and second ones from separate planes: 38 bits of its hash."""
+
+    def code(w: Column, of: int) -> Column:
+        bits = F.shiftrightunsigned(F.xxhash64(w), 19 * of).bitwiseAND(F.lit(0x7FFFF))
+        return F.lpad(F.hex(bits + (0x10000 + of * 0x80000)), 8, "0")
+
+    return F.decode(F.unhex(F.array_join(F.transform("words", lambda w: F.concat(code(w, 0), code(w, 1))), "")), "UTF-32")
+
+
+def word_join(lines: DataFrame, word_run: int, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """Verified pairs (high, low) of lines within the word edits of the shorter one."""
+    pairs = stage(long_candidates(lines, word_run), "long-candidates")
+    texts = _texts(lines, pairs, broadcast_ids).select("line_id", _words().alias("words"))
+    texts = stage(texts.select("line_id", F.size("words").alias("w"), _coded().alias("line")), "coded")
+    one, two = (texts.select(F.col("line_id").alias(c), F.col("line").alias(x), F.col("w").alias(f"w_{x}")) for c, x in (("high", "x"), ("low", "y")))
+    edits = word_edits(F.least("w_x", "w_y"), word_run)
+    # a word is two letters, so each of its edits counts twice
+    both = pairs.join(one, "high").join(two, "low").withColumn("most", 2 * edits)
+    return both.filter(F.expr("levenshtein(x, y, most) >= 0")).select("high", "low")
+
+
+def _texts(lines: DataFrame, pairs: DataFrame, broadcast_ids: int) -> DataFrame:
+    ids = pairs.select(F.col("high").alias("line_id")).union(pairs.select("low")).distinct()
+    ids = stage(ids, "ids")
+    few = ids.count() <= broadcast_ids
+    return lines.select("line_id", "line").join(F.broadcast(ids) if few else ids, "line_id")
+
+
 def edit_join(lines: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """Verified pairs (high, low) of line numbers; ``lines(line_id, line)`` are distinct."""
     if "letters" not in lines.columns:
         lines = with_letters(lines)
     pairs = stage(candidates(lines, max_edits, min_chars), "candidates")
-    ids = pairs.select(F.col("high").alias("line_id")).union(pairs.select("low")).distinct()
-    ids = stage(ids, "ids")
-    few = ids.count() <= broadcast_ids
-    texts = stage(lines.select("line_id", "line").join(F.broadcast(ids) if few else ids, "line_id"), "texts")
+    texts = stage(_texts(lines, pairs, broadcast_ids), "texts")
     one = texts.select(F.col("line_id").alias("high"), F.col("line").alias("x"))
     two = texts.select(F.col("line_id").alias("low"), F.col("line").alias("y"))
     return pairs.join(one, "high").join(two, "low").filter(within("x", "y", max_edits)).select("high", "low")
@@ -194,11 +278,12 @@ def line_classes(
     text_col: str = "text",
     broadcast_ids: int = BROADCAST_IDS,
     row_col: str | None = None,
+    word_run: int | None = None,
 ) -> DataFrame:
     """One row per distinct line.
 
     line_md5, chars, copies, doc_id (smallest with the line), links (other
-    distinct lines within ``max_edits``), class_id (smallest line_md5
+    distinct lines within ``max_edits``, or the word edits of ``word_run``), class_id (smallest line_md5
     reachable over links) and class_doc_id (smallest doc_id of the class).
     With ``row_col`` also class_first, the first occurrence in the class as
     ``distinct_lines`` orders them.
@@ -207,7 +292,10 @@ def line_classes(
     lines = distinct_lines(docs, id_col, text_col, row_col).withColumn("line_id", F.monotonically_increasing_id())
     spark = docs.sparkSession
     lines = stage(with_letters(lines), "lines", compression="zstd")
-    pairs = stage(edit_join(lines, max_edits, min_chars, broadcast_ids), "pairs")
+    pairs = edit_join(lines, max_edits, min_chars, broadcast_ids)
+    if word_run:
+        pairs = pairs.union(word_join(lines, word_run, broadcast_ids)).distinct()
+    pairs = stage(pairs, "pairs")
     roots = stage(components(pairs), "roots")
     links = (
         pairs.select(F.col("high").alias("node")).union(pairs.select("low")).groupBy("node").agg(F.count("*").alias("links"))

@@ -47,11 +47,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_classes(_table(spark, sf_dir, "documents"))
+    return line_dedup.line_classes(_table(spark, sf_dir, "documents"), word_run=line_dedup.WORD_RUN)
 
 
 def op7_line_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_members(_table(spark, sf_dir, "documents"))
+    return line_dedup.line_members(_table(spark, sf_dir, "documents"), word_run=line_dedup.WORD_RUN)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -165,3 +165,30 @@ def test_members_agree_with_removal(spark, documents):
     kept = line_dedup.line_members(some).filter("kept").groupBy("doc_id").agg(F.count("*").alias("n")).collect()
     left = {r.doc_id: sum(bool(x.strip(" \t\r\f\v")) for x in r.text.split("\n")) for r in line_dedup.remove_repeats(some).collect()}
     assert {r.doc_id: r.n for r in kept} == {d: n for d, n in left.items() if n}
+
+
+def test_words_replaced_in_long_lines(spark):
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 9))) for _ in range(60)] + ["字", "😀"]
+    lines = set()
+    for size in (30, 32, 33, 34, 49, 50, 51, 52, 70, 120):
+        base = [rng.choice(vocabulary) for _ in range(size)]
+        lines.add(" ".join(base))
+        for edits in (1, 1, 2, 3, 4, 6, 7):
+            words = list(base)
+            for _ in range(edits):
+                at = rng.randrange(len(words))
+                words[at : at + rng.randrange(2)] = [rng.choice(vocabulary)] * rng.randrange(2)
+            lines.add(" ".join(words))
+    lines = sorted(lines)
+    df = spark.createDataFrame(list(enumerate(lines)), "line_id long, line string")
+    words = [x.split(" ") for x in lines]
+    wanted = {
+        (i, j) for i in range(len(lines)) for j in range(i)
+        if (most := (min(len(words[i]), len(words[j])) - 16) // 17) > 0 and distance(words[i], words[j]) <= most
+    }
+    rows = line_dedup.word_join(df, 16).collect()
+    assert len(wanted) > 20 and sorted((r.high, r.low) for r in rows) == sorted(wanted)
+    far = {(i, j) for i, j in wanted if distance(lines[i], lines[j]) > 2}
+    docs = spark.createDataFrame([(i, lines[i]) for i in sorted(far)[0]], "doc_id long, text string")
+    assert len({r.class_id for r in line_dedup.line_classes(docs, word_run=16).collect()}) == 1
