@@ -7,6 +7,11 @@ line is indexed under its segments, probes the few substrings that may equal
 a segment of a line as long or slightly shorter, and candidates are verified
 by edit distance, computed bit-parallel in a band of ``2 * max_edits + 1``.
 
+Shorter lines, from ``short_chars`` to under ``min_chars``, are near within
+one edit: both without the letter in one place are equal, or the longer
+without one letter is the shorter. Those are the keys, so only pairs of the
+result meet.
+
 Long lines may also differ in words: with ``word_run``, one of R, lines are
 near when the shorter has w words and at most ``(w - R) // (R + 1)`` words
 have to be replaced, added or removed. So few edits leave a run of R words
@@ -36,6 +41,10 @@ MIN_CHARS = 20
 #: Up to so many line numbers (8 bytes each) go to the tasks; more are met by a shuffled join.
 BROADCAST_IDS = 1_000_000
 
+#: Of the query: in a line of one or two characters an edit replaces half of it or more.
+SHORT_CHARS = 3
+#: Of the query: two edits from so many characters on, one below.
+TWO_EDITS_CHARS = 12
 #: Of the query: one word edit from 33 words on, two from 50, then one more for each 17.
 WORD_RUN = 16
 #: Words in a key of a long line.
@@ -259,6 +268,30 @@ def _texts(lines: DataFrame, pairs: DataFrame, broadcast_ids: int) -> DataFrame:
     return lines.select("line_id", "line").join(F.broadcast(ids) if few else ids, "line_id")
 
 
+def short_join(lines: DataFrame, short_chars: int, min_chars: int) -> DataFrame:
+    """Verified pairs (high, low) of lines within one edit, the shorter of ``short_chars`` to under ``min_chars`` characters."""
+    rows = lines.select("line_id", "line", F.char_length("line").alias("n")).filter(F.col("n").between(short_chars, min_chars))
+
+    def without(i: Column) -> Column:
+        return F.concat(F.left("line", i), F.substring("line", i + 2, F.col("n")))
+
+    places = F.sequence(F.lit(0), F.col("n") - 1)
+    gaps = rows.filter(F.col("n") < min_chars).select(
+        "line_id", "line", F.explode(F.transform(places, lambda i: F.xxhash64(i, F.col("n"), without(i)))).alias("key")
+    )
+    cut = rows.select("line_id", "line", F.explode(F.array_distinct(F.transform(places, lambda i: F.xxhash64(without(i))))).alias("key"))
+    whole = rows.filter(F.col("n") < min_chars).select("line_id", "line", F.xxhash64("line").alias("key"))
+
+    def side(df: DataFrame, end: str) -> DataFrame:
+        return df.select("key", F.col("line_id").alias(f"id_{end}"), F.col("line").alias(end))
+
+    replaced = side(gaps, "x").join(side(gaps, "y"), "key").filter("id_x > id_y")
+    removed = side(cut, "x").join(side(whole, "y"), "key")
+    both = replaced.union(removed).filter(F.expr("id_x <> id_y AND levenshtein(x, y) <= 1"))
+    # two lines of equal length meet in one place only, others in one cut only
+    return both.select(F.greatest("id_x", "id_y").alias("high"), F.least("id_x", "id_y").alias("low"))
+
+
 def edit_join(lines: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """Verified pairs (high, low) of line numbers; ``lines(line_id, line)`` are distinct."""
     if "letters" not in lines.columns:
@@ -279,11 +312,13 @@ def line_classes(
     broadcast_ids: int = BROADCAST_IDS,
     row_col: str | None = None,
     word_run: int | None = None,
+    short_chars: int | None = None,
 ) -> DataFrame:
     """One row per distinct line.
 
     line_md5, chars, copies, doc_id (smallest with the line), links (other
-    distinct lines within ``max_edits``, or the word edits of ``word_run``), class_id (smallest line_md5
+    distinct lines within ``max_edits``, the word edits of ``word_run``,
+    or one edit from ``short_chars`` characters on), class_id (smallest line_md5
     reachable over links) and class_doc_id (smallest doc_id of the class).
     With ``row_col`` also class_first, the first occurrence in the class as
     ``distinct_lines`` orders them.
@@ -293,6 +328,8 @@ def line_classes(
     spark = docs.sparkSession
     lines = stage(with_letters(lines), "lines", compression="zstd")
     pairs = edit_join(lines, max_edits, min_chars, broadcast_ids)
+    if short_chars:  # pairs whose shorter line is under ``min_chars`` are no others
+        pairs = pairs.union(short_join(lines, short_chars, min_chars))
     if word_run:
         pairs = pairs.union(word_join(lines, word_run, broadcast_ids)).distinct()
     pairs = stage(pairs, "pairs")

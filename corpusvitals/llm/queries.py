@@ -46,12 +46,16 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
 
 
+# every length of line has a threshold of its own
+_LINES = {"min_chars": line_dedup.TWO_EDITS_CHARS, "word_run": line_dedup.WORD_RUN, "short_chars": line_dedup.SHORT_CHARS}
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_classes(_table(spark, sf_dir, "documents"), word_run=line_dedup.WORD_RUN)
+    return line_dedup.line_classes(_table(spark, sf_dir, "documents"), **_LINES)
 
 
 def op7_line_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_members(_table(spark, sf_dir, "documents"), word_run=line_dedup.WORD_RUN)
+    return line_dedup.line_members(_table(spark, sf_dir, "documents"), **_LINES)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

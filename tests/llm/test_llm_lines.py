@@ -192,3 +192,22 @@ def test_words_replaced_in_long_lines(spark):
     far = {(i, j) for i, j in wanted if distance(lines[i], lines[j]) > 2}
     docs = spark.createDataFrame([(i, lines[i]) for i in sorted(far)[0]], "doc_id long, text string")
     assert len({r.class_id for r in line_dedup.line_classes(docs, word_run=16).collect()}) == 1
+
+
+def test_short_lines_are_joined(spark):
+    rng = random.Random(17)
+    lines = {"Der, eingeä erer.", "Der eingeä erer.", "a", "b", "ab", "abc", "aab", "aaab", "aaa", "x" * 19, "x" * 20, "x" * 21, "😀😀é"}
+    for size in (2, 3, 4, 5, 9, 18, 19, 20):
+        base = "".join(rng.choice("abé") for _ in range(size))
+        lines |= {base, *(mutated(rng, base, rng.randrange(1, 3)) for _ in range(5))}
+    lines = sorted(x for x in lines if x)
+    wanted = {p for p in brute(lines, 1, 3) if min(map(len, p)) < 20}
+    df = spark.createDataFrame(list(enumerate(lines)), "line_id long, line string")
+    rows = line_dedup.short_join(df, 3, 20).collect()
+    assert {frozenset((lines[r.high], lines[r.low])) for r in rows} == wanted and len(rows) == len(wanted)
+    docs = spark.createDataFrame([(1, "Der, eingeä erer."), (2, "Der eingeä erer.")], "doc_id long, text string")
+    found = line_dedup.line_classes(docs, short_chars=3).collect()
+    assert [(r.links, r.class_doc_id) for r in found] == [(1, 1), (1, 1)]
+    docs = spark.createDataFrame([(1, "Enüstach | ereraube."), (2, "Enüstach ereraube.")], "doc_id long, text string")
+    found = line_dedup.line_classes(docs, min_chars=12, short_chars=3).collect()
+    assert [(r.links, r.class_doc_id) for r in found] == [(1, 1), (1, 1)]
