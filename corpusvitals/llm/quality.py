@@ -170,7 +170,7 @@ def remainder(id_column: Column, parts: int) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: int, id_col: str, text_col: str) -> DataFrame:
-    """(y, text) of at most ``most`` labelled rows, chosen by the hash of the id."""
+    """(id, y, text) of the rows of at most ``most`` labelled ids, chosen by the hash of the id."""
     chosen = (
         labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y"))
         .filter(F.col("y").isNotNull() & F.col("id").isNotNull() & learn)
@@ -180,7 +180,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most
         .limit(most)
     )
     texts = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    return texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("y", "text")  # ``most`` rows
+    return texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("id", "y", "text")  # ``most`` ids
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST, id_col: str = "doc_id", text_col: str = "text") -> Machine:
@@ -193,7 +193,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST, id_col: str = "d
             yield pd.DataFrame({"y": frame["y"], "words": [w for w, _ in found], "statistics": [s for _, s in found]})
 
     learn = remainder(F.col("id"), 3) != 1
-    rows = labelled(docs, labels, "quality", learn, most, id_col, text_col).mapInPandas(run, schema).collect()
+    rows = labelled(docs, labels, "quality", learn, most, id_col, text_col)
+    # of the rows of one id, the text of smallest hash; each task keeps one, so a repeated id gathers nowhere
+    rows = rows.groupBy("id").agg(F.first("y").alias("y"), F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least"))
+    rows = rows.select("y", "least.text").mapInPandas(run, schema).collect()
     # the same rows in any order give the same machine
     rows = sorted((list(r.words), list(r.statistics), r.y) for r in rows)
     return fit([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows])

@@ -128,3 +128,14 @@ def test_trigrams_cover_all_texts(spark, nasty):
     s = toxicity.SYMBOLS
     got = {(r.gram // s // s, r.gram // s % s, r.gram % s): r.n for r in toxicity.trigram_counts(nasty).collect()}
     assert got == wanted
+
+
+def test_one_row_of_a_repeated_id_is_learnt(spark, monkeypatch):
+    rows = [(i, f"a text of number {i}") for i in range(12)] + [(i % 12, f"another text {i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int")
+    learnt = []
+    monkeypatch.setattr(quality, "fit", lambda words, statistics, ys: learnt.append(ys))
+    quality.train(docs, labels)
+    quality.train(docs.dropDuplicates(["doc_id"]), labels)
+    assert len(learnt[0]) == len(learnt[1]) > 1
