@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusvitals.llm import bpe, chat, decontaminate, exact_dedup, line_dedup, quality, repetition, shards, simhash, toxicity, warc
+from corpusvitals.llm import alignment, bpe, chat, decontaminate, exact_dedup, line_dedup, quality, repetition, shards, simhash, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return alignment.align(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op13_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.apply_rules(_table(spark, sf_dir, "documents")).drop("spans")
 
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_chat": op9_chat,
     "op10_warc": op10_warc,
+    "op12_align": op12_align,
     "op13_rules": op13_rules,
 }
 
