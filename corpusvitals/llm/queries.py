@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusvitals.llm import alignment, bpe, chat, decontaminate, exact_dedup, line_dedup, quality, repetition, shards, simhash, toxicity, warc
+from corpusvitals.llm import alignment, bpe, chat, decontaminate, exact_dedup, line_dedup, quality, repetition, shards, simhash, toxicity, variants, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(_table(spark, sf_dir, "documents"), noise=199)
+
+
 def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return alignment.align(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
@@ -97,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_chat": op9_chat,
     "op10_warc": op10_warc,
+    "op11_variants": op11_variants,
     "op12_align": op12_align,
     "op13_rules": op13_rules,
 }
@@ -195,7 +200,30 @@ SELECT page_id, octet_length(encode(html)) AS payload_bytes, {_BASE32} AS payloa
     CASE WHEN page_id = min(page_id) OVER w THEN NULL ELSE min(page_id) OVER w END AS refers_to
 FROM p WINDOW w AS (PARTITION BY html)"""
 
+_OP11 = f"""
+WITH RECURSIVE c AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n::BIGINT, [1, 2, 3, 4, 5, 6, 7, 8]::BIGINT[]),
+    lambda a, x: CASE WHEN a & 1 = 1 THEN xor(3988292384::BIGINT, a >> 1) ELSE a >> 1 END)) AS crc),
+r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(unnest(regexp_extract_all(coalesce(text, ''),
+    '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+d AS (SELECT run, hex(encode(id || ':' || run)) AS h, count(*) AS k FROM r WHERE length(run) >= 6 GROUP BY ALL),
+m AS (SELECT run, k, xor(4294967295, {_CHECKSUM}) AS h FROM d, c),
+w AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word,
+    CAST(sum(k) AS BIGINT) AS n FROM m GROUP BY 1 HAVING sum(k) >= 5 AND length(word) >= 6),
+x AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+    FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (SELECT a.word, b.word AS other, b.n FROM x a JOIN x b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+    UNION SELECT x.word, w.word, w.n FROM x JOIN w ON x.rest = w.word
+    UNION SELECT w.word, x.word, x.n FROM x JOIN w ON x.rest = w.word),
+b AS (SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, other) AS best, max(n) AS best_n FROM p GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 5 * w.n THEN best END AS form,
+    CASE WHEN best_n >= 5 * w.n THEN best_n END AS form_n FROM w LEFT JOIN b USING (word)),
+s AS (SELECT word, form AS root FROM f WHERE form IS NOT NULL
+    UNION ALL SELECT s.word, f.form FROM s JOIN f ON s.root = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, coalesce(e.root, f.word) AS root, f.n, f.n_near, f.form_n FROM f
+LEFT JOIN (SELECT s.word, s.root FROM s JOIN f ON s.root = f.word WHERE f.form IS NULL) e ON e.word = f.word"""
+
 SQL: dict[str, str] = {
+    "op11_variants": _OP11,
     "op2_shards": _OP2,
     "op9_chat": _OP9,
     "op5_exact_dedup": _OP5,
