@@ -4,6 +4,7 @@ import os
 import re
 import tempfile
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,8 +18,8 @@ _RECOMMENDED = {
 }
 
 
-#: Folders handed out by this process.
-_made: list[str] = []
+#: Written folders of each Spark application, for ``clear_staged``.
+_written: dict[str, list[str]] = {}
 
 
 def build_session(app: str = "corpusvitals", master: str | None = None, **conf) -> SparkSession:
@@ -39,17 +40,30 @@ def work_dir(spark: SparkSession, label: str) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
-        path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-        _made.append(path)
-        return path
+        return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     master = spark.conf.get("spark.master", "")
     if not re.fullmatch(r"local(\[[^\]]*\])?", master):
         raise ValueError(f"set spark.checkpoint.dir to a shared folder: master {master!r} has several machines")
-    path = os.path.join(tempfile.mkdtemp(prefix="run-"), label)
-    _made.append(path)
+    return os.path.join(tempfile.mkdtemp(prefix="run-"), label)
+
+
+def track(spark: SparkSession, path: str) -> str:
+    """Have ``clear_staged`` delete a folder, once it is written."""
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return path
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """The path and its file system, as Spark's readers see them."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    found, system = hadoop_path(spark, path)
+    return system.exists(found)
+
+
 def stage(df: DataFrame, label: str, **options) -> DataFrame:
     """Write an intermediate table and read it back.
 
@@ -60,15 +74,23 @@ def stage(df: DataFrame, label: str, **options) -> DataFrame:
     spark = df.sparkSession
     path = work_dir(spark, label)
     df.write.options(**options).parquet(path)
+    track(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def clear_staged(spark: SparkSession) -> int:
-    """Delete the folders that this process was given by ``work_dir`` and say
-    how many; tables read from them are gone, so call it after the last write."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    cleared = 0
-    while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
-        cleared += path.getFileSystem(conf).delete(path, True)
+    """Delete the folders that this session has written with ``stage`` or
+    named to ``track``, and say how many; tables read from them are gone, so
+    call it after the last write. A folder that cannot be deleted stays named
+    for the next call."""
+    cleared, left = 0, []
+    for path in _written.pop(spark.sparkContext.applicationId, []):
+        try:
+            found, system = hadoop_path(spark, path)
+            cleared += system.delete(found, True)
+        except Exception as fault:
+            warnings.warn(f"{path} was not deleted: {fault}")
+            left.append(path)
+    for path in left:
+        track(spark, path)
     return cleared

@@ -8,7 +8,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusvitals.session import work_dir
+from corpusvitals.session import exists, track, work_dir
 
 
 def lit(text: str) -> str:
@@ -277,13 +277,13 @@ def _spread_out(spark: SparkSession, path: str) -> str:
     """A table in one single file is one task for whatever reads it, so it
     is rewritten once per session into a file per core."""
     key = (spark.sparkContext.applicationId, path)
-    if key not in _spread:
+    if key not in _spread or not exists(spark, _spread[key]):  # the copy may have been cleared
         table = spark.read.parquet(path)
         _spread[key] = path
         if len(table.inputFiles()) == 1:
-            _spread[key] = work_dir(spark, "spread")
-            cores = spark.sparkContext.defaultParallelism
-            table.repartition(cores, "doc_id").write.parquet(_spread[key])
+            copy = work_dir(spark, "spread")
+            table.repartition(spark.sparkContext.defaultParallelism).write.parquet(copy)
+            _spread[key] = track(spark, copy)
     return _spread[key]
 
 

@@ -503,6 +503,12 @@ SQL = {
         SELECT key, epoch_us(ts) AS ts_us FROM kept WHERE ts IS NOT NULL""",
     "stream_secret_scan": f"""WITH {having(a.FILES_PLAIN)}, {MARKERS}, {secret_ctes()}
         SELECT {REPORT_KEYS} FROM secrets UNION ALL SELECT {REPORT_KEYS} FROM markers""",
+    "stream_changed_files": f"""WITH dec AS ({for_duckdb(a.FILES_DECORATED)}),
+        files AS (SELECT repo_id, path, CASE WHEN CAST(regexp_extract(path, 'f([0-9]+)', 1) AS INT) % 3 = 0
+            THEN string_split(content, {NL})[1] ELSE content END AS content FROM dec), {MARKERS}, {secret_ctes()}
+        SELECT {REPORT_KEYS} FROM secrets UNION SELECT {REPORT_KEYS} FROM markers""",
+    "stream_first_in_window": f"""SELECT key, epoch_us(ts) // 86400000000 * 86400000000 AS window_us, min(epoch_us(ts)) AS ts_us
+        FROM ({for_duckdb(a.LOOKUPS)}) GROUP BY 1, 2""",
     "lossy_decode": f"WITH {having(a.FILES_DECORATED)} SELECT repo_id, path, md5({NL} || content) AS digest FROM files",
     "advisory_dump": f"WITH {ADV} SELECT DISTINCT * FROM adv",
     "advisory_snapshot": f"WITH {ADV} SELECT * FROM adv",

@@ -10,7 +10,7 @@ from corpusvitals.operators import (
     scores, scripts, secrets,
 )
 from corpusvitals.plans import report
-from corpusvitals.session import stage, work_dir
+from corpusvitals.session import stage, track, work_dir
 from corpusvitals.sources import config, files, snapshots
 from corpusvitals.streaming import scan
 from . import adapters as a
@@ -370,7 +370,7 @@ def report_json(t):
 def written(table: DataFrame, label: str, format: str = "parquet") -> str:
     path = work_dir(table.sparkSession, label)
     table.write.format(format).save(path)
-    return path
+    return track(table.sparkSession, path)
 
 
 def lossy_decode(t):
@@ -415,27 +415,58 @@ DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
-def stream_secret_scan(spark, sf_dir):
-    """The documents as a file stream, through to the written findings."""
-    docs = scan.read_new_files(spark, sf_dir, DOCUMENTS, pathGlobFilter="documents.parquet")
-    files = docs.select(
+def document_files(docs):
+    return docs.select(
         F.col("source").alias("repo_id"),
         F.concat(F.lit("src/f"), F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit(".py")).alias("path"),
         F.col("text").alias("content"),
     )
+
+
+def stream_secret_scan(spark, sf_dir):
+    """The documents as a file stream, through to the written findings."""
+    docs = scan.read_new_files(spark, f"{sf_dir}/documents.parquet", DOCUMENTS)
     out = work_dir(spark, "stream-findings")
-    scan.scan_new_files(files, out, work_dir(spark, "stream-state")).awaitTermination()
-    return spark.read.parquet(out).select(*REPORT_KEYS)
+    scan.scan_new_files(document_files(docs), out, work_dir(spark, "stream-state")).awaitTermination()
+    return scan.read_findings(spark, track(spark, out)).select(*REPORT_KEYS)
+
+
+def stream_changed_files(t):
+    """Files that come as decorated texts and, one in three, again as plain
+    ones: later versions in an earlier batch for one half of them."""
+    files = t.files_decorated
+    spark = files.sparkSession
+    number = F.regexp_extract("path", "f([0-9]+)", 1).cast("int")
+    third, early = number % 3 == 0, number % 2 == 0
+    plain = files.where(third).withColumn("content", F.substring_index("content", "\n", 1)).withColumn("version", F.lit(2).cast("long"))
+    versions = files.withColumn("version", F.lit(1).cast("long")).unionByName(plain)
+    incoming = track(spark, work_dir(spark, "stream-in"))
+    for part, first in enumerate((True, False)):
+        now = F.when(F.col("version") == 1, ~early).otherwise(early)
+        versions.where(now if first else ~now).write.parquet(f"{incoming}/{part}")
+    schema = "repo_id string, path string, content string, version long"
+    stream = scan.read_new_files(spark, f"{incoming}/*", schema, maxFilesPerTrigger=5)
+    out = work_dir(spark, "stream-current")
+    scan.scan_changed_files(stream, out, work_dir(spark, "stream-state")).awaitTermination()
+    return scan.current_findings(spark, track(spark, out)).select(*REPORT_KEYS)
+
+
+def event_lookups(spark, sf_dir):
+    events = scan.read_new_files(spark, f"{sf_dir}/events.parquet", EVENTS)
+    return events.where("event_type = 'purchase'").select(F.col("user_id").cast("string").alias("key"), "ts")
 
 
 def stream_lookup_dedup(spark, sf_dir):
-    events = scan.read_new_files(spark, sf_dir, EVENTS, pathGlobFilter="events.parquet")
-    lookups = events.where("event_type = 'purchase'").select(
-        F.col("user_id").cast("string").alias("key"), "ts"
-    )
     out = work_dir(spark, "stream-lookups")
-    scan.write_new_lookups(lookups, out, work_dir(spark, "stream-state")).awaitTermination()
-    return spark.read.schema(scan.KEPT).parquet(out).select("key", F.unix_micros("ts").alias("ts_us"))
+    scan.write_new_lookups(event_lookups(spark, sf_dir), out, work_dir(spark, "stream-state")).awaitTermination()
+    return spark.read.schema(scan.KEPT).parquet(track(spark, out)).select("key", F.unix_micros("ts").alias("ts_us"))
+
+
+def stream_first_in_window(spark, sf_dir):
+    out = work_dir(spark, "stream-windows")
+    scan.first_in_window(event_lookups(spark, sf_dir), out, work_dir(spark, "stream-state")).awaitTermination()
+    found = scan.read_first_in_window(spark, track(spark, out))
+    return found.select("key", F.unix_micros("window_start").alias("window_us"), F.unix_micros("ts").alias("ts_us"))
 
 
 QUERIES = {
@@ -522,5 +553,7 @@ QUERIES = {
     "report_json": query(report_json),
     # streams
     "stream_secret_scan": stream_secret_scan,
+    "stream_changed_files": query(stream_changed_files),
     "stream_lookup_dedup": stream_lookup_dedup,
+    "stream_first_in_window": stream_first_in_window,
 }

@@ -141,8 +141,22 @@ def test_staged_tables_can_be_cleared(spark):
     from corpusvitals import session
 
     session.clear_staged(spark)
-    session.stage(spark.range(3), "kept")
-    path = session._made[-1]
-    assert spark.read.parquet(path).count() == 3
-    assert session.clear_staged(spark) == 1 and session._made == []
+    app = spark.sparkContext.applicationId
+    with pytest.warns(UserWarning, match="not deleted"):
+        session.stage(spark.range(3), "kept")
+        session.track(spark, "nowhere://host/x")
+        session.stage(spark.range(3), "also")
+        paths = list(session._written[app])
+        assert session.clear_staged(spark) == 2  # one fault does not lose the others
+    assert [session.exists(spark, p) for p in (paths[0], paths[2])] == [False, False]
+    assert session._written.pop(app) == ["nowhere://host/x"]
     assert session.clear_staged(spark) == 0
+
+
+def test_queries_run_again_after_clearing(spark):
+    from corpusvitals import session
+    from driver.queries import QUERIES
+
+    first = sorted(QUERIES["corpus_size"](spark, "/root/testdata/sf0.001").collect())
+    assert session.clear_staged(spark) > 0
+    assert sorted(QUERIES["corpus_size"](spark, "/root/testdata/sf0.001").collect()) == first

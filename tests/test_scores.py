@@ -195,3 +195,57 @@ def test_stream_equals_batch(spark, files, tmp_path):
         scan.scan_new_files(stream, out, state, with_markers=False).awaitTermination()
     key = lambda df: sorted((r.file, r.line, r.type, r.confidence) for r in df.collect())
     assert key(spark.read.parquet(out)) == key(secrets.scan_secrets(files(tree)))
+
+
+def test_streams_read_a_folder_as_a_file(spark, tmp_path):
+    from driver.queries import QUERIES
+
+    names = ("stream_secret_scan", "stream_lookup_dedup", "stream_first_in_window")
+    for table in ("documents", "events"):
+        rows = spark.read.parquet(f"/root/testdata/sf0.01/{table}.parquet")
+        rows.repartition(3).write.parquet(str(tmp_path / f"parts/{table}.parquet"))
+        (tmp_path / f"none/{table}.parquet").mkdir(parents=True)
+    for name in names:
+        whole = QUERIES[name](spark, "/root/testdata/sf0.01").collect()
+        assert whole and sorted(QUERIES[name](spark, str(tmp_path / "parts")).collect()) == sorted(whole)
+        assert QUERIES[name](spark, str(tmp_path / "none")).collect() == []
+
+
+def test_changed_files_replace_their_findings(spark, tmp_path):
+    secret = 'token = "AbC123456789XYZ987"\n'
+    schema = "repo_id string, path string, content string, version long"
+    arrivals = [
+        [("r", "a.py", secret, 1), ("r", "b.py", secret, 1), ("r", "c.py", "x = 1\n", 5), ("r", "d.py", secret, 1), ("r", "d.py", secret, 1)],
+        [("r", "a.py", "x = 1\n", 2), ("r", "c.py", secret, 4), ("s", "a.py", "# todo\n", 1)],
+        [("r", "b.py", "\n\n" + secret, 2), ("r", "b.py", secret * 2, 3)],
+    ]
+    last = [("r", "a.py", "x = 1\n", 2), ("r", "c.py", "x = 1\n", 5), ("r", "d.py", secret, 1), ("s", "a.py", "# todo\n", 1), ("r", "b.py", secret * 2, 3)]
+    found = {}
+    for name, parts in (("many", arrivals), ("one", [[row for part in arrivals for row in part]]), ("last", [last])):
+        out, state = str(tmp_path / f"{name}-out"), str(tmp_path / f"{name}-state")
+        for n, part in enumerate(parts):  # a run for each arrival: the state is what restarts leave
+            spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / f"{name}/{n}"))
+            stream = scan.read_new_files(spark, str(tmp_path / f"{name}/*"), schema)
+            scan.scan_changed_files(stream, out, state).awaitTermination()
+        rows = scan.current_findings(spark, out).select("repo_id", "file", "type", "line").collect()
+        found[name] = sorted(tuple(r) for r in rows)
+    assert found["many"] == found["one"] == found["last"]
+    assert {r[:2] for r in found["last"]} == {("r", "d.py"), ("s", "a.py"), ("r", "b.py")}
+    assert sum(r[1] == "b.py" for r in found["last"]) == 2 and sum(r[1] == "d.py" for r in found["last"]) == 1
+
+
+def test_first_in_window_survives_a_restart(spark, tmp_path):
+    start = datetime(2024, 1, 1)
+    rows = [("hot", start + timedelta(minutes=7 * i)) for i in range(900)] + [("k", start + timedelta(hours=h)) for h in (3, 2, 30, 29, 90)]
+    wanted = {}
+    for key, ts in rows:
+        day = start + timedelta(days=(ts - start).days)
+        wanted[key, day] = min(ts, wanted.get((key, day), ts))
+    rows.sort(key=lambda r: r[1])
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    for n, part in enumerate((rows[:300], rows[300:600], rows[600:])):
+        spark.createDataFrame(part, "key string, ts timestamp").repartition(2).write.parquet(str(tmp_path / f"in/{n}"))
+        stream = scan.read_new_files(spark, str(tmp_path / "in/*"), "key string, ts timestamp")
+        scan.first_in_window(stream, out, state).awaitTermination()
+    found = {(r.key, r.window_start): r.ts for r in scan.read_first_in_window(spark, out).collect()}
+    assert found == wanted
