@@ -30,6 +30,54 @@ def advisory_summary(advisories: DataFrame) -> DataFrame:
     )
 
 
+#: Versions whose first signs of the sort key agree share a bin; of a bin so many go to one task.
+BIN_SIGNS = 10
+BIN_VERSIONS = 5000
+
+
+def affected_versions(deps: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Advisory rows, as in a flat snapshot, for every declared version that
+    lies in a range of ``ranges`` (``low <= key < high``, ``<=`` if closed).
+
+    A package's declared versions are put into bins by the first signs of
+    their sort keys. A range goes to the bins that it touches and only meets
+    the versions in them, so far apart versions and ranges never do. A bin
+    with many versions is dealt over shares, each with the ranges of the bin.
+    """
+    package = ["ecosystem", "name"]
+    bin_of = lambda key: F.substring(key, 1, BIN_SIGNS)
+    declared = (
+        deps.where(versions.is_checkable(F.col("name"), F.col("version")))
+        .select(*KEY).distinct()
+        .withColumn("key", versions.sort_key(F.col("ecosystem"), F.col("version")))
+        .where("key IS NOT NULL")
+        .withColumn("bin", bin_of(F.col("key")))
+    )
+    bins = declared.groupBy(*package, "bin").agg(F.ceil(F.count("*") / BIN_VERSIONS).cast("int").alias("shares"))
+    placed = (
+        ranges.join(bins, package)
+        .where((bin_of(F.col("low")) <= F.col("bin")) & (F.col("bin") <= bin_of(F.col("high"))))
+        .withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+        .drop("shares")
+    )
+    dealt = declared.join(bins, [*package, "bin"]).withColumn("share", F.pmod(F.xxhash64("key"), F.col("shares")).cast("int")).drop("shares")
+    inside = (F.col("low") <= F.col("key")) & ((F.col("key") < F.col("high")) | (F.col("closed") & (F.col("key") == F.col("high"))))
+    return (
+        dealt.join(placed, [*package, "bin", "share"]).where(inside)
+        .select(*KEY, "vuln_id", "severity", "db_severity")
+        .distinct()
+    )
+
+
+def with_ranges(deps: DataFrame, advisories: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Flat advisories for the declared versions: those listed and those in a
+    range, an advisory that says both once."""
+    columns = [*KEY, "vuln_id", "severity", "db_severity"]
+    declared = deps.select(*KEY).distinct()
+    listed = advisories.select(*columns).join(declared, KEY, "left_semi")
+    return listed.unionByName(affected_versions(deps, ranges)).distinct()
+
+
 def dependency_vulnerabilities(deps: DataFrame, advisories: DataFrame) -> DataFrame:
     """Every dependency with its advisory count (0 when none).
 

@@ -27,6 +27,7 @@ class Inputs:
     manifests: DataFrame | None = None
     configs: DataFrame | None = None
     advisories: DataFrame | None = None
+    advisory_ranges: DataFrame | None = None
     registry: DataFrame | None = None
     commits: DataFrame | None = None
     branches: DataFrame | None = None
@@ -69,14 +70,17 @@ def build_report(inputs: Inputs) -> dict[str, DataFrame]:
     if inputs.manifests is not None:
         deps = stage(man.dependencies(inputs.manifests), "dependencies")
         sections["dependencies"] = deps
-        if inputs.advisories is not None:
-            results = stage(adv.dependency_vulnerabilities(deps, inputs.advisories), "results")
+        advisories = inputs.advisories
+        if advisories is not None and inputs.advisory_ranges is not None:
+            advisories = stage(adv.with_ranges(deps, advisories, inputs.advisory_ranges), "advisories")
+        if advisories is not None:
+            results = stage(adv.dependency_vulnerabilities(deps, advisories), "results")
             security = fnd.union_findings(secret, adv.vulnerable_findings(results))
-            packages = adv.vulnerable_package_rollup(deps, inputs.advisories)
+            packages = adv.vulnerable_package_rollup(deps, advisories)
             sections["dependency_results"] = results
             sections["dependency_summary"] = adv.dependency_summary(results)
             sections["manifests"] = adv.manifest_summary(inputs.manifests, results)
-            sections["package_vulnerabilities"] = adv.package_vulnerability_ids(deps, inputs.advisories)
+            sections["package_vulnerabilities"] = adv.package_vulnerability_ids(deps, advisories)
         if inputs.registry is not None:
             sections["outdated"] = freshness.outdated_dependencies(deps, inputs.registry)
     if packages is None:

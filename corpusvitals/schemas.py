@@ -26,6 +26,10 @@ ADVISORY_SCHEMA = (
     "ecosystem string, name string, version string, vuln_id string, "
     "severity string, db_severity string"
 )
+ADVISORY_RANGE_SCHEMA = (
+    "ecosystem string, name string, low string, high string, closed boolean, "
+    "vuln_id string, severity string, db_severity string"
+)
 REGISTRY_SCHEMA = "ecosystem string, name string, latest string"
 COMMIT_SCHEMA = (
     "repo_id string, commit_id string, author_name string, author_email string, "

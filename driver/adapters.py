@@ -239,6 +239,24 @@ SELECT CASE event_id % 3 WHEN 0 THEN 'PyPI' WHEN 1 THEN 'npm' ELSE 'Maven' END A
        CASE WHEN event_id % 4 = 0 THEN 'critical' WHEN event_id % 4 = 1 THEN 'odd' END AS db_severity
 FROM @events WHERE event_type = 'error'"""
 
+# records that give ranges: from 0 or a version on, up to a fix (one in ten a pre-release),
+# a last affected version or nothing; some with a second range, some with a listed version
+ADVISORY_RECORDS = """
+SELECT *, CASE WHEN event_id % 4 = 0 THEN '0'
+            ELSE CAST(major AS STRING) || '.' || CAST(minor AS STRING) || '.' || CAST(event_id % 3 AS STRING) END AS introduced,
+       CASE WHEN event_id % 3 = 0 THEN CAST(major + 1 AS STRING) || '.' || CAST(minor AS STRING) || '.0'
+            || (CASE WHEN event_id % 10 <> 0 THEN '' WHEN ecosystem = 'npm' THEN '-rc.1' WHEN ecosystem = 'PyPI' THEN 'rc1' ELSE '-rc-1' END) END AS fixed,
+       CASE WHEN event_id % 3 = 1 THEN CAST(major AS STRING) || '.' || CAST(minor + 2 AS STRING) || '.0' END AS last_affected,
+       CASE WHEN event_id % 5 = 0 THEN CAST(major + 3 AS STRING) || '.0.0' END AS again,
+       CASE WHEN event_id % 5 = 0 THEN CAST(major + 4 AS STRING) END AS fixed_again,
+       CASE WHEN event_id % 7 = 0 THEN '7.0.0' END AS listed
+FROM (SELECT event_id, event_id % 7 AS major, event_id % 5 AS minor,
+             CASE event_id % 3 WHEN 0 THEN 'PyPI' WHEN 1 THEN 'npm' ELSE 'Maven' END AS ecosystem,
+             'pkg' || CAST(user_id AS STRING) AS name, 'RNG-' || CAST(event_id AS STRING) AS vuln_id,
+             CASE WHEN value < 20 THEN 'medium' WHEN value < 60 THEN 'HIGH' WHEN value < 90 THEN 'CRITICAL' END AS severity,
+             CASE WHEN event_id % 4 = 1 THEN 'critical' END AS db_severity
+      FROM @events WHERE event_type = 'error') e"""
+
 REGISTRY = """
 SELECT CASE p_partkey % 2 WHEN 0 THEN 'PyPI' ELSE 'npm' END AS ecosystem,
        'pkg' || CAST(p_partkey AS STRING) AS name,

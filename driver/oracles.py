@@ -511,6 +511,16 @@ SQL = {
         FROM ({for_duckdb(a.LOOKUPS)}) GROUP BY 1, 2""",
     "lossy_decode": f"WITH {having(a.FILES_DECORATED)} SELECT repo_id, path, md5({NL} || content) AS digest FROM files",
     "advisory_dump": f"WITH {ADV} SELECT DISTINCT * FROM adv",
+    "advisory_ranges": f"""WITH {DEPS1}, r AS ({for_duckdb(a.ADVISORY_RECORDS)}),
+        parts AS (SELECT *, list_transform(string_split(version, '.'), lambda x: CAST(x AS INT)) AS v FROM d1 WHERE version <> 'unspecified'),
+        b AS (SELECT *, CASE WHEN introduced = '0' THEN [0, 0, 0] ELSE [major, minor, event_id % 3] END AS low,
+            [major + 1, minor, 0] AS fix, [major, minor + 2, 0] AS last, [major + 3, 0, 0] AS low2, [major + 4, 0, 0] AS fix2 FROM r),
+        adv AS (SELECT DISTINCT p.ecosystem, p.name, p.version, vuln_id, severity, db_severity FROM parts p JOIN b ON b.ecosystem = p.ecosystem AND b.name = p.name
+          WHERE p.version = listed OR (again IS NOT NULL AND v >= low2 AND v < fix2)
+            OR (v >= low AND CASE WHEN fixed IS NOT NULL THEN v < fix WHEN last_affected IS NOT NULL THEN v <= last WHEN again IS NOT NULL THEN v < fix2 ELSE TRUE END)),
+        {SUMMARY}
+        SELECT repo_id, manifest_path, d1.ecosystem, d1.name, d1.version, coalesce(n_vulns, 0) AS n_vulns, max_severity
+        FROM d1 LEFT JOIN summary s ON s.ecosystem = d1.ecosystem AND s.name = d1.name AND s.version = d1.version""",
     "advisory_snapshot": f"WITH {ADV} SELECT * FROM adv",
     "registry_snapshot": f"WITH {having(a.REGISTRY, 'reg')} SELECT * FROM reg",
     "secret_explanations": secret_query(

@@ -391,6 +391,26 @@ def advisory_dump(t):
     return snapshots.read_advisory_dump(t.advisories.sparkSession, path)
 
 
+def advisory_ranges(t):
+    """Dependencies against records that give ranges of versions, written as JSON lines and read back."""
+    none = lambda kind: F.lit(None).cast("string").alias(kind)
+    events = [
+        F.struct(*[F.col(c).alias(k) if k == kind else none(k) for k in ("introduced", "fixed", "last_affected")])
+        for kind, c in (("fixed", "fixed_again"), ("introduced", "introduced"), ("introduced", "again"), ("fixed", "fixed"), ("last_affected", "last_affected"))
+    ]
+    ranges = F.array(
+        F.struct(F.lit("GIT").alias("type"), F.array(events[1]).alias("events")),
+        F.struct(F.lit("ECOSYSTEM").alias("type"), F.array(*events).alias("events")),
+    )
+    affected = F.struct(F.struct("ecosystem", "name").alias("package"), F.array_compact(F.array("listed")).alias("versions"), ranges.alias("ranges"))
+    record = F.struct(F.col("vuln_id").alias("id"), "severity", F.struct(F.col("db_severity").alias("severity")).alias("database_specific"), F.array(affected).alias("affected"))
+    spark = t.advisory_records.sparkSession
+    path = written(t.advisory_records.select(F.to_json(record).alias("value")), "records", "text")
+    deps = man.dedup_dependencies(t.deps)
+    found = adv.with_ranges(deps, snapshots.read_advisory_dump(spark, path), snapshots.read_advisory_ranges(spark, path))
+    return adv.dependency_vulnerabilities(deps, stage(found, "found"))
+
+
 def snapshot(view, reader):
     def build(t):
         table = getattr(t, view)
@@ -480,6 +500,7 @@ QUERIES = {
     "ignored_paths_anti": query(ignored_paths_anti),
     "lossy_decode": query(lossy_decode),
     "advisory_dump": query(advisory_dump),
+    "advisory_ranges": query(advisory_ranges),
     "advisory_snapshot": query(snapshot("advisories", snapshots.read_advisories)),
     "registry_snapshot": query(snapshot("registry", snapshots.read_registry)),
     "commit_snapshot": query(commit_snapshot),

@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 import random
 
 from pyspark.sql import functions as F
@@ -125,3 +126,105 @@ def test_advisory_dump(spark, tmp_path):
     assert {(r.vuln_id, r.name, r.version, r.severity, r.db_severity) for r in rows} == {
         ("V1", "p", "1.0.0", None, "HIGH"), ("V1", "p", "1.0.1", None, "HIGH"),
     }
+
+
+ORDERS = {
+    "npm": "1.0.0-alpha 1.0.0-alpha.1 1.0.0-alpha.beta 1.0.0-beta 1.0.0-beta.2 1.0.0-beta.11 1.0.0-rc.1 1.0.0 1.0.1 1.2 1.10.0 2 10.0.0",
+    "PyPI": "1.dev0 1.0.dev456 1.0a1 1.0a2.dev456 1.0a12.dev456 1.0a12 1.0b2 1.0b2.post345.dev456 1.0b2.post345 1.0rc1.dev456 1.0rc1 1.0 "
+    "1.0+abc.5 1.0+abc.7 1.0+5 1.0.post456.dev34 1.0.post456 1.0.15 1.1.dev1 1.1 10 1!0.5",
+    "Maven": "1-alpha2 1-alpha-123 1-beta-2 1-beta123 1-m2 1-m11 1-rc 1-cr2 1-rc123 1-SNAPSHOT 1 1-sp 1-sp2 1-abc 1-def 1-pom-1 1-1-snapshot 1-1 1-2 1-123 1.0.1 1.1 2 10",
+}
+SAME = {
+    "npm": ["1.0.0", "v1.0.0", "1", "1.0", "1.0.0+build.5"],
+    "PyPI": ["1.0", "1", "v1.0.0", "0!1.0"],
+    "Maven": ["1", "1.0", "1-0", "1.ga", "1-FINAL", "1.0-final.0"],
+}
+
+
+def test_version_keys_sort_like_versions(spark):
+    rows = [(e, v, i) for e, text in ORDERS.items() for i, v in enumerate(text.split())]
+    table = spark.createDataFrame(rows, "ecosystem string, version string, i int")
+    keyed = table.select("*", versions.sort_key(F.col("ecosystem"), F.col("version")).alias("key")).collect()
+    for ecosystem in ORDERS:
+        keys = [r.key for r in sorted(keyed, key=lambda r: r.i) if r.ecosystem == ecosystem]
+        assert all(a < b for a, b in zip(keys, keys[1:]))
+    for ecosystem, texts in SAME.items():
+        table = spark.createDataFrame([(t,) for t in texts], "v string").select(versions.sort_key(F.lit(ecosystem), F.col("v")).alias("k"))
+        assert table.distinct().count() == 1
+    bad = spark.createDataFrame([("npm", "x.y"), ("PyPI", "not a version"), ("Maven", " "), ("npm", None)], "e string, v string")
+    assert [r.k for r in bad.select(versions.sort_key(F.col("e"), F.col("v")).alias("k")).collect()] == [None] * 4
+
+
+def record(vuln_id, name, *events, kind="SEMVER", listed=(), ecosystem="npm"):
+    ranges = [{"type": kind, "events": list(events)}] if events else []
+    return {"id": vuln_id, "severity": "HIGH", "affected": [{"package": {"ecosystem": ecosystem, "name": name}, "versions": list(listed), "ranges": ranges}]}
+
+
+def test_ranges_against_the_events_in_order(spark, tmp_path, monkeypatch):
+    """Every declared version against events applied one by one in order of their versions."""
+    rnd = random.Random(8)
+    dotted = lambda v: ".".join(map(str, v))
+    number = lambda: (rnd.randint(0, 12), rnd.randint(0, 3), rnd.randint(0, 2))
+    records, wanted = [], set()
+    declared = {("hot" if rnd.random() < 0.6 else f"p{rnd.randint(0, 3)}", number()) for _ in range(250)}
+    for i in range(120):
+        name = "hot" if i % 3 else f"p{i % 4}"
+        points = sorted({number() for _ in range(rnd.randint(1, 4))})
+        events, state = [], True
+        for point in points:
+            kind = "introduced" if state else rnd.choice(["fixed", "last_affected"])
+            events.append((point, kind))
+            state = not state
+        if rnd.random() < 0.3:
+            events[0] = ((0, 0, 0), "introduced")
+        for pkg, v in declared:
+            hit = False
+            for point, kind in events:
+                if kind == "introduced" and v >= point:
+                    hit = True
+                elif kind == "fixed" and v >= point or kind == "last_affected" and v > point:
+                    hit = False
+            if hit and pkg == name:
+                wanted.add((pkg, dotted(v), f"V{i}"))
+        shuffled = [{k: "0" if p == (0, 0, 0) else dotted(p)} for p, k in events]
+        rnd.shuffle(shuffled)
+        records.append(record(f"V{i}", name, *shuffled))
+    (tmp_path / "a.json").write_text("\n".join(map(json.dumps, records)))
+    deps = spark.createDataFrame([("r", "m", "npm", n, dotted(v)) for n, v in declared], DEPENDENCY_SCHEMA)
+    ranges = snapshots.read_advisory_ranges(spark, str(tmp_path))
+    for signs, most in ((10, 5000), (3, 7), (14, 1), (0, 2)):
+        monkeypatch.setattr(adv, "BIN_SIGNS", signs)
+        monkeypatch.setattr(adv, "BIN_VERSIONS", most)
+        found = adv.affected_versions(deps, ranges).collect()
+        assert len(found) == len(wanted) and {(r.name, r.version, r.vuln_id) for r in found} == wanted
+
+
+def test_no_record_vanishes(spark, tmp_path):
+    records = [
+        record("listed", "a", listed=["1.0.0"]),
+        record("both", "a", {"introduced": "0"}, {"fixed": "2.0.0"}, listed=["1.0.0", "9.0.0"]),
+        record("open", "b", {"introduced": "1.0.0-rc.1"}),
+        record("commits", "c", {"introduced": "0"}, kind="GIT"),
+        record("nothing", "c"),
+        record("odd", "c", {"introduced": "???"}),
+        {"id": "bare"},
+        record("py", "a", {"introduced": "0"}, {"fixed": "1.0"}, ecosystem="PyPI", kind="ECOSYSTEM"),
+    ]
+    (tmp_path / "a.json").write_text("\n".join(map(json.dumps, records)))
+    path = str(tmp_path)
+    assert {(r.vuln_id, r.reason) for r in snapshots.unplaced_advisories(spark, path).collect()} == {
+        ("commits", "ranges of commits only"), ("nothing", "neither versions nor ranges"),
+        ("odd", "no range with a version to start from"), ("bare", "no package"),
+    }
+    rows = [("npm", "a", "1.0.0"), ("npm", "a", "9.0.0"), ("npm", "b", "1.0.0"), ("npm", "b", "0.9.0"), ("npm", "c", "1.0.0"),
+            ("PyPI", "a", "1.0.0rc1"), ("PyPI", "a", "1.0.0"), ("npm", "a", "unspecified"), ("npm", "a", "")]
+    deps = spark.createDataFrame([("r", "m", *row) for row in rows], DEPENDENCY_SCHEMA)
+    flat = adv.with_ranges(deps, snapshots.read_advisory_dump(spark, path), snapshots.read_advisory_ranges(spark, path))
+    assert {(r.ecosystem, r.name, r.version, r.vuln_id) for r in flat.collect()} == {
+        ("npm", "a", "1.0.0", "listed"), ("npm", "a", "1.0.0", "both"), ("npm", "a", "9.0.0", "both"),
+        ("npm", "b", "1.0.0", "open"), ("PyPI", "a", "1.0.0rc1", "py"),
+    }
+    results = adv.dependency_vulnerabilities(deps, flat)
+    assert {(r.name, r.version): r.n_vulns for r in results.where("ecosystem = 'npm'").collect()} == {
+        ("a", "1.0.0"): 2, ("a", "9.0.0"): 1, ("b", "1.0.0"): 1, ("b", "0.9.0"): 0, ("c", "1.0.0"): 0, ("a", "unspecified"): 0, ("a", ""): 0,
+    }
