@@ -12,6 +12,10 @@ away. Stretches are at most ``STRETCH`` bytes, so that one long document
 does not hold up its batch: both pointers of a stretch are found by binary
 search, and a token that reaches over its edge ends in the next one.
 
+Words at single spaces are encoded once and kept: no piece of either
+vocabulary goes on over a space. Texts with other white space beside a space
+go to the libraries whole.
+
 How often a pair of ids is linked in the whole corpus is counted in a table.
 Pairs with at least one of ``HEAVY`` equal shares of all links, so at most
 ``HEAVY`` pairs, travel to the tasks; the others are met by a shuffled join,
@@ -28,7 +32,9 @@ memory for a character.
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import chain
 import hashlib
+import json
 import os
 
 import numpy as np
@@ -47,6 +53,11 @@ HEAVY = 1 << 20
 #: Texts of a batch that are merged side by side.
 BATCH_ROWS = 256
 BATCH_BYTES = 1 << 21
+#: Words that a task keeps the tokens of.
+CACHE_WORDS = 800_000
+CACHE_CHARS = 10_000_000
+#: New words that are encoded in one text.
+LEARNT_TOGETHER = 1000
 
 
 class ByteVocabulary:
@@ -66,7 +77,13 @@ class ByteVocabulary:
         for entry, i in entries.items():
             self.spelled[i] = b"".join(byte_of[c] if c in byte_of else c.encode() for c in entry)
 
+        parts = json.loads(self._library.to_str())
+        splits = parts["pre_tokenizer"] or {}
+        #: Whether a word and the space before it are encoded alike wherever they stand.
+        self.by_words = parts["normalizer"] is None and splits.get("type") == "ByteLevel" and splits.get("use_regex", False) and not splits["add_prefix_space"]
+
     def encode(self, texts: list[str]) -> list[list[int]]:
+        """Ids of a space and each text."""
         spaced = [" " + text for text in texts]
         return [e.ids for e in self._library.encode_batch_fast(spaced, add_special_tokens=False)]
 
@@ -79,6 +96,7 @@ class PieceVocabulary:
 
         self._library = SentencePieceProcessor(model_file=path)
         self.spelled = [self._bytes(i) for i in range(self._library.get_piece_size())]
+        self.by_words = not any("▁" in self._library.id_to_piece(i).lstrip("▁") for i in range(len(self.spelled)))
 
     def _bytes(self, i: int) -> bytes:
         piece = self._library.id_to_piece(i)
@@ -90,14 +108,130 @@ class PieceVocabulary:
         return self._library.encode(texts, out_type=int, num_threads=1)
 
 
-@cache
-def byte_vocabulary(path: str) -> ByteVocabulary:
-    return ByteVocabulary(path)
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    starts = np.zeros(len(lists) + 1, np.int64)
+    np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)), out=starts[1:])
+    return np.fromiter(chain.from_iterable(lists), np.int64, starts[-1]), starts
+
+
+def _gather(values: np.ndarray, starts: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists numbered ``which``, one after the other, and where each starts."""
+    sizes = starts[which + 1] - starts[which]
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    return values[np.arange(ends[-1]) + np.repeat(starts[which] - ends[:-1], sizes)].astype(np.int64), ends
+
+
+class _Words:
+    """Ids of words met before, numbered in the order they came."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.odd: set[str] = set()
+        self.chars = 0
+        self._ids = [np.zeros(0, np.int32), np.zeros(0, np.int32)]
+        self._starts = [np.zeros(1, np.int64), np.zeros(1, np.int64)]
+        self._new: tuple[list, list] = ([], [])
+        self._sizes = [0, 0]
+
+    def add(self, words: list[str], sides: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        for word in words:
+            self.number[word] = len(self.number)
+        self.chars += sum(map(len, words))
+        for k, (ids, starts) in enumerate(sides):
+            self._new[k].append((ids.astype(np.int32), starts[1:] + self._sizes[k]))
+            self._sizes[k] += len(ids)
+
+    def ids(self, side: int, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if new := self._new[side]:
+            self._ids[side] = np.concatenate([self._ids[side], *(ids for ids, _ in new)])
+            self._starts[side] = np.concatenate([self._starts[side], *(starts for _, starts in new)])
+            new.clear()
+        return _gather(self._ids[side], self._starts[side], numbers)
+
+
+class Encoder:
+    """Both vocabularies; ids of texts, by the words met before."""
+
+    def __init__(self, byte_path: str, piece_path: str):
+        self.a, self.b = ByteVocabulary(byte_path), PieceVocabulary(piece_path)
+        self.lengths_a, self.lengths_b = (np.array([len(x) for x in v.spelled], np.int64) for v in (self.a, self.b))
+        self._sizes = self.lengths_a.tolist(), self.lengths_b.tolist()
+        self._by_words = self.a.by_words and self.b.by_words
+        self._words = _Words()
+
+    def _whole(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """By the libraries; nothing where the tokens do not spell the text."""
+        lists = self.a.encode(texts), self.b.encode(texts)
+        raw = [b" " + text.encode() for text in texts]
+        vocabularies = (self.a, self.b)
+        spelled = [b"".join(map(v.spelled.__getitem__, chain.from_iterable(x))) for v, x in zip(vocabularies, lists)]
+        lengths = [len(x) for x in raw]
+        if all(texts) and all(
+            s == b"".join(raw) and [sum(map(n.__getitem__, ids)) for ids in x] == lengths
+            for s, x, n in zip(spelled, lists, self._sizes)
+        ):
+            return lists  # every text is spelled by its own tokens
+        for k, text in enumerate(texts):
+            if not text or any(b"".join(map(v.spelled.__getitem__, x[k])) != raw[k] for v, x in zip(vocabularies, lists)):
+                lists[0][k] = lists[1][k] = []
+        return lists
+
+    def _learn(self, words: list[str]) -> None:
+        # white space may run on over the edges of these words
+        edgy = [w for w in words if not w or w[0].isspace()]
+        self._words.odd.update(edgy)
+        self._words.add(edgy, [_flat([[]] * len(edgy))] * 2)
+        inner = [w for w in words if w and not w[0].isspace()]
+        for start in range(0, len(inner), LEARNT_TOGETHER):
+            part = inner[start : start + LEARNT_TOGETHER]
+            lists = self._whole([" ".join(part)])
+            if not lists[0][0]:  # some word is not spelled by its tokens
+                lists = self._whole(part)
+                self._words.odd.update(w for w, a in zip(part, lists[0]) if not a)
+                self._words.add(part, [_flat(x) for x in lists])
+                continue
+            edges = np.cumsum([1 + len(w.encode()) for w in part])
+            sides = []
+            for (found,), lengths in zip(lists, (self.lengths_a, self.lengths_b)):
+                ids = np.array(found, np.int64)
+                starts = np.concatenate(([0], 1 + np.searchsorted(np.cumsum(lengths[ids]), edges)))
+                sides.append((ids, starts))
+            self._words.add(part, sides)
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(ids, where each text starts) of A and of B."""
+        if not self._by_words:
+            return [_flat(x) for x in self._whole(texts)]
+        if len(self._words.number) > CACHE_WORDS or self._words.chars > CACHE_CHARS:
+            self._words = _Words()
+        split = [text.split(" ") if text else [] for text in texts]
+        number = self._words.number
+        fresh = list({word for words in split for word in words if word not in number})
+        if fresh:
+            self._learn(fresh)
+        odd = [k for k, words in enumerate(split) if not self._words.odd.isdisjoint(words)]
+        whole = self._whole([texts[k] for k in odd])
+        for k in odd:
+            split[k] = []
+        in_text = np.concatenate(([0], np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))))
+        numbers = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64, in_text[-1])
+        sides = []
+        for side in (0, 1):
+            ids, ends = self._words.ids(side, numbers)
+            starts = ends[in_text]
+            if odd:
+                parts = [ids[x:y] for x, y in zip(starts[:-1].tolist(), starts[1:].tolist())]
+                for k, found in zip(odd, whole[side]):
+                    parts[k] = np.array(found, np.int64)
+                starts = np.concatenate(([0], np.cumsum([len(x) for x in parts])))
+                ids = np.concatenate(parts)
+            sides.append((ids, starts))
+        return sides
 
 
 @cache
-def piece_vocabulary(path: str) -> PieceVocabulary:
-    return PieceVocabulary(path)
+def encoder(byte_path: str, piece_path: str) -> Encoder:
+    return Encoder(byte_path, piece_path)
 
 
 def lockstep(ends_a: np.ndarray, ends_b: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,35 +276,15 @@ class Aligned:
     starts: np.ndarray
 
 
-def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    starts = np.zeros(len(lists) + 1, np.int64)
-    np.cumsum([len(x) for x in lists], out=starts[1:])
-    return np.array([i for x in lists for i in x], np.int64), starts
-
-
-def align_batch(texts: list[str], a: ByteVocabulary, b: PieceVocabulary, stretch: int = STRETCH) -> Aligned:
-    spelled_a, spelled_b = a.spelled.__getitem__, b.spelled.__getitem__
-    lists_a, lists_b, sizes = a.encode(texts), b.encode(texts), []
-    for k, text in enumerate(texts):
-        raw = b" " + text.encode()
-        if not text or b"".join(map(spelled_a, lists_a[k])) != raw or b"".join(map(spelled_b, lists_b[k])) != raw:
-            lists_a[k] = lists_b[k] = []
-            raw = b""
-        sizes.append(len(raw))
-    ids_a, starts_a = _flat(lists_a)
-    ids_b, starts_b = _flat(lists_b)
-    lengths_a, lengths_b = _lengths(a), _lengths(b)
-    ends = np.concatenate(([0], np.cumsum(sizes)))
+def align_batch(texts: list[str], encoder: Encoder, stretch: int = STRETCH) -> Aligned:
+    (ids_a, starts_a), (ids_b, starts_b) = encoder.encode(texts)
+    ends_a, ends_b = np.cumsum(encoder.lengths_a[ids_a]), np.cumsum(encoder.lengths_b[ids_b])
+    ends = np.concatenate(([0], ends_a))[starts_a]
     edges = np.unique(np.concatenate([np.arange(0, ends[-1], stretch), ends]))
-    links_a, links_b, cuts = lockstep(np.cumsum(lengths_a[ids_a]), np.cumsum(lengths_b[ids_b]), edges)
+    links_a, links_b, cuts = lockstep(ends_a, ends_b, edges)
     return Aligned(ids_a, ids_b, starts_a, starts_b, links_a, links_b, cuts, np.searchsorted(links_a, starts_a))
 
 
-@cache
-def _lengths(vocabulary: ByteVocabulary | PieceVocabulary) -> np.ndarray:
-    return np.array([len(x) for x in vocabulary.spelled], np.int64)
-
-
 @cache
 def _printed(size_a: int, size_b: int) -> np.ndarray:
     """Text of each id and the sign behind it: A inside a group and at its end, then B."""
@@ -243,9 +357,9 @@ def alignments(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "
     schema = T.StructType([source.schema["doc_id"], *(T.StructField(x, T.ArrayType(T.LongType())) for x in lists)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = byte_vocabulary(byte_path), piece_vocabulary(piece_path)
+        both = encoder(byte_path, piece_path)
         for batch in _batches(batches, 1):
-            found = align_batch(batch.column(1).to_pylist(), a, b)
+            found = align_batch(batch.column(1).to_pylist(), both)
             per_text = np.diff(found.starts)
             cut_before = np.concatenate(([0], found.cuts))[found.starts[:-1]]
             columns = [
@@ -269,10 +383,10 @@ def linked_pairs(docs: DataFrame, byte_path: str, piece_path: str, id_col: str =
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = byte_vocabulary(byte_path), piece_vocabulary(piece_path)
+        both = encoder(byte_path, piece_path)
         for batch in _batches(batches, 1):
-            found = align_batch(batch.column(1).to_pylist(), a, b)
-            pairs, times, starts = pair_counts(found, _shift(b))
+            found = align_batch(batch.column(1).to_pylist(), both)
+            pairs, times, starts = pair_counts(found, _shift(both.b))
             n_links = pa.array(np.diff(found.starts), pa.int64())
             columns = [
                 batch.column(0),
@@ -281,7 +395,7 @@ def linked_pairs(docs: DataFrame, byte_path: str, piece_path: str, id_col: str =
                 pa.array(np.diff(found.starts_b), pa.int64()),
                 n_links,  # each cut ends one group with one link
                 n_links,
-                pa.array(digests(found, len(a.spelled), len(b.spelled)), pa.string()),
+                pa.array(digests(found, len(both.a.spelled), len(both.b.spelled)), pa.string()),
                 _list(pairs, starts),
                 _list(times, starts),
             ]
@@ -302,7 +416,7 @@ def align(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_i
     included), ``count_sum`` sums the pair counts over the links.
     """
     spark = docs.sparkSession
-    shift = _shift(piece_vocabulary(piece_path))
+    shift = _shift(encoder(byte_path, piece_path).b)
     rows = stage(linked_pairs(docs, byte_path, piece_path, id_col, text_col), "aligned", compression="zstd")
     counts = stage(_exploded(rows, "pairs", "times").groupBy("pair").agg(F.sum("times").alias("n")), "pairs")
     b = F.col("pair").bitwiseAND((1 << shift) - 1).alias("b")

@@ -105,9 +105,20 @@ def test_lockstep(a, b, edges):
 
 
 def test_stretches_change_nothing():
-    a, b = alignment.byte_vocabulary(BYTES), alignment.piece_vocabulary(PIECES)
+    both = alignment.encoder(BYTES, PIECES)
     texts = ["", "one two", "x" * 3000, "some longer words, and more of them. " * 90]
-    whole = alignment.align_batch(texts, a, b, stretch=10**9)
+    whole = alignment.align_batch(texts, both, stretch=10**9)
     for stretch in (1, 7, 512):
-        cut = alignment.align_batch(texts, a, b, stretch=stretch)
+        cut = alignment.align_batch(texts, both, stretch=stretch)
         assert all((x == y).all() for x, y in ((cut.links_a, whole.links_a), (cut.links_b, whole.links_b), (cut.cuts, whole.cuts)))
+
+
+PARTS = [" ", " ", "\n", "\t", "\x1c", "\u00a0", "\u3000", "a", "it's", "don't", "12", ".", "...", "é", "▁", "🙂", "\u0301", "word", "<0x0A>", "'", "'s", "<s>"]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PARTS) | st.characters(exclude_categories=("Cs",)), max_size=12).map("".join), max_size=4))
+def test_words_are_encoded_as_in_their_text(texts):
+    both = alignment.encoder(BYTES, PIECES)
+    ids = [[ids[a:b].tolist() for a, b in zip(starts, starts[1:])] for ids, starts in both.encode(texts)]
+    assert [tuple(x) for x in zip(*ids)] == [tuple([i for i, _ in side] for side in tokens(text)) for text in texts]
