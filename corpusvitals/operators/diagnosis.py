@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import rules
 from ..functions import paths
+from ..schemas import occurrences
 
 GROUP = ["repo_id", "severity", "category", "type"]
 
@@ -18,6 +19,7 @@ def _issues(findings: DataFrame, category: str, fallback: str) -> DataFrame:
         "file",
         "line",
         F.coalesce("details", F.lit("")).alias("details"),
+        occurrences(findings).cast("long").alias("occurrences"),
     )
 
 
@@ -38,6 +40,7 @@ def diagnosis(secrets: DataFrame, quality: DataFrame, packages: DataFrame) -> Da
             F.concat_ws(" ", "package", F.concat("version", F.lit(":")), count.cast("string"), noun),
             declared,
         ).alias("details"),
+        F.lit(1).cast("long").alias("occurrences"),
     )
     return (
         _issues(secrets, "Security", "Security issue")
@@ -47,7 +50,7 @@ def diagnosis(secrets: DataFrame, quality: DataFrame, packages: DataFrame) -> Da
 
 
 def diagnosis_counts(issues: DataFrame) -> DataFrame:
-    return issues.groupBy(*GROUP).agg(F.count("*").alias("n"))
+    return issues.groupBy(*GROUP).agg(F.sum(occurrences(issues)).alias("n"))
 
 
 def counts_of(secrets: DataFrame, quality_counts: DataFrame, packages: DataFrame) -> DataFrame:
@@ -66,10 +69,11 @@ def ranked_counts(counts: DataFrame) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(order))
 
 
-def diagnosis_top(issues: DataFrame, k: int = 5) -> DataFrame:
+def diagnosis_top(issues: DataFrame, k: int = 5, counts: DataFrame | None = None) -> DataFrame:
     """The first ``k`` entries of every group and how many are left out.
 
-    Counting and ranking are separate on purpose: a bare ``row_number <= k``
+    With ``counts``, ``issues`` need hold no more than the first ``k`` of a
+    group (``findings.first_quality_findings``). Counting and ranking are separate on purpose: a bare ``row_number <= k``
     lets Spark cut every group to ``k`` rows before the shuffle.
     """
     order = [F.asc_nulls_last(c) for c in ("file", "line", "package", "version", "details")]
@@ -77,7 +81,7 @@ def diagnosis_top(issues: DataFrame, k: int = 5) -> DataFrame:
         issues.withColumn("rank", F.row_number().over(Window.partitionBy(*GROUP).orderBy(*order)))
         .where(F.col("rank") <= k)
     )
-    return ranked.join(diagnosis_counts(issues), GROUP).select(
+    return ranked.join(diagnosis_counts(issues) if counts is None else counts, GROUP).select(
         *GROUP, "rank", "file", "line", "package", "version", "vuln_count", "details",
         F.greatest(F.col("n") - k, F.lit(0)).alias("n_more"),
     )

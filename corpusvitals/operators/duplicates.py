@@ -301,7 +301,7 @@ def duplicate_pair_counts(files: DataFrame) -> DataFrame:
     return pair_counts(staged_files(files))
 
 
-def pair_counts(comparable: DataFrame) -> DataFrame:
+def pair_counts(comparable: DataFrame, matches: DataFrame | None = None) -> DataFrame:
     """Pairs of files are not listed: copies count by the size of their class,
     and two classes that share a block by the product of their sizes. Pairs of
     classes with differing contents are what the search finds."""
@@ -310,7 +310,7 @@ def pair_counts(comparable: DataFrame) -> DataFrame:
     sx = sizes.select("repo_id", F.col("cls").alias("x"), F.col("n").alias("nx"))
     sy = sizes.select("repo_id", F.col("cls").alias("y"), F.col("n").alias("ny"))
     across = (
-        class_matches(comparable).select("repo_id", "x", "y")
+        (class_matches(comparable) if matches is None else matches).select("repo_id", "x", "y")
         .join(sx, ["repo_id", "x"]).join(sy, ["repo_id", "y"])
         .select("repo_id", (F.col("nx") * F.col("ny")).alias("n"))
     )
@@ -321,13 +321,111 @@ def pair_counts(comparable: DataFrame) -> DataFrame:
     )
 
 
+def classes(comparable: DataFrame) -> DataFrame:
+    """Per class of copies: number of members, the first two paths and the last one."""
+    members = comparable.select("repo_id", "cls", "path", "first_line", "n_lines")
+    counted = members.groupBy("repo_id", "cls").agg(
+        F.count("*").alias("n"), F.min("path").alias("first"), F.max("path").alias("last"),
+        F.first("first_line").alias("first_line"), F.first("n_lines").alias("n_lines"),
+    )
+    # a bare row_number <= 2 is cut before the shuffle
+    by_path = Window.partitionBy("repo_id", "cls").orderBy("path")
+    second = (
+        members.withColumn("place", F.row_number().over(by_path)).where("place <= 2").where("place = 2")
+        .select("repo_id", "cls", F.col("path").alias("second"))
+    )
+    return counted.join(second, ["repo_id", "cls"], "left")
+
+
+def class_members(comparable: DataFrame) -> DataFrame:
+    """(repo_id, class, file, n_files): every file of a class of copies or of a class
+    of its own; a class is named by its first path."""
+    named = comparable.groupBy("repo_id", "cls").agg(F.min("path").alias("class"), F.count("*").alias("n_files"))
+    return (
+        comparable.select("repo_id", "cls", F.col("path").alias("file"))
+        .join(named, ["repo_id", "cls"]).select("repo_id", "class", "file", "n_files")
+    )
+
+
+def _across(path_x: str, path_y: str) -> list:
+    """Columns of the block that a file of class x and one of class y share, in order of their paths."""
+    x_first = F.col(path_x) < F.col(path_y)
+    best = lambda field: F.when(x_first, F.col(f"best_xy.{field}")).otherwise(F.col(f"best_yx.{field}"))
+    return [
+        F.when(x_first, F.col(path_x)).otherwise(F.col(path_y)).alias("file"),
+        F.when(x_first, F.col("best_xy.line_x")).otherwise(F.col("best_yx.line_y")).alias("line"),
+        F.when(x_first, F.col(path_y)).otherwise(F.col(path_x)).alias("file_2"),
+        F.when(x_first, F.col("best_xy.line_y")).otherwise(F.col("best_yx.line_x")).alias("line_2"),
+        best("n").alias("duplicate_lines"),
+        best("m").alias("matching"),
+    ]
+
+
+def class_blocks(comparable: DataFrame, matches: DataFrame | None = None) -> DataFrame:
+    """(repo_id, class, class_2, file, line, file_2, line_2, duplicate_lines,
+    matching, n_pairs): one row per class with copies, its first two files,
+    and one per pair of classes that share a block, the first file of each.
+
+    ``n_pairs`` file pairs stand behind a row; ``class_members`` names their
+    files. Two equally long blocks of a class pair may stand in another order
+    for other members. ``matches`` are written ``class_matches``.
+    """
+    found = classes(comparable)
+    copies = found.where("n > 1").select(
+        "repo_id", F.col("first").alias("class"), F.col("first").alias("class_2"),
+        F.col("first").alias("file"), F.col("first_line").alias("line"),
+        F.col("second").alias("file_2"), F.col("first_line").alias("line_2"),
+        F.col("n_lines").alias("duplicate_lines"), F.lit(WINDOW).alias("matching"),
+        (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("n_pairs"),
+    )
+    side = lambda c: found.select("repo_id", F.col("cls").alias(c), F.col("first").alias(f"path_{c}"), F.col("n").alias(f"n_{c}"))
+    matches = class_matches(comparable) if matches is None else matches
+    across = matches.join(side("x"), ["repo_id", "x"]).join(side("y"), ["repo_id", "y"])
+    across = across.select("repo_id", *_across("path_x", "path_y"), (F.col("n_x") * F.col("n_y")).alias("n_pairs"))
+    return copies.unionByName(across.withColumns({"class": F.col("file"), "class_2": F.col("file_2")}))
+
+
+def first_blocks(comparable: DataFrame, k: int, matches: DataFrame | None = None) -> DataFrame:
+    """The file pairs of the first ``k`` files of each repository that come
+    first in a pair: all that a list of the first ``k`` pairs can need. At
+    most ``k`` rows for each file."""
+    matches = class_matches(comparable) if matches is None else matches
+    members = comparable.select("repo_id", "cls", "path", "first_line", "n_lines")
+    last = classes(comparable).select("repo_id", "cls", "last")
+    either = lambda a, b: matches.select("repo_id", F.col(a).alias("cls"), F.col(b).alias("other"), F.lit(a == "x").alias("is_x"), "best_xy", "best_yx")
+    links = either("x", "y").unionByName(either("y", "x"))
+    beyond = links.select("repo_id", "cls", "other").join(last.withColumnRenamed("cls", "other"), ["repo_id", "other"])
+    reach = last.unionByName(beyond.select("repo_id", "cls", "last")).groupBy("repo_id", "cls").agg(F.max("last").alias("last"))
+    ordered = Window.partitionBy("repo_id").orderBy("path")
+    firsts = (
+        members.join(reach, ["repo_id", "cls"]).where(F.col("path") < F.col("last"))
+        .withColumn("place", F.row_number().over(ordered)).where(F.col("place") <= k)
+        .select("repo_id", "cls", "path", "first_line", "n_lines")
+    )
+    others = members.select("repo_id", F.col("cls").alias("other"), F.col("path").alias("path_2"))
+    copies = firsts.withColumn("other", F.col("cls")).join(others, ["repo_id", "other"]).where("path < path_2").select(
+        "repo_id", F.col("path").alias("file"), F.col("first_line").alias("line"),
+        F.col("path_2").alias("file_2"), F.col("first_line").alias("line_2"),
+        F.col("n_lines").alias("duplicate_lines"), F.lit(WINDOW).alias("matching"),
+    )
+    met = firsts.join(links, ["repo_id", "cls"]).join(others, ["repo_id", "other"]).where("path < path_2")
+    pick = lambda at_x, at_y: F.when(F.col("is_x"), F.col(f"best_xy.{at_x}")).otherwise(F.col(f"best_yx.{at_y}"))
+    across = met.select(
+        "repo_id", F.col("path").alias("file"), pick("line_x", "line_y").alias("line"),
+        F.col("path_2").alias("file_2"), pick("line_y", "line_x").alias("line_2"),
+        pick("n", "n").alias("duplicate_lines"), pick("m", "m").alias("matching"),
+    )
+    return copies.unionByName(across)
+
+
 def duplicate_blocks(files: DataFrame) -> DataFrame:
     """(repo_id, file, line, file_2, line_2, duplicate_lines, matching): the
     best block of every file pair that has one.
 
-    Listing pairs is the result asked for. Large classes of copies are dealt
-    over salts; members join class pairs by ordinary joins that adaptive
-    execution can split.
+    Listing pairs is the result asked for; ``class_blocks`` says the same in
+    rows that grow with the files. Large classes of copies are dealt over
+    salts; members join class pairs by ordinary joins that adaptive execution
+    can split.
     """
     return blocks(staged_files(files))
 
@@ -357,28 +455,15 @@ def blocks(comparable: DataFrame) -> DataFrame:
     # differing classes: every member of x against every member of y
     mx = members.select("repo_id", F.col("cls").alias("x"), F.col("path").alias("path_x"))
     my = members.select("repo_id", F.col("cls").alias("y"), F.col("path").alias("path_y"))
-    x_first = F.col("path_x") < F.col("path_y")
-    best = F.when(x_first, F.col("best_xy")).otherwise(F.col("best_yx"))
-    across = (
-        class_matches(comparable).join(mx, ["repo_id", "x"]).join(my, ["repo_id", "y"])
-        .select("repo_id", "path_x", "path_y", x_first.alias("x_first"), best.alias("b"))
-        .select(
-            "repo_id",
-            F.when(F.col("x_first"), F.col("path_x")).otherwise(F.col("path_y")).alias("file"),
-            F.when(F.col("x_first"), F.col("b.line_x")).otherwise(F.col("b.line_y")).alias("line"),
-            F.when(F.col("x_first"), F.col("path_y")).otherwise(F.col("path_x")).alias("file_2"),
-            F.when(F.col("x_first"), F.col("b.line_y")).otherwise(F.col("b.line_x")).alias("line_2"),
-            F.col("b.n").alias("duplicate_lines"),
-            F.col("b.m").alias("matching"),
-        )
-    )
-    return copies.unionByName(across)
+    met = class_matches(comparable).join(mx, ["repo_id", "x"]).join(my, ["repo_id", "y"])
+    return copies.unionByName(met.select("repo_id", *_across("path_x", "path_y")))
 
 
-def duplicate_findings(comparable: DataFrame) -> DataFrame:
+def block_findings(found: DataFrame) -> DataFrame:
+    """Findings from rows of ``class_blocks`` or of file pairs."""
     share = F.col("matching") / WINDOW
     why, advice = rules.EXPLANATIONS["Duplicate Code"]
-    return blocks(comparable).select(
+    return found.select(
         "repo_id",
         F.lit("quality").alias("domain"),
         F.lit("Duplicate Code").alias("type"),
@@ -394,4 +479,10 @@ def duplicate_findings(comparable: DataFrame) -> DataFrame:
         ).alias("details"),
         F.lit(why).alias("why"),
         F.lit(advice).alias("recommendation"),
+        *([F.col("n_pairs").alias("occurrences")] if "n_pairs" in found.columns else []),
     )
+
+
+def duplicate_findings(comparable: DataFrame, matches: DataFrame | None = None) -> DataFrame:
+    """A finding for each class of copies and each pair of similar classes, counted by its file pairs."""
+    return block_findings(class_blocks(comparable, matches))

@@ -77,12 +77,15 @@ def local_quality_findings(facts: DataFrame, thresholds: DataFrame | None = None
 
 
 def quality_findings(facts: DataFrame, thresholds: DataFrame | None = None) -> DataFrame:
-    """All quality findings, flagged and deduplicated, from written ``code_facts``."""
-    every = union_findings(
-        local_quality_findings(facts, thresholds),
-        duplicates.duplicate_findings(duplicates.comparable_facts(facts)),
-    )
-    return dedup_quality_findings(flag_test_files(every))
+    """All quality findings, flagged and deduplicated, from written ``code_facts``.
+    Duplicates come per class of copies, with the number of file pairs in ``occurrences``."""
+    return _with_blocks(facts, thresholds, duplicates.class_blocks(duplicates.comparable_facts(facts)))
+
+
+def _with_blocks(facts: DataFrame, thresholds: DataFrame | None, found: DataFrame) -> DataFrame:
+    local = flag_test_files(local_quality_findings(facts, thresholds))
+    # duplicates have a row for each pair already
+    return dedup_quality_findings(local).unionByName(flag_test_files(as_findings(duplicates.block_findings(found))))
 
 
 def quality_counts(facts: DataFrame, thresholds: DataFrame | None = None) -> DataFrame:
@@ -93,6 +96,11 @@ def quality_counts(facts: DataFrame, thresholds: DataFrame | None = None) -> Dat
     )
 
 
+def first_quality_findings(facts: DataFrame, k: int, thresholds: DataFrame | None = None) -> DataFrame:
+    """Quality findings with as many file pairs of duplicates as the first ``k`` in order can need."""
+    return _with_blocks(facts, thresholds, duplicates.first_blocks(duplicates.comparable_facts(facts), k))
+
+
 def secret_findings(facts: DataFrame) -> DataFrame:
     """Deduplicated secrets from written ``code_facts``."""
     return secrets.dedup_secret_findings(secrets.judged_secrets(secrets.located_secrets(facts)))

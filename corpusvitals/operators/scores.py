@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import rules
 from ..functions import paths
+from ..schemas import occurrences
 
 
 def security_score(repos: DataFrame, findings: DataFrame, scored_types=None) -> DataFrame:
@@ -62,11 +63,11 @@ def _weight(severity: Column, kind: Column) -> Column:
 
 
 def quality_deductions(findings: DataFrame) -> DataFrame:
-    """The itemised breakdown: every finding with the points it costs."""
+    """The itemised breakdown: every finding with the points that each of its occurrences costs."""
     kind = F.coalesce("type", F.lit("Quality issue"))
     return findings.select(
         "repo_id", "file", "line", kind.alias("type"), "details",
-        _scored_severity().alias("severity"),
+        _scored_severity().alias("severity"), occurrences(findings).alias("occurrences"),
     ).withColumn("deduction", _weight(F.col("severity"), F.col("type")))
 
 
@@ -74,7 +75,7 @@ def finding_counts(findings: DataFrame) -> DataFrame:
     """(repo_id, type, severity, n): all the quality score needs to know."""
     kind = F.coalesce("type", F.lit("Quality issue")).alias("type")
     return findings.groupBy("repo_id", kind, _scored_severity().alias("severity")).agg(
-        F.count("*").alias("n")
+        F.sum(occurrences(findings)).alias("n")
     )
 
 

@@ -5,12 +5,15 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import (
-    advisories as adv, commits as git, diagnosis as diag, facts as fct, findings as fnd,
+    advisories as adv, commits as git, diagnosis as diag, duplicates as dup, facts as fct, findings as fnd,
     freshness, manifests as man, profile, scores,
 )
 from ..session import stage
 from ..sources import config
 
+#: Entries of a group that the report lists.
+TOP = 5
+
 
 @dataclass
 class Inputs:
@@ -64,7 +67,13 @@ def build_report(inputs: Inputs) -> dict[str, DataFrame]:
         thresholds = config.configured_thresholds(inputs.configs)
 
     secret = stage(fnd.union_findings(fnd.secret_findings(facts)), "secrets")
-    quality = stage(fnd.quality_findings(facts, thresholds), "quality")
+    comparable = dup.comparable_facts(facts)
+    matches = stage(dup.class_matches(comparable), "matches")
+    local = stage(fnd.dedup_quality_findings(fnd.flag_test_files(fnd.local_quality_findings(facts, thresholds))), "local")
+    with_blocks = lambda found: fnd.union_findings(local, fnd.flag_test_files(dup.block_findings(found)))
+    quality = with_blocks(dup.class_blocks(comparable, matches))
+    first = with_blocks(dup.first_blocks(comparable, TOP, matches))
+    sections["duplicate_classes"] = dup.class_members(comparable).where("n_files > 1")
     security = secret
     packages = None
     if inputs.manifests is not None:
@@ -96,7 +105,7 @@ def build_report(inputs: Inputs) -> dict[str, DataFrame]:
     counts = diag.diagnosis_counts(issues)
     sections["diagnosis"] = issues
     sections["diagnosis_counts"] = counts
-    sections["diagnosis_top"] = diag.diagnosis_top(issues)
+    sections["diagnosis_top"] = diag.diagnosis_top(diag.diagnosis(secret, first, packages), TOP, counts)
     sections["actions"] = diag.recommended_actions(counts)
     if inputs.commits is not None and inputs.branches is not None:
         sections["commit_health"] = git.commit_health(repos, inputs.commits, inputs.branches)

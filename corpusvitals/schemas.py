@@ -8,7 +8,8 @@ FINDING_SCHEMA = """
     confidence int, details string, why string, recommendation string,
     lines int, threshold int, over_percentage double, complexity int,
     duplicate_lines int, similarity double, file_category string,
-    test_file boolean, package string, version string, vuln_count int
+    test_file boolean, package string, version string, vuln_count int,
+    occurrences long
 """
 
 FINDING_COLUMNS = {
@@ -39,6 +40,11 @@ BRANCH_SCHEMA = "repo_id string, name string"
 LOOKUP_SCHEMA = "key string, ts timestamp"
 
 
+def occurrences(findings: DataFrame):
+    """How many findings a row stands for: pairs of files in two classes of copies are one row."""
+    return F.coalesce("occurrences", F.lit(1)) if "occurrences" in findings.columns else F.lit(1)
+
+
 def as_findings(df: DataFrame) -> DataFrame:
     """Project to the finding columns; missing ones become typed NULLs."""
     present = set(df.columns)

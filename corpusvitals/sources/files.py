@@ -1,5 +1,6 @@
 """Source trees as tables."""
 
+import collections
 import itertools
 import os
 import time
@@ -11,43 +12,80 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import rules
 from ..functions import paths, text as tx
 from ..operators.profile import scan_manifests, scan_source_files
+from ..session import stage
 
 _LISTING = "repo_id string, path string, size_bytes long, root string"
 _LISTING_COLUMNS = ["repo_id", "path", "size_bytes", "root"]
 
 
 _LISTING_ROWS = 10_000
+#: Folders that a task lists from where it starts, before the rest is dealt out anew.
+FOLDERS = 200
 
+_FOUND = _LISTING + ", is_folder boolean"
 
-def _regular_files(root: str):
-    """(relative path, size) below a root, no links followed. Only folders
-    that neither scan enters are pruned; the rules themselves are columns."""
-    pruned = {d for d in rules.IGNORED_DIRECTORIES if d == d.lower()}
-    for folder, dirs, names in os.walk(root):
-        dirs[:] = [d for d in dirs if d not in pruned]
-        for name in names:
-            full = os.path.join(folder, name)
-            if not os.path.islink(full) and os.path.isfile(full):
-                yield os.path.relpath(full, root), os.path.getsize(full)
+
+def _folder(full: str):
+    """Names of a folder; one that cannot be entered has none."""
+    try:
+        with os.scandir(full) as entries:
+            yield from entries
+    except (FileNotFoundError, NotADirectoryError, PermissionError):
+        return
 
 
-def _walk(roots: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in roots:
-        for repo_id, root in zip(batch["repo_id"], batch["root"]):
-            files = _regular_files(root)
-            while rows := list(itertools.islice(files, _LISTING_ROWS)):
-                listed = pd.DataFrame(rows, columns=["path", "size_bytes"])
-                yield listed.assign(repo_id=repo_id, root=root)[_LISTING_COLUMNS]
+def _walk(root: str, folder: str):
+    """(relative path, size, is_folder) below ``root/folder``, no links
+    followed: the files of up to ``FOLDERS`` folders, and the folders that are
+    left. Only folders that neither scan enters are pruned; the rules
+    themselves are columns."""
+    pruned = {d for d in rules.IGNORED_DIRECTORIES if d == d.lower()}
+    waiting = collections.deque([folder])
+    for _ in range(FOLDERS):
+        if not waiting:
+            return
+        folder = waiting.popleft()
+        for entry in _folder(os.path.join(root, folder)):
+            path = os.path.join(folder, entry.name)
+            if entry.is_dir(follow_symlinks=False):
+                if entry.name not in pruned:
+                    waiting.append(path)
+            elif entry.is_file(follow_symlinks=False):
+                yield path, entry.stat(follow_symlinks=False).st_size, False
+    for folder in waiting:
+        yield folder, None, True
+
+
+def _walk_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for row in batch.itertuples(index=False):
+            found = _walk(row.root, row.folder)
+            while rows := list(itertools.islice(found, _LISTING_ROWS)):
+                listed = pd.DataFrame(rows, columns=["path", "size_bytes", "is_folder"])
+                listed["size_bytes"] = listed["size_bytes"].astype("Int64")
+                yield listed.assign(repo_id=row.repo_id, root=row.root)[[*_LISTING_COLUMNS, "is_folder"]]
 
 
 def list_trees(repos: DataFrame) -> DataFrame:
     """List files of every (repo_id, root) on a file system all executors see.
 
     Spark's own file listing hides names starting with ``_`` or ``.`` (such
-    as ``__init__.py``), so each root is listed by a task instead.
+    as ``__init__.py``), so folders are listed by tasks. A task lists a
+    bounded number of folders below the one it was given; those that are left
+    are a frontier, written and dealt out anew, until none is left. So a big
+    tree is listed by many tasks, in rounds that grow with its depth. A root
+    that does not exist has no files.
     """
-    spread = repos.select("repo_id", "root").repartition("repo_id")
-    return spread.mapInPandas(_walk, _LISTING)
+    spark = repos.sparkSession
+    frontier = repos.select("repo_id", "root", F.lit("").alias("folder"))
+    listed = spark.createDataFrame([], _LISTING)
+    while True:
+        spread = frontier.repartition(F.xxhash64("repo_id", "folder"))
+        found = stage(spread.mapInPandas(_walk_all, _FOUND), "listed")
+        listed = listed.union(found.where(~F.col("is_folder")).drop("is_folder"))
+        frontier = found.where("is_folder").select("repo_id", "root", F.col("path").alias("folder"))
+        if not frontier.limit(1).count():
+            return listed
 
 
 #: What reading a file may find once and for all; other faults are tried again.

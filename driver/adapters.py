@@ -4,6 +4,7 @@ Each view is one SELECT in the dialect Spark and DuckDB share, so both sides
 of a comparison read the same rows. ``@name`` stands for a driver table.
 """
 
+import os
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -87,6 +88,14 @@ SELECT source AS repo_id,
        n_chars * 2500 AS size_bytes
 FROM @documents"""
 
+# the same paths with the texts, one folder for each file
+FILES_LISTED = f"""
+SELECT source AS repo_id,
+       {choose('doc_id % 13', LISTING_DIRS)} || 'd' || {_ID} || '/'
+         || {choose('doc_id % 25', LISTING_NAMES)} AS path,
+       text AS content
+FROM @documents"""
+
 ROOT_NAMES = ["README.md", "docs/readme.md", "ReadMe", "main.py", "README.rst", "readme.TXT", "x/README"]
 ROOTS = f"""
 SELECT 'repo' || CAST(doc_id % 49 AS STRING) AS repo_id, {choose('doc_id % 7', ROOT_NAMES)} AS path
@@ -312,5 +321,18 @@ def _spark_table(spark: SparkSession, sf_dir: str, name: str) -> str:
     return f"parquet.`{path}`"
 
 
+def write_trees(table: DataFrame, root: str) -> None:
+    """Files ``root/repo_id/path`` on a file system that all executors see."""
+
+    def write(rows) -> None:
+        for row in rows:
+            full = os.path.join(root, row.repo_id, row.path)
+            os.makedirs(os.path.dirname(full), exist_ok=True)
+            with open(full, "wb") as file:
+                file.write(row.content.encode())
+
+    table.select("repo_id", "path", "content").foreachPartition(write)
+
+
 def load(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
     return spark.sql(re.sub(r"@(\w+)", lambda m: _spark_table(spark, sf_dir, m.group(1)), view))

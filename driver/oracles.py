@@ -141,6 +141,15 @@ dups AS (SELECT repo_id, a AS file, la AS line, b AS file_2, lb AS line_2,
     CAST(n AS INT) AS duplicate_lines, CAST(m AS INT) AS matching
   FROM long QUALIFY row_number() OVER (PARTITION BY repo_id, a, b ORDER BY n DESC, m DESC, pa, pb) = 1)"""
 
+# copies are one class, named by its first path; a row per class and per pair of classes
+CLASSES = """
+cl AS (SELECT repo_id, path, min(path) OVER w AS cls, count(*) OVER w AS n, row_number() OVER (PARTITION BY repo_id, t, nos ORDER BY path) AS k
+  FROM texts WINDOW w AS (PARTITION BY repo_id, t, nos)),
+class_dups AS (SELECT dups.*, a.cls AS class, b.cls AS class_2,
+    CAST(CASE WHEN a.cls = b.cls THEN a.n * (a.n - 1) / 2 ELSE a.n * b.n END AS BIGINT) AS n_pairs
+  FROM dups JOIN cl a ON a.repo_id = dups.repo_id AND a.path = file JOIN cl b ON b.repo_id = dups.repo_id AND b.path = file_2
+  WHERE a.k = 1 AND b.k = CASE WHEN a.cls = b.cls THEN 2 ELSE 1 END)"""
+
 # --- dependencies -----------------------------------------------------------------------
 
 DEPS = f"deps AS ({for_duckdb(a.DEPS)})"
@@ -364,6 +373,9 @@ SQL = {
     "scan_source_files": f"""WITH {having(a.LISTING)} SELECT * FROM files
         WHERE size_bytes <= 10485760 AND {EXT} IN {values(rules.LANGUAGE_BY_EXTENSION)}
           AND NOT {any_part(DIRS, rules.IGNORED_DIRECTORIES)}""",
+    "tree_sources": f"""WITH {having(a.FILES_LISTED)} SELECT repo_id, path, octet_length(encode(content)) AS size_bytes,
+          md5(replace(replace(content, chr(13) || {NL}, {NL}), chr(13), {NL})) AS digest FROM files
+        WHERE {EXT} IN {values(rules.LANGUAGE_BY_EXTENSION)} AND NOT {any_part(DIRS, rules.IGNORED_DIRECTORIES)}""",
     "scan_manifests": f"""WITH {having(a.LISTING)} SELECT DISTINCT * FROM files
         WHERE {LOWER_NAME} IN {values(rules.MANIFEST_ECOSYSTEM)}
           AND NOT {any_part(PARTS + '[1:-2]', rules.IGNORED_DIRECTORIES)}""",
@@ -400,7 +412,9 @@ SQL = {
         b AS (SELECT *, count(*) OVER (PARTITION BY repo_id, path ORDER BY pos ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS w FROM lines)
         SELECT repo_id, path, count(*) AS n_blocks, CAST(sum(line_no) AS BIGINT) AS sum_line_no, CAST(max(pos) AS BIGINT) AS last_pos, max(w) AS width
         FROM b WHERE w = 8 GROUP BY ALL""",
-    "duplicate_blocks": f"WITH {having(a.FILES_BY_LANG)}, {DUPLICATES} SELECT * FROM dups",
+    "duplicate_blocks": f"WITH {having(a.FILES_BY_LANG)}, {DUPLICATES}, {CLASSES} SELECT * FROM class_dups",
+    "duplicate_members": f"WITH {having(a.FILES_BY_LANG)}, {DUPLICATES}, {CLASSES} SELECT repo_id, cls AS class, path AS file, n AS n_files FROM cl",
+    "duplicate_first_pairs": f"WITH {having(a.FILES_BY_LANG)}, {DUPLICATES} SELECT * FROM dups QUALIFY dense_rank() OVER (PARTITION BY repo_id ORDER BY file) <= 3",
     "duplicate_pair_counts": f"WITH {having(a.FILES_BY_LANG)}, {DUPLICATES} SELECT repo_id, count(*) AS n_pairs FROM dups GROUP BY repo_id",
     "deps_requirements": f"WITH {having(a.MANIFESTS_REQUIREMENTS, 'req')}, {REQUIREMENTS} SELECT * FROM requirements",
     "deps_package_json": f"WITH {having(a.MANIFESTS_PACKAGE, 'npm')}, {NPM} SELECT * FROM npm_deps",
@@ -454,7 +468,9 @@ SQL = {
     "python_functions": f"WITH {having(a.FILES_CODE)}, {PY_FUNCTIONS} SELECT * FROM py_functions",
     "python_complexity": f"WITH {having(a.FILES_CODE)}, {PY_FUNCTIONS}, {PY_COMPLEX} SELECT * FROM py_complex",
     "long_functions": f"WITH {having(a.FILES_CODE)}, {PY_FUNCTIONS}, {PY_LONG} SELECT * FROM py_long",
-    "quality_findings": f"WITH {QUALITY_ALL} SELECT * FROM quality",
+    "quality_findings": f"""WITH {QUALITY_ALL}, {CLASSES} SELECT q.*, coalesce(n_pairs, 1) AS occurrences FROM quality q
+        LEFT JOIN class_dups d ON q.type = 'Duplicate Code' AND d.repo_id = q.repo_id AND d.file = q.file AND d.file_2 = q.file_2
+        WHERE q.type <> 'Duplicate Code' OR n_pairs IS NOT NULL""",
     "js_quality_findings": f"""WITH {having(a.FILES_CODE)}, {JS}, {JS_UNUSED}, {JS_FUNCTIONS}, {JS_COMPLEX}
         SELECT {REPORT_KEYS}, NULL AS function FROM js_unused UNION SELECT {REPORT_KEYS}, function FROM js_complex""",
     "findings_dedup": f"WITH {having(a.FILES_DECORATED)}, {MARKERS} SELECT DISTINCT repo_id, type, file, line FROM markers",
@@ -479,7 +495,10 @@ SQL = {
         SELECT repo_id, security, quality, documentation,
           CAST(round_even(security * 0.5::DOUBLE + quality * 0.3::DOUBLE + documentation * 0.2::DOUBLE, 0) AS INT) AS overall
         FROM sscore JOIN qscore USING (repo_id) JOIN doc USING (repo_id)""",
-    "diagnosis": f"WITH {DIAGNOSIS} SELECT repo_id, severity, category, type, file, details, package, version, vuln_count FROM issues",
+    "diagnosis": f"""WITH {DIAGNOSIS}, {CLASSES}
+        SELECT repo_id, severity, category, type, file, details, package, version, vuln_count, 1 AS occurrences FROM issues WHERE type <> 'Duplicate Code'
+        UNION ALL SELECT repo_id, 'LOW', 'Code Quality', type, file, details, NULL, NULL, NULL, n_pairs
+        FROM dup_findings JOIN class_dups USING (repo_id, file, file_2)""",
     "diagnosis_counts": f"WITH {DIAGNOSIS} SELECT *, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY {mapping('severity', dict(zip(rules.DIAGNOSIS_SEVERITIES, range(9))))}, category, type) AS INT) AS rank "
         "FROM (SELECT repo_id, severity, category, type, count(*) AS n FROM issues GROUP BY ALL)",
     "diagnosis_top5": f"""WITH {DIAGNOSIS},

@@ -151,7 +151,15 @@ def sliding_blocks(t):
 
 
 def duplicate_blocks(t):
-    return dup.duplicate_blocks(t.files_by_lang)
+    return dup.class_blocks(dup.staged_files(t.files_by_lang))
+
+
+def duplicate_members(t):
+    return dup.class_members(dup.staged_files(t.files_by_lang))
+
+
+def duplicate_first_pairs(t):
+    return dup.first_blocks(dup.staged_files(t.files_by_lang), 3)
 
 
 def duplicate_pair_counts(t):
@@ -249,7 +257,7 @@ def quality(t):
 
 
 def quality_findings(t):
-    return quality(t).select(*REPORT_KEYS, "function", "file_2", "line_2", "test_file")
+    return quality(t).select(*REPORT_KEYS, "function", "file_2", "line_2", "test_file", F.coalesce("occurrences", F.lit(1)).alias("occurrences"))
 
 
 def js_quality_findings(t):
@@ -311,7 +319,7 @@ def quality_breakdown(t):
 
 def quality_deductions(t):
     return scores.quality_deductions(quality(t)).groupBy("repo_id", "type", "severity", "deduction").agg(
-        F.count("*").alias("n")
+        F.sum("occurrences").alias("n")
     )
 
 
@@ -350,12 +358,20 @@ def issue_counts(t):
 
 def diagnosis(t):
     return issues(t).select(
-        "repo_id", "severity", "category", "type", "file", "details", "package", "version", "vuln_count"
+        "repo_id", "severity", "category", "type", "file", "details", "package", "version", "vuln_count", "occurrences"
     )
 
 
 def diagnosis_top(t):
-    return diag.diagnosis_top(stage(issues(t), "diagnosis")).select(
+    facts = facts_of(all_files(t))
+    limits, k = short_thresholds(facts), report.TOP
+    comparable = dup.comparable_facts(facts)
+    matches = stage(dup.class_matches(comparable), "matches")
+    local = stage(fnd.dedup_quality_findings(fnd.local_quality_findings(facts, limits)), "local")
+    first = fnd.union_findings(local, dup.block_findings(dup.first_blocks(comparable, k, matches)))
+    counted = scores.finding_counts(local).unionByName(scores.duplicate_counts(dup.pair_counts(comparable, matches)))
+    found = text_secrets(facts)
+    return diag.diagnosis_top(diag.diagnosis(found, first, packages(t)), k, diag.counts_of(found, counted, packages(t))).select(
         *diag.GROUP, "rank", "file", "line", "package", "version", "n_more"
     )
 
@@ -367,6 +383,16 @@ def report_json(t):
 
 # --- sources: the tables through the real readers -----------------------------------------------------
 
+def tree_sources(t):
+    """Texts written as trees of files, listed folder by folder and read back."""
+    spark = t.files_listed.sparkSession
+    root = track(spark, work_dir(spark, "trees")).removeprefix("file://")
+    a.write_trees(t.files_listed, root)
+    roots = t.files_listed.select("repo_id").distinct().select("repo_id", F.concat(F.lit(root + "/"), "repo_id").alias("root"))
+    found = files.read_sources(files.list_trees(roots))
+    return found.select("repo_id", "path", "size_bytes", F.md5("content").alias("digest"))
+
+
 def written(table: DataFrame, label: str, format: str = "parquet") -> str:
     path = work_dir(table.sparkSession, label)
     table.write.format(format).save(path)
@@ -492,6 +518,7 @@ def stream_first_in_window(spark, sf_dir):
 QUERIES = {
     # scans, sources
     "scan_source_files": query(lambda t: profile.scan_source_files(t.listing)),
+    "tree_sources": query(tree_sources),
     "scan_manifests": query(lambda t: profile.scan_manifests(t.listing)),
     "resolve_thresholds": query(lambda t: config.resolve_thresholds(t.configs, t.configs)),
     "file_type_profile": query(file_type_profile),
@@ -522,6 +549,8 @@ QUERIES = {
     "normalized_lines": query(normalized_lines),
     "sliding_blocks": query(sliding_blocks),
     "duplicate_blocks": query(duplicate_blocks),
+    "duplicate_members": query(duplicate_members),
+    "duplicate_first_pairs": query(duplicate_first_pairs),
     "duplicate_pair_counts": query(duplicate_pair_counts),
     # dependencies
     "deps_requirements": query(lambda t: man.parse_requirements(t.manifests_requirements)),

@@ -59,6 +59,33 @@ def random_tree(seed):
         yield (f"r{n % 2}", f"f{n:02d}.py", "\n".join(lines))
 
 
+PAIR = ("repo_id", "file", "line", "file_2", "line_2", "duplicate_lines", "matching")
+
+
+def check_classes(files, rows, expected):
+    """Classes with members say what the list of all pairs says."""
+    comparable = duplicates.staged_files(files)
+    matches = duplicates.class_matches(comparable)
+    members = {}
+    for r in duplicates.class_members(comparable).collect():
+        members.setdefault((r.repo_id, r[1]), []).append(r.file)
+        assert r.n_files == len([m for m in rows if m[0] == r.repo_id and normalized(m[2]) == normalized(dict((p, c) for q, p, c in rows if q == r.repo_id)[r.file])])
+    linked, n = set(), 0
+    for r in duplicates.class_blocks(comparable, matches).collect():
+        assert tuple(r[c] for c in PAIR) in expected
+        x, y = members[r.repo_id, r[1]], members[r.repo_id, r.class_2]
+        assert (r.file, r.file_2) == ((min(x), sorted(x)[1]) if r[1] == r.class_2 else (min(x), min(y)))
+        pairs = {(r.repo_id, *sorted(p)) for p in itertools.product(x, y) if p[0] != p[1]}
+        assert r.n_pairs == len(pairs)
+        linked |= pairs
+        n += r.n_pairs
+    assert linked == {(e[0], e[1], e[3]) for e in expected} and n == len(expected)
+    for k in (1, 4):
+        firsts = {(r, f) for r in {e[0] for e in expected} for f in sorted({e[1] for e in expected if e[0] == r})[:k]}
+        found = [tuple(r[c] for c in PAIR) for r in duplicates.first_blocks(comparable, k, matches).collect()]
+        assert sorted(found) == sorted(e for e in expected if (e[0], e[1]) in firsts)
+
+
 @pytest.mark.parametrize("seed,salt_rows", [(0, 2000), (3, 7)])
 def test_matches_all_pairs_comparison(spark, monkeypatch, seed, salt_rows):
     monkeypatch.setattr(duplicates, "SALT_ROWS", salt_rows)
@@ -74,6 +101,7 @@ def test_matches_all_pairs_comparison(spark, monkeypatch, seed, salt_rows):
     expected = brute_force(rows)
     assert expected
     assert got == expected
+    check_classes(files, rows, expected)
     counts = {r.repo_id: r.n_pairs for r in duplicates.duplicate_pair_counts(files).collect()}
     assert counts == {
         repo: sum(e[0] == repo for e in expected) for repo in {e[0] for e in expected}

@@ -160,3 +160,30 @@ def test_queries_run_again_after_clearing(spark):
     first = sorted(QUERIES["corpus_size"](spark, "/root/testdata/sf0.001").collect())
     assert session.clear_staged(spark) > 0
     assert sorted(QUERIES["corpus_size"](spark, "/root/testdata/sf0.001").collect()) == first
+
+
+def test_a_tree_is_listed_by_many_tasks(spark, tmp_path, monkeypatch):
+    import os
+    from corpusvitals.sources import files as src
+
+    wanted = set()
+    for r, (folders, deep) in enumerate([(40, 9), (1, 0), (0, 0)]):
+        root = tmp_path / f"r{r}"
+        root.mkdir()
+        for i in range(folders):
+            folder = root / "/".join(f"l{j}" for j in range(i % (deep + 1))) / f"d{i}"
+            folder.mkdir(parents=True)
+            for name in ("__init__.py", ".hidden.js"):
+                (folder / name).write_text("x" * i)
+                wanted.add((f"r{r}", os.path.relpath(folder / name, root), i))
+    (tmp_path / "r0/node_modules/x").mkdir(parents=True)
+    (tmp_path / "r0/node_modules/x/no.js").write_text("")
+    (tmp_path / "r0/link").symlink_to(tmp_path / "r1")
+    (tmp_path / "r0/link.py").symlink_to(tmp_path / "r1/d0/__init__.py")
+    repos = spark.createDataFrame([(f"r{r}", str(tmp_path / f"r{r}")) for r in (0, 1, 2, 9)], "repo_id string, root string")
+    for most in (200, 3, 1):
+        monkeypatch.setattr(src, "FOLDERS", most)
+        rows = src.list_trees(repos).collect()
+        assert len(rows) == len(wanted) and {(r.repo_id, r.path, r.size_bytes) for r in rows} == wanted
+    walked = list(src._walk(str(tmp_path / "r0"), ""))  # one folder, and the folders in it
+    assert walked and all(is_folder for _, _, is_folder in walked)
