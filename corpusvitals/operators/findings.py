@@ -1,10 +1,11 @@
 """Combining, deduplicating and ordering findings."""
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import rules
 from ..functions import paths
 from ..schemas import as_findings
+from ..session import stage
 from . import duplicates, facts as fct, markers, modules, profile, scores, scripts, secrets
 
 FINDING_KEY = ["repo_id", "type", "file", "line", "function", "details", "file_2", "line_2"]
@@ -19,27 +20,61 @@ def dedup_quality_findings(findings: DataFrame) -> DataFrame:
     return findings.dropDuplicates(FINDING_KEY)
 
 
-def ranked_findings(findings: DataFrame) -> DataFrame:
-    """``rank`` within each repository: HIGH to LOW, then file, line and type.
+def _severity_order() -> Column:
+    return F.coalesce(paths.lookup(rules.FINDING_ORDER, F.col("severity")), F.lit(9))
 
-    The last columns only make the order of equal rows repeatable.
+
+def finding_order() -> list:
+    """HIGH to LOW, then file, line and type; the last columns only make the
+    order of equal rows repeatable."""
+    text = lambda column: F.coalesce(column, F.lit(""))
+    return [_severity_order(), F.col("file"), F.coalesce("line", F.lit(0)), F.col("type"), text("details"), text("function")]
+
+
+def with_position(rows: DataFrame, *order, partitions: int | None = None) -> DataFrame:
+    """``position`` of each row in the whole order, from 1, without one task
+    that sees them all.
+
+    Rows are dealt into ranges of the order and sorted there. Each has its
+    number within its range when it is written; the sizes of the ranges, one
+    row each, give what comes before.
     """
-    severity = F.coalesce(paths.lookup(rules.FINDING_ORDER, F.col("severity")), F.lit(9))
-    order = Window.partitionBy("repo_id").orderBy(
-        severity, "file", F.coalesce("line", F.lit(0)), "type", "details", "function"
+    spark = rows.sparkSession
+    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    numbered = rows.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+    # the upper bits of this number are the partition's, the lower 33 count from 0
+    numbered = stage(numbered.withColumn("__n", F.monotonically_increasing_id()), "ordered")
+    part, within = F.shiftright("__n", 33), F.col("__n").bitwiseAND((1 << 33) - 1)
+    sizes = numbered.groupBy(part.alias("__part")).agg(F.count("*").alias("size"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as ranges
+    offsets = sizes.select("__part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("__before"))
+    return (
+        numbered.withColumn("__part", part)
+        .join(F.broadcast(offsets), "__part")
+        .select(*rows.columns, (F.col("__before") + within + 1).alias("position"))
     )
-    return findings.withColumn("rank", F.row_number().over(order))
 
 
-def order_findings(findings: DataFrame) -> DataFrame:
-    """HIGH to LOW, then file, line and type; a global range sort. The last
-    columns only make the order of equal rows repeatable."""
-    rank = F.coalesce(paths.lookup(rules.FINDING_ORDER, F.col("severity")), F.lit(9))
-    return findings.orderBy(
-        "repo_id", rank, "file", F.coalesce("line", F.lit(0)), "type", "details", "function"
+def globally_ranked(findings: DataFrame, partitions: int | None = None) -> DataFrame:
+    """``position`` among the findings of all repositories."""
+    return with_position(findings, *finding_order(), F.col("repo_id"), partitions=partitions)
+
+
+def ranked_findings(findings: DataFrame, partitions: int | None = None) -> DataFrame:
+    """``rank`` within each repository: its place in the order by repository,
+    less that of the repository's first finding."""
+    placed = with_position(findings, F.col("repo_id"), *finding_order(), partitions=partitions)
+    first = placed.groupBy("repo_id").agg(F.min("position").alias("first"))
+    return placed.join(first, "repo_id").select(
+        *findings.columns, (F.col("position") - F.col("first") + 1).cast("int").alias("rank")
     )
 
 
+def order_findings(findings: DataFrame) -> DataFrame:
+    """Sorted by repository and ``finding_order``: a range sort."""
+    return findings.orderBy("repo_id", *finding_order())
+
+
 def union_findings(*parts: DataFrame) -> DataFrame:
     """Append findings of any detectors in the common shape."""
     whole = as_findings(parts[0])

@@ -369,6 +369,11 @@ issues AS (
     package || ' ' || version || ': ' || vuln_count || CASE WHEN vuln_count = 1 THEN ' advisory' ELSE ' advisories' END
       || ' for what is declared in ' || replace(manifests, ',', ', '), package, version, vuln_count FROM packages)"""
 
+CODE_FOUND = f"""WITH {having(a.FILES_CODE)}, {PY_FUNCTIONS}, {PY_COMPLEX}, {PY_LONG}, {PY_UNUSED}, {JS}, {JS_UNUSED}, {JS_FUNCTIONS}, {JS_COMPLEX},
+    f AS (SELECT {REPORT_KEYS}, function FROM py_complex UNION SELECT {REPORT_KEYS}, function FROM py_long UNION SELECT {REPORT_KEYS}, NULL FROM py_unused
+    UNION SELECT {REPORT_KEYS}, NULL FROM js_unused UNION SELECT {REPORT_KEYS}, function FROM js_complex)"""
+_ORDER = f"{mapping('severity', rules.FINDING_ORDER)}, file, line, type, details, coalesce(function, '')"
+
 SQL = {
     "scan_source_files": f"""WITH {having(a.LISTING)} SELECT * FROM files
         WHERE size_bytes <= 10485760 AND {EXT} IN {values(rules.LANGUAGE_BY_EXTENSION)}
@@ -476,10 +481,10 @@ SQL = {
     "findings_dedup": f"WITH {having(a.FILES_DECORATED)}, {MARKERS} SELECT DISTINCT repo_id, type, file, line FROM markers",
     "findings_test_flag": f"""WITH {having(a.FILES_DECORATED)}, {MARKERS}
         SELECT repo_id, type, ({QUALITY_CATEGORY.replace('path', 'file')}) = 'test' AS test_file, count(*) AS n FROM markers GROUP BY ALL""",
-    "findings_ordered": f"""WITH {having(a.FILES_CODE)}, {PY_FUNCTIONS}, {PY_COMPLEX}, {PY_LONG}, {PY_UNUSED}, {JS}, {JS_UNUSED}, {JS_FUNCTIONS}, {JS_COMPLEX}
-        , f AS (SELECT {REPORT_KEYS}, function FROM py_complex UNION SELECT {REPORT_KEYS}, function FROM py_long UNION SELECT {REPORT_KEYS}, NULL FROM py_unused
-        UNION SELECT {REPORT_KEYS}, NULL FROM js_unused UNION SELECT {REPORT_KEYS}, function FROM js_complex)
-        SELECT {REPORT_KEYS}, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY {mapping('severity', rules.FINDING_ORDER)}, file, line, type, details, function) AS INT) AS rank FROM f""",
+    "findings_ordered": f"""{CODE_FOUND}
+        SELECT {REPORT_KEYS}, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY {_ORDER}) AS INT) AS rank FROM f""",
+    "findings_global_rank": f"""{CODE_FOUND}
+        SELECT {REPORT_KEYS}, row_number() OVER (ORDER BY {_ORDER}, repo_id) AS position FROM f""",
     "all_security_findings": f"WITH {SECURITY} SELECT * FROM security",
     "security_score": f"""WITH {SECURITY}, repos AS (SELECT DISTINCT repo_id FROM security), {security_penalty('security')} SELECT * FROM sscore""",
     "quality_score": f"WITH {QUALITY_SCORES} SELECT repo_id, quality, total_deduction, raw_deduction FROM qscore",

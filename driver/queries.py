@@ -276,12 +276,19 @@ def findings_test_flag(t):
     )
 
 
-def findings_ordered(t):
+def code_findings(t):
     facts = facts_of(t.files_code)
-    found = fnd.dedup_quality_findings(
+    return fnd.dedup_quality_findings(
         fnd.union_findings(*fnd.python_findings(facts), *fnd.script_findings(facts))
     )
-    return fnd.ranked_findings(found).select(*REPORT_KEYS, "rank")
+
+
+def findings_ordered(t):
+    return fnd.ranked_findings(code_findings(t)).select(*REPORT_KEYS, "rank")
+
+
+def findings_global_rank(t):
+    return fnd.globally_ranked(code_findings(t)).select(*REPORT_KEYS, "position")
 
 
 def security_findings(t):
@@ -589,6 +596,7 @@ QUERIES = {
     "findings_dedup": query(findings_dedup),
     "findings_test_flag": query(findings_test_flag),
     "findings_ordered": query(findings_ordered),
+    "findings_global_rank": query(findings_global_rank),
     "all_security_findings": query(all_security_findings),
     "security_score": query(security_score),
     "quality_score": query(quality_score),

@@ -249,3 +249,19 @@ def test_first_in_window_survives_a_restart(spark, tmp_path):
         scan.first_in_window(stream, out, state).awaitTermination()
     found = {(r.key, r.window_start): r.ts for r in scan.read_first_in_window(spark, out).collect()}
     assert found == wanted
+
+
+def test_positions_need_no_single_task(spark):
+    rows = [("hot" if i % 3 else f"r{i}", ["HIGH", "LOW", "odd", None][i % 4], f"f{i * 7 % 50}", None if i % 5 == 0 else i % 9, "T", None, str(i)) for i in range(400)]
+    found = spark.createDataFrame(rows, "repo_id string, severity string, file string, line int, type string, details string, function string")
+    order = {"HIGH": 0, "LOW": 2}
+    key = lambda r: (order.get(r[1], 9), r[2], r[3] or 0, r[4], r[5] or "", r[6])
+    wanted = {r: i for i, r in enumerate(sorted(rows, key=lambda r: (*key(r), r[0])), 1)}
+    for partitions in (1, 7, 60):
+        got = fnd.globally_ranked(found, partitions)
+        assert got.rdd.getNumPartitions() > 0 and {tuple(r[:-1]): r.position for r in got.collect()} == wanted
+        ranked = {tuple(r[:-1]): r.rank for r in fnd.ranked_findings(found, partitions).collect()}
+        for repo in {r[0] for r in rows}:
+            own = sorted((r for r in rows if r[0] == repo), key=key)
+            assert [ranked[r] for r in own] == list(range(1, len(own) + 1))
+    assert fnd.globally_ranked(found.limit(0)).collect() == fnd.ranked_findings(found.limit(0)).collect() == []
