@@ -78,15 +78,31 @@ def once(**columns: Column) -> Column:
     return F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()])))
 
 
-def pieces(specs: dict, content: Column) -> Column:
+def mentions(text: Column, stems: list) -> Column:
+    """Whether any of these lower-case stems stands in the text: one look that
+    spares the texts without them every pattern."""
+    lowered = F.lower(text)
+    found = F.lit(False)
+    for stem in stems:
+        found = found | lowered.contains(stem)
+    return found
+
+
+def specs_of(patterns: dict) -> Column:
+    """Patterns as ``array<struct<label, pattern>>``."""
+    return F.array(*[F.struct(F.lit(label).alias("label"), F.lit(p).alias("pattern")) for label, p in patterns.items()])
+
+
+def pieces(specs, content: Column) -> Column:
     """Cut a text at its matches: ``array<struct<label, i, gap, hit>>``, the
     gap before match i and the match itself (NULL after the last one).
 
+    ``specs`` are patterns by label, or a column such as ``specs_of`` gives.
     One extraction and one split per pattern that matches; callers reduce
     gaps to counts and flags in the same row, so no text travels.
     """
-    found = F.filter(
-        F.array(
+    if isinstance(specs, dict):
+        extracted = F.array(
             *[
                 F.struct(
                     F.lit(label).alias("label"),
@@ -95,9 +111,17 @@ def pieces(specs: dict, content: Column) -> Column:
                 )
                 for label, pattern in specs.items()
             ]
-        ),
-        lambda s: F.size(s["hits"]) > 0,
-    )
+        )
+    else:
+        extracted = F.transform(
+            specs,
+            lambda s: F.struct(
+                s["label"].alias("label"),
+                F.regexp_extract_all(content, s["pattern"], F.lit(0)).alias("hits"),
+                s["pattern"].alias("pattern"),
+            ),
+        )
+    found = F.filter(extracted, lambda s: F.size(s["hits"]) > 0)
 
     def cut(s: Column) -> Column:
         pairs = F.zip_with(

@@ -12,8 +12,12 @@ from ..functions import paths, text as tx
 from . import duplicates, markers, modules, scripts, secrets
 
 
-def code_facts(files: DataFrame) -> DataFrame:
-    """One row per file, without its text; columns are NULL where a rule does not look."""
+def code_facts(files: DataFrame, secret_overrides: DataFrame | None = None) -> DataFrame:
+    """One row per file, without its text; columns are NULL where a rule does
+    not look. ``secret_overrides``: see ``secrets.with_own_patterns``."""
+    own = None
+    if secret_overrides is not None:
+        files, own = secrets.with_own_patterns(files, secret_overrides), F.col("secret_patterns")
     path, content = F.col("path"), F.col("content")
     looked = paths.quality_category(path) != "generated"
     script = looked & paths.extension(path).isin(rules.JS_EXTENSIONS)
@@ -21,6 +25,7 @@ def code_facts(files: DataFrame) -> DataFrame:
         "repo_id",
         "path",
         "content",
+        *(["secret_patterns"] if own is not None else []),
         modules.module_facts(F.when(looked & (paths.extension(path) == ".py"), content)).alias("python"),
         scripts.function_facts(F.when(script, content)).alias("script_functions"),
     )
@@ -31,7 +36,7 @@ def code_facts(files: DataFrame) -> DataFrame:
             read_lines=tx.read_line_count(content),
             lines=F.when(looked & (content != ""), tx.split_line_count(content)),
             markers=F.when(looked, markers.marker_hits(content)),
-            secrets=F.when(paths.security_category(path) != "generated", secrets.secret_pieces(content)),
+            secrets=F.when(paths.security_category(path) != "generated", secrets.secret_pieces(content, own)),
             l=F.when(looked, tx.normalized_lines(content)),
         ),
     )

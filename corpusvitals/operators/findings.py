@@ -136,9 +136,9 @@ def first_quality_findings(facts: DataFrame, k: int, thresholds: DataFrame | Non
     return _with_blocks(facts, thresholds, duplicates.first_blocks(duplicates.comparable_facts(facts), k))
 
 
-def secret_findings(facts: DataFrame) -> DataFrame:
+def secret_findings(facts: DataFrame, placeholders: DataFrame | None = None) -> DataFrame:
     """Deduplicated secrets from written ``code_facts``."""
-    return secrets.dedup_secret_findings(secrets.judged_secrets(secrets.located_secrets(facts)))
+    return secrets.dedup_secret_findings(secrets.judged_secrets(secrets.located_secrets(facts), placeholders))
 
 
 def script_quality_findings(facts: DataFrame) -> DataFrame:

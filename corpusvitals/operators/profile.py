@@ -125,7 +125,8 @@ def flag_large(measured: DataFrame, thresholds: DataFrame | None = None) -> Data
         over.alias("over_percentage"),
         F.format_string(
             rules.DETAILS["large_file"],
-            kind, lines, limit, over,
+            # quarters are exact: half of a tenth goes to the even one
+            kind, lines, limit, F.when((over * 4) % 1 == 0, F.bround(over, 1)).otherwise(over),
         ).alias("details"),
         F.lit(why).alias("why"),
         F.lit(advice).alias("recommendation"),

@@ -89,16 +89,24 @@ def duplicate_counts(pair_counts: DataFrame) -> DataFrame:
     )
 
 
-def quality_score(repos: DataFrame, counts: DataFrame) -> DataFrame:
+def _with_weight(rows: DataFrame, weights: DataFrame | None) -> DataFrame:
+    """Add ``weight``; ``weights`` (repo_id, type, severity, weight) replaces some of the rules' in a repository."""
+    given = _weight(F.col("severity"), F.col("type"))
+    if weights is None:
+        return rows.withColumn("weight", given)
+    own = weights.select("repo_id", "type", "severity", F.col("weight").alias("own"))
+    return rows.join(own, ["repo_id", "type", "severity"], "left").withColumn("weight", F.coalesce("own", given)).drop("own")
+
+
+def quality_score(repos: DataFrame, counts: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """Score, capped deduction and its split by severity.
 
     Beyond the cap the split is scaled to it, half to even, and the rounding
     remainder goes to HIGH.
     """
     cap = F.lit(rules.MAX_QUALITY_DEDUCTION)
-    points = F.col("n") * _weight(F.col("severity"), F.col("type"))
     totals = (
-        counts.withColumn("points", points)
+        _with_weight(counts, weights).withColumn("points", F.col("n") * F.col("weight"))
         .groupBy("repo_id")
         .agg(
             *[

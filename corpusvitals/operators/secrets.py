@@ -21,6 +21,31 @@ PATTERNS = {name: _pattern(words) for name, words in rules.SECRET_KEYWORDS.items
 ANY_SECRET = _pattern("|".join(rules.SECRET_KEYWORDS.values()))
 
 
+def with_own_patterns(files: DataFrame, overrides: DataFrame | None) -> DataFrame:
+    """Add ``secret_patterns``: NULL for repositories that go by the rules, else their patterns.
+
+    ``overrides`` (repo_id, type, keywords) replaces the keywords of a type,
+    or adds a type; NULL keywords switch it off. A repository has a few. The
+    table meets the files by repository, as a broadcast wherever its size
+    allows.
+    """
+    kind = "array<struct<label: string, pattern: string>>"
+    if overrides is None:
+        return files.withColumn("secret_patterns", F.lit(None).cast(kind))
+    own = overrides.groupBy("repo_id").agg(F.collect_set(F.struct("type", "keywords")).alias("own"))
+    named = F.transform("own", lambda o: o["type"])
+    kept = F.filter(tx.specs_of(PATTERNS), lambda s: ~F.array_contains(named, s["label"]))
+    replaced = F.transform(
+        F.filter("own", lambda o: o["keywords"].isNotNull()),
+        lambda o: F.struct(
+            o["type"].alias("label"),
+            F.concat(F.lit(r"(?iU)\b("), o["keywords"], F.lit(rf")\b{_VALUE}")).alias("pattern"),
+        ),
+    )
+    resolved = own.select("repo_id", F.concat(kept, replaced).cast(kind).alias("secret_patterns"))
+    return files.join(resolved, "repo_id", "left")
+
+
 def is_placeholder(value: Column) -> Column:
     trimmed = tx.strip(F.lower(value))
     prefixes = "|".join(rules.PLACEHOLDER_PREFIXES)
@@ -67,14 +92,23 @@ def _asks_user(fragment: Column) -> Column:
     return found
 
 
-def secret_pieces(content: Column) -> Column:
+def secret_pieces(content: Column, own: Column | None = None) -> Column:
     """What the rules need of a text's assignments and of the gaps between
-    them, as an array of small structs; NULL without any assignment."""
+    them, as an array of small structs; NULL without any assignment. ``own``
+    are patterns that replace the rules' where it is not NULL."""
+    looked = tx.mentions(content, rules.SECRET_STEMS)
+    found = F.when(looked & content.rlike(ANY_SECRET), _piece_facts(PATTERNS, content))
+    if own is None:
+        return found
+    return F.when(own.isNull(), found).otherwise(_piece_facts(own, content))
+
+
+def _piece_facts(specs, content: Column) -> Column:
     head = lambda c: F.lower(F.substring_index(c, "\n", 1))
     tail = lambda c: F.lower(F.substring_index(c, "\n", -1))
     hit_of = lambda p: F.coalesce(p["hit"], F.lit(""))
-    facts = F.transform(
-        tx.pieces(PATTERNS, content),
+    return F.transform(
+        tx.pieces(specs, content),
         lambda p: F.struct(
             p["label"].alias("label"),
             p["i"].alias("i"),
@@ -89,13 +123,15 @@ def secret_pieces(content: Column) -> Column:
             _asks_user(head(hit_of(p))).alias("hit_head"),
         ),
     )
-    return F.when(content.rlike(ANY_SECRET), facts)
 
 
-def secret_matches(files: DataFrame) -> DataFrame:
+def secret_matches(files: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     """Every raw assignment with ``line``, ``value`` and ``suppressed``."""
     looked = files.where(paths.security_category(F.col("path")) != "generated")
-    return located_secrets(looked.select("repo_id", "path", tx.once(secrets=secret_pieces(F.col("content")))))
+    own = None
+    if overrides is not None:
+        looked, own = with_own_patterns(looked, overrides), F.col("secret_patterns")
+    return located_secrets(looked.select("repo_id", "path", tx.once(secrets=secret_pieces(F.col("content"), own))))
 
 
 def located_secrets(facts: DataFrame) -> DataFrame:
@@ -159,12 +195,17 @@ def located_secrets(facts: DataFrame) -> DataFrame:
     )
 
 
-def secret_findings(files: DataFrame) -> DataFrame:
+def secret_findings(files: DataFrame, overrides: DataFrame | None = None, placeholders: DataFrame | None = None) -> DataFrame:
     """Reported secrets, before deduplication."""
-    return judged_secrets(secret_matches(files))
+    return judged_secrets(secret_matches(files, overrides), placeholders)
 
 
-def judged_secrets(matches: DataFrame) -> DataFrame:
+def judged_secrets(matches: DataFrame, placeholders: DataFrame | None = None) -> DataFrame:
+    """``placeholders`` (repo_id, word): values, in lower case, that are none in these repositories besides the rules'."""
+    if placeholders is not None:
+        words = placeholders.select("repo_id", F.lower("word").alias("word")).distinct()
+        trimmed = matches.withColumn("word", tx.strip(F.lower("value")))
+        matches = trimmed.join(words, ["repo_id", "word"], "left_anti").drop("word")
     kept = (
         matches
         .where(~F.col("suppressed") & ~is_placeholder(F.col("value")))
@@ -191,6 +232,6 @@ def dedup_secret_findings(findings: DataFrame) -> DataFrame:
     return findings.dropDuplicates(["repo_id", "type", "file", "line", "confidence"])
 
 
-def scan_secrets(files: DataFrame) -> DataFrame:
+def scan_secrets(files: DataFrame, overrides: DataFrame | None = None, placeholders: DataFrame | None = None) -> DataFrame:
     """Deduplicated secret findings; the windows' partitioning is reused."""
-    return dedup_secret_findings(secret_findings(files))
+    return dedup_secret_findings(secret_findings(files, overrides, placeholders))

@@ -1,8 +1,9 @@
 """The whole report: every section as a table."""
 
 from dataclasses import dataclass
+import json
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..operators import (
     advisories as adv, commits as git, diagnosis as diag, duplicates as dup, facts as fct, findings as fnd,
@@ -35,14 +36,19 @@ class Inputs:
     commits: DataFrame | None = None
     branches: DataFrame | None = None
     repos: DataFrame | None = None
+    #: Rules of single repositories: (repo_id, type, keywords), (repo_id, word), (repo_id, type, severity, weight).
+    secret_overrides: DataFrame | None = None
+    placeholders: DataFrame | None = None
+    weights: DataFrame | None = None
 
 
 def score_table(
-    repos: DataFrame, listing: DataFrame, security: DataFrame, quality_counts: DataFrame
+    repos: DataFrame, listing: DataFrame, security: DataFrame, quality_counts: DataFrame,
+    weights: DataFrame | None = None,
 ) -> DataFrame:
     return scores.overall_score(
         scores.security_score(repos, security),
-        scores.quality_score(repos, quality_counts),
+        scores.quality_score(repos, quality_counts, weights),
         scores.documentation_score(listing),
     )
 
@@ -55,7 +61,7 @@ def build_report(inputs: Inputs) -> dict[str, DataFrame]:
     """
     named = inputs.listing if inputs.repos is None else inputs.repos
     repos = named.select("repo_id").distinct()
-    facts = stage(fct.code_facts(inputs.files), "facts")
+    facts = stage(fct.code_facts(inputs.files, inputs.secret_overrides), "facts")
     sections: dict[str, DataFrame] = {
         "languages": profile.ranked_languages(profile.language_profile(facts)),
         "corpus_size": profile.size_of(facts),
@@ -66,7 +72,7 @@ def build_report(inputs: Inputs) -> dict[str, DataFrame]:
         sections["thresholds"] = config.resolve_thresholds(repos, inputs.configs)
         thresholds = config.configured_thresholds(inputs.configs)
 
-    secret = stage(fnd.union_findings(fnd.secret_findings(facts)), "secrets")
+    secret = stage(fnd.union_findings(fnd.secret_findings(facts, inputs.placeholders)), "secrets")
     comparable = dup.comparable_facts(facts)
     matches = stage(dup.class_matches(comparable), "matches")
     local = stage(fnd.dedup_quality_findings(fnd.flag_test_files(fnd.local_quality_findings(facts, thresholds))), "local")
@@ -99,7 +105,7 @@ def build_report(inputs: Inputs) -> dict[str, DataFrame]:
     sections["quality_findings"] = quality
     sections["quality_deductions"] = scores.quality_deductions(quality)
     sections["scores"] = score_table(
-        repos, inputs.listing, security, scores.finding_counts(quality)
+        repos, inputs.listing, security, scores.finding_counts(quality), inputs.weights
     )
     issues = stage(diag.diagnosis(secret, quality, packages), "diagnosis")
     counts = diag.diagnosis_counts(issues)
@@ -136,13 +142,51 @@ def quick_scores(
     )
 
 
-def write_report(sections: dict[str, DataFrame], out_dir: str, format: str = "parquet") -> None:
-    """One folder per section; findings and diagnosis are split by severity."""
+def write_report(sections: dict[str, DataFrame], out_dir: str, run: str = "0", format: str = "parquet") -> None:
+    """Write the sections of one run, by severity where they have it.
+
+    Runs stand side by side in folders ``section/run=...`` and replace
+    nothing but their own earlier attempt. A run counts once its manifest is
+    written, at the end: the sections with their schemas and numbers of rows,
+    and the repositories that the run covers. ``read_section`` takes each
+    repository from the last run that covers it, by the order of run names.
+    """
+    spark = next(iter(sections.values())).sparkSession
+    rows = []
     for name, table in sections.items():
         writer = table.write.mode("overwrite").format(format)
         if "severity" in table.columns:
             writer = writer.partitionBy("severity")
-        writer.save(f"{out_dir}/{name}")
+        path = f"{out_dir}/{name}/run={run}"
+        writer.save(path)
+        written = spark.read.format(format).schema(table.schema).load(path)
+        rows.append((name, written.count(), format, table.schema.json()))
+    covered = sections["scores"].select("repo_id").distinct()
+    covered.write.mode("overwrite").parquet(f"{out_dir}/covered/run={run}")
+    manifest = spark.createDataFrame(rows, "section string, n_rows long, format string, schema string")
+    manifest.coalesce(1).write.mode("overwrite").json(f"{out_dir}/manifest/run={run}")
+
+
+_MANIFEST = "section string, n_rows long, format string, schema string, run string"
+
+
+def read_manifest(spark: SparkSession, out_dir: str) -> DataFrame:
+    """(section, n_rows, format, schema, run) of the runs that were written to their end."""
+    return spark.read.schema(_MANIFEST).json(f"{out_dir}/manifest")
+
+
+def read_section(spark: SparkSession, out_dir: str, name: str) -> DataFrame:
+    """A section as the last finished runs have it, with the run in ``run``."""
+    manifest = read_manifest(spark, out_dir)
+    known = manifest.where(F.col("section") == name).orderBy(F.desc("run")).first()
+    if known is None:
+        raise ValueError(f"no finished run has a section {name!r}")
+    schema = T.StructType.fromJson(json.loads(known.schema)).add("run", "string")
+    covered = spark.read.schema("repo_id string, run string").parquet(f"{out_dir}/covered")
+    finished = covered.join(manifest.select("run").distinct(), "run", "left_semi")
+    latest = finished.groupBy("repo_id").agg(F.max("run").alias("run"))
+    rows = spark.read.format(known.format).schema(schema).load(f"{out_dir}/{name}")
+    return rows.join(latest, ["repo_id", "run"], "left_semi")
 
 
 def as_json(table: DataFrame, ignore_nulls: bool = True) -> DataFrame:

@@ -106,6 +106,10 @@ SECRET_KEYWORDS = {
     "Token": "token|auth[_-]?token",
 }
 
+# every keyword above has one of these in it; no letter of theirs has a foreign
+# form that a pattern without case would take for it and lower-casing would not
+SECRET_STEMS = ["key", "word", "wd", "token"]
+
 STRUCTURED_SECRET_TYPES = ["API Key", "Secret Key", "Token"]
 SCORED_SECRET_TYPES = ["API Key", "Password", "Token"]
 

@@ -114,6 +114,31 @@ CONFIGS = f"""
 SELECT 'src' || CAST(doc_id AS STRING) AS repo_id, {choose('doc_id % 7', CONFIGS_SHAPES)} AS content
 FROM (SELECT doc_id FROM @documents) d"""
 
+# thresholds that differ by type of file and by repository
+REPO_CONFIGS_SHAPES = [
+    '{"thresholds": {"python": 12, "javascript": 30, "css": 16}}',
+    '{"thresholds": {"css": 9, "python": "x", "html": 14}}',
+    "broken",
+]
+REPO_CONFIGS = f"""
+SELECT repo_id, {choose('CAST(substr(repo_id, 4) AS INT) % 3', REPO_CONFIGS_SHAPES)} AS content
+FROM (SELECT DISTINCT source AS repo_id FROM @documents) d"""
+
+# texts under names of many types, longer by the row's number
+FILES_TYPED = f"""
+SELECT source AS repo_id,
+       'src/d' || {_ID} || '/' || {choose('doc_id % 7', ['a.py', 'b.js', 'c.tsx', 'd.css', 'e.scss', 'f.html', 'g.go'])} AS path,
+       text || repeat(chr(10) || 'x', CAST(doc_id * 37 % 1500 AS INT)) AS content
+FROM @documents"""
+
+# rules of single repositories: another keyword, a type of their own, a type switched off; words that are no secrets
+SECRET_OVERRIDES = """
+SELECT * FROM (SELECT DISTINCT source AS repo_id FROM @documents) d,
+  (SELECT 'API Key' AS type, 'nothing' AS keywords, 1 AS m UNION ALL SELECT 'Letter', 'y|x', 1 UNION ALL SELECT 'Password', NULL, 2) o
+WHERE CAST(substr(repo_id, 4) AS INT) % 4 = m"""
+PLACEHOLDERS = """
+SELECT DISTINCT source AS repo_id, 'AB3DE5GH7JK9MN1P' AS word FROM @documents WHERE CAST(substr(source, 4) AS INT) % 4 = 3"""
+
 # --- code: the text as comments, then code whose shape depends on the row ----
 
 

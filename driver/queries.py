@@ -1,5 +1,7 @@
 """The registered queries: every operator over whole driver tables."""
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusvitals import rules
@@ -91,6 +93,12 @@ def large_files(t):
     )
 
 
+def large_files_by_type(t):
+    """Limits that differ by type and repository, from configuration files."""
+    limits = config.configured_thresholds(t.repo_configs)
+    return profile.large_files(t.files_typed, limits).select("repo_id", "file", "severity", "lines", "threshold", "details")
+
+
 # --- secrets and markers ------------------------------------------------------------
 
 def placeholder_filter(t):
@@ -119,6 +127,12 @@ def secret_scan(files):
     return build
 
 
+def secret_scan_overrides(t):
+    """Repositories with patterns and placeholder words of their own."""
+    found = secrets.scan_secrets(t.files_decorated, t.secret_overrides.drop("m"), t.placeholders)
+    return found.select(*REPORT_KEYS, "file_category")
+
+
 def secret_findings_dedup(t):
     repeated = secrets.secret_findings(t.files_decorated)
     return secrets.dedup_secret_findings(repeated.unionByName(repeated)).select(
@@ -388,6 +402,26 @@ def report_json(t):
     return report.as_json(found)
 
 
+def report_written(t):
+    """The whole report, written twice and read back; rows of some sections by repository."""
+    listing = all_files(t).select("repo_id", "path")
+    limits = F.lit(json.dumps({"thresholds": dict.fromkeys(("python", "javascript", "css", "html"), SHORT_LINES)}))
+    configs = listing.select("repo_id").distinct().select("repo_id", limits.alias("content"))
+    sections = report.build_report(report.Inputs(listing=listing, files=all_files(t), configs=configs))
+    kept = {"scores": F.lit(1), "languages": F.lit(1), "security_findings": F.lit(1), "quality_findings": F.coalesce("occurrences", F.lit(1)),
+            "diagnosis_counts": F.col("n"), "actions": F.lit(1)}
+    spark = t.files_decorated.sparkSession
+    out = track(spark, work_dir(spark, "report"))
+    for _ in range(2):
+        report.write_report({name: sections[name] for name in kept}, out, run="1")
+    found = None
+    for name, weight in kept.items():
+        rows = report.read_section(spark, out, name)
+        part = rows.groupBy("repo_id").agg(F.sum(weight).cast("long").alias("n")).select(F.lit(name).alias("section"), "repo_id", "n")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 # --- sources: the tables through the real readers -----------------------------------------------------
 
 def tree_sources(t):
@@ -543,12 +577,14 @@ QUERIES = {
     "corpus_size": query(corpus_size),
     "line_counts": query(line_counts),
     "large_files": query(large_files),
+    "large_files_by_type": query(large_files_by_type),
     # secrets and markers
     "placeholder_filter": query(placeholder_filter),
     "secret_confidence": query(secret_confidence),
     "secret_input_suppression": query(secret_input_suppression),
     "secret_scan": query(secret_scan("files_decorated")),
     "secret_scan_by_lang": query(secret_scan("files_by_lang")),
+    "secret_scan_overrides": query(secret_scan_overrides),
     "secret_explanations": query(secret_explanations),
     "secret_findings_dedup": query(secret_findings_dedup),
     "work_markers": query(work_markers),
@@ -609,6 +645,7 @@ QUERIES = {
     "diagnosis_top5": query(diagnosis_top),
     "recommended_actions": query(lambda t: diag.recommended_actions(issue_counts(t))),
     "report_json": query(report_json),
+    "report_written": query(report_written),
     # streams
     "stream_secret_scan": stream_secret_scan,
     "stream_changed_files": query(stream_changed_files),

@@ -265,3 +265,32 @@ def test_positions_need_no_single_task(spark):
             own = sorted((r for r in rows if r[0] == repo), key=key)
             assert [ranked[r] for r in own] == list(range(1, len(own) + 1))
     assert fnd.globally_ranked(found.limit(0)).collect() == fnd.ranked_findings(found.limit(0)).collect() == []
+
+
+def test_a_report_counts_once_it_is_finished(spark, tmp_path):
+    out = str(tmp_path / "out")
+    table = lambda rows, schema: spark.createDataFrame(rows, schema)
+    scores_ = "repo_id string, overall int"
+    found = "repo_id string, severity string, file string"
+    first = {"scores": table([("a", 1), ("b", 2)], scores_), "found": table([("a", "HIGH", "x"), ("a", "LOW", "y"), ("b", "LOW", "z")], found)}
+    for _ in range(2):
+        report.write_report(first, out, run="1")
+    read = lambda name: sorted(tuple(r)[:-1] for r in report.read_section(spark, out, name).select(*first[name].columns, "run").collect())
+    assert read("found") == [("a", "HIGH", "x"), ("a", "LOW", "y"), ("b", "LOW", "z")] and read("scores") == [("a", 1), ("b", 2)]
+    # one repository again: it has nothing left, the other stays
+    report.write_report({"scores": table([("a", 9)], scores_), "found": table([], found)}, out, run="2")
+    assert read("found") == [("b", "LOW", "z")] and read("scores") == [("a", 9), ("b", 2)]
+    assert {(r.section, r.run): r.n_rows for r in report.read_manifest(spark, out).collect()} == {
+        ("scores", "1"): 2, ("found", "1"): 3, ("scores", "2"): 1, ("found", "2"): 0,
+    }
+    # a run that broke off has no manifest
+    table([("b", 0)], scores_).write.parquet(f"{out}/scores/run=3")
+    table([("b",)], "repo_id string").write.parquet(f"{out}/covered/run=3")
+    assert read("scores") == [("a", 9), ("b", 2)]
+
+
+def test_weights_of_a_repository(spark):
+    counts = spark.createDataFrame([(r, "Large File", "HIGH", 2) for r in "ab"], "repo_id string, type string, severity string, n long")
+    own = spark.createDataFrame([("a", "Large File", "HIGH", 1), ("z", "Large File", "HIGH", 50)], "repo_id string, type string, severity string, weight int")
+    rows = scores.quality_score(counts, counts, own).collect()
+    assert {r.repo_id: r.quality for r in rows} == {"a": 98, "b": 88}

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 import pytest
 
 from corpusvitals import rules
-from corpusvitals.operators import markers, secrets
+from corpusvitals.operators import findings as fnd, markers, secrets
+from corpusvitals.operators.facts import code_facts
 
 
 def scan(files, tree):
@@ -77,3 +78,25 @@ def test_markers(files):
     assert sorted((r.line, r.type) for r in found.collect()) == [
         (1, "TODO Marker"), (1, "TODO Marker"), (3, "FIXME Marker"),
     ]
+
+
+def test_every_keyword_has_a_stem():
+    for words in ("api_key", "apikey", "API-KEY", "secretkey", "secret_key", "password", "passwd", "pwd", "token", "auth_token"):
+        assert any(re.fullmatch(p, words, re.I) for p in rules.SECRET_KEYWORDS.values())
+        assert any(stem in words.lower() for stem in rules.SECRET_STEMS)
+    for pattern in rules.SECRET_KEYWORDS.values():
+        for option in pattern.split("|"):
+            assert any(stem in option for stem in rules.SECRET_STEMS)
+
+
+def test_own_rules_of_a_repository_differ_only_there(spark):
+    text = 'api_key = "AbC123456789XYZ987"\nsession = "AbC123456789XYZ987"\npwd = "AbC123456789XYZ000"\n'
+    files = spark.createDataFrame([(r, "a.py", text) for r in ("own", "other", "off")], "repo_id string, path string, content string")
+    overrides = spark.createDataFrame([("own", "Session", "session"), ("own", "API Key", "[x]"), ("off", "Password", None), ("gone", "Token", "t")], "repo_id string, type string, keywords string")
+    words = spark.createDataFrame([("own", "abc123456789xyz000"), ("gone", "x")], "repo_id string, word string")
+    found = {(r.repo_id, r.type, r.line) for r in secrets.scan_secrets(files, overrides, words).collect()}
+    plain = {(r.repo_id, r.type, r.line) for r in secrets.scan_secrets(files).collect()}
+    assert found == {("own", "Session", 2), ("other", "API Key", 1), ("other", "Password", 3), ("off", "API Key", 1)}
+    assert {f for f in plain if f[0] == "other"} == {f for f in found if f[0] == "other"}
+    facts = code_facts(files.withColumn("size_bytes", F.lit(1)), overrides)
+    assert {(r.repo_id, r.type, r.line) for r in fnd.secret_findings(facts, words).collect()} == found
