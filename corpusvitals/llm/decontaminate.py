@@ -178,32 +178,44 @@ def contamination(
     return clean.select(*columns).union(found.select(*columns))
 
 
-def _with_hits(docs: DataFrame, benchmark: DataFrame, window: int, text_col: str) -> DataFrame | None:
-    """``docs`` packed as ``d`` beside words and hits; None when the benchmark is too large for a set."""
-    listed = bounded_grams(windows(benchmark, window))
-    if listed is None:
-        return None
+def _with_hits(
+    docs: DataFrame, benchmark: DataFrame, window: int, text_col: str, set_windows: int, joined: bool = False
+) -> DataFrame | None:
+    """``docs`` packed as ``d`` beside words and hits. A benchmark too large for
+    a set is met by a join if ``joined``, else there is none."""
+    grams = windows(benchmark, window)
+    listed = bounded_grams(grams, set_windows)
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("d"), text_of(text_col).alias("t"))
     rows = packed.select("d", "t", once(w=words(F.col("t"))))
-    return rows.select("d", "t", "w", once(hits=hits_by_set(listed), n_words=F.size("w")))
+    if listed is not None:
+        return rows.select("d", "t", "w", once(hits=hits_by_set(listed), n_words=F.size("w")))
+    if not joined:
+        return None
+    rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "words")
+    found = stage(_hits_by_join(rows.select("row", "w"), stage(grams, "windows")), "hits")
+    hit = rows.join(found, "row")  # only the texts with hits move, and those that are looked for
+    clean = rows.join(found.select("row"), "row", "left_anti").withColumn("hits", F.expr(_NO_HITS))
+    return hit.unionByName(clean).select("d", "t", "w", "hits", F.size("w").alias("n_words"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", set_windows: int = SET_WINDOWS
+) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns; row by row, without a shuffle."""
-    rows = _with_hits(docs, benchmark, window, text_col)
+    rows = _with_hits(docs, benchmark, window, text_col, set_windows)
     if rows is None:
         helper = "__doc_row"
         whole = stage(docs.withColumn(helper, F.monotonically_increasing_id()), "whole")
-        found = contamination(whole, benchmark, window, helper, text_col).filter("contaminated")
+        found = contamination(whole, benchmark, window, helper, text_col, set_windows).filter("contaminated")
         return whole.join(found.select(F.col("doc_id").alias(helper)), helper, "left_anti").select(*docs.columns)
     return _judged(rows).filter("NOT contaminated").select("d.*")
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
+def remove_spans(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", set_windows: int = SET_WINDOWS
+) -> DataFrame:
     """``docs`` without the words inside any window, and without the gap before each; other texts stay as they are."""
-    rows = _with_hits(docs, benchmark, window, text_col)
-    if rows is None:
-        raise ValueError("the benchmark is too large for a set in the plan: drop documents instead")
+    rows = _with_hits(docs, benchmark, window, text_col, set_windows, joined=True)
     pieces = F.regexp_extract_all("t", F.lit(_WORD), F.lit(0))
     inside = F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["length"] - 1)))
     kept = F.array_except(F.sequence(F.lit(0), F.size("w") - 1), inside)

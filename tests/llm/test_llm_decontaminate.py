@@ -73,14 +73,11 @@ def test_documents(spark, documents):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(r[0] for r in wanted if not r[5])
 
 
-def test_decontaminate_beyond_the_bound(spark, monkeypatch):
+def test_decontaminate_beyond_the_bound(spark):
     items = spark.createDataFrame(ITEMS[:-1], "item_id long, text string")
     docs = spark.createDataFrame([(*r, "h") for r in DOCS], "doc_id long, text string, hits string")
     one = sorted(map(str, decontaminate.decontaminate(docs, items).collect()))
-    monkeypatch.setattr(decontaminate, "SET_WINDOWS", 1)
-    monkeypatch.setattr(decontaminate.bounded_grams, "__defaults__", (1, 10**9))
-    monkeypatch.setattr(decontaminate.contamination, "__defaults__", (13, "doc_id", "text", 1))
-    assert sorted(map(str, decontaminate.decontaminate(docs, items).collect())) == one
+    assert sorted(map(str, decontaminate.decontaminate(docs, items, set_windows=1).collect())) == one
     assert len(one) == sum(not r[5] for r in brute(DOCS, ITEMS[:-1]))
 
 
@@ -93,3 +90,14 @@ def test_remove_spans(spark):
     assert texts[1] == "x " * 19 + "x z" and texts[7] == "pad " * 699 + "pad end."
     assert (texts[2], texts[3], texts[4], texts[6]) == ("", None, "", "l'Été")
     assert texts[9] == " g" and texts[8] == DOCS[8][1]
+
+
+def test_remove_spans_beyond_the_bound(spark, nasty, documents):
+    items = spark.createDataFrame(ITEMS[:-1], "item_id long, text string")
+    docs = spark.createDataFrame([(*r, "h", "r") for r in DOCS], "doc_id long, text string, hits string, row string")
+    many = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    for table, listed in ((docs, items), (nasty, items), (documents, many), (docs, items.limit(0))):
+        by_set = decontaminate.remove_spans(table, listed)
+        by_join = decontaminate.remove_spans(table, listed, set_windows=0)
+        assert by_join.columns == table.columns
+        assert sorted(map(str, by_join.collect())) == sorted(map(str, by_set.collect()))
