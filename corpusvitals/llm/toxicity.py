@@ -32,9 +32,9 @@ from corpusvitals.llm.frames import slices, text_of
 from corpusvitals.llm.quality import labelled, remainder
 from corpusvitals.session import stage
 
-#: Labelled rows that training reads at most.
+#: Labelled ids that training reads at most, one row of each.
 MOST = 20_000
-#: Chosen features at most, by the test's value; a bound on what comes to the driver.
+#: Chosen features at most, those of largest test value; a bound on what comes to the driver.
 MOST_FEATURES = 20_000
 EVIDENCE = 20.0
 POSITIVE_WEIGHT = 3.0
@@ -48,6 +48,8 @@ LOOKALIKES = {
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "(": "c",
 }
 LOOKALIKE_COST, REPEAT_COST, SPLIT_COST = 0.5, 0.5, 3.0
+#: Signs that may set letters apart.
+SEPARATORS = ".-_*·/,~:;\\"
 
 # the alphabet: boundary, a-z, the letters of Latin-1, other letters, signs that may stand for letters
 BOUNDARY, OTHER, SIGN = 0, 60, 61
@@ -142,18 +144,22 @@ _LETTER = re.compile(r"[^\W\d_]")
 _TWICE = re.compile(r"(.)\1+")
 _THRICE = re.compile(r"([^\W\d_])\1\1")
 _SYMBOL = re.compile(f"[{re.escape(''.join(LOOKALIKES))}]")
-_APART = re.compile(r"^(?:\S[.\-_*·])+\S$")
-#: Three or more single characters set apart by spaces.
-_SPACED = re.compile(r"(?<!\S)(?:\S[ ]){2,}\S(?!\S)")
+_PIECE = rf"[^\s{re.escape(SEPARATORS)}]"
+#: Single characters set apart by a sign, or three pieces and more of up to three.
+_APART = re.compile(rf"^(?:(?:{_PIECE}[{re.escape(SEPARATORS)}]+)+{_PIECE}|(?:{_PIECE}{{1,3}}[{re.escape(SEPARATORS)}]+){{2,}}{_PIECE}{{1,3}})$")
+#: Three or more single characters set apart by white space.
+_SPACED = re.compile(r"(?<!\S)(?:\S\s+){2,}\S(?!\S)")
+#: Look-alikes that are no digits: with one of them a token without letters may be a word.
+_SIGN = re.compile(f"[{re.escape(''.join(c for c in LOOKALIKES if not c.isdigit()))}]")
 
 
 def lattice(token: str) -> list[list[tuple[str, float]]]:
     """Steps of a token: look-alikes by their letters, runs by one or two, separators by nothing or a gap."""
-    apart = bool(_APART.match(token)) or " " in token
+    apart = bool(_APART.match(token)) or any(map(str.isspace, token))
     steps = []
     for match in _RUN.finditer(token):
         char, n = match[1], len(match[0])
-        if apart and char in " .-_*·":
+        if apart and (char in SEPARATORS or char.isspace()):
             steps.append([("", 0.0), (" ", SPLIT_COST)])
             continue
         hidden = [(c, LOOKALIKE_COST) for c in LOOKALIKES.get(char, "")] + [(char, 0.0)]
@@ -171,13 +177,25 @@ def disguised(token: str) -> bool:
     if token.isalpha():
         return bool(_THRICE.search(token))
     if not _LETTER.search(token):
-        return False
+        return len(token) > 2 and bool(_SIGN.search(token))
     return bool(_SYMBOL.search(token) or _THRICE.search(token) or _APART.match(token))
 
 
 def restore_token(token: str, model: LanguageModel) -> str:
-    token = token.strip(_EDGE).rstrip("!")
-    return viterbi(lattice(token), model) if disguised(token) else token
+    """The likeliest text of a token without the punctuation around it; a
+    bracket that nothing closes, or an exclamation mark, may be a letter."""
+    core = token.strip(_EDGE).rstrip("!")
+    hidden = disguised(core)
+    if core == token or len(core) < 3 or not ("!" in token or "(" in token):
+        return viterbi(lattice(core), model) if hidden else core
+    start = token.find(core)
+    before, behind = token[:start], token[start + len(core) :]
+    steps = lattice(core) if hidden else [[(core, 0.0)]]
+    if before.endswith("(") and ")" not in behind:
+        steps = [[("", 0.0), *((c, LOOKALIKE_COST) for c in LOOKALIKES["("])], *steps]
+    if behind.startswith("!"):
+        steps = [*steps, [("", 0.0), *((c, LOOKALIKE_COST) for c in LOOKALIKES["!"])]]
+    return viterbi(steps, model) if hidden or len(steps) > 1 else core
 
 
 def _joined(text: str, model: LanguageModel) -> str:
@@ -304,7 +322,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST, id_col: str = "d
     learn = remainder(F.col("id"), 5) != 0
     # copies of a text, changed or not, are one observation
     rows = labelled(docs, labels, "toxic", learn, most, id_col, text_col)
-    rows = rows.withColumn("likeness", likeness("text")).dropDuplicates(["y", "likeness"]).select("y", "text")
+    least = lambda: F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least")
+    # of the rows of one id, and of those alike, the text of smallest hash; each task keeps one, so no id gathers anywhere
+    rows = rows.groupBy("id").agg(F.first("y").alias("y"), least()).select("y", "least.text")
+    rows = rows.withColumn("likeness", likeness("text")).groupBy("y", "likeness").agg(least()).select("y", "least.text")
     rows = stage(rows, "labelled")
     kinds = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     positives, negatives = kinds.get(1, 0), sum(n for y, n in kinds.items() if y != 1)

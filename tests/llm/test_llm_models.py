@@ -83,7 +83,7 @@ def test_nasty_rows(spark, nasty, empty, tables):
 
 @pytest.fixture(scope="module")
 def model():
-    text = "you are an idiot and a moron, this is stupid trash. the total of it is what it is, a mitt to hold, so stop. " * 50
+    text = "you are an idiot and a moron, this is stupid trash, crap from an evil ass. the total of it is what it is, a mitt to hold, so stop. " * 50
     row = np.concatenate(([0, 0], toxicity.codes(text), [0])).astype(np.int64)
     grams = (row[:-2] * toxicity.SYMBOLS + row[1:-1]) * toxicity.SYMBOLS + row[2:]
     found, counts = np.unique(grams, return_counts=True)
@@ -92,7 +92,10 @@ def model():
 
 @pytest.mark.parametrize(
     "seen, hidden",
-    [("1d10t", "idiot"), ("m0r0n!!", "moron"), ("stuuuupid", "stupid"), ("7r@$h", "trash"), ("i.d.i.o.t", "idiot"), ("i d i o t", "idiot"), ("s t u p 1 d", "stupid"), ("total", "total"), ("2024", "2024")],
+    [("1d10t", "idiot"), ("m0r0n!!", "moron"), ("stuuuupid", "stupid"), ("7r@$h", "trash"), ("i.d.i.o.t", "idiot"), ("i d i o t", "idiot"), ("s t u p 1 d", "stupid"), ("total", "total"), ("2024", "2024"),
+     ("i  d  i  o  t", "idiot"), ("i\td\ti\to\tt", "idiot"), ("i\nd\n\ni\no\nt", "idiot"), ("i/d/i/o/t", "idiot"), ("i~d~i~o~t", "idiot"), ("id.io.t", "idiot"),
+     ("m,o,r,o,n", "moron"), ("4$$", "ass"), ("(rap", "crap"), ("(stop)", "stop"), ("(stop", "stop"), ("evi!", "evil"), ("stop!", "stop"), ("12/05/2024", "12/05/2024"),
+     ("$4 |", "$4 |"), ("!!!", ""), ("", "")],
 )
 def test_restored(model, seen, hidden):
     assert toxicity.restore(seen, model) == hidden
@@ -130,6 +133,17 @@ def test_trigrams_cover_all_texts(spark, nasty):
     assert got == wanted
 
 
+def test_repeated_ids_bound_what_toxicity_learns(spark, monkeypatch):
+    rows = [(i, f"a text of number {i} and more") for i in range(12)] + [(i % 4, f"another {i} text {i * 7} here {i * 3}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, toxic int")
+    learnt = []
+    monkeypatch.setattr(toxicity, "fit_weights", lambda rows, ys, chosen: (learnt.append((rows, ys)), (0.0, {}))[1])
+    for table in (docs, docs.repartition(7), docs.orderBy(F.desc("text"))):
+        toxicity.train(table, labels, most=8)
+    assert 1 < len(learnt[0][1]) <= 8 and learnt[0] == learnt[1] == learnt[2]
+
+
 def test_one_row_of_a_repeated_id_is_learnt(spark, monkeypatch):
     rows = [(i, f"a text of number {i}") for i in range(12)] + [(i % 12, f"another text {i}") for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
