@@ -36,3 +36,24 @@ def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> D
         .filter(F.col(helpers["copy"]) == 1)
         .select(*docs.columns)
     )
+
+
+#: Keys with at least one of so many equal shares of all rows are hot.
+SHARES = 1000
+
+
+def join_labels(rows: DataFrame, labels: DataFrame, key: str, shares: int = SHARES) -> DataFrame:
+    """``rows`` with the columns of ``labels(key, n, ...)``, which has a row per key and in ``n`` how many rows have it.
+
+    Hot keys, ``shares`` of them at most, go to the tasks; the others meet
+    their rows by a shuffle, in which none of them is hot. Both tables are
+    written ones, as they are read more than once.
+    """
+    total = labels.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    is_hot = F.col("n") * shares >= total
+    added = [c for c in labels.columns if c not in (key, "n")]
+    hot = labels.filter(is_hot).select(key, *added, F.lit(True).alias("__hot"))
+    met = rows.join(F.broadcast(hot), key, "left")
+    found = met.filter("__hot").select(*rows.columns, *added)
+    rest = met.filter("__hot IS NULL").select(*rows.columns).join(labels.filter(~is_hot).select(key, *added), key)
+    return found.unionByName(rest.select(*rows.columns, *added))

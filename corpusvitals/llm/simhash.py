@@ -13,7 +13,7 @@ are linked to the smallest of them. A word has 65 such neighbours at most.
 
 Defined results: null texts are empty, and empty texts have fingerprint zero;
 repeated rows are copies; null ids are never the smallest unless a group has
-no others; other columns are ignored.
+no others; other columns are ignored. A text of any length is one row's work.
 """
 
 from collections.abc import Iterator
@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
 from corpusvitals.llm.components import components
-from corpusvitals.llm.frames import keep_rows, slices, text_of
+from corpusvitals.llm.frames import join_labels, keep_rows, slices, text_of
 from corpusvitals.session import stage
 
 BITS = 64
@@ -116,15 +116,12 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """doc_id, mark, fp, component_id (smallest id of those reachable) of each row."""
     rows = stage(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    fps = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    fps = rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     roots = stage(components(links(fps.select("fp"), radius)), "roots").withColumnRenamed("node", "fp")
-    firsts = roots.join(fps, "fp").groupBy("root").agg(F.min("first").alias("reached"))
-    linked = roots.join(firsts, "root").select("fp", "reached")
-    labels = fps.join(linked, "fp", "left").select(
-        "fp", F.coalesce("reached", "first").alias("component_id")
-    )
-    # written, so that the join exchanges both sides and a fingerprint of very many rows can be split
-    return rows.join(stage(labels, "labels"), "fp").select("doc_id", "mark", "fp", "component_id")
+    firsts = roots.join(fps.select("fp", "first"), "fp").groupBy("root").agg(F.min("first").alias("reached"), F.count("*").alias("n"))
+    linked = join_labels(roots, stage(firsts, "firsts"), "root").select("fp", "reached")
+    labels = fps.join(linked, "fp", "left").select("fp", "n", F.coalesce("reached", "first").alias("component_id"))
+    return join_labels(rows, stage(labels, "labels"), "fp").select("doc_id", "mark", "fp", "component_id")
 
 
 def fingerprint_hex(fp):

@@ -3,7 +3,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from corpusvitals.llm import components, exact_dedup, simhash
+from corpusvitals.llm import components, exact_dedup, frames, simhash
 from xxhash import xxh64_intdigest
 
 
@@ -132,3 +132,13 @@ def test_components(spark):
     found = {r.node: r.root for r in components.components(df).collect()}
     assert found == {**{i: 100 for i in range(100, 141)}, **{i: 5 for i in range(5, 50)}}
     assert components.components(df.limit(0)).collect() == []
+
+
+def test_labels_of_hot_keys(spark):
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i % 20}") for i in range(300)], "i int, key string")
+    labels = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("i").alias("least"))
+    wanted = sorted((r.i, r.key, r.least) for r in rows.join(labels, "key").collect())
+    for shares in (1, 2, 30, 10**6):
+        found = frames.join_labels(rows, labels, "key", shares)
+        assert sorted((r.i, r.key, r.least) for r in found.collect()) == wanted
+    assert frames.join_labels(rows.limit(0), labels.limit(0), "key").collect() == []
