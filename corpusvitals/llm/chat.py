@@ -18,12 +18,14 @@ one conversation; repeated rows are repeated turns; other columns are ignored.
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 import hashlib
 import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusvitals.llm.frames import text_of
 
@@ -100,6 +102,40 @@ def _in_order(turns: DataFrame, id_col: str, turn_col: str, role_col: str, text_
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
 
+#: Characters of the pieces that go on together.
+_TOGETHER = 1_000_000
+_KINDS = [("conv_id", None), ("piece", pa.int32()), ("formatted", pa.string()), *((c, pa.list_(pa.int32())) for c in ("ids", "starts", "ends", "loss_mask"))]
+Piece = tuple[object, int, str, list[int], list[int], list[int], list[int]]
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], path: str, loss_roles: tuple[str, ...], piece: int) -> Iterator[Piece]:
+    """Formatted pieces of sorted (conv_id, turn, role, text) rows: conversation, number, text, ids, offsets, mask."""
+    encoder = tokenizer(path)
+    held: list[tuple[str, str]] = []
+    size, number, conv = 0, 0, None
+
+    def out() -> Piece:
+        text, spans = render(held, loss_roles)
+        encoded = encoder.encode(text, add_special_tokens=False)
+        starts, ends = map(list, zip(*encoded.offsets)) if encoded.ids else ([], [])
+        return conv, number, text, encoded.ids, starts, ends, mask(starts, ends, spans)
+
+    for batch in batches:
+        for cid, role, text in zip(*(batch.column(i) for i in (0, 2, 3))):
+            cid, role, text = cid.as_py(), role.as_py(), text.as_py()
+            if held and (cid != conv or size >= piece):
+                yield out()
+                number = number + 1 if cid == conv else 0
+                held, size = [], 0
+            elif cid != conv:
+                number = 0
+            conv = cid
+            held.append((role, text))
+            size += len(text)
+    if held:
+        yield out()
+
+
 def format_conversations(
     turns: DataFrame,
     path: str,
@@ -116,41 +152,23 @@ def format_conversations(
     conversations have one piece.
     """
     rows = _in_order(turns, id_col, turn_col, role_col, text_col)
-    kind = rows.schema["conv_id"].dataType.simpleString()
+    key = to_arrow_type(rows.schema["conv_id"].dataType)
+
+    def batch_of(held: list[Piece]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k or key) for c, (_, k) in zip(zip(*held), _KINDS)], [n for n, _ in _KINDS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokenizer(path)
-        held: list[tuple[str, str]] = []
-        size, number, conv, started = 0, 0, None, False
-
-        def out(kind_of: pa.DataType) -> pa.RecordBatch:
-            text, spans = render(held, loss_roles)
-            encoded = encoder.encode(text, add_special_tokens=False)
-            starts, ends = ([o[side] for o in encoded.offsets] for side in (0, 1))
-            columns = [[conv], [number], [text], [encoded.ids], [starts], [ends], [mask(starts, ends, spans)]]
-            ints = pa.list_(pa.int32())
-            kinds = [kind_of, pa.int32(), pa.string(), ints, ints, ints, ints]
-            names = ["conv_id", "piece", "formatted", "ids", "starts", "ends", "loss_mask"]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
-
-        key = pa.int64()
-        for batch in batches:
-            key = batch.schema.field(0).type
-            for cid, role, text in zip(*(batch.column(i) for i in (0, 2, 3))):
-                cid, role, text = cid.as_py(), role.as_py(), text.as_py()
-                if held and (cid != conv or size >= piece):
-                    yield out(key)
-                    number = number + 1 if cid == conv else 0
-                    held, size = [], 0
-                elif cid != conv:
-                    number = 0
-                conv = cid
-                held.append((role, text))
-                size += len(text)
+        held, size = [], 0
+        for found in _pieces(batches, path, loss_roles, piece):
+            held.append(found)
+            size += len(found[2])
+            if size >= _TOGETHER:
+                yield batch_of(held)
+                held, size = [], 0
         if held:
-            yield out(key)
+            yield batch_of(held)
 
-    return rows.mapInArrow(run, PIECES.format(id=kind))
+    return rows.mapInArrow(run, PIECES.format(id=rows.schema["conv_id"].dataType.simpleString()))
 
 
 def loss_text(formatted: str, starts: list[int], ends: list[int], masked: list[int]) -> Iterator[str]:
@@ -174,50 +192,64 @@ def loss_text(formatted: str, starts: list[int], ends: list[int], masked: list[i
             yield "".join(parts)
 
 
+def _digests(pieces: Iterator[Piece]) -> Iterator[tuple]:
+    """The columns of ``DIGESTS`` for each conversation, from the formatted pieces alone."""
+    state, conv = None, None
+
+    def close() -> tuple:
+        turns, n, loss, chars, total, tokens, loss_tokens = state
+        return conv, n, turns.hexdigest(), chars, loss.hexdigest(), total, tokens, loss_tokens
+
+    for cid, _, formatted, ids, starts, ends, masked in pieces:
+        if state is None or cid != conv:
+            if state is not None:
+                yield close()
+            state, conv = [hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0, 0], cid
+        for turn in _TURN.finditer(formatted):
+            state[0].update(f"{unescape_role(turn[1])}\n{unescape(turn[2])}\n".encode())
+            state[1] += 1
+        for text in loss_text(formatted, starts, ends, masked):
+            plain = unescape(text)
+            state[2].update(plain.encode())
+            state[3] += len(plain)
+        state[4] += len(formatted)
+        state[5] += len(ids)
+        state[6] += sum(masked)
+    if state is not None:
+        yield close()
+
+
+def _digest_batches(pieces: Iterator[Piece], key: pa.DataType) -> Iterator[pa.RecordBatch]:
+    names = [f.partition(" ")[0] for f in DIGESTS.split(", ")]
+    kinds = [key, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+    rows = _digests(pieces)
+    while held := list(islice(rows, 1000)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names)
+
+
 def read_back(pieces: DataFrame) -> DataFrame:
     """Counts and digests of each conversation, from the formatted output alone.
 
     Takes the pieces as ``format_conversations`` gives them: those of one
     conversation follow each other in one partition.
     """
-    kind = pieces.schema["conv_id"].dataType.simpleString()
+    key = to_arrow_type(pieces.schema["conv_id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.partition(" ")[0] for f in DIGESTS.split(", ")]
-        state, rows, conv, key = None, [], None, pa.int64()
-
-        def close() -> tuple:
-            turns, n, loss, chars, total, tokens, loss_tokens = state
-            return conv, n, turns.hexdigest(), chars, loss.hexdigest(), total, tokens, loss_tokens
-
-        def out() -> pa.RecordBatch:
-            kinds = [key, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
-
-        for batch in batches:
-            key = batch.schema.field(0).type
-            for row in range(batch.num_rows):
-                cid, _, formatted, ids, starts, ends, masked = (batch.column(i)[row].as_py() for i in range(7))
-                if state is None or cid != conv:
-                    if state is not None:
-                        rows.append(close())
-                    state, conv = [hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0, 0], cid
-                for turn in _TURN.finditer(formatted):
-                    state[0].update(f"{unescape_role(turn[1])}\n{unescape(turn[2])}\n".encode())
-                    state[1] += 1
-                for text in loss_text(formatted, starts, ends, masked):
-                    plain = unescape(text)
-                    state[2].update(plain.encode())
-                    state[3] += len(plain)
-                state[4] += len(formatted)
-                state[5] += len(ids)
-                state[6] += sum(masked)
-            if len(rows) >= 1000:
-                yield out()
-                rows = []
-        if state is not None:
-            rows.append(close())
-        if rows:
-            yield out()
+        rows = (tuple(column[i].as_py() for column in batch.columns) for batch in batches for i in range(batch.num_rows))
+        return _digest_batches(rows, key)
+
+    return pieces.mapInArrow(run, DIGESTS.format(id=pieces.schema["conv_id"].dataType.simpleString()))
+
+
+def format_and_read(turns: DataFrame, path: str, loss_roles: tuple[str, ...] = LOSS_ROLES, piece: int = PIECE, **columns) -> DataFrame:
+    """``read_back`` of ``format_conversations`` in one pass: the formatted
+    pieces are read where they are made, and only digests leave the task."""
+    names = {c: columns.get(f"{c}_col", d) for c, d in (("id", "conv_id"), ("turn", "turn"), ("role", "role"), ("text", "text"))}
+    rows = _in_order(turns, *names.values())
+    key = to_arrow_type(rows.schema["conv_id"].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _digest_batches(_pieces(batches, path, loss_roles, piece), key)
 
-    return pieces.mapInArrow(run, DIGESTS.format(id=kind))
+    return rows.mapInArrow(run, DIGESTS.format(id=rows.schema["conv_id"].dataType.simpleString()))

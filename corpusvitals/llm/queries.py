@@ -67,8 +67,8 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     text = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], turns.schema)
-    pieces = chat.format_conversations(turns.union(extra), tokenizer_path("byte_bpe_50k.json"))
-    return chat.read_back(pieces).drop("n_tokens", "n_loss_tokens")
+    found = chat.format_and_read(turns.union(extra), tokenizer_path("byte_bpe_50k.json"))
+    return found.drop("n_tokens", "n_loss_tokens")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
