@@ -8,7 +8,8 @@ of one that shrank). A new shard opens a region of its own, which is why it
 takes rows only into itself.
 
 Defined results: a null key is the empty key; equal keys share a shard; slots
-number the rows of a shard from 0 without gaps, in hash order.
+number the rows of a shard from 0 without gaps, in hash order. Of a text only
+size and checksum move on, so any length will do.
 """
 
 from dataclasses import dataclass

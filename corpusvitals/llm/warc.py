@@ -10,7 +10,8 @@ range with a loser tree, so the captures of all archives come out in order.
 
 Defined results: a null payload is empty; a null URL has an empty key; rows
 equal in id and payload are all responses; a null id is never the smallest
-unless a payload has no others; other columns are ignored.
+unless a payload has no others; ids are whole numbers; other columns are
+ignored. A payload of any length is one record, which a task holds whole.
 """
 
 from base64 import b32encode
@@ -28,6 +29,8 @@ from corpusvitals.session import stage, work_dir
 
 END = "\r\n\r\n"
 RECORDS_PER_FILE = 1000
+#: Payload bytes of an archive, but for one that a single page fills: a task reads an archive whole.
+ARCHIVE_BYTES = 64 << 20
 ROWS_PER_RANGE = 100_000
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _ID = "urn:x-page:"
@@ -55,7 +58,7 @@ def _header(name: str, value: Column) -> Column:
 
 
 def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """One WARC record per row of ``pages(page_id, url, captured, payload)``, without its end."""
+    """One WARC record per row of ``pages(page_id, url, captured, payload)``, without its end, and payload_bytes."""
     keyed = (
         pages.withColumn("payload_bytes", F.octet_length("payload").cast("long"))
         .withColumn("sha1", base32_sha1(F.col("payload").cast("binary")))
@@ -95,7 +98,7 @@ def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
         F.lit(END),
         F.col("block"),
     )
-    return joined.withColumn("block", block).select(record.alias("value"))
+    return joined.withColumn("block", block).select(record.alias("value"), "payload_bytes")
 
 
 def write_archives(
@@ -108,8 +111,15 @@ def write_archives(
     min_bytes: int = 0,
     records_per_file: int = RECORDS_PER_FILE,
     compression: str = "gzip",
+    archive_bytes: int = ARCHIVE_BYTES,
 ) -> str:
-    """Write the archives below ``path``, each compressed as a whole (or "none"). Without ``time_col`` a page's id stands for the second of its capture."""
+    """Write the archives below ``path``, each compressed as a whole (or "none").
+
+    Without ``time_col`` a page's id stands for the second of its capture. An
+    archive has ``records_per_file`` records at most. Pages whose number
+    could make it larger than ``archive_bytes`` are written apart, in classes
+    of twice the size each, with half as many records in a file each.
+    """
     seconds = F.lit(1_577_836_800) + F.pmod(F.coalesce(F.hash(id_col), F.lit(0)), F.lit(31_536_000))
     rows = pages.select(
         F.col(id_col).alias("page_id"),
@@ -117,13 +127,24 @@ def write_archives(
         (F.col(time_col) if time_col else F.timestamp_seconds(seconds)).alias("captured"),
         text_of(payload_col).alias("payload"),
     )
-    (
-        records(rows, min_bytes)
-        .write.option("lineSep", END)
-        .option("maxRecordsPerFile", records_per_file)
-        .option("compression", compression)
-        .text(path)
-    )
+    small = max(1, archive_bytes // records_per_file)
+
+    def size_class(size: Column) -> Column:
+        return F.when(size <= small, 0).otherwise(F.ceil(F.log2(size / small))).cast("int")
+
+    long = rows.select(F.octet_length("payload").alias("size")).filter(F.col("size") > small)
+    classes = [r.c for r in long.select(size_class(F.col("size")).alias("c")).distinct().collect()]  # one for each power of two
+    made = records(rows, min_bytes)
+    for c in sorted({0, *classes}):
+        (
+            made.filter(size_class(F.col("payload_bytes")) == c)
+            .select("value")
+            .write.mode("append" if c else "errorifexists")  # class 0 comes first, and makes the folder
+            .option("lineSep", END)
+            .option("maxRecordsPerFile", max(1, records_per_file >> c))
+            .option("compression", compression)
+            .text(path)
+        )
     return path
 
 

@@ -12,6 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from corpusvitals.llm import chat, shards, warc
+from pyspark.sql import functions as F
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -84,6 +85,9 @@ def test_pieces_change_nothing(spark):
     cut = chat.format_conversations(turns, PATH, piece=40)
     assert cut.count() > len(whole) == 6
     assert {r.conv_id: r for r in chat.read_back(cut).collect()} == whole
+    for piece in (chat.PIECE, 40):
+        assert {r.conv_id: r for r in chat.format_and_read(turns, PATH, piece=piece).collect()} == whole
+    assert chat.format_and_read(turns.limit(0), PATH).collect() == []
     assert whole[None].n_turns == 2 and whole[None].loss_chars == 0
     long = [i for r in sorted(cut.filter("conv_id = 4").collect(), key=lambda r: r.piece) for i in r.ids]
     assert long == chat.format_conversations(turns, PATH).filter("conv_id = 4").first().ids
@@ -147,3 +151,16 @@ def test_ranges_are_in_order(spark):
 def test_loser_tree(runs):
     runs = [sorted(r) for r in runs]
     assert list(warc.loser_tree(runs, lambda x: x)) == sorted(x for r in runs for x in r)
+
+
+def test_archives_are_bounded_by_bytes(spark):
+    sizes = [10, 900, 1100, 3000, 5000, 9000, 40_000]
+    rows = [(i, "http://h.example/", chr(97 + i % 26) * sizes[i % 7]) for i in range(140)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2)
+    plain = warc.archive(pages, archive_bytes=10**9)
+    path = warc.work_dir(spark, "w")
+    bounded = warc.archive(pages, path, archive_bytes=10_000, records_per_file=10, compression="none")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    assert sorted(map(str, bounded.select(columns).collect())) == sorted(map(str, plain.select(columns).collect()))
+    found = bounded.groupBy("file").agg(F.count("*").alias("n"), F.sum("payload_bytes").alias("size")).collect()
+    assert all(r.n == 1 or r.n <= 10 and r.size <= 10_000 for r in found) and max(r.n for r in found) > 1
