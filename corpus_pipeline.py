@@ -3,6 +3,13 @@
 ``STAGES`` lists (name, function of (spark, docs, sf_dir)); each result is
 written as Parquet and read again as the next function's ``docs``. All but
 the last return the columns of ``documents``.
+
+Defined results, as each operator has them: null texts count as empty; rows of
+equal id and text are copies, of which one stays; null ids are kept apart by
+their texts and never preferred; texts go through every stage whole; ids of
+equal copies break ties; an empty table stays empty; further columns of
+``documents``, whatever their names, come back up to the last stage, which
+returns the encoded rows.
 """
 
 from pyspark.sql import DataFrame, SparkSession
