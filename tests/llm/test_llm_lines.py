@@ -1,3 +1,4 @@
+import hashlib
 import random
 from collections import Counter
 
@@ -211,3 +212,61 @@ def test_short_lines_are_joined(spark):
     docs = spark.createDataFrame([(1, "Enüstach | ereraube."), (2, "Enüstach ereraube.")], "doc_id long, text string")
     found = line_dedup.line_classes(docs, min_chars=12, short_chars=3).collect()
     assert [(r.links, r.class_doc_id) for r in found] == [(1, 1), (1, 1)]
+
+
+def registered_near(a, b):
+    """The thresholds of the queries, judged by the shorter line."""
+    short = min(len(a), len(b))
+    if short < 3:
+        return False
+    if abs(len(a) - len(b)) <= 2 and distance(a, b) <= (2 if short >= 12 else 1):
+        return True
+    x, y = a.split(), b.split()
+    most = (min(len(x), len(y)) - 16) // 17
+    return most > 0 and abs(len(x) - len(y)) <= most and distance(x, y) <= most
+
+
+def test_members_with_the_registered_thresholds(spark, nasty):
+    from corpusvitals.llm.queries import _LINES
+
+    rng = random.Random(23)
+    vocabulary = ["".join(rng.choice("abcdeé") for _ in range(rng.randrange(2, 9))) for _ in range(50)]
+    pool = []
+    for size in (2, 3, 5, 11, 12, 13, 30):
+        base = "".join(rng.choice("abcé") for _ in range(size))
+        pool += [base, *(mutated(rng, base, rng.randrange(1, 4)) for _ in range(3))]
+    for size in (33, 40, 52, 90):
+        words = [rng.choice(vocabulary) for _ in range(size)]
+        for edits in (0, 1, 2, 5):
+            changed = list(words)
+            for _ in range(edits):
+                changed[rng.randrange(size)] = rng.choice(vocabulary)
+            pool.append(" ".join(changed))
+    docs = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(0, 5)))) for i in range(40)]
+    docs += [(7, docs[7][1]), (None, docs[3][1]), (None, None)]
+    small = [(r.doc_id, r.text) for r in nasty.collect() if len(r.text or "") < 1000]
+    for rows in (docs, small):
+        places = [(i, d, at, line.strip(" \t\r\f\v")) for i, (d, text) in enumerate(rows) for at, line in enumerate((text or "").split("\n"))]
+        places = [p for p in places if p[3]]
+        lines = sorted({p[3] for p in places})
+        parent = {x: x for x in lines}
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for i, a in enumerate(lines):
+            for b in lines[:i]:
+                if registered_near(a, b):
+                    parent[root(a)] = root(b)
+        wanted = Counter((d, at, hashlib.md5(line.encode()).hexdigest(), min(hashlib.md5(x.encode()).hexdigest() for x in lines if root(x) == root(line))) for _, d, at, line in places)
+        table = spark.createDataFrame(rows, "doc_id long, text string")
+        found = line_dedup.line_members(table, **_LINES).collect()
+        assert Counter((r.doc_id, r.line, r.line_md5, r.class_id) for r in found) == wanted
+        kept = Counter(r.class_id for r in found if r.kept)
+        assert set(kept.values()) <= {1} and set(kept) == {k[3] for k in wanted}
+        for r in found:
+            if r.kept:  # in the document of smallest id
+                ids = [k[0] for k in wanted if k[3] == r.class_id and k[0] is not None]
+                assert r.doc_id == min(ids, default=None)
