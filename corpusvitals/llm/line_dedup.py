@@ -50,6 +50,8 @@ WORD_RUN = 16
 #: Words in a key of a long line.
 GRAM = 5
 
+#: Bits of a key: what two keys have in common by chance is verified away.
+_KEY = (1 << 48) - 1
 _SPACE = " \t\r\f\v"
 _COUNTED = "aeinorstdh"
 
@@ -58,27 +60,49 @@ def _line(column: Column) -> Column:
     return F.btrim(column, F.lit(_SPACE))
 
 
-def _occurrences(docs: DataFrame, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
-    """doc_id and line of each line that is not blank; with ``row_col`` also row, h (hash of the text) and at (from 0)."""
+def _occurrences(docs: DataFrame, id_col: str, text_col: str, row_col: str | None = None, placed: bool = False) -> DataFrame:
+    """doc_id and line of each line that is not blank; ``placed``: also h (hash of the text) and at (from 0), with ``row_col`` row."""
     text = text_of(text_col)
-    more = [F.col(row_col).alias("row"), F.xxhash64(text).alias("h")] if row_col else []
+    more = [F.xxhash64(text).alias("h")] if placed else []
+    more += [F.col(row_col).alias("row")] if row_col else []
     rows = docs.select(F.col(id_col).alias("doc_id"), *more, F.posexplode(F.split(text, "\n")).alias("at", "raw"))
-    names = ["doc_id", *(["row", "h", "at"] if row_col else [])]
+    names = ["doc_id", *(["h"] if placed else []), *(["row"] if row_col else []), *(["at"] if placed else [])]
     return rows.select(*names, _line(F.col("raw")).alias("line")).filter("line <> ''")
 
 
-def distinct_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+def _hinted(ids: DataFrame, broadcast_ids: int) -> DataFrame:
+    """Written ids, for the tasks if they are few."""
+    return F.broadcast(ids) if ids.count() <= broadcast_ids else ids
+
+
+def distinct_lines(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    row_col: str | None = None,
+    placed: bool = False,
+    broadcast_ids: int = BROADCAST_IDS,
+) -> DataFrame:
     """line, copies, doc_id (the smallest) of each distinct line that is not blank.
 
-    With ``row_col``, the number of each row, also ``first``: its first
-    occurrence by doc_id (nulls last), hash of the text, row and place.
+    ``placed``: also ``first``, its first occurrence by doc_id (nulls last),
+    hash of the text, row (where ``row_col`` gives one) and place. Most lines
+    occur once and stay where they are: only those whose hash is met again
+    are grouped, by their texts.
     """
-    first = [F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "h", "row", "at")).alias("first")] if row_col else []
-    return (
-        _occurrences(docs, id_col, text_col, row_col)
+    occurrences = _occurrences(docs, id_col, text_col, row_col, placed).withColumn("mark", F.xxhash64("line"))
+    place = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "h", *(["row"] if row_col else []), "at") if placed else None
+    again = stage(occurrences.groupBy("mark").agg(F.count("*").alias("n")).filter("n > 1").select("mark"), "again")
+    again = _hinted(again, broadcast_ids)
+    alone = occurrences.join(again, "mark", "left_anti").select(
+        "line", F.lit(1).cast("long").alias("copies"), "doc_id", *([place.alias("first")] if placed else [])
+    )
+    grouped = (
+        occurrences.join(again, "mark", "left_semi")
         .groupBy("line")
-        .agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), *first)
+        .agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), *([F.min(place).alias("first")] if placed else []))
     )
+    return alone.unionByName(grouped)
 
 
 def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
@@ -89,7 +113,7 @@ def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
 
 
 def _key(i: int, length: Column, start: Column, size: Column) -> Column:
-    return F.xxhash64(F.lit(i), length, F.substring(F.col("line"), start + 1, size))
+    return F.xxhash64(F.lit(i), length, F.substring(F.col("line"), start + 1, size)).bitwiseAND(F.lit(_KEY))
 
 
 def index_keys(max_edits: int) -> list[Column]:
@@ -205,6 +229,16 @@ def word_edits(words: Column, word_run: int) -> Column:
     return F.greatest(F.floor((words - word_run) / (word_run + 1)), F.lit(0)).cast("int")
 
 
+def _paired(marks: Column, step: int) -> Column:
+    """The smaller of each mark and the one ``step`` places on; beyond the end there is null, which ``least`` skips."""
+
+    # one argument: a second one would be the element's place
+    def smaller(m: Column) -> Column:
+        return F.zip_with(m, F.slice(m, step + 1, F.size(m)), lambda x, y: F.least(x, y))
+
+    return F.transform(F.array(marks), smaller)[0]
+
+
 def _run_keys(word_run: int) -> Column:
     """(key, at) of the chosen words of ``words``; the last 24 bits of a mark are the word's place."""
     marks = F.transform("words", lambda w, i: F.xxhash64(w).bitwiseAND(F.lit(~0xFFFFFF)).bitwiseOR(i.cast("long")))
@@ -212,14 +246,13 @@ def _run_keys(word_run: int) -> Column:
     least = marks
     while have < size:  # the smallest of ``have`` marks in a row, for each place
         step = min(have, size - have)
-        # beyond the last whole run there is null, which ``least`` skips
-        least = F.transform(F.array(least), lambda m, step=step: F.zip_with(m, F.slice(m, step + 1, F.size(m)), lambda x, y: F.least(x, y)))[0]
+        least = _paired(least, step)
         have += step
     # shorter lines have no word edit
     whole = F.slice(least, 1, F.when(F.col("w") > 2 * word_run, F.col("w") - word_run + 1).otherwise(0))
     place = lambda m: m.bitwiseAND(F.lit(0xFFFFFF)).cast("int")
     return F.transform(
-        F.array_distinct(whole), lambda m: F.struct(F.xxhash64(F.slice("words", place(m) + 1, GRAM)).alias("key"), place(m).alias("at"))
+        F.array_distinct(whole), lambda m: F.struct(F.xxhash64(F.slice("words", place(m) + 1, GRAM)).bitwiseAND(F.lit(_KEY)).alias("key"), place(m).alias("at"))
     )
 
 
@@ -228,7 +261,10 @@ def long_candidates(lines: DataFrame, word_run: int) -> DataFrame:
     # n words have n - 1 blanks between them, unless their letters are words
     rows = lines.filter(F.char_length("line") > 2 * word_run).select("line_id", _words().alias("words")).withColumn("w", F.size("words"))
     rows = rows.select("line_id", "w", F.explode(_run_keys(word_run)).alias("k"))
-    rows = rows.select("line_id", "w", "k.key", "k.at")
+    # chosen once; most keys stand in one line only, and those go no further
+    rows = stage(rows.select("line_id", "w", "k.key", "k.at"), "run-keys", compression="zstd")
+    shared = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    rows = stage(rows.join(stage(shared, "shared"), "key", "left_semi"), "shared-keys")
     one, two = (rows.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("line_id", "w", "at")]) for side in "xy")
     edits = word_edits(F.least("w_x", "w_y"), word_run)
     close = (F.abs(F.col("w_x") - F.col("w_y")) <= edits) & (F.abs(F.col("at_x") - F.col("at_y")) <= edits) & (edits > 0)
@@ -263,9 +299,7 @@ def word_join(lines: DataFrame, word_run: int, broadcast_ids: int = BROADCAST_ID
 
 def _texts(lines: DataFrame, pairs: DataFrame, broadcast_ids: int) -> DataFrame:
     ids = pairs.select(F.col("high").alias("line_id")).union(pairs.select("low")).distinct()
-    ids = stage(ids, "ids")
-    few = ids.count() <= broadcast_ids
-    return lines.select("line_id", "line").join(F.broadcast(ids) if few else ids, "line_id")
+    return lines.select("line_id", "line").join(_hinted(stage(ids, "ids"), broadcast_ids), "line_id")
 
 
 def short_join(lines: DataFrame, short_chars: int, min_chars: int) -> DataFrame:
@@ -313,6 +347,7 @@ def line_classes(
     row_col: str | None = None,
     word_run: int | None = None,
     short_chars: int | None = None,
+    placed: bool = False,
 ) -> DataFrame:
     """One row per distinct line.
 
@@ -320,11 +355,11 @@ def line_classes(
     distinct lines within ``max_edits``, the word edits of ``word_run``,
     or one edit from ``short_chars`` characters on), class_id (smallest line_md5
     reachable over links) and class_doc_id (smallest doc_id of the class).
-    With ``row_col`` also class_first, the first occurrence in the class as
+    ``placed``: also class_first, the first occurrence in the class as
     ``distinct_lines`` orders them.
     """
-    first = ["first"] if row_col else []
-    lines = distinct_lines(docs, id_col, text_col, row_col).withColumn("line_id", F.monotonically_increasing_id())
+    first = ["first"] if placed else []
+    lines = distinct_lines(docs, id_col, text_col, row_col, placed, broadcast_ids).withColumn("line_id", F.monotonically_increasing_id())
     spark = docs.sparkSession
     lines = stage(with_letters(lines), "lines", compression="zstd")
     pairs = edit_join(lines, max_edits, min_chars, broadcast_ids)
@@ -351,34 +386,68 @@ def line_classes(
     linked = rows.filter("root IS NOT NULL")
     least = [F.min(c).alias("class_first") for c in first]
     classes = linked.groupBy("root").agg(F.min("line_md5").alias("class_id"), F.min("doc_id").alias("class_doc_id"), *least)
-    names = ["line_md5", "chars", "copies", "doc_id", "links", "class_id", "class_doc_id", *(["class_first"] if row_col else [])]
+    names = ["line_md5", "chars", "copies", "doc_id", "links", "class_id", "class_doc_id", *(["class_first"] if placed else [])]
     return alone.union(linked.join(classes, "root").select(*names))
 
 
-def _members(whole: DataFrame, row: str, max_edits: int, min_chars: int, id_col: str, text_col: str, **more) -> DataFrame:
-    """row, at, doc_id, line_md5, class_id, class_doc_id, kept of each line that is not blank."""
-    classes = line_classes(whole, max_edits, min_chars, id_col, text_col, row_col=row, **more)
-    occurrences = _occurrences(whole, id_col, text_col, row).select("row", "at", "doc_id", F.md5("line").alias("line_md5"))
-    kept = (F.col("row") == F.col("class_first.row")) & (F.col("at") == F.col("class_first.at"))
-    return occurrences.join(classes.select("line_md5", "class_id", "class_doc_id", "class_first"), "line_md5").select(
-        "row", "at", "doc_id", "line_md5", "class_id", "class_doc_id", kept.alias("kept")
+def _with_classes(occurrences: DataFrame, classes: DataFrame) -> DataFrame:
+    """Occurrences with line_md5, class_id, class_doc_id and candidate: whether
+    it is the class's first occurrence or, where rows are equal, one of them.
+
+    A line that occurs once and has no links is a class of its own, and needs no partner.
+    """
+    met = classes.filter("copies > 1 OR links > 0").select("line_md5", "class_id", "class_doc_id", "class_first", F.lit(True).alias("met"))
+    rows = occurrences.withColumn("line_md5", F.md5("line")).drop("line").join(met, "line_md5", "left")
+    first = F.col("class_first")
+    same = F.col("doc_id").eqNullSafe(first["doc_id"]) & (F.col("h") == first["h"]) & (F.col("at") == first["at"])
+    return rows.select(
+        *[c for c in occurrences.columns if c != "line"],
+        "line_md5",
+        F.coalesce("class_id", "line_md5").alias("class_id"),
+        F.when(F.col("met"), F.col("class_doc_id")).otherwise(F.col("doc_id")).alias("class_doc_id"),
+        F.when(F.col("met"), same).otherwise(True).alias("candidate"),
+        first.alias("class_first"),
     )
 
 
 def line_members(
-    docs: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", **more
+    docs: DataFrame,
+    max_edits: int = MAX_EDITS,
+    min_chars: int = MIN_CHARS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    broadcast_ids: int = BROADCAST_IDS,
+    **more,
 ) -> DataFrame:
     """One row per line of each row of ``docs``, without blank lines.
 
     doc_id, line (its place in the text, from 0), line_md5, class_id,
     class_doc_id, kept: whether ``remove_repeats`` leaves it. Rows of equal id
-    each give their lines.
+    each give their lines; of rows equal in id and text one keeps its lines.
     """
     row = "__line_row"
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    whole = stage(rows.withColumn(row, F.monotonically_increasing_id()), "whole", compression="zstd")
-    members = _members(whole, row, max_edits, min_chars, "doc_id", "text", **more)
-    return members.select("doc_id", F.col("at").alias("line"), "line_md5", "class_id", "class_doc_id", "kept")
+    classes = stage(line_classes(rows, max_edits, min_chars, "doc_id", "text", broadcast_ids, placed=True, **more), "classes")
+    columns = ["doc_id", F.col("at").alias("line"), "line_md5", "class_id", "class_doc_id"]
+
+    hashed = rows.withColumn("__line_h", F.xxhash64("text"))
+    equal = hashed.groupBy("doc_id", "__line_h").agg(F.count("*").alias("n")).filter("n > 1")
+    equal = stage(equal.select(F.col("doc_id").alias("__line_id"), F.col("__line_h").alias("__line_hash")), "equal")
+    known = _hinted(equal, broadcast_ids)
+    same = hashed["doc_id"].eqNullSafe(known["__line_id"]) & (hashed["__line_h"] == known["__line_hash"])
+    once = _occurrences(hashed.join(known, same, "left_anti"), "doc_id", "text", placed=True)
+    found = _with_classes(once, classes).select(*columns, F.col("candidate").alias("kept"))
+    if not equal.limit(1).count():
+        return found
+    # rows that are there more than once are told apart by numbers: the smallest one is first
+    again = stage(hashed.join(known, same, "left_semi").withColumn(row, F.monotonically_increasing_id()), "repeated", compression="zstd")
+    least = again.groupBy("doc_id", F.col("__line_h").alias("h")).agg(F.min(row).alias("least"))
+    least = stage(least.select(F.col("doc_id").alias("__line_id"), F.col("h").alias("__line_hash"), "least"), "least")
+    lines = _with_classes(_occurrences(again, "doc_id", "text", row, placed=True), classes)
+    is_first = lines["doc_id"].eqNullSafe(least["__line_id"]) & (lines["h"] == least["__line_hash"]) & (lines["row"] == least["least"])
+    firsts = lines.join(_hinted(least, broadcast_ids), is_first, "left")
+    repeated = firsts.select(*columns, (F.col("candidate") & F.col("least").isNotNull()).alias("kept"))
+    return found.unionByName(repeated)
 
 
 def remove_repeats(
@@ -390,7 +459,10 @@ def remove_repeats(
     """
     row, helper = "__line_row", "__line_drops"
     whole = stage(docs.withColumn(row, F.monotonically_increasing_id()), "whole")
-    drops = _members(whole, row, max_edits, min_chars, id_col, text_col, **more).filter("NOT kept")
+    classes = line_classes(whole, max_edits, min_chars, id_col, text_col, row_col=row, placed=True, **more)
+    lines = _with_classes(_occurrences(whole, id_col, text_col, row, placed=True), classes)
+    first_row = F.coalesce(F.col("row") == F.col("class_first.row"), F.lit(True))
+    drops = lines.filter(~(F.col("candidate") & first_row))
     drops = drops.groupBy(F.col("row").alias(row)).agg(F.collect_list("at").alias(helper))
     parts = F.split(text_of(text_col), "\n")
     left = F.array_join(F.filter(parts, lambda p, i: ~F.array_contains(F.col(helper), i)), "\n")

@@ -270,3 +270,17 @@ def test_members_with_the_registered_thresholds(spark, nasty):
             if r.kept:  # in the document of smallest id
                 ids = [k[0] for k in wanted if k[3] == r.class_id and k[0] is not None]
                 assert r.doc_id == min(ids, default=None)
+
+
+def test_few_words_of_a_long_line_are_chosen(spark):
+    """One of each twelve words in a row, the same in any line that has them."""
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(600)]
+    lines = [" ".join(words), " ".join(["other"] * 7 + words[100:140] + ["x"] * 9)]
+    df = spark.createDataFrame(list(enumerate(lines)), "line_id long, line string")
+    keyed = df.select("line_id", line_dedup._words().alias("words")).withColumn("w", F.size("words"))
+    rows = keyed.select("line_id", F.explode(line_dedup._run_keys(16)).alias("k")).select("line_id", "k.*").collect()
+    places = sorted(r.at for r in rows if r.line_id == 0)
+    assert 60 < len(places) < 150 and max(b - a for a, b in zip(places, places[1:])) <= 12
+    shared = {r.key for r in rows if r.line_id == 0} & {r.key for r in rows if r.line_id == 1}
+    assert len(shared) >= 2
