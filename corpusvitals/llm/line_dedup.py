@@ -256,6 +256,24 @@ def _run_keys(word_run: int) -> Column:
     )
 
 
+def _sized_keys(word_run: int) -> Column:
+    """``key`` with ranges of ``w``, so that lines within the word edits of the shorter share a range.
+
+    Ranges are over twice the word edits wide, a power of two, and lie in two
+    grids, half a range apart. Where the width changes, the longer line takes
+    that of the shortest line it may be near to as well.
+    """
+
+    def ranges(words: Column) -> Column:
+        half = F.pow(F.lit(2), F.ceil(F.log2(word_edits(words, word_run) + 1))).cast("int")
+        grids = [F.struct(half.alias("half"), F.lit(g).alias("g"), F.floor((F.col("w") + g * half) / (2 * half)).alias("bin")) for g in (0, 1)]
+        return F.array(*grids)
+
+    w = F.col("w")
+    every = F.array_union(ranges(w), ranges(w - word_edits(w, word_run)))
+    return F.transform(every, lambda r: F.xxhash64("key", r["half"], r["g"], r["bin"]).bitwiseAND(F.lit(_KEY)))
+
+
 def long_candidates(lines: DataFrame, word_run: int) -> DataFrame:
     """Distinct (high, low) of ``lines(line_id, line)`` that share a run of words near one place."""
     # n words have n - 1 blanks between them, unless their letters are words
@@ -264,6 +282,10 @@ def long_candidates(lines: DataFrame, word_run: int) -> DataFrame:
     # chosen once; most keys stand in one line only, and those go no further
     rows = stage(rows.select("line_id", "w", "k.key", "k.at"), "run-keys", compression="zstd")
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    rows = rows.join(stage(shared, "shared"), "key", "left_semi")
+    # a passage may stand in many lines: only those of about the same number of words meet
+    rows = stage(rows.select("line_id", "w", "at", F.explode(_sized_keys(word_run)).alias("key")), "sized-keys", compression="zstd")
+    shared = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     rows = stage(rows.join(stage(shared, "shared"), "key", "left_semi"), "shared-keys")
     one, two = (rows.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("line_id", "w", "at")]) for side in "xy")
     edits = word_edits(F.least("w_x", "w_y"), word_run)
