@@ -19,6 +19,7 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import cache
 from itertools import islice
+from operator import le
 import hashlib
 import re
 
@@ -80,8 +81,8 @@ def mask(starts: list[int], ends: list[int], spans: list[tuple[int, int]]) -> li
     """1 for each token that shares a character with a span; both lists are sorted."""
     found = [0] * len(starts)
     for start, end in spans:
-        for i in range(bisect_right(ends, start), bisect_left(starts, end)):
-            found[i] = 1
+        first, last = bisect_right(ends, start), bisect_left(starts, end)
+        found[first:last] = [1] * (last - first)
     return found
 
 
@@ -181,6 +182,12 @@ def loss_text(formatted: str, starts: list[int], ends: list[int], masked: list[i
     for turn in _TURN.finditer(formatted):
         start, end = turn.span(2)
         first, last = bisect_right(ends, start), bisect_left(starts, end)
+        if 0 not in masked[first:last] and all(map(le, starts[first + 1 : last], ends[first : last - 1])):
+            # no token is left out, and none leaves a gap
+            low, high = (max(start, starts[first]), min(end, ends[last - 1])) if first < last else (0, 0)
+            if low < high:
+                yield formatted[low:high]
+            continue
         at, parts = start, []
         for i in range(first, last):
             if masked[i]:

@@ -73,6 +73,10 @@ def test_formatting_reads_back(turns):
     assert masked == naive
     loss = [chat.unescape(t) for t in chat.loss_text(text, starts, ends, masked)]
     assert loss == [t for r, t in turns if r == "assistant" and t]
+    holes = [m if i % 3 else 0 for i, m in enumerate(masked)]  # what no token of the mask covers is not read
+    read = "".join(chat.loss_text(text, starts, ends, holes))
+    kept = {c for s, e, m in zip(starts, ends, holes) if m for c in range(s, e)}
+    assert read == "".join(text[c] for a, b in spans for c in range(a, b) if c in kept)
     for control in chat.CONTROL:
         assert all(control not in chat.escape(t) for _, t in turns)
 
