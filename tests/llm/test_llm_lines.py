@@ -284,3 +284,19 @@ def test_few_words_of_a_long_line_are_chosen(spark):
     assert 60 < len(places) < 150 and max(b - a for a, b in zip(places, places[1:])) <= 12
     shared = {r.key for r in rows if r.line_id == 0} & {r.key for r in rows if r.line_id == 1}
     assert len(shared) >= 2
+
+
+def test_a_passage_in_many_lines_makes_few_candidates(spark):
+    rng = random.Random(1)
+    passage = " ".join(f"b{i}" for i in range(20))
+    some = lambda: " ".join(f"x{rng.randrange(10**9)}" for _ in range(rng.randrange(5, 150)))
+    lines = [f"{some()} {passage} {some()}" for _ in range(600)]
+    df = spark.createDataFrame(list(enumerate(lines)), "line_id long, line string")
+    found = line_dedup.long_candidates(df, 16).collect()
+    assert len(found) < 20 * len(lines)
+    near = lines[7].split()
+    near[3] = near[-4] = "other"  # a line with enough words still meets its near copy
+    both = spark.createDataFrame([*enumerate(lines), (len(lines), " ".join(near))], "line_id long, line string")
+    most = (len(near) - 16) // 17
+    pairs = {(r.high, r.low) for r in line_dedup.word_join(both, 16).collect()}
+    assert pairs == ({(len(lines), 7)} if most >= 2 else set())
