@@ -125,3 +125,15 @@ def test_generated_files_and_short_files_are_left_out(spark):
     rows = [("r", "a.py", text), ("r", "dist/b.py", text), ("r", "c.py", text[:-7]), ("q", "d.py", text)]
     files = spark.createDataFrame(rows, "repo_id string, path string, content string")
     assert duplicates.duplicate_blocks(files).count() == 0
+
+
+def test_every_copy_is_named(spark):
+    text = "\n".join(f"line {i}" for i in range(9))
+    near = text.replace("line 8", "line z")
+    rows = [("r", f"f{n}.py", text) for n in range(4)] + [("r", "g0.py", near), ("r", "g1.py", near), ("q", "h.py", text)]
+    comparable = duplicates.staged_files(spark.createDataFrame(rows, "repo_id string, path string, content string"))
+    found = {(r.file, r.file_2): r.n_pairs for r in duplicates.class_blocks(comparable, members=True).collect()}
+    assert found == {
+        ("f0.py", "f1.py"): 4, ("f0.py", "f2.py"): 1, ("f0.py", "f3.py"): 1,
+        ("g0.py", "g1.py"): 1, ("f0.py", "g0.py"): 8,
+    }
