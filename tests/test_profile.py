@@ -187,3 +187,17 @@ def test_a_tree_is_listed_by_many_tasks(spark, tmp_path, monkeypatch):
         assert len(rows) == len(wanted) and {(r.repo_id, r.path, r.size_bytes) for r in rows} == wanted
     walked = list(src._walk(str(tmp_path / "r0"), ""))  # one folder, and the folders in it
     assert walked and all(is_folder for _, _, is_folder in walked)
+
+
+def test_many_small_folders_are_listed_and_read_by_many_tasks(spark, tmp_path):
+    for n in range(400):
+        (tmp_path / f"d{n}").mkdir()
+        (tmp_path / f"d{n}" / "a.py").write_text(f"x = {n}\n")
+    roots = spark.createDataFrame([("r", str(tmp_path))], "repo_id string, root string")
+    listing = src.list_trees(roots)
+    read = src.read_sources(listing)
+    assert {r.path for r in read.select("path").collect()} == {f"d{n}/a.py" for n in range(400)}
+    assert read.where("content IS NOT NULL").select(F.spark_partition_id().alias("task")).distinct().count() > 4
+    # of the frontier, 200 folders at least are left to the second round
+    written = {r.task for r in listing.select(F.input_file_name().alias("task")).distinct().collect()}
+    assert len(written) > 4
