@@ -201,3 +201,15 @@ def test_many_small_folders_are_listed_and_read_by_many_tasks(spark, tmp_path):
     # of the frontier, 200 folders at least are left to the second round
     written = {r.task for r in listing.select(F.input_file_name().alias("task")).distinct().collect()}
     assert len(written) > 4
+
+
+def test_looks_for_bytes_say_what_the_patterns_say(spark):
+    signs = [chr(n) for n in (*range(0x21), 0x7f, 0x85, 0xa0, 0x1680, *range(0x1fff, 0x2012), 0x2028, 0x2029, 0x202f, 0x205f, 0x2060, 0x3000, 0xe9, 0x41)]
+    texts = [*TEXTS, *signs, *[f"{s}a" for s in signs], *[f"a  {s}{s}b{s}" for s in signs], *[f"x{s}# y // z\nb // c{s}d" for s in signs]]
+    c = F.col("t")
+    for r in spark.createDataFrame([(t,) for t in texts], "t string").select(
+        "t", tx.trimmed(c).alias("a"), tx.strip(c).alias("b"), tx.split_lines(c).alias("c"), F.split(c, tx.LINE_BREAK, -1).alias("d"),
+        tx.split_line_count(c).alias("n"), tx.holds(c, tx._UNCOMMON).alias("e"), c.rlike(tx.UNCOMMON_SPACE).alias("f"), tx.normalized_lines(c).alias("l"),
+    ).collect():
+        assert (r.a, r.c, r.n, r.e) == (r.b, r.d, len(r.t.splitlines()), r.f), r
+        assert all("#" not in x.text and "//" not in x.text for x in r.l)
