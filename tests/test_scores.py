@@ -294,3 +294,17 @@ def test_weights_of_a_repository(spark):
     own = spark.createDataFrame([("a", "Large File", "HIGH", 1), ("z", "Large File", "HIGH", 50)], "repo_id string, type string, severity string, weight int")
     rows = scores.quality_score(counts, counts, own).collect()
     assert {r.repo_id: r.quality for r in rows} == {"a": 98, "b": 88}
+
+
+def test_a_batch_reads_its_texts_once(spark, tmp_path, monkeypatch):
+    labels, whole = [], scan.stage
+    monkeypatch.setattr(scan, "stage", lambda df, label, **o: labels.append((label, df.columns)) or whole(df, label, **o))
+    incoming = str(tmp_path / "in")
+    rows = [("r", "a.py", "# TODO\n", 1), ("r", "a.py", "# FIXME\n", 2), ("r", "b.py", "# HACK\n", 1)]
+    schema = "repo_id string, path string, content string, version long"
+    spark.createDataFrame(rows, schema).write.parquet(incoming)
+    out = str(tmp_path / "out")
+    scan.scan_changed_files(scan.read_new_files(spark, incoming, schema), out, str(tmp_path / "state")).awaitTermination()
+    assert {(r.file, r.type) for r in scan.current_findings(spark, out).collect()} == {("a.py", "FIXME Marker"), ("b.py", "HACK Marker")}
+    # what meets the other versions holds no text
+    assert labels and all("content" not in columns for _, columns in labels)
