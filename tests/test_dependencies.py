@@ -228,3 +228,16 @@ def test_no_record_vanishes(spark, tmp_path):
     assert {(r.name, r.version): r.n_vulns for r in results.where("ecosystem = 'npm'").collect()} == {
         ("a", "1.0.0"): 2, ("a", "9.0.0"): 1, ("b", "1.0.0"): 1, ("b", "0.9.0"): 0, ("c", "1.0.0"): 0, ("a", "unspecified"): 0, ("a", ""): 0,
     }
+
+
+def test_sort_keys_are_made_once_per_version(spark):
+    deps = spark.createDataFrame([("r", f"m{i}", "npm", "a", "1.2.3") for i in range(6)], DEPENDENCY_SCHEMA)
+    ranges = spark.createDataFrame(
+        [("npm", "a", "V", "HIGH", None, "", "~", False)],
+        "ecosystem string, name string, vuln_id string, severity string, db_severity string, low string, high string, closed boolean",
+    )
+    found = adv.affected_versions(deps, ranges)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # no filter below the aggregate that makes versions distinct computes a key
+    assert "Generate inline" in plan
+    assert [tuple(r) for r in found.collect()] == [("npm", "a", "1.2.3", "V", "HIGH", None)]
