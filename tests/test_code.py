@@ -69,6 +69,15 @@ def test_long_functions(files):
     }
 
 
+def test_texts_go_to_python_in_batches_of_a_hundred(files):
+    tree = files({"a.py": "def f(): pass\n", "b.js": "function g() {}\n", "c.py": ""})
+    for functions in (modules.python_functions(modules.python_facts(tree)), scripts.js_functions(tree)):
+        plan = functions._jdf.queryExecution().executedPlan().toString()
+        # Arrow's batches would grow with the input up to the session's setting
+        assert (plan.count("BatchEvalPython"), plan.count("ArrowEvalPython")) == (1, 0)
+    assert {r.path: r.parse_status for r in modules.python_facts(tree).collect()} == {"a.py": "parsed", "c.py": None}
+
+
 def test_js_imports_and_use(files):
     text = "\nimport React, { a, b as c, type D } from 'x';\nimport e from \"y\"\nimport {\n  f,\n  $g\n} from 'z'\nuse(a, f); // e\n"
     tree = files({"m.ts": text, "n.jsx": "import React from 'react'\nexport default () => <div/>\n", "o.css": text})
