@@ -29,6 +29,8 @@ other; other columns are ignored by ``line_classes``, kept by
 ``remove_repeats``.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +51,10 @@ TWO_EDITS_CHARS = 12
 WORD_RUN = 16
 #: Words in a key of a long line.
 GRAM = 5
+#: A run of words in more lines is met by number of words, others at once.
+CROWDED = 16
+#: Words of two lines are compared by so many bits first.
+_PARITIES = 256
 
 #: Bits of a key: what two keys have in common by chance is verified away.
 _KEY = (1 << 48) - 1
@@ -166,11 +172,17 @@ def candidates(lines: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
         F.col("line_id").alias("a"), F.col("letters").alias("la"), F.explode(F.array(*index_keys(max_edits))).alias("key")
     )
     probes, equal = probe_keys(max_edits, long_enough)
-    probe = rows.select(
-        F.col("line_id").alias("b"), F.col("letters").alias("lb"), F.posexplode(F.array(*probes)).alias("at", "key")
+    # a few at a time: a larger method is not compiled by the JVM
+    parts = [(some[i : i + 5], even) for some, even in ((probes[:equal], True), (probes[equal:], False)) for i in range(0, len(some), 5)]
+    probe = reduce(
+        DataFrame.union,
+        [
+            rows.select(F.col("line_id").alias("b"), F.col("letters").alias("lb"), F.lit(even).alias("even"), F.explode(F.array(*part)).alias("key"))
+            for part, even in parts
+        ],
     ).filter("key IS NOT NULL")
     # of two lines of one length, the one of larger number probes
-    once = (F.col("a") < F.col("b")) | ((F.col("at") >= equal) & (F.col("a") != F.col("b")))
+    once = (F.col("a") < F.col("b")) | (~F.col("even") & (F.col("a") != F.col("b")))
     apart = F.bit_count(F.col("la").bitwiseXOR(F.col("lb"))) <= 2 * max_edits
     return (
         index.join(probe, (index["key"] == probe["key"]) & once & apart)
@@ -220,9 +232,10 @@ def within(a: str, b: str, max_edits: int) -> Column:
 def _words(line: str = "line") -> Column:
     """The pieces between blanks; letters of scripts without blanks are words of their own."""
     wide = F.regexp_replace(line, "([\\x{0E00}-\\x{0EFF}\\x{1000}-\\x{109F}\\x{1780}-\\x{17FF}\\x{2E80}-\\x{D7FF}\\x{F900}-\\x{FAFF}\\x{20000}-\\x{3FFFF}])", " $1 ")
-    # such letters have three bytes or more
-    spaced = F.when(F.octet_length(line) > F.char_length(line) + 1, wide).otherwise(F.col(line))
-    return F.filter(F.split(spaced, "[ \\t\\r\\f\\x0B]+"), lambda w: w != "")
+    pieces = lambda text: F.split(text, "[ \\t\\r\\f\\x0B]+")
+    # such letters have three bytes or more; the others leave no empty pieces
+    some_wide = F.octet_length(line) > F.char_length(line) + 1
+    return F.when(some_wide, F.filter(pieces(wide), lambda w: w != "")).otherwise(pieces(_line(F.col(line))))
 
 
 def word_edits(words: Column, word_run: int) -> Column:
@@ -242,14 +255,15 @@ def _paired(marks: Column, step: int) -> Column:
 def _run_keys(word_run: int) -> Column:
     """(key, at) of the chosen words of ``words``; the last 24 bits of a mark are the word's place."""
     marks = F.transform("words", lambda w, i: F.xxhash64(w).bitwiseAND(F.lit(~0xFFFFFF)).bitwiseOR(i.cast("long")))
+    # shorter lines have no word edit
+    marks = F.when(F.col("w") > 2 * word_run, marks)
     size, have = word_run - GRAM + 1, 1
     least = marks
     while have < size:  # the smallest of ``have`` marks in a row, for each place
         step = min(have, size - have)
         least = _paired(least, step)
         have += step
-    # shorter lines have no word edit
-    whole = F.slice(least, 1, F.when(F.col("w") > 2 * word_run, F.col("w") - word_run + 1).otherwise(0))
+    whole = F.slice(least, 1, F.greatest(F.col("w") - word_run + 1, F.lit(0)))
     place = lambda m: m.bitwiseAND(F.lit(0xFFFFFF)).cast("int")
     return F.transform(
         F.array_distinct(whole), lambda m: F.struct(F.xxhash64(F.slice("words", place(m) + 1, GRAM)).bitwiseAND(F.lit(_KEY)).alias("key"), place(m).alias("at"))
@@ -274,27 +288,38 @@ def _sized_keys(word_run: int) -> Column:
     return F.transform(every, lambda r: F.xxhash64("key", r["half"], r["g"], r["bin"]).bitwiseAND(F.lit(_KEY)))
 
 
-def long_candidates(lines: DataFrame, word_run: int) -> DataFrame:
+def _met(rows: DataFrame, word_run: int) -> DataFrame:
+    """(high, low) of ``rows(key, line_id, w, at)`` that share a key, of about the same number of words and at about the same place."""
+    one, two = (rows.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("line_id", "w", "at")]) for side in "xy")
+    edits = word_edits(F.least("w_x", "w_y"), word_run)
+    close = (F.abs(F.col("w_x") - F.col("w_y")) <= edits) & (F.abs(F.col("at_x") - F.col("at_y")) <= edits) & (edits > 0)
+    met = one.join(two, "key").filter((F.col("line_id_x") > F.col("line_id_y")) & close)
+    return met.select(F.col("line_id_x").alias("high"), F.col("line_id_y").alias("low"))
+
+
+def long_candidates(lines: DataFrame, word_run: int, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """Distinct (high, low) of ``lines(line_id, line)`` that share a run of words near one place."""
     # n words have n - 1 blanks between them, unless their letters are words
     rows = lines.filter(F.char_length("line") > 2 * word_run).select("line_id", _words().alias("words")).withColumn("w", F.size("words"))
     rows = rows.select("line_id", "w", F.explode(_run_keys(word_run)).alias("k"))
     # chosen once; most keys stand in one line only, and those go no further
     rows = stage(rows.select("line_id", "w", "k.key", "k.at"), "run-keys", compression="zstd")
-    shared = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    rows = rows.join(stage(shared, "shared"), "key", "left_semi")
+    shared = stage(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
+    rows = stage(rows.join(_hinted(shared, broadcast_ids), "key"), "met-keys", compression="zstd")
+    few = _met(rows.filter(F.col("n") <= CROWDED), word_run)
     # a passage may stand in many lines: only those of about the same number of words meet
+    rows = rows.filter(F.col("n") > CROWDED)
     rows = stage(rows.select("line_id", "w", "at", F.explode(_sized_keys(word_run)).alias("key")), "sized-keys", compression="zstd")
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    rows = stage(rows.join(stage(shared, "shared"), "key", "left_semi"), "shared-keys")
-    one, two = (rows.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("line_id", "w", "at")]) for side in "xy")
-    edits = word_edits(F.least("w_x", "w_y"), word_run)
-    close = (F.abs(F.col("w_x") - F.col("w_y")) <= edits) & (F.abs(F.col("at_x") - F.col("at_y")) <= edits) & (edits > 0)
-    return (
-        one.join(two, "key").filter((F.col("line_id_x") > F.col("line_id_y")) & close)
-        .select(F.col("line_id_x").alias("high"), F.col("line_id_y").alias("low"))
-        .distinct()
-    )
+    rows = stage(rows.join(_hinted(stage(shared, "shared"), broadcast_ids), "key", "left_semi"), "shared-keys")
+    return few.union(_met(rows, word_run)).distinct()
+
+
+def _parities() -> list[Column]:
+    """``_PARITIES`` bits in longs: which hash values have an odd number of ``marks``. A word less or more changes one bit."""
+    longs = _PARITIES // 64
+    bit = "shiftleft(1L, CAST(m & 63 AS INT))"
+    return [F.expr(f"aggregate(marks, 0L, (a, m) -> a ^ if((shiftright(m, 6) & {longs - 1}) = {k}, {bit}, 0L))") for k in range(longs)]
 
 
 def _coded() -> Column:
@@ -309,14 +334,24 @@ def _coded() -> Column:
 
 def word_join(lines: DataFrame, word_run: int, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """Verified pairs (high, low) of lines within the word edits of the shorter one."""
-    pairs = stage(long_candidates(lines, word_run), "long-candidates")
-    texts = _texts(lines, pairs, broadcast_ids).select("line_id", _words().alias("words"))
-    texts = stage(texts.select("line_id", F.size("words").alias("w"), _coded().alias("line")), "coded")
-    one, two = (texts.select(F.col("line_id").alias(c), F.col("line").alias(x), F.col("w").alias(f"w_{x}")) for c, x in (("high", "x"), ("low", "y")))
-    edits = word_edits(F.least("w_x", "w_y"), word_run)
+    pairs = stage(long_candidates(lines, word_run, broadcast_ids), "long-candidates")
+    # an edit changes two parities at most, which ends most candidates before their texts are met
+    words = _texts(lines, pairs, broadcast_ids).select("line_id", _words().alias("words"))
+    marked = words.select("line_id", F.size("words").alias("w"), F.transform("words", lambda w: F.xxhash64(w)).alias("marks"))
+    marked = stage(marked.select("line_id", "w", F.array(*_parities()).alias("odd")), "parities")
+    one, two = (marked.select(F.col("line_id").alias(c), F.col("w").alias(f"w_{c}"), F.col("odd").alias(f"odd_{c}")) for c in ("high", "low"))
+    both = pairs.join(one, "high").join(two, "low").withColumn("edits", word_edits(F.least("w_high", "w_low"), word_run))
+    apart = sum(F.bit_count(F.col("odd_high")[k].bitwiseXOR(F.col("odd_low")[k])) for k in range(_PARITIES // 64))
+    both = both.withColumn("apart", apart).filter(F.col("apart") <= 2 * F.col("edits"))
     # a word is two letters, so each of its edits counts twice
-    both = pairs.join(one, "high").join(two, "low").withColumn("most", 2 * edits)
-    return both.filter(F.expr("levenshtein(x, y, most) >= 0")).select("high", "low")
+    both = both.select("high", "low", (2 * F.col("edits")).alias("most"), F.least(2 * F.col("edits"), 2 * F.col("apart") + 4).alias("guess"))
+    pairs = stage(both, "alike")
+    texts = _texts(lines, pairs, broadcast_ids).select("line_id", _words().alias("words"))
+    texts = stage(texts.select("line_id", _coded().alias("line")), "coded")
+    one, two = (texts.select(F.col("line_id").alias(c), F.col("line").alias(x)) for c, x in (("high", "x"), ("low", "y")))
+    # a narrow band is enough for most
+    near = "levenshtein(x, y, guess) >= 0 OR (guess < most AND levenshtein(x, y, most) >= 0)"
+    return pairs.join(one, "high").join(two, "low").filter(F.expr(near)).select("high", "low")
 
 
 def _texts(lines: DataFrame, pairs: DataFrame, broadcast_ids: int) -> DataFrame:
@@ -356,7 +391,9 @@ def edit_join(lines: DataFrame, max_edits: int = MAX_EDITS, min_chars: int = MIN
     texts = stage(_texts(lines, pairs, broadcast_ids), "texts")
     one = texts.select(F.col("line_id").alias("high"), F.col("line").alias("x"))
     two = texts.select(F.col("line_id").alias("low"), F.col("line").alias("y"))
-    return pairs.join(one, "high").join(two, "low").filter(within("x", "y", max_edits)).select("high", "low")
+    # the built-in distance ends most candidates at a fraction of the cost
+    both = pairs.join(one, "high").join(two, "low").filter(F.expr(f"levenshtein(x, y, {max_edits}) >= 0"))
+    return both.filter(within("x", "y", max_edits)).select("high", "low")
 
 
 def line_classes(

@@ -300,3 +300,43 @@ def test_a_passage_in_many_lines_makes_few_candidates(spark):
     most = (len(near) - 16) // 17
     pairs = {(r.high, r.low) for r in line_dedup.word_join(both, 16).collect()}
     assert pairs == ({(len(lines), 7)} if most >= 2 else set())
+
+
+def test_probes_are_compiled(spark):
+    lines = line_dedup.with_letters(spark.createDataFrame([(0, "x" * 30)], "line_id long, line string"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else the plan has no code before it runs
+    try:
+        plan = line_dedup.candidates(lines, 2, 12)._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    code = spark._jvm.org.apache.spark.sql.execution.debug
+    found = getattr(getattr(code, "package$"), "MODULE$").codegenStringSeq(plan)
+    sizes = [found.apply(i)._3().maxMethodCodeSize() for i in range(found.size())]
+    # the JVM compiles no method of more bytes
+    assert sizes and max(sizes) <= 8000
+
+
+def test_lines_that_share_a_passage_only_end_before_their_texts_meet(spark, monkeypatch):
+    rng = random.Random(2)
+    word = lambda: f"x{rng.randrange(10**9)}"
+    lines, wanted = [], set()
+    for many in (2, 3, line_dedup.CROWDED + 5):  # passages in few lines and in many
+        passage = [word() for _ in range(20)]
+        base = len(lines)
+        lines += [[word() for _ in range(20)] + passage + [word() for _ in range(20)] for _ in range(many)]
+        near = list(lines[base])
+        near[1], near[-2] = word(), word()  # of 60 words two may differ
+        wanted.add((len(lines), base))
+        lines.append(near)
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(lines)], "line_id long, line string")
+    staged, stage = {}, line_dedup.stage
+
+    def counted(table, label, **options):
+        written = stage(table, label, **options)
+        staged[label] = written.count()
+        return written
+
+    monkeypatch.setattr(line_dedup, "stage", counted)
+    for bound in (0, 10**6):  # by a shuffled join, and by a broadcast
+        assert {(r.high, r.low) for r in line_dedup.word_join(df, 16, bound).collect()} == wanted
+        assert staged["long-candidates"] > 100 and staged["alike"] == len(wanted)
