@@ -40,7 +40,7 @@ from corpusvitals.session import stage
 
 MAX_EDITS = 2
 MIN_CHARS = 20
-#: Up to so many line numbers (8 bytes each) go to the tasks; more are met by a shuffled join.
+#: Up to so many line numbers or keys (8 bytes each, keys with a count 16) go to the tasks; more are met by a shuffled join.
 BROADCAST_IDS = 1_000_000
 
 #: Of the query: in a line of one or two characters an edit replaces half of it or more.
