@@ -53,6 +53,8 @@ WORD_RUN = 16
 GRAM = 5
 #: A run of words in more lines is met by number of words, others at once.
 CROWDED = 16
+#: So many lines of a crowded key meet all its lines, before those of different classes meet each other.
+CENTRES = 2
 #: Words of two lines are compared by so many bits first.
 _PARITIES = 256
 
@@ -288,31 +290,84 @@ def _sized_keys(word_run: int) -> Column:
     return F.transform(every, lambda r: F.xxhash64("key", r["half"], r["g"], r["bin"]).bitwiseAND(F.lit(_KEY)))
 
 
-def _met(rows: DataFrame, word_run: int) -> DataFrame:
-    """(high, low) of ``rows(key, line_id, w, at)`` that share a key, of about the same number of words and at about the same place."""
-    one, two = (rows.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("line_id", "w", "at")]) for side in "xy")
+def _sides(rows: DataFrame, *names: str) -> list[DataFrame]:
+    return [rows.select("key", *[F.col(c).alias(f"{c}_{side}") for c in rows.columns if c != "key"]) for side in names]
+
+
+def _close(word_run: int) -> Column:
+    """Whether rows x and y of one key have about the same number of words and the key at about the same place."""
     edits = word_edits(F.least("w_x", "w_y"), word_run)
-    close = (F.abs(F.col("w_x") - F.col("w_y")) <= edits) & (F.abs(F.col("at_x") - F.col("at_y")) <= edits) & (edits > 0)
-    met = one.join(two, "key").filter((F.col("line_id_x") > F.col("line_id_y")) & close)
+    placed = (F.col("at_x") - F.col("to_y") <= edits) & (F.col("at_y") - F.col("to_x") <= edits)
+    return (F.abs(F.col("w_x") - F.col("w_y")) <= edits) & placed & (edits > 0)
+
+
+def _met(rows: DataFrame, near: Column) -> DataFrame:
+    """(high, low) of ``rows(key, line_id, ...)`` that share a key and are ``near``."""
+    one, two = _sides(rows, "x", "y")
+    met = one.join(two, "key").filter((F.col("line_id_x") > F.col("line_id_y")) & near)
     return met.select(F.col("line_id_x").alias("high"), F.col("line_id_y").alias("low"))
 
 
-def long_candidates(lines: DataFrame, word_run: int, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
-    """Distinct (high, low) of ``lines(line_id, line)`` that share a run of words near one place."""
+def _centred(rows: DataFrame, near: Column, salt: int) -> DataFrame:
+    """(high, low) of each key's rows and one of them, if they are ``near``; by ``salt`` it is another one."""
+    names = [c for c in rows.columns if c != "key"]
+    one, two = _sides(rows, "x")[0], rows.groupBy("key").agg(F.min_by(F.struct(*names), F.xxhash64("key", "line_id", F.lit(salt))).alias("c"))
+    met = one.join(_sides(two.select("key", "c.*"), "y")[0], "key").filter((F.col("line_id_x") != F.col("line_id_y")) & near)
+    return met.select(F.greatest("line_id_x", "line_id_y").alias("high"), F.least("line_id_x", "line_id_y").alias("low"))
+
+
+def long_keys(lines: DataFrame, word_run: int) -> DataFrame:
+    """line_id, w, key, at, to of ``lines(line_id, line)``: a row for each key of a line, from its first to its last place."""
     # n words have n - 1 blanks between them, unless their letters are words
     rows = lines.filter(F.char_length("line") > 2 * word_run).select("line_id", _words().alias("words")).withColumn("w", F.size("words"))
-    rows = rows.select("line_id", "w", F.explode(_run_keys(word_run)).alias("k"))
+    rows = rows.select("line_id", "w", F.sort_array(_run_keys(word_run)).alias("ks"))
+    # words that repeat give one key at many places
+    ks, other = F.col("ks"), lambda i, k: F.coalesce(F.get(F.col("ks"), i)["key"] != k["key"], F.lit(True))
+    first = F.filter(ks, lambda k, i: other(i - 1, k))
+    last = F.filter(ks, lambda k, i: other(i + 1, k))
+    once = F.zip_with(first, last, lambda a, b: F.struct(a["key"].alias("key"), a["at"].alias("at"), b["at"].alias("to")))
+    return rows.select("line_id", "w", F.explode(once).alias("k")).select("line_id", "w", "k.*")
+
+
+def _marked(texts: DataFrame) -> DataFrame:
+    """line_id, w and odd (the parities of its words) of ``texts(line_id, line)``."""
+    words = texts.select("line_id", _words().alias("words"))
+    marks = words.select("line_id", F.size("words").alias("w"), F.transform("words", lambda w: F.xxhash64(w)).alias("marks"))
+    return marks.select("line_id", "w", *[c.alias(f"odd{k}") for k, c in enumerate(_parities())])
+
+
+def _apart(x: str, y: str) -> Column:
+    return sum(F.bit_count(F.col(f"odd{k}_{x}").bitwiseXOR(F.col(f"odd{k}_{y}"))) for k in range(_PARITIES // 64))
+
+
+def _alike(word_run: int) -> Column:
+    return _close(word_run) & (_apart("x", "y") <= 2 * word_edits(F.least("w_x", "w_y"), word_run))
+
+
+def _shared_runs(lines: DataFrame, word_run: int, broadcast_ids: int) -> tuple[DataFrame, DataFrame]:
+    """(high, low) of lines that share a run of words which few lines have, and the rows of the others, with parities."""
     # chosen once; most keys stand in one line only, and those go no further
-    rows = stage(rows.select("line_id", "w", "k.key", "k.at"), "run-keys", compression="zstd")
+    rows = stage(long_keys(lines, word_run), "run-keys", compression="zstd")
     shared = stage(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
     rows = stage(rows.join(_hinted(shared, broadcast_ids), "key"), "met-keys", compression="zstd")
-    few = _met(rows.filter(F.col("n") <= CROWDED), word_run)
+    few = _met(rows.filter(F.col("n") <= CROWDED).drop("n"), _close(word_run))
     # a passage may stand in many lines: only those of about the same number of words meet
     rows = rows.filter(F.col("n") > CROWDED)
-    rows = stage(rows.select("line_id", "w", "at", F.explode(_sized_keys(word_run)).alias("key")), "sized-keys", compression="zstd")
+    rows = stage(rows.select("line_id", "w", "at", "to", F.explode(_sized_keys(word_run)).alias("key")), "sized-keys", compression="zstd")
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    rows = stage(rows.join(_hinted(stage(shared, "shared"), broadcast_ids), "key", "left_semi"), "shared-keys")
-    return few.union(_met(rows, word_run)).distinct()
+    rows = stage(rows.join(_hinted(stage(shared, "shared"), broadcast_ids), "key", "left_semi"), "shared-keys", compression="zstd")
+    ids = stage(rows.select("line_id").distinct(), "crowded")
+    marked = _marked(lines.select("line_id", "line").join(_hinted(ids, broadcast_ids), "line_id")).drop("w")
+    return few, rows.join(stage(marked, "crowded-parities"), "line_id")
+
+
+def long_candidates(lines: DataFrame, word_run: int, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """Distinct (high, low) of ``lines(line_id, line)`` that share a run of words near one place.
+
+    Where the run is in many lines, only those whose word parities are near as well.
+    """
+    few, crowded = _shared_runs(lines, word_run, broadcast_ids)
+    return few.union(_met(crowded, _alike(word_run))).distinct()
 
 
 def _parities() -> list[Column]:
@@ -334,15 +389,40 @@ def _coded() -> Column:
 
 def word_join(lines: DataFrame, word_run: int, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """Verified pairs (high, low) of lines within the word edits of the shorter one."""
-    pairs = stage(long_candidates(lines, word_run, broadcast_ids), "long-candidates")
+    return _near_words(lines, long_candidates(lines, word_run, broadcast_ids), word_run, broadcast_ids)
+
+
+def word_links(lines: DataFrame, word_run: int, known: DataFrame, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """Some pairs of ``word_join``: with the pairs ``known`` they lead to the same classes.
+
+    In a crowded key each line meets a centre first, another one in each key
+    and round. After that only lines of different classes meet, so a
+    large group of near copies is not compared in pairs.
+    """
+    few, crowded = _shared_runs(lines, word_run, broadcast_ids)
+    crowded = stage(crowded, "marked-keys", compression="zstd")
+    if not crowded.limit(1).count():
+        return _near_words(lines, few.distinct(), word_run, broadcast_ids)
+    first = few.union(reduce(DataFrame.union, [_centred(crowded, _alike(word_run), salt) for salt in range(CENTRES)]))
+    linked = stage(_near_words(lines, first.distinct(), word_run, broadcast_ids), "centred")
+    roots = stage(components(known.select("high", "low").union(linked)), "groups")
+    rows = crowded.join(roots.withColumnRenamed("node", "line_id"), "line_id", "left").withColumn("root", F.coalesce("root", "line_id"))
+    mixed = rows.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("key")
+    rows = stage(rows.join(_hinted(stage(mixed, "mixed"), broadcast_ids), "key", "left_semi"), "mixed-keys", compression="zstd")
+    rest = _met(rows, _alike(word_run) & (F.col("root_x") != F.col("root_y"))).distinct()
+    return linked.union(_near_words(lines, rest, word_run, broadcast_ids)).distinct()
+
+
+def _near_words(lines: DataFrame, pairs: DataFrame, word_run: int, broadcast_ids: int) -> DataFrame:
+    """Those of the candidates (high, low) that are within the word edits."""
+    pairs = stage(pairs, "long-candidates")
     # an edit changes two parities at most, which ends most candidates before their texts are met
-    words = _texts(lines, pairs, broadcast_ids).select("line_id", _words().alias("words"))
-    marked = words.select("line_id", F.size("words").alias("w"), F.transform("words", lambda w: F.xxhash64(w)).alias("marks"))
-    marked = stage(marked.select("line_id", "w", F.array(*_parities()).alias("odd")), "parities")
-    one, two = (marked.select(F.col("line_id").alias(c), F.col("w").alias(f"w_{c}"), F.col("odd").alias(f"odd_{c}")) for c in ("high", "low"))
+    marked = stage(_marked(_texts(lines, pairs, broadcast_ids)), "parities")
+    one, two = (
+        marked.select(F.col("line_id").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in marked.columns if x != "line_id"]) for c in ("high", "low")
+    )
     both = pairs.join(one, "high").join(two, "low").withColumn("edits", word_edits(F.least("w_high", "w_low"), word_run))
-    apart = sum(F.bit_count(F.col("odd_high")[k].bitwiseXOR(F.col("odd_low")[k])) for k in range(_PARITIES // 64))
-    both = both.withColumn("apart", apart).filter(F.col("apart") <= 2 * F.col("edits"))
+    both = both.withColumn("apart", _apart("high", "low")).filter(F.col("apart") <= 2 * F.col("edits"))
     # a word is two letters, so each of its edits counts twice
     both = both.select("high", "low", (2 * F.col("edits")).alias("most"), F.least(2 * F.col("edits"), 2 * F.col("apart") + 4).alias("guess"))
     pairs = stage(both, "alike")
@@ -407,6 +487,7 @@ def line_classes(
     word_run: int | None = None,
     short_chars: int | None = None,
     placed: bool = False,
+    counted: bool = True,
 ) -> DataFrame:
     """One row per distinct line.
 
@@ -415,7 +496,8 @@ def line_classes(
     or one edit from ``short_chars`` characters on), class_id (smallest line_md5
     reachable over links) and class_doc_id (smallest doc_id of the class).
     ``placed``: also class_first, the first occurrence in the class as
-    ``distinct_lines`` orders them.
+    ``distinct_lines`` orders them. Without ``counted`` links of long lines
+    are only as many as their classes need, at least one where there is any.
     """
     first = ["first"] if placed else []
     lines = distinct_lines(docs, id_col, text_col, row_col, placed, broadcast_ids).withColumn("line_id", F.monotonically_increasing_id())
@@ -425,7 +507,9 @@ def line_classes(
     if short_chars:  # pairs whose shorter line is under ``min_chars`` are no others
         pairs = pairs.union(short_join(lines, short_chars, min_chars))
     if word_run:
-        pairs = pairs.union(word_join(lines, word_run, broadcast_ids)).distinct()
+        pairs = pairs if counted else stage(pairs, "near-chars")
+        more = word_join(lines, word_run, broadcast_ids) if counted else word_links(lines, word_run, pairs, broadcast_ids)
+        pairs = pairs.union(more).distinct()
     pairs = stage(pairs, "pairs")
     roots = stage(components(pairs), "roots")
     links = (
@@ -486,7 +570,7 @@ def line_members(
     """
     row = "__line_row"
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    classes = stage(line_classes(rows, max_edits, min_chars, "doc_id", "text", broadcast_ids, placed=True, **more), "classes")
+    classes = stage(line_classes(rows, max_edits, min_chars, "doc_id", "text", broadcast_ids, placed=True, counted=False, **more), "classes")
     columns = ["doc_id", F.col("at").alias("line"), "line_md5", "class_id", "class_doc_id"]
 
     hashed = rows.withColumn("__line_h", F.xxhash64("text"))
@@ -518,7 +602,7 @@ def remove_repeats(
     """
     row, helper = "__line_row", "__line_drops"
     whole = stage(docs.withColumn(row, F.monotonically_increasing_id()), "whole")
-    classes = line_classes(whole, max_edits, min_chars, id_col, text_col, row_col=row, placed=True, **more)
+    classes = line_classes(whole, max_edits, min_chars, id_col, text_col, row_col=row, placed=True, counted=False, **more)
     lines = _with_classes(_occurrences(whole, id_col, text_col, row, placed=True), classes)
     first_row = F.coalesce(F.col("row") == F.col("class_first.row"), F.lit(True))
     drops = lines.filter(~(F.col("candidate") & first_row))

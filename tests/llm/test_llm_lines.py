@@ -340,3 +340,59 @@ def test_lines_that_share_a_passage_only_end_before_their_texts_meet(spark, monk
     for bound in (0, 10**6):  # by a shuffled join, and by a broadcast
         assert {(r.high, r.low) for r in line_dedup.word_join(df, 16, bound).collect()} == wanted
         assert staged["long-candidates"] > 100 and staged["alike"] == len(wanted)
+
+
+def staged_rows(monkeypatch):
+    """Counts of the written tables by label, added up."""
+    staged, stage = Counter(), line_dedup.stage
+
+    def counted(table, label, **options):
+        written = stage(table, label, **options)
+        staged[label] += written.count()
+        return written
+
+    monkeypatch.setattr(line_dedup, "stage", counted)
+    return staged
+
+
+def test_words_that_repeat_give_one_key(spark, monkeypatch):
+    """Lines of the same words over and over share one key, not one for each pair of places."""
+    rng = random.Random(4)
+    word = lambda: f"x{rng.randrange(10**9)}"
+    lines = [[word() for _ in range(5)] + ["Is", "onhe."] * 60 + [word() for _ in range(7)] for _ in range(6)]
+    near = list(lines[2])
+    near[1:1] = [word(), word()]  # all places move on
+    lines.append(near)
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(lines)], "line_id long, line string")
+    staged = staged_rows(monkeypatch)
+    assert {(r.high, r.low) for r in line_dedup.word_join(df, 16).collect()} == {(6, 2)}
+    assert staged["run-keys"] <= 10 * len(lines)
+    keys = line_dedup.long_keys(df, 16).collect()
+    assert len({(r.line_id, r.key) for r in keys}) == len(keys) and max(r.to - r.at for r in keys) > 90
+
+
+def test_near_copies_are_not_compared_in_pairs(spark, monkeypatch):
+    rng = random.Random(6)
+    word = lambda: f"x{rng.randrange(10**9)}"
+    lines, wanted = [], []
+    for size, copies in ((70, 200), (90, 20)):
+        base, first = [word() for _ in range(size)], len(lines)
+        for _ in range(copies):
+            line = list(base)
+            line[rng.randrange(size)] = word()
+            lines.append(line)
+            wanted.append(first)
+    chain = [lines[0]]  # each is near to the one before only
+    for i in range(10):
+        line = list(chain[-1])
+        line[3 * i : 3 * i + 3] = [word(), word(), word()]
+        chain.append(line)
+    lines += chain[1:]
+    wanted += [0] * 10
+    lines.append(lines[5][:40] + [word() for _ in range(30)])  # shares a run only
+    wanted.append(len(wanted))
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(lines)], "doc_id long, text string")
+    staged = staged_rows(monkeypatch)
+    found = line_dedup.line_members(docs, min_chars=12, short_chars=3, word_run=16).collect()
+    assert [r.class_doc_id for r in sorted(found, key=lambda r: r.doc_id)] == wanted
+    assert staged["long-candidates"] < 25 * len(lines)  # there are 20,000 pairs
