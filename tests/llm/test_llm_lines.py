@@ -391,8 +391,12 @@ def test_near_copies_are_not_compared_in_pairs(spark, monkeypatch):
     wanted += [0] * 10
     lines.append(lines[5][:40] + [word() for _ in range(30)])  # shares a run only
     wanted.append(len(wanted))
-    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(lines)], "doc_id long, text string")
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(lines)], "line_id long, line string")
     staged = staged_rows(monkeypatch)
-    found = line_dedup.line_members(docs, min_chars=12, short_chars=3, word_run=16).collect()
-    assert [r.class_doc_id for r in sorted(found, key=lambda r: r.doc_id)] == wanted
-    assert staged["long-candidates"] < 25 * len(lines)  # there are 20,000 pairs
+    none = spark.createDataFrame([], "high long, low long")
+    root = list(range(len(lines)))
+    for r in line_dedup.word_links(df, 16, none).collect():
+        one, two = sorted((root[r.high], root[r.low]))
+        root = [one if x == two else x for x in root]
+    assert root == wanted
+    assert staged["long-candidates"] < 10_000  # there are 20,000 pairs
