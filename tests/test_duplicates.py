@@ -3,10 +3,12 @@
 import itertools
 import random
 import re
+from types import SimpleNamespace
 
 import pytest
 
 from corpusvitals.operators import duplicates
+from driver import queries
 
 
 def normalized(text):
@@ -137,3 +139,19 @@ def test_every_copy_is_named(spark):
         ("f0.py", "f1.py"): 4, ("f0.py", "f2.py"): 1, ("f0.py", "f3.py"): 1,
         ("g0.py", "g1.py"): 1, ("f0.py", "g0.py"): 8,
     }
+
+
+def copies_and_near_copies():
+    """Three copies and two near ones: all ten pairs share a block."""
+    text = "\n".join(f"line {i}" for i in range(9))
+    rows = [("r", f"f{n}.py", text) for n in range(3)] + [("r", f"g{n}.py", text.replace("line 8", "line z")) for n in range(2)]
+    return rows, set(itertools.combinations([p for _, p, _ in rows], 2))
+
+
+def test_query_lists_every_pair_of_files(spark):
+    rows, pairs = copies_and_near_copies()
+    files = spark.createDataFrame(rows, "repo_id string, path string, content string")
+    found = queries.duplicate_blocks(SimpleNamespace(files_by_lang=files)).collect()
+    assert sorted((r.file, r.file_2) for r in found) == sorted(pairs)
+    assert {(r["class"], r.class_2) for r in found} == {("f0.py", "f0.py"), ("f0.py", "g0.py"), ("g0.py", "g0.py")}
+    assert {r.n_pairs for r in found} == {1}
