@@ -8,6 +8,7 @@ from types import SimpleNamespace
 import pytest
 
 from corpusvitals.operators import duplicates
+from corpusvitals.schemas import ADVISORY_SCHEMA, DEPENDENCY_SCHEMA
 from driver import queries
 
 
@@ -155,3 +156,15 @@ def test_query_lists_every_pair_of_files(spark):
     assert sorted((r.file, r.file_2) for r in found) == sorted(pairs)
     assert {(r["class"], r.class_2) for r in found} == {("f0.py", "f0.py"), ("f0.py", "g0.py"), ("g0.py", "g0.py")}
     assert {r.n_pairs for r in found} == {1}
+
+
+def test_diagnosis_lists_every_pair_of_files(spark):
+    rows, pairs = copies_and_near_copies()
+    files = spark.createDataFrame(rows, "repo_id string, path string, content string")
+    tables = SimpleNamespace(
+        files_decorated=files, files_code=files.where("false"),
+        deps=spark.createDataFrame([], DEPENDENCY_SCHEMA), advisories=spark.createDataFrame([], ADVISORY_SCHEMA),
+    )
+    found = [r for r in queries.diagnosis(tables).collect() if r.type == "Duplicate Code"]
+    assert sorted(r.file for r in found) == sorted(file for file, _ in pairs)
+    assert {r.occurrences for r in found} == {1}
