@@ -1,6 +1,8 @@
 import datetime as dt
+import itertools
 import json
 import random
+import time
 
 from pyspark.sql import functions as F
 import pytest
@@ -8,6 +10,7 @@ import pytest
 from corpusvitals.functions import versions
 from corpusvitals.operators import advisories as adv, commits, freshness, manifests as man
 from corpusvitals.schemas import ADVISORY_SCHEMA, DEPENDENCY_SCHEMA, REGISTRY_SCHEMA
+from corpusvitals.session import stage
 from corpusvitals.sources import snapshots
 
 
@@ -241,3 +244,37 @@ def test_sort_keys_are_made_once_per_version(spark):
     # no filter below the aggregate that makes versions distinct computes a key
     assert "Generate inline" in plan
     assert [tuple(r) for r in found.collect()] == [("npm", "a", "1.2.3", "V", "HIGH", None)]
+
+
+@pytest.mark.parametrize("bound", [0, 1000])  # versions with advisories by a shuffle, and sent to all tasks
+def test_rollup_counts_an_advisory_of_two_ecosystems_once(spark, monkeypatch, bound):
+    monkeypatch.setattr(adv, "BROADCAST_KEYS", bound)
+    rnd = random.Random(7)
+    pick = lambda *values: rnd.choice(values)
+    deps = [(pick("r", "s", None), pick("x/pom.xml", "y/pom.xml", "package.json"), pick("PyPI", "npm", "Maven"), pick("a", "b", "c", ""), pick("1", "2", "unspecified", None)) for _ in range(60)]
+    rows = [(pick("PyPI", "npm", "Maven", None), pick("a", "b", "d"), pick("1", "2"), pick("V1", "V2", "V3", "V4", None), pick("critical", "low", None), "critical") for _ in range(50)]
+    got = adv.vulnerable_package_rollup(spark.createDataFrame(deps, DEPENDENCY_SCHEMA), spark.createDataFrame(rows, ADVISORY_SCHEMA))
+    expected = {}
+    for (repo, path, *key), (*listed, vuln, severity, _) in itertools.product(deps, rows):
+        if repo and key == listed and vuln:
+            ids, critical, manifests = expected.setdefault((repo, *key[1:]), (set(), set(), set()))
+            ids.add(vuln), critical.add(severity == "critical"), manifests.add(path.rpartition("/")[2])
+    assert len(expected) > 4 and any(len(ids) > 2 for ids, _, _ in expected.values())
+    assert {(r.repo_id, r.package, r.version): (r.vuln_count, r.severity, r.manifests) for r in got.collect()} == {
+        k: (len(ids), "CRITICAL" if True in critical else "HIGH", sorted(manifests)) for k, (ids, critical, manifests) in expected.items()
+    }
+    assert got.count() == len(expected)
+
+
+def test_staged_tables_leave_no_shuffle_files(spark):
+    files = lambda: {f.getName() for f in map(blocks.apply, range(blocks.size())) if f.getName().startswith("shuffle_")}
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    blocks = manager.getAllFiles()
+    before = files()
+    stage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counted")
+    for _ in range(50):  # they are deleted in the background
+        blocks = manager.getAllFiles()
+        if not files() - before:
+            break
+        time.sleep(0.2)
+    assert not files() - before
