@@ -168,3 +168,11 @@ def test_diagnosis_lists_every_pair_of_files(spark):
     found = [r for r in queries.diagnosis(tables).collect() if r.type == "Duplicate Code"]
     assert sorted(r.file for r in found) == sorted(file for file, _ in pairs)
     assert {r.occurrences for r in found} == {1}
+
+
+def test_rows_that_come_twice_are_pairs_as_they_are_counted(spark):
+    rows, pairs = copies_and_near_copies()
+    twice = spark.createDataFrame(rows + rows[:1], "repo_id string, path string, content string")
+    found = sorted((r.file, r.file_2) for r in duplicates.duplicate_blocks(twice).collect())
+    assert found == sorted([*pairs, *(p for p in pairs if "f0.py" in p), ("f0.py", "f0.py")])
+    assert [r.n_pairs for r in duplicates.duplicate_pair_counts(twice).collect()] == [len(found)]
